@@ -55,14 +55,12 @@ def map_texts(df: DataFrame, rows: Callable[[list, list[str]], dict[str, list]],
     rows(ids, texts) gives the output columns as lists. Slices end after slice_chars
     characters, so memory follows the longest text and not the batch's row count.
     """
-    spark = df.sparkSession
-    names = [f.name for f in spark.createDataFrame([], schema).schema.fields]
-    arrow = pa.schema([pa.field(f.name, to_arrow(f.dataType.simpleString())) for f in spark.createDataFrame([], schema).schema.fields])
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in sliced(batches, slice_chars):
             out = rows(ids, texts)
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], type=arrow.field(n).type) for n in names], schema=arrow)
+            yield record_batch(out, arrow)
 
     return df.mapInArrow(run, schema)
 
@@ -86,8 +84,17 @@ def sliced(batches: Iterable[pa.RecordBatch], slice_chars: int = 2_000_000) -> I
             yield ids, texts
 
 
-def to_arrow(kind: str) -> pa.DataType:
-    """Arrow's type for a Spark type's simple string."""
-    if kind.startswith("array<"):
-        return pa.list_(to_arrow(kind[6:-1]))
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "float": pa.float32()}[kind]
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "float": pa.float32()}
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    """Arrow's schema for a plain list of columns such as 'doc_id long, ids array<int>'."""
+
+    def kind(name: str) -> pa.DataType:
+        return pa.list_(kind(name[6:-1])) if name.startswith("array<") else _ARROW[name]
+
+    return pa.schema([pa.field(column.split()[0], kind(column.split()[1])) for column in ddl.split(", ")])
+
+
+def record_batch(rows: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)

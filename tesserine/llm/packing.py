@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserine.llm.bpe import DEFAULT_VOCABULARY, load
-from tesserine.llm.common import id_text, materialize, sliced, to_arrow
+from tesserine.llm.common import arrow_schema, id_text, materialize, record_batch, sliced
 
 #: A table of the parts' offsets is broadcast up to so many rows (16 bytes each), else joined by a shuffle.
 BROADCAST_PARTS = 500_000
 
 _TOKENS = "doc_id long, part int, before long, doc_tokens long, ids binary"
-_PIECES = {"doc_id": "bigint", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "doc_tokens": "bigint", "sequence_id": "bigint", "offset": "bigint"}
+_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def token_table(df: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,13 +66,13 @@ def pack(df: DataFrame, window: int = 4096, end_id: int = 2, vocabulary: str = D
     if tokens.select("part").distinct().count() <= BROADCAST_PARTS:
         offsets = F.broadcast(offsets)
     placed = tokens.join(offsets, "part").select("doc_id", "doc_tokens", (F.col("before") + F.col("part_offset")).alias("first"), "ids")
-    kinds = _PIECES | ({"ids": "array<int>"} if with_ids else {})
-    schema = pa.schema([pa.field(k, to_arrow(v)) for k, v in kinds.items()])
+    columns = _PIECES + ", ids array<int>" * with_ids
+    schema = arrow_schema(columns)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = load(vocabulary).dtype
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in kinds}
+            out: dict[str, list] = {f.name: [] for f in schema}
             for doc_id, total, first, packed in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 ids = np.frombuffer(packed, dtype).astype("<u4")
                 start = 0
@@ -81,11 +81,11 @@ def pack(df: DataFrame, window: int = 4096, end_id: int = 2, vocabulary: str = D
                     length = min(window - place % window, total - start)
                     piece = ids[start : start + length]
                     row = (doc_id, start, length, zlib.crc32(piece.tobytes()), total, place // window, place % window)
-                    for k, v in zip(_PIECES, row, strict=True):
+                    for k, v in zip(out, row, strict=False):
                         out[k].append(v)
                     if with_ids:
                         out["ids"].append(piece.astype(np.int32))
                     start += length
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+            yield record_batch(out, schema)
 
-    return placed.mapInArrow(cut, ", ".join(f"{k} {v}" for k, v in kinds.items()))
+    return placed.mapInArrow(cut, columns)
