@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,23 +67,24 @@ def map_texts(df: DataFrame, rows: Callable[[list, list[str]], dict[str, list]],
     return df.mapInArrow(run, schema)
 
 
+def slices(batches: Iterable[pa.RecordBatch], slice_chars: int = 2_000_000, text_col: int = 1) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut where their texts reach slice_chars bytes, a single row at least."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.binary_length(batch.column(text_col)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+        at = 0
+        while at < batch.num_rows:
+            held = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, held + slice_chars, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def sliced(batches: Iterable[pa.RecordBatch], slice_chars: int = 2_000_000) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) of bounded size out of Arrow batches with the columns doc_id and text."""
-    for batch in batches:
-        ids_col, text_col = batch.column(0), batch.column(1)
-        ids: list = []
-        texts: list[str] = []
-        held = 0
-        for k in range(batch.num_rows):
-            text = text_col[k].as_py()
-            ids.append(ids_col[k].as_py())
-            texts.append(text)
-            held += len(text) + 16
-            if held >= slice_chars:
-                yield ids, texts
-                ids, texts, held = [], [], 0
-        if ids:
-            yield ids, texts
+    for part in slices(batches, slice_chars):
+        yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "float": pa.float32()}
