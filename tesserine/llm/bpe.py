@@ -14,6 +14,7 @@ bounded cache by piece holds for all of a worker's tasks.
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import json
 import re
@@ -26,7 +27,7 @@ from tesserine.llm.common import id_text, map_texts
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Entries that a worker keeps at most; on reaching it the cache starts anew.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 900_000
 #: Cells of a batch of segment trees at most, for bounded memory.
 BATCH_CELLS = 1 << 21
 NONE = np.int64(1) << 60
@@ -56,6 +57,19 @@ def byte_letters() -> list[str]:
     return [chr(letters[b]) for b in range(256)]
 
 
+def is_plain(text: str) -> bool:
+    """Whether lower() alone normalises the text: Latin-1 letters only and no special strings."""
+    if "<|" in text:
+        return False
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class PairRanks:
     """Rank and merged id of symbol pairs, looked up for arrays of pairs."""
 
@@ -156,8 +170,9 @@ class Bpe:
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._library = Tokenizer.from_file(path)
         self._byte_of = {c: b for b, c in enumerate(letters)}
-        self.words: dict[str, bytes] = {}
+        #: Packed ids by lower-cased plain piece or word, and by raw piece.
         self.pieces: dict[str, bytes] = {}
+        self.raw: dict[str, bytes] = {}
 
     # --- words
     def merge_words(self, words: list[bytes]) -> list[bytes]:
@@ -192,10 +207,7 @@ class Bpe:
 
     # --- pieces between white space
     def _cut(self, piece: str) -> list[str | int]:
-        """A piece's pre-tokens as words, or ids of special strings."""
-        if piece < "ƀ" and max(piece) < "ƀ" and "<|" not in piece:
-            low = piece.lower()
-            return [low] if low.isalpha() else _PIECES.findall(low)
+        """A raw piece's pre-tokens as words, or ids of special strings, the library's own rules applied."""
         parts: list[str | int] = []
         for part in self._special.split(piece) if self._special else [piece]:
             if part in self.special:
@@ -205,18 +217,25 @@ class Bpe:
                 parts += [clean[a:b] for _, (a, b) in self._library.pre_tokenizer.pre_tokenize_str(clean)]
         return parts
 
-    def learn(self, pieces: set[str]) -> None:
-        """Puts the packed ids of unseen pieces into the cache."""
-        if len(self.pieces) + len(pieces) > CACHE_ENTRIES:
-            self.pieces.clear()
-        if len(self.words) + len(pieces) > CACHE_ENTRIES:
-            self.words.clear()
-        cuts = {p: self._cut(p) for p in pieces}
-        fresh = list({w for cut in cuts.values() for w in cut if isinstance(w, str)} - self.words.keys())
-        self.words.update(zip(fresh, self.merge_words([w.encode() for w in fresh]), strict=True))
-        get, size = self.words.__getitem__, self.dtype.itemsize
+    def learn(self, plain: set[str], raw: set[str]) -> None:
+        """Puts the packed ids of unseen pieces into the cache; plain ones are lower-cased already."""
+        known = self.pieces
+        whole = [p for p in plain if p.isalpha()]
+        cuts: dict[str, list] = {p: _PIECES.findall(p) for p in plain.difference(whole)}
+        marked = {p: self._cut(p) for p in raw}
+        fresh = set(whole)
+        for cut in cuts.values():
+            fresh.update(cut)
+        for cut in marked.values():
+            fresh.update([w for w in cut if isinstance(w, str)])
+        words = [w for w in fresh if w not in known]
+        got = dict(zip(words, self.merge_words([w.encode() for w in words]), strict=True))
+        known.update(got)
+        get, size = known.__getitem__, self.dtype.itemsize
         for p, cut in cuts.items():
-            self.pieces[p] = get(cut[0]) if len(cut) == 1 and isinstance(cut[0], str) else b"".join([get(w) if isinstance(w, str) else w.to_bytes(size, "little") for w in cut])
+            known[p] = b"".join(map(get, cut))
+        for p, cut in marked.items():
+            self.raw[p] = b"".join([get(w) if isinstance(w, str) else w.to_bytes(size, "little") for w in cut])
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -225,17 +244,27 @@ class Bpe:
 
     def packed(self, texts: list[str]) -> list[list[bytes]]:
         """For each text the packed ids of each of its pieces."""
-        split = [self.split(t) for t in texts]
-        seen: set[str] = set()
-        for s in split:
-            seen.update(s)
-        fresh = seen - self.pieces.keys()
-        if fresh:
-            if len(self.pieces) + len(fresh) > CACHE_ENTRIES:
+        split: list[list[str]] = []
+        seen: tuple[set[str], set[str]] = (set(), set())
+        flags = [is_plain(t) for t in texts]
+        for text, plain in zip(texts, flags, strict=True):
+            split.append(self.split(text.lower() if plain else text))
+            seen[not plain].update(split[-1])
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and the lists are long
+        try:
+            fresh = {p for p in seen[0] if p not in self.pieces}, {p for p in seen[1] if p not in self.raw}
+            if len(self.pieces) + len(fresh[0]) > CACHE_ENTRIES or len(self.raw) > CACHE_ENTRIES // 4:
+                self.pieces.clear()
+                self.raw.clear()
                 fresh = seen
-            self.learn(fresh)
-        get = self.pieces.__getitem__
-        return [list(map(get, s)) for s in split]
+            if fresh[0] or fresh[1]:
+                self.learn(*fresh)
+            get, get_raw = self.pieces.__getitem__, self.raw.__getitem__
+            return [list(map(get if plain else get_raw, s)) for s, plain in zip(split, flags, strict=True)]
+        finally:
+            if collecting:
+                gc.enable()
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(b"".join(p), self.dtype) for p in self.packed(texts)]
@@ -284,7 +313,7 @@ def encode_digests(df: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col:
             decimals.clear()
         counts, of_ids, of_text = [], [], []
         for pieces in bpe.packed(texts):
-            for p in set(pieces) - decimals.keys():
+            for p in {p for p in pieces if p not in decimals}:
                 got = np.frombuffer(p, bpe.dtype).tolist()
                 decimals[p] = " ".join(map(str, got)).encode(), bpe.decode(got).encode()
             counts.append(sum(map(len, pieces)) // size)
