@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserine.llm import bpe, chat_format, line_dedup, ngram_join, packing, token_counts, toxicity
+from tesserine.llm import bpe, chat_format, fingerprints, hashing_search, line_dedup, ngram_join, packing, token_counts, toxicity
 from tesserine.llm.common import table
 
 
@@ -30,6 +30,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), window=4096, end_id=2, with_ids=False)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op7_hashing_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashing_search.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs, min_words=50)
@@ -48,6 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_ngram_join": op3_ngram_join,
     "op4_packing": op4_packing,
+    "op5_fingerprints": op5_fingerprints,
+    "op7_hashing_search": op7_hashing_search,
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
