@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserine.llm import bpe, chat_format, fingerprints, hashing_search, line_dedup, ngram_join, packing, token_counts, toxicity
+from tesserine.llm import bpe, chat_format, fingerprints, hashing_search, line_dedup, ngram_join, packing, secret_scan, token_counts, toxicity
 from tesserine.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_hashing_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashing_search.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_join": op3_ngram_join,
     "op4_packing": op4_packing,
     "op5_fingerprints": op5_fingerprints,
+    "op6_secret_scan": op6_secret_scan,
     "op7_hashing_search": op7_hashing_search,
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,

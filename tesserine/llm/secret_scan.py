@@ -1,0 +1,222 @@
+"""Secret scans: candidate strings, and a random forest that removes false positives.
+
+Candidates are runs of token characters, long enough and with digits or mixed case in
+them. Each gets features: its length, how it changes between character classes and how
+likely its letter transitions are, how much of it a dictionary covers, whether it sits in
+a path or an address, and the words beside it. A random forest, trained by Spark on
+labelled findings, tells secrets from what only looks like one. Its trees are small
+arrays, so texts are scanned, judged and cleaned in one pass.
+
+The labelled findings are generated from rules with a fixed seed, FINDINGS of each kind:
+keys, tokens and passwords in their usual settings against identifiers, digests, paths,
+addresses, numbers and words. No text of the corpus is used for training.
+"""
+
+from __future__ import annotations
+
+import base64
+import functools
+import hashlib
+import math
+import random
+import re
+import uuid
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesserine.llm.common import id_text, map_texts, slices
+
+MIN_LENGTH, MAX_LENGTH = 14, 512
+BESIDE = 28
+FINDINGS = 220
+TREES, DEPTH, SEED = 24, 7, 17
+THRESHOLD = 0.5
+MASK = "[secret]"
+
+# Words that stand beside secrets, and beside what isn't one; a small dictionary.
+SECRET_WORDS = "password passwd pwd secret token api apikey key auth bearer credential access private aws client signature passphrase"
+PLAIN_WORDS = "commit sha sha1 sha256 md5 checksum hash digest etag uuid guid id revision version build http https www url mailto phone order invoice isbn path file image data src href"
+DICTIONARY = "the and for with that this from have are not you all can had her was one our out day get has him his how man new now old see two way who boy did its let put say she too use user name file path home data test main build value index table config server client request response object string number list item page line text word time date year month image color style class public static return import module package version release license error message handler event state model view controller service manager factory public private default example sample document report account order product price total count size width height left right top bottom start stop begin end next last first tion ing ment able heit keit lich schaft ung ver ein auf aus mente ción ado que les des pour dans elle est"
+
+_RUN = re.compile(r"[A-Za-z0-9+/_\-]{%d,}={0,2}" % MIN_LENGTH)
+_WORD = re.compile(r"[a-z0-9]+")
+_LETTER_RUN = re.compile(r"[a-z]{3,}")
+_SHAPES = re.compile(r"(?=.*[0-9].*[0-9])|(?=.*[a-z])(?=.+[A-Z])", re.DOTALL)
+_SECRET, _PLAIN = frozenset(SECRET_WORDS.split()), frozenset(PLAIN_WORDS.split())
+_ENTRIES = re.compile("|".join(sorted(set(DICTIONARY.split()), key=len, reverse=True)))
+FEATURES = ["length", "digits", "upper", "lower", "symbols", "changes", "transition", "entropy", "hexadecimal", "covered", "slashes", "in_path", "assigned", "quoted", "secret_word", "plain_word", "prefixed", "repeats"]
+
+_VOWELS = set("aeiouyäöüáéíóúàèêâîôûë")
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Spans that may hold a secret: runs of token characters with two digits or both cases past the first letter."""
+    return [(m.start(), m.end()) for m in _RUN.finditer(text) if m.end() - m.start() <= MAX_LENGTH and _SHAPES.match(m.group())]
+
+
+def features(text: str, start: int, end: int) -> list[float]:
+    s = text[start:end]
+    n = len(s)
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in s]
+    share = {k: kinds.count(k) / n for k in "duls"}
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1)
+    low = s.lower()
+    letters = [c for c in low if c.isalpha()]
+    # natural letters alternate between vowels and consonants in short runs
+    turns = [(a in _VOWELS) != (b in _VOWELS) for a, b in zip(letters, letters[1:], strict=False)]
+    transition = sum(turns) / len(turns) if turns else 0.0
+    counts = [low.count(c) / n for c in set(low)]
+    entropy = -sum(p * math.log2(p) for p in counts)
+    covered = sum(len(m.group()) for run in _LETTER_RUN.finditer(low) for m in _ENTRIES.finditer(run.group())) / n
+    before, after = text[max(0, start - BESIDE) : start].lower(), text[end : end + BESIDE].lower()
+    near = set(_WORD.findall(before)[-3:])
+    assigned = bool(re.search(r"[:=]\s*[\"'`]?$", before))
+    in_path = before[-1:] in {"/", "\\", "@", "."} or after[:1] in {"/", "\\", "@"} or "://" in before
+    return [
+        float(n), share["d"], share["u"], share["l"], share["s"], changes, transition, entropy, float(bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s))), covered, float(s.count("/")), float(in_path),
+        float(assigned), float(before[-1:] in {'"', "'", "`"}), float(bool(near & _SECRET)), float(bool(near & _PLAIN)), float(bool(re.match(r"AKIA|ASIA|gh[pousr]_|sk[-_]|xox[abp]-|AIza|eyJ|glpat-", s))), n / max(1, len(set(low))),
+    ]
+
+
+def labelled_findings(per_kind: int = FINDINGS, seed: int = SEED) -> list[tuple[str, int, int, int]]:
+    """(text, start, end, label) of generated findings, secrets and look-alikes."""
+    rng = random.Random(seed)
+    words = sorted(set(DICTIONARY.split()))
+    hexa, upper, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def some(chars: str, n: int) -> str:
+        return "".join(rng.choice(chars) for _ in range(n))
+
+    def prose(n: int) -> str:
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    def assigned(value: str) -> str:
+        name = rng.choice(["password", "token", "secret", "api_key", "key", "auth", "passwd", "access_token", "client_secret"])
+        return rng.choice([f"{name}={value}", f'{name} = "{value}"', f"{name}: {value}", f"{name}: '{value}'", f"{name.upper()}={value}"])
+
+    def longword() -> str:
+        return "".join(rng.choice(words) for _ in range(rng.randint(3, 6)))
+
+    good = [
+        lambda: ("AKIA" + some(upper, 16), False), lambda: (some(hexa, 40), True), lambda: (some(hexa, rng.randint(16, 64)), True), lambda: (some(alnum, rng.randint(20, 64)), True),
+        lambda: ("ghp_" + some(alnum, 36), False), lambda: ("sk-" + some(alnum, 40), False), lambda: (some(alnum + "+/", rng.choice([40, 44, 64])), True), lambda: (f"xoxb-{some('0123456789', 12)}-{some(alnum, 24)}", False),
+    ]
+    bad = [
+        lambda: (some(hexa, rng.choice([32, 40, 64])), rng.choice(["commit {}", "sha256 {}", "md5: {}", "etag {}", "checksum {}", "revision {}"])), lambda: (str(uuid.UUID(int=rng.getrandbits(128))), rng.choice(["{}", "id={}", "uuid: {}"])),
+        lambda: ("/".join(rng.choice(words) + rng.choice(["", str(rng.randint(1, 99))]) for _ in range(rng.randint(3, 6))), rng.choice(["/{}", "https://www.example.com/{}", "src={}"])), lambda: (some("0123456789", rng.randint(14, 20)), rng.choice(["order {}", "phone {}", "{}", "id: {}"])),
+        lambda: (longword().capitalize() + longword().capitalize(), "{}"), lambda: (longword() + str(rng.randint(10, 9999)), "{}"), lambda: ("_".join(rng.choice(words) for _ in range(4)) + str(rng.randint(10, 99)), "{}"), lambda: ("-".join(rng.choice(words) for _ in range(4)) + f"-{rng.randint(2000, 2030)}", "{}"),
+        lambda: (base64.b64encode(prose(rng.randint(4, 12)).encode()).decode(), "data {}"), lambda: (f"{rng.randint(2000, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}-{longword()}", "{}"), lambda: (some(hexa, rng.randint(16, 32)), rng.choice(["file {}", "version {}", "build {}"])),
+        lambda: (longword().upper()[:3] + longword().upper() + str(rng.randint(10, 99)), rng.choice(["{}", "order {}"])),
+    ]
+    out: list[tuple[str, int, int, int]] = []
+    for label, makers in ((1, good), (0, bad)):
+        for maker in makers:
+            for _ in range(per_kind if label == 0 else per_kind * len(bad) // len(good)):
+                value, setting = maker()
+                if label:
+                    said = assigned(value) if setting or rng.random() < 0.4 else value
+                else:
+                    said = setting.format(value)
+                text = f"{prose(4)}{rng.choice([' ', '. ', chr(10)])}{said}{rng.choice([' ', '. ', chr(10)])}{prose(4)}"
+                at = text.index(value)
+                out.append((text, at, at + len(value), label))
+    return out
+
+
+class Forest:
+    """A trained forest as arrays: feature, threshold, left, right and value of each node."""
+
+    def __init__(self, trees: list[tuple[np.ndarray, ...]]):
+        self.trees = trees
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(x))
+        for feature, threshold, left, right, value in self.trees:
+            node = np.zeros(len(x), np.int64)
+            for _ in range(DEPTH + 1):
+                inner = feature[node] >= 0
+                goes_left = x[np.arange(len(x)), np.maximum(feature[node], 0)] <= threshold[node]
+                node = np.where(inner, np.where(goes_left, left[node], right[node]), node)
+            total += value[node]
+        return total / max(1, len(self.trees))
+
+
+def train(spark: SparkSession) -> Forest:
+    """A random forest fitted by Spark on the labelled findings."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    rows = [([*features(t, a, b)], float(label)) for t, a, b, label in labelled_findings()]
+    findings = spark.createDataFrame(rows, "f array<double>, label double").coalesce(1).select(array_to_vector("f").alias("features"), "label")
+    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.8).fit(findings)
+    trees = []
+    for tree in model.trees:
+        nodes: list[list[float]] = []
+
+        def walk(node, nodes=nodes) -> int:
+            at = len(nodes)
+            nodes.append([-1, 0.0, at, at, 0.0])
+            if node.getClass().getSimpleName() == "InternalNode":
+                split = node.split()
+                nodes[at][:2] = [split.featureIndex(), split.threshold()]
+                nodes[at][2] = walk(node.leftChild())
+                nodes[at][3] = walk(node.rightChild())
+            else:
+                stats = list(node.impurityStats().stats())
+                nodes[at][4] = stats[1] / max(1e-12, sum(stats))
+            return at
+
+        walk(tree._java_obj.rootNode())
+        a = np.array(nodes)
+        trees.append((a[:, 0].astype(np.int64), a[:, 1], a[:, 2].astype(np.int64), a[:, 3].astype(np.int64), a[:, 4]))
+    return Forest(trees)
+
+
+def judge(forest: Forest, texts: list[str]) -> list[list[tuple[int, int, float]]]:
+    """For each text its candidates as (start, end, probability)."""
+    spans = [candidates(t) for t in texts]
+    rows = [features(t, a, b) for t, found in zip(texts, spans, strict=True) for a, b in found]
+    scores = iter(forest.probability(np.array(rows)).tolist() if rows else [])
+    return [[(a, b, next(scores)) for a, b in found] for found in spans]
+
+
+def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, start, length, score, secret_sha256: a row for each finding kept.
+
+    start counts characters from 0. A null or empty text has no findings; repeated rows
+    repeat theirs; extra columns are not read. Runs longer than MAX_LENGTH are no secrets.
+    """
+    forest = train(df.sparkSession)
+
+    def rows(ids: list, texts: list[str]) -> dict[str, list]:
+        kept = [(i, a, b - a, p, hashlib.sha256(t[a:b].encode()).hexdigest()) for i, t, found in zip(ids, texts, judge(forest, texts), strict=True) for a, b, p in found if p >= threshold]
+        return dict(zip(("doc_id", "start", "length", "score", "secret_sha256"), map(list, zip(*kept, strict=True)) if kept else ([],) * 5, strict=True))
+
+    return map_texts(id_text(df, id_col, text_col), rows, "doc_id long, start long, length long, score double, secret_sha256 string")
+
+
+def mask_secrets(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """df with every secret found in text_col replaced by MASK; all rows and columns stay, null texts too."""
+    forest = train(df.sparkSession)
+    at = df.columns.index(text_col)
+
+    def clean(text: str, found: list[tuple[int, int, float]]) -> str:
+        parts, last = [], 0
+        for a, b, p in found:
+            if p >= threshold:
+                parts += [text[last:a], MASK]
+                last = b
+        return "".join([*parts, text[last:]]) if parts else text
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col=at):
+            texts = part.column(at).to_pylist()
+            found = judge(forest, [t or "" for t in texts])
+            done = pa.array([None if t is None else clean(t, f) for t, f in zip(texts, found, strict=True)], pa.string())
+            yield part.set_column(at, part.schema.field(at).name, done)
+
+    return df.mapInArrow(run, df.schema)
