@@ -1,18 +1,58 @@
-"""From raw documents to packed sequences: the stages, applied in order."""
+"""From raw documents to packed sequences: the stages, applied in order.
+
+Each stage takes (spark, docs, sf_dir) and returns documents with their columns, the last
+one the pieces of packed sequences. run() writes what a stage returns and reads it again
+for the next one, so a lost executor costs a stage at most.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tesserine.llm import packing
+from tesserine.llm import line_dedup, ngram_join, packing, secret_scan, toxicity
 from tesserine.llm.common import materialize, table
 
 
+def _sized(docs: DataFrame) -> DataFrame:
+    """n_chars as the text now is."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the grammar rejects go."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated runs of lines go from all but their first document; every document stays."""
+    return _sized(line_dedup.dedup_lines(docs).select(*docs.columns))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    groups = ngram_join.near_duplicates(docs)
+    later = groups.where("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are masked; every document stays."""
+    return _sized(secret_scan.mask_secrets(docs))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, with_ids=False)
+    """The documents' tokens, concatenated and cut to sequences of 4096."""
+    return packing.pack(docs, window=4096, end_id=2, with_ids=False)
 
 
-STAGES = [("packing", pack_sequences)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("secret scans", mask_secrets),
+    ("packing", pack_sequences),
+]
 
 ORACLE_SQL = None
 
@@ -22,5 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialize(docs, name.replace(" ", "-"))
+            docs = materialize(docs, "stage-" + name.replace(" ", "-").lower())
     return docs
