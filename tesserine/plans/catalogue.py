@@ -1,10 +1,586 @@
-"""Registered queries of the engine and their SQL for comparison."""
+"""Registered queries of the engine, each beside its SQL for comparison."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from tesserine.functions import text as tx
+from tesserine.operators import archive, maintenance, predicates, ranking, search, semantic
+from tesserine.operators import graph as gr
+from tesserine.operators import postings as idx
+from tesserine.plans import adapters
+from tesserine.sources import readers
+from tesserine.sources.readers import read_table
+from tesserine.streaming import events as ev
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str) -> Callable[[Query], Query]:
+    """Registers a query under its name, with the SQL that gives the same rows."""
+
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+# --- SQL that several queries share
+
+_LINES = r"""
+lines AS (
+    SELECT doc_id, source, lang, unnest(l) AS line, generate_subscripts(l, 1) AS line_no
+    FROM (SELECT doc_id, source, lang, string_split_regex(text, '\r\n|\n|\r') AS l FROM documents))"""
+_POSTINGS = (
+    _LINES
+    + r""",
+tokens AS (
+    SELECT DISTINCT lower(t) AS token, doc_id AS file_idx, line_no - 1 AS entry_idx
+    FROM (SELECT doc_id, line_no, unnest(regexp_split_to_array(line, '[^\p{L}\p{N}_\-]+')) AS t FROM lines WHERE trim(line) <> '')
+    WHERE length(lower(t)) BETWEEN 2 AND 100)"""
+)
+_PICKED = (
+    _POSTINGS
+    + """,
+picked AS (
+    SELECT token FROM (
+        SELECT token, row_number() OVER (ORDER BY n DESC, token) AS r
+        FROM (SELECT token, count(DISTINCT file_idx) AS n FROM tokens GROUP BY token)) WHERE r IN (5, 12))"""
+)
+_GRAPH = """
+times AS (SELECT o_custkey, min(o_orderdate) AS a, max(o_orderdate) AS b, count(*) AS n FROM orders GROUP BY 1),
+ents AS (
+    SELECT r_name AS name, 'region' AS entity_type, TIMESTAMP '1992-01-01' AS created_at, TIMESTAMP '1992-01-01' AS updated_at, 0 AS revision FROM region
+    UNION ALL SELECT n_name, 'nation', TIMESTAMP '1992-01-01', TIMESTAMP '1992-01-01', 0 FROM nation
+    UNION ALL SELECT s_name, 'supplier', TIMESTAMP '1992-01-01', TIMESTAMP '1992-01-01', 0 FROM supplier
+    UNION ALL SELECT c_name, lower(c_mktsegment), coalesce(a, TIMESTAMP '1992-01-01'), coalesce(b, TIMESTAMP '1992-01-01'), coalesce(n, 0) FROM customer LEFT JOIN times ON c_custkey = o_custkey),
+obs AS (SELECT o_orderkey AS obs_id, c_name AS name, concat_ws(' ', o_orderpriority, o_orderstatus, CAST(o_orderkey AS VARCHAR)) AS content, o_orderdate AS created_at FROM orders JOIN customer ON o_custkey = c_custkey),
+rels AS (
+    SELECT c_name AS src, n_name AS dst, 'located_in' AS relation_type FROM customer JOIN nation ON c_nationkey = n_nationkey
+    UNION ALL SELECT s_name, n_name, 'located_in' FROM supplier JOIN nation ON s_nationkey = n_nationkey
+    UNION ALL SELECT n_name, r_name, 'part_of' FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+
+
+def _frequent_tokens(postings: DataFrame) -> list[str]:
+    """The tokens of the fifth and the twelfth rank by documents."""
+    top = postings.groupBy("token").agg(F.count_distinct("file_idx").alias("n")).orderBy(F.desc("n"), "token").limit(12).collect()
+    return [top[k]["token"] for k in (4, 11) if k < len(top)]
+
+
+# --- index and search
+
+
+@query(f"WITH {_POSTINGS} SELECT token, file_idx, entry_idx FROM tokens")
+def postings_build(spark: SparkSession, root: str) -> DataFrame:
+    return idx.build(adapters.document_entries(spark, root))
+
+
+@query(f"WITH {_POSTINGS} SELECT token, count(DISTINCT file_idx) AS df FROM tokens GROUP BY token ORDER BY df DESC, token LIMIT 50")
+def token_df_topk(spark: SparkSession, root: str) -> DataFrame:
+    built = idx.build(adapters.document_entries(spark, root))
+    return built.groupBy("token").agg(F.count_distinct("file_idx").alias("df")).orderBy(F.desc("df"), "token").limit(50)
+
+
+@query(f"WITH {_POSTINGS}, by_token AS (SELECT token, count(*) AS df FROM tokens GROUP BY token) SELECT count(*) AS n_tokens, CAST(sum(df) AS BIGINT) AS n_postings, max(df) AS max_df FROM by_token")
+def index_stats(spark: SparkSession, root: str) -> DataFrame:
+    return idx.index_stats(idx.build(adapters.document_entries(spark, root)))
+
+
+@query(f"WITH {_PICKED} SELECT file_idx, entry_idx FROM tokens WHERE token IN (SELECT token FROM picked) GROUP BY ALL HAVING count(*) = 2")
+def search_and(spark: SparkSession, root: str) -> DataFrame:
+    built = idx.build(adapters.document_entries(spark, root))
+    return idx.search(built, _frequent_tokens(built), "and")
+
+
+@query(f"WITH {_PICKED} SELECT DISTINCT file_idx, entry_idx FROM tokens WHERE token IN (SELECT token FROM picked)")
+def search_or(spark: SparkSession, root: str) -> DataFrame:
+    built = idx.build(adapters.document_entries(spark, root))
+    return idx.search(built, _frequent_tokens(built), "or")
+
+
+@query(
+    f"""WITH {_PICKED}, hits AS (SELECT file_idx, entry_idx FROM tokens WHERE token IN (SELECT token FROM picked) GROUP BY ALL HAVING count(*) = 2)
+    SELECT source, lang, file_idx, entry_idx FROM (
+        SELECT source, lang, file_idx, entry_idx, row_number() OVER (PARTITION BY source ORDER BY file_idx, entry_idx) AS n FROM hits JOIN documents ON doc_id = file_idx) WHERE n <= 5"""
+)
+def search_ranked_caps(spark: SparkSession, root: str) -> DataFrame:
+    """Entries that hold both tokens, at most five a source."""
+    hits = search_and(spark, root)
+    named = hits.join(read_table(spark, root, "documents").select(F.col("doc_id").alias("file_idx"), "source", "lang"), "file_idx")
+    return ranking.first_n(named, ["source"], ["file_idx", "entry_idx"], 5).select("source", "lang", "file_idx", "entry_idx")
+
+
+@query(f"WITH {_LINES} SELECT doc_id AS file_idx, line_no FROM lines WHERE regexp_matches(line, '[0-9]{{3,}}[^0-9]')")
+def search_regex(spark: SparkSession, root: str) -> DataFrame:
+    return search.scan(adapters.document_lines(spark, root), "[0-9]{3,}[^0-9]", regex=True, case_sensitive=True).select("file_idx", "line_no")
+
+
+@query(f"WITH {_LINES} SELECT doc_id AS file_idx, line_no FROM lines WHERE contains(lower(line), 'licens')")
+def search_literal_ci(spark: SparkSession, root: str) -> DataFrame:
+    return search.scan(adapters.document_lines(spark, root), "LICENS").select("file_idx", "line_no")
+
+
+@query(
+    """WITH hits AS (SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'thea'))
+    SELECT CAST(h.conv_id AS VARCHAR) AS file, CAST(h.turn + 1 AS INTEGER) AS line_no,
+        (SELECT count(*) FROM conversations c WHERE c.conv_id = h.conv_id AND c.turn BETWEEN h.turn - 2 AND h.turn - 1) AS n_before,
+        coalesce((SELECT string_agg(left(c.text, 20), '|' ORDER BY c.turn) FROM conversations c WHERE c.conv_id = h.conv_id AND c.turn BETWEEN h.turn + 1 AND h.turn + 2), '') AS after FROM hits h"""
+)
+def search_context(spark: SparkSession, root: str) -> DataFrame:
+    lines = adapters.domains(spark, root)["sessions"]
+    found = search.with_context(search.scan(lines, "thea").select("file", "line_no", "line"), lines, 2)
+    return found.select("file", "line_no", F.size("before").cast("long").alias("n_before"), F.array_join(F.transform("after", lambda x: F.substring(x, 1, 20)), "|").alias("after"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS file, CAST(turn + 1 AS INTEGER) AS line_no FROM conversations WHERE role = 'assistant' AND contains(lower(text), 'and')")
+def search_role(spark: SparkSession, root: str) -> DataFrame:
+    return search.with_role(search.scan(adapters.domains(spark, root)["sessions"], "and"), "Assistant").select("file", "line_no")
+
+
+@query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3 AND role = 'user'")
+def read_newest_role(spark: SparkSession, root: str) -> DataFrame:
+    return readers.newest_messages(read_table(spark, root, "conversations"), 3, "user").select("conv_id", "turn")
+
+
+_LINE_WORDS = r"list_transform(regexp_split_to_array({c}, '[^\p{{L}}\p{{N}}_\-]+'), lambda t: lower(t))"
+
+
+@query(
+    r"""WITH every AS (
+        SELECT 'documents' AS domain, CAST(doc_id AS VARCHAR) AS file, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split_regex(text, '\r\n|\n|\r') AS l FROM documents)
+        UNION ALL SELECT 'sessions', CAST(conv_id AS VARCHAR), turn + 1, text FROM conversations
+        UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR), generate_subscripts(l, 1), unnest(l) FROM (SELECT page_id, string_split_regex(html, '\r\n|\n|\r') AS l FROM pages)
+        UNION ALL SELECT 'benchmark', CAST(item_id AS VARCHAR), generate_subscripts(l, 1), unnest(l) FROM (SELECT item_id, string_split_regex(text, '\r\n|\n|\r') AS l FROM benchmark)),
+    hits AS (SELECT * FROM every WHERE list_has_any("""
+    + _LINE_WORDS.format(c="line")
+    + r""", ['with', 'para'])),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY domain, file ORDER BY line_no) AS n FROM hits),
+    topped AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY line_no, file) AS m FROM kept WHERE n <= 5)
+    SELECT domain, file, CAST(line_no AS INTEGER) AS line_no FROM topped WHERE m <= 60 ORDER BY line_no, domain, file LIMIT 60"""
+)
+def search_all_domains(spark: SparkSession, root: str) -> DataFrame:
+    found = search.search(adapters.domains(spark, root), "with para", max_results=60, context_lines=0)
+    return found.select("domain", "file", "line_no")
+
+
+@query(
+    f"""WITH {_LINES} SELECT 'documents' AS domain, CAST(doc_id AS VARCHAR) AS file, count(*) AS n_lines, count(*) FILTER (WHERE trim(line) <> '') AS n_entries FROM lines GROUP BY doc_id
+    UNION ALL SELECT 'sessions', CAST(conv_id AS VARCHAR), count(*), count(*) FILTER (WHERE trim(text) <> '') FROM conversations GROUP BY conv_id"""
+)
+def list_domain_meta(spark: SparkSession, root: str) -> DataFrame:
+    found = adapters.domains(spark, root)
+    parts = [search.list_domain(found[d], 2_000_000_000).select(F.lit(d).alias("domain"), "file", "n_lines", "n_entries") for d in ("documents", "sessions")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'error' OR CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'")
+def date_range_nullpass(spark: SparkSession, root: str) -> DataFrame:
+    """Events of some days; events without a date, here the errors, pass."""
+    dated = read_table(spark, root, "events").withColumn("date", F.when(F.col("event_type") != "error", F.date_format("ts", "yyyy-MM-dd")))
+    return search.in_dates(dated, "2024-01-05", "2024-01-12").select("event_id")
+
+
+@query("SELECT event_id AS line_no FROM events WHERE event_type = 'error' AND contains(CAST(user_id AS VARCHAR), '7') ORDER BY event_id DESC LIMIT 30")
+def log_level_filter(spark: SparkSession, root: str) -> DataFrame:
+    line = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm"), F.lit("app"), F.upper("event_type"), F.concat(F.lit("user="), F.col("user_id").cast("string"), F.lit(";")))
+    lines = read_table(spark, root, "events").select(F.col("event_id").alias("line_no"), line.alias("line"))
+    return readers.log_lines(lines, "user=[0-9]*7[0-9]*;", level="Error", regex=True).select("line_no")
+
+
+# --- graph reads
+
+
+@query(
+    f"""WITH {_GRAPH} SELECT (SELECT count(*) FROM ents) AS n_entities, (SELECT count(*) FROM rels) AS n_relations, (SELECT count(*) FROM obs) AS n_observations,
+    2.0 * (SELECT count(*) FROM rels) / (SELECT count(*) FROM ents) AS density"""
+)
+def graph_stats(spark: SparkSession, root: str) -> DataFrame:
+    return gr.counts(adapters.graph(spark, root))
+
+
+@query(f"WITH {_GRAPH} SELECT entity_type, count(*) AS n FROM ents GROUP BY 1")
+def type_freq(spark: SparkSession, root: str) -> DataFrame:
+    return gr.histogram(adapters.graph(spark, root).entities, "entity_type")
+
+
+@query(f"WITH {_GRAPH} SELECT relation_type, count(*) AS n FROM rels GROUP BY 1")
+def rel_type_freq(spark: SparkSession, root: str) -> DataFrame:
+    return gr.histogram(adapters.graph(spark, root).relations, "relation_type")
+
+
+@query(
+    f"""WITH {_GRAPH} SELECT (SELECT name FROM ents ORDER BY created_at, name LIMIT 1) AS oldest, (SELECT name FROM ents ORDER BY created_at DESC, name DESC LIMIT 1) AS newest,
+    (SELECT count(*) FROM ents WHERE updated_at >= TIMESTAMP '2001-07-01') AS active"""
+)
+def oldest_newest(spark: SparkSession, root: str) -> DataFrame:
+    return gr.span(adapters.graph(spark, root).entities, F.lit("2001-07-31").cast("timestamp"), hours=720)
+
+
+@query(
+    f"""WITH {_GRAPH}, o AS (SELECT name, bool_or(contains(lower(content), '1-urgent')) AS o0, bool_or(contains(lower(content), 'machine')) AS o1 FROM obs GROUP BY name)
+    SELECT name, entity_type, CAST((CASE WHEN contains(lower(name), '1-urgent') THEN 10 ELSE 0 END) + (CASE WHEN contains(entity_type, '1-urgent') THEN 5 ELSE 0 END) + (CASE WHEN coalesce(o0, false) THEN 1 ELSE 0 END)
+        + (CASE WHEN contains(lower(name), 'machine') THEN 10 ELSE 0 END) + (CASE WHEN contains(entity_type, 'machine') THEN 5 ELSE 0 END) + (CASE WHEN coalesce(o1, false) THEN 1 ELSE 0 END) AS INTEGER) AS score
+    FROM ents LEFT JOIN o USING (name)
+    WHERE (contains(lower(name), '1-urgent') OR contains(entity_type, '1-urgent') OR coalesce(o0, false)) AND (contains(lower(name), 'machine') OR contains(entity_type, 'machine') OR coalesce(o1, false))"""
+)
+def search_nodes_scored(spark: SparkSession, root: str) -> DataFrame:
+    return gr.scored_nodes(adapters.graph(spark, root), "1-URGENT machine")
+
+
+@query(
+    f"""WITH {_GRAPH}, top AS (SELECT name FROM ents WHERE contains(lower(name), '0000001') ORDER BY name LIMIT 20),
+    o AS (SELECT name, content, row_number() OVER (PARTITION BY name ORDER BY obs_id) AS n FROM obs)
+    SELECT t.name, CAST(count(o.content) AS INTEGER) AS n_observations, min(o.content) AS first FROM top t LEFT JOIN o ON o.name = t.name AND o.n <= 4 GROUP BY t.name"""
+)
+def search_nodes_capped(spark: SparkSession, root: str) -> DataFrame:
+    found = gr.search_nodes(adapters.graph(spark, root), "0000001", 20, 4)
+    return found.select("name", F.when(F.col("observations").isNull(), 0).otherwise(F.size("observations")).alias("n_observations"), F.array_min("observations").alias("first"))
+
+
+@query(f"WITH {_GRAPH} SELECT DISTINCT src, dst, relation_type FROM rels WHERE src IN ('NATION_1', 'NATION_2', 'ASIA', 'Customer#000000003') OR dst IN ('NATION_1', 'NATION_2', 'ASIA', 'Customer#000000003')")
+def incident_relations(spark: SparkSession, root: str) -> DataFrame:
+    names = spark.createDataFrame([("NATION_1",), ("NATION_2",), ("ASIA",), ("Customer#000000003",)], "name string")
+    return gr.incident(adapters.graph(spark, root), names).select("src", "dst", "relation_type")
+
+
+_TRAVERSE = """WITH RECURSIVE {graph}, either_way AS (SELECT src, dst FROM rels UNION SELECT dst, src FROM rels),
+    walk AS (SELECT 'NATION_3' AS name, 0 AS hop UNION SELECT b.dst, w.hop + 1 FROM walk w JOIN either_way b ON b.src = w.name WHERE w.hop < {k})
+    SELECT name, min(hop) AS hop FROM walk WHERE name IN (SELECT name FROM ents) GROUP BY name"""
+
+
+def _traverse(depth: int) -> None:
+    def run(spark: SparkSession, root: str) -> DataFrame:
+        return gr.traverse(adapters.graph(spark, root), "NATION_3", depth)
+
+    run.__name__ = f"traverse_{depth}"
+    query(_TRAVERSE.format(graph=_GRAPH, k=depth))(run)
+
+
+for _depth in (1, 2, 3):
+    _traverse(_depth)
+
+
+@query(f"WITH {_GRAPH} SELECT 'out' AS direction, dst AS other, relation_type FROM rels WHERE src = 'NATION_1' UNION ALL SELECT 'in', src, relation_type FROM rels WHERE dst = 'NATION_1'")
+def entity_summary(spark: SparkSession, root: str) -> DataFrame:
+    return gr.neighbours(adapters.graph(spark, root), "NATION_1")
+
+
+@query(
+    f"""WITH {_GRAPH}, top AS (SELECT name, updated_at FROM ents WHERE updated_at >= TIMESTAMP '2001-07-02' ORDER BY updated_at DESC, name LIMIT 20),
+    o AS (SELECT name, content, row_number() OVER (PARTITION BY name ORDER BY obs_id) AS n FROM obs WHERE created_at >= TIMESTAMP '2001-07-02')
+    SELECT t.name, strftime(t.updated_at, '%Y-%m-%d') AS updated, coalesce(string_agg(o.content, '; ' ORDER BY n), '') AS observations FROM top t LEFT JOIN o ON o.name = t.name AND n <= 5 GROUP BY ALL"""
+)
+def recent_window(spark: SparkSession, root: str) -> DataFrame:
+    found, _ = gr.recent(adapters.graph(spark, root), F.lit("2001-08-01").cast("timestamp"), hours=720)
+    return found.select("name", F.date_format("updated_at", "yyyy-MM-dd").alias("updated"), F.coalesce(F.array_join("observations", "; "), F.lit("")).alias("observations"))
+
+
+@query(
+    """WITH names AS (SELECT DISTINCT p_name AS name FROM part),
+    g AS (SELECT name, list_distinct(list_transform(range(1, length(name) - 1), lambda i: substring(lower(name), CAST(i AS INTEGER), 3))) AS t FROM names),
+    q AS (SELECT list_distinct(list_transform(range(1, 9), lambda i: substring('small ring', CAST(i AS INTEGER), 3))) AS t)
+    SELECT name, round(s, 3) AS similarity FROM (SELECT name, CASE WHEN name = 'small ring' THEN 1.0 ELSE len(list_intersect(g.t, q.t)) / len(list_distinct(list_concat(g.t, q.t))) END AS s FROM g, q) WHERE s >= 0.3 ORDER BY s DESC, name LIMIT 20"""
+)
+def trigram_similar(spark: SparkSession, root: str) -> DataFrame:
+    names = read_table(spark, root, "part").select(F.col("p_name").alias("name")).distinct()
+    return gr.similar_names(names, "small ring", 0.3)
+
+
+# --- vectors
+
+
+_UNIT = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+
+
+@query(f"WITH {_UNIT} SELECT b.vec_id, round(list_cosine_similarity(a.e, b.e), 3) AS similarity FROM v a, v b WHERE a.vec_id = 0 AND list_cosine_similarity(a.e, b.e) >= 0.1 ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.vec_id LIMIT 10")
+def cosine_topk(spark: SparkSession, root: str) -> DataFrame:
+    vectors = read_table(spark, root, "embeddings")
+    return semantic.top_k(vectors, vectors.where("vec_id = 0").first()["embedding"], 10, 0.1)
+
+
+@query(f"WITH {_UNIT} SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 3) AS similarity FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.3")
+def cosine_pairs(spark: SparkSession, root: str) -> DataFrame:
+    return semantic.similar_pairs(read_table(spark, root, "embeddings"), 0.3, None)
+
+
+@query(
+    f"""WITH {_UNIT}, s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 3) AS similarity FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.3),
+    c AS (SELECT vec_id AS a, vec_id + 1 AS b, vec_id % 13 AS shared FROM embeddings UNION ALL SELECT b, a, (a + b) % 13 FROM s)
+    SELECT c.a, c.b, c.shared, coalesce(s.similarity, 0) AS similarity, round(0.6 * coalesce(s.similarity, 0) + 0.4 * least(c.shared / 10, 1.0), 6) AS score, round(least(c.shared / 3, 1.0), 3) AS lexical
+    FROM c LEFT JOIN s ON least(c.a, c.b) = s.a AND greatest(c.a, c.b) = s.b"""
+)
+def rerank_blend(spark: SparkSession, root: str) -> DataFrame:
+    vectors = read_table(spark, root, "embeddings")
+    sims = semantic.similar_pairs(vectors, 0.3, None)
+    plain = vectors.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), (F.col("vec_id") % 13).alias("shared"))
+    candidates = plain.unionByName(sims.select(F.col("b").alias("a"), F.col("a").alias("b"), ((F.col("a") + F.col("b")) % 13).alias("shared")))
+    return semantic.rerank(candidates, sims).select("a", "b", "shared", "similarity", F.round("score", 6).alias("score"), semantic.lexical_similarity(F.col("shared")).alias("lexical"))
+
+
+# --- maintenance
+
+
+_MAPPING = [("ECONOMY", "budget"), ("SMALL", "SMALL"), ("STANDARD", "plain"), ("PROMO", "offer")]
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS name, p_type AS from_type, to_type FROM part JOIN (VALUES ('ECONOMY', 'budget'), ('SMALL', 'SMALL'), ('STANDARD', 'plain'), ('PROMO', 'offer')) m(t, to_type) ON p_type = t WHERE t <> to_type")
+def type_rename(spark: SparkSession, root: str) -> DataFrame:
+    parts = read_table(spark, root, "part").select(F.col("p_partkey").cast("string").alias("name"), F.col("p_type").alias("entity_type"))
+    return maintenance.type_renames(parts, spark.createDataFrame(_MAPPING, "from_type string, to_type string"))
+
+
+@query(
+    """WITH names AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT upper(replace(p_name, ' ', '-')) FROM part), n AS (SELECT name, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS norm FROM names)
+    SELECT x.name AS a, y.name AS b FROM n x JOIN n y ON x.norm = y.norm AND x.name < y.name WHERE length(x.norm) > 3"""
+)
+def duplicate_pairs(spark: SparkSession, root: str) -> DataFrame:
+    names = read_table(spark, root, "part").select(F.col("p_name").alias("name"))
+    variants = names.select(F.upper(F.replace("name", F.lit(" "), F.lit("-"))).alias("name"))
+    return maintenance.duplicate_names(names.unionByName(variants).distinct())
+
+
+_STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
+
+
+@query(
+    rf"""WITH {_LINES}, head AS (SELECT doc_id, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM lines WHERE trim(line) <> '') WHERE n <= 3),
+    t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(line), '[a-z0-9][a-z0-9_-]*')) AS token FROM head),
+    k AS (SELECT * FROM t WHERE length(token) > 2 AND token NOT IN ({_STOP})),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM k x JOIN k y ON x.token = y.token AND x.doc_id < y.doc_id GROUP BY ALL HAVING count(*) >= 2)
+    SELECT a, b, shared FROM p ORDER BY shared DESC, a, b LIMIT 80"""
+)
+def candidate_relations(spark: SparkSession, root: str) -> DataFrame:
+    """Documents whose first three lines share most tokens."""
+    lines = adapters.document_lines(spark, root).where(F.trim("line") != "")
+    head = ranking.first_n(lines, ["file_idx"], ["line_no"], 3)
+    tokens = head.select("file_idx", F.explode(tx.graph_tokens(F.col("line"))).alias("token")).distinct()
+    left, right = tokens.select(F.col("file_idx").alias("a"), "token"), tokens.select(F.col("file_idx").alias("b"), "token")
+    pairs = left.join(right, "token").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= maintenance.MIN_SHARED)
+    return pairs.orderBy(F.desc("shared"), "a", "b").limit(maintenance.MAX_CANDIDATES)
+
+
+@query(
+    f"""WITH {_GRAPH}, c AS (SELECT src AS a, dst AS b, CAST(length(src) % 4 AS BIGINT) AS shared FROM rels),
+    r AS (SELECT *, round(least(shared / 3, 1.0), 3) AS similarity FROM c)
+    SELECT r.a AS src, r.b AS dst, k.relation_type, similarity AS confidence FROM r JOIN ents x ON x.name = r.a JOIN ents y ON y.name = r.b
+    JOIN (VALUES ('machinery', 'nation', 'uses'), ('supplier', 'nation', 'implements'), ('nation', 'region', 'part_of')) k(p, q, relation_type) ON k.p = x.entity_type AND k.q = y.entity_type WHERE similarity >= 0.45"""
+)
+def validate_rules(spark: SparkSession, root: str) -> DataFrame:
+    g = adapters.graph(spark, root)
+    candidates = g.relations.select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.length("src") % 4).cast("long").alias("shared"))
+    rules = spark.createDataFrame([("machinery", "nation", "uses"), ("supplier", "nation", "implements"), ("nation", "region", "part_of")], "from_type string, to_type string, relation_type string")
+    return maintenance.validate(g, maintenance.rank(candidates), rules)
+
+
+@query(
+    f"""WITH {_GRAPH}, t AS (SELECT a.s_name AS remove, b.s_name AS keep FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey - 1 WHERE a.s_suppkey % 10 = 1)
+    SELECT DISTINCT coalesce(t.keep, src) AS src, dst, relation_type FROM rels LEFT JOIN t ON t.remove = src WHERE contains(src, 'Supplier')"""
+)
+def merge_apply(spark: SparkSession, root: str) -> DataFrame:
+    g = adapters.graph(spark, root)
+    named = read_table(spark, root, "supplier").select("s_suppkey", "s_name")
+    plan = named.where("s_suppkey % 10 = 1").select(F.col("s_suppkey").alias("pos"), F.col("s_name").alias("remove")).join(named.select((F.col("s_suppkey") + 1).alias("pos"), F.col("s_name").alias("keep")), "pos")
+    done = maintenance.apply_merges(g, maintenance.merge_targets(spark, plan))
+    return done.relations.where(F.contains("src", F.lit("Supplier"))).select("src", "dst", "relation_type")
+
+
+@query(f"WITH {_GRAPH} SELECT name, CASE WHEN entity_type = 'furniture' THEN 'household' ELSE entity_type END AS entity_type FROM ents")
+def rename_apply(spark: SparkSession, root: str) -> DataFrame:
+    g = adapters.graph(spark, root)
+    renames = maintenance.type_renames(g.entities, spark.createDataFrame([("furniture", "household")], "from_type string, to_type string"))
+    return maintenance.apply_renames(g, renames).entities.select("name", "entity_type")
+
+
+@query(
+    f"""WITH {_GRAPH}, x AS (SELECT c_name AS src, r_name AS dst, 'sells_in' AS relation_type FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 3 = 0)
+    SELECT src, dst, relation_type FROM rels UNION SELECT * FROM x"""
+)
+def add_relations_apply(spark: SparkSession, root: str) -> DataFrame:
+    """New relations go in where both ends exist; those with an unknown end and repeats don't."""
+    g = adapters.graph(spark, root)
+    customer, nation, region = (read_table(spark, root, t) for t in ("customer", "nation", "region"))
+    new = customer.where("c_custkey % 3 = 0").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("c_name").alias("src"), F.col("r_name").alias("dst"), F.lit("sells_in").alias("relation_type"))
+    unknown = new.withColumn("dst", F.lit("NOWHERE"))
+    done = maintenance.apply_relations(g, new.unionByName(unknown).unionByName(g.relations.select(gr.TRIPLE)), adapters.as_of())
+    return done.relations.select("src", "dst", "relation_type")
+
+
+@query(
+    """WITH o AS (SELECT c_name AS name, c_mktsegment AS v FROM customer WHERE c_custkey % 5 <> 4),
+    p AS (SELECT c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN 'X' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 7 <> 0 ),
+    l AS (SELECT c_name AS name, CASE WHEN c_custkey % 6 = 0 THEN 'Y' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 5 <> 4 AND c_custkey % 11 <> 0),
+    j AS (SELECT name, o.name IS NOT NULL AS io, o.v AS ov, p.name IS NOT NULL AS ip, p.v AS pv, l.name IS NOT NULL AS il, l.v AS lv FROM o FULL JOIN p USING (name) FULL JOIN l USING (name))
+    SELECT name, CASE WHEN NOT (io <> ip OR ov IS DISTINCT FROM pv) THEN 'keep' WHEN (io <> il OR ov IS DISTINCT FROM lv) AND (ip <> il OR pv IS DISTINCT FROM lv) THEN 'conflict'
+        WHEN NOT ip THEN CASE WHEN il THEN 'delete' ELSE 'keep' END WHEN il THEN CASE WHEN pv IS NOT DISTINCT FROM lv THEN 'keep' ELSE 'update' END ELSE 'insert' END AS action FROM j"""
+)
+def reconcile_snapshot(spark: SparkSession, root: str) -> DataFrame:
+    c = read_table(spark, root, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("v"))
+    seen = c.where("c_custkey % 5 <> 4")
+    planned = c.where("c_custkey % 7 <> 0").withColumn("v", F.when(F.col("c_custkey") % 3 == 0, "X").otherwise(F.col("v")))
+    live = seen.where("c_custkey % 11 <> 0").withColumn("v", F.when(F.col("c_custkey") % 6 == 0, "Y").otherwise(F.col("v")))
+    return maintenance.reconcile(seen, planned, live, ["name"], "v").select("name", "action")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS name, CAST((row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1) // 150 AS BIGINT) AS chunk FROM documents")
+def graph_chunks(spark: SparkSession, root: str) -> DataFrame:
+    return maintenance.chunks(read_table(spark, root, "documents").select(F.col("doc_id").cast("string").alias("name")))
+
+
+# --- index maintenance
+
+
+@query(
+    """SELECT CASE WHEN doc_id % 5 = 3 THEN 'new' WHEN doc_id % 7 = 0 THEN 'removed' WHEN doc_id % 11 = 0 THEN 'changed' ELSE 'unchanged' END AS status, count(*) AS n FROM documents WHERE NOT (doc_id % 5 = 3 AND doc_id % 7 = 0) GROUP BY 1"""
+)
+def update_diff(spark: SparkSession, root: str) -> DataFrame:
+    docs = read_table(spark, root, "documents").select(F.col("doc_id").cast("string").alias("file"), F.col("doc_id").alias("file_idx"), F.lit(0).alias("modified"), F.col("n_chars").alias("size"), F.lit(False).alias("tombstoned"))
+    known = docs.where("file_idx % 5 <> 3")
+    listed = docs.where("file_idx % 7 <> 0").withColumn("modified", F.when(F.col("file_idx") % 11 == 0, 1).otherwise(0))
+    return idx.diff_files(listed, known).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_POSTINGS} SELECT file_idx, count(*) AS n FROM tokens WHERE file_idx % 3 <> 0 OR file_idx % 2 = 0 GROUP BY file_idx")
+def layered_read(spark: SparkSession, root: str) -> DataFrame:
+    """Base of even and of third documents; a delta removes the odd ones and adds what lacks, one file first added and then removed again."""
+    built = idx.build(adapters.document_entries(spark, root))
+    base = built.where("file_idx % 2 = 0 or file_idx % 3 = 0")
+    gone = built.where("file_idx % 2 = 1 and file_idx % 3 = 0").withColumn("op", F.lit("DEL")).withColumn("seq", F.lit(2).cast("long"))
+    come = built.where("file_idx % 3 <> 0").withColumn("op", F.lit("ADD")).withColumn("seq", F.lit(1).cast("long"))
+    both = gone.unionByName(gone.withColumn("op", F.lit("ADD")).withColumn("seq", F.lit(1).cast("long"))).unionByName(come)
+    return idx.layered(base, both).groupBy("file_idx").agg(F.count("*").alias("n"))
+
+
+# --- guarded changes
+
+
+@query(
+    f"""WITH {_GRAPH}, one AS (SELECT revision FROM ents WHERE name = 'Customer#000000000')
+    SELECT * FROM (SELECT 0 AS pos, 'Customer#000000000' AS name, 'applied' AS status, revision + 2 AS revision FROM one
+    UNION ALL SELECT 1, 'Customer#000000000', 'conflict', revision + 2 FROM one UNION ALL SELECT 2, 'Customer#000000000', 'unchanged', revision + 2 FROM one
+    UNION ALL SELECT 3, 'Customer#000000000', 'applied', revision + 2 FROM one UNION ALL SELECT 4, 'Nobody', 'missing', NULL)"""
+)
+def cas_add_obs(spark: SparkSession, root: str) -> DataFrame:
+    g = adapters.graph(spark, root)
+    who = "Customer#000000000"
+    rev = g.entities.where(F.col("name") == who).first()["revision"]
+    batch = spark.createDataFrame([(0, who, ["first"], rev), (1, who, ["second"], rev), (2, who, ["first"], rev), (3, who, ["second", "first"], rev + 1), (4, "Nobody", ["x"], None)], "pos int, name string, contents array<string>, expected_rev long")
+    done, log = gr.add_observations(g, batch, adapters.as_of())
+    return log.join(done.entities.select("name", "revision"), "name", "left").select("pos", "name", "status", "revision")
+
+
+@query(
+    f"""WITH {_GRAPH} SELECT 'entities' AS part, count(*) AS n FROM ents WHERE name NOT IN ('NATION_4', 'Supplier#000000002')
+    UNION ALL SELECT 'relations', count(*) FROM rels WHERE src NOT IN ('NATION_4', 'Supplier#000000002') AND dst NOT IN ('NATION_4', 'Supplier#000000002')
+    UNION ALL SELECT 'conflicts', 1"""
+)
+def cas_delete(spark: SparkSession, root: str) -> DataFrame:
+    g = adapters.graph(spark, root)
+    batch = spark.createDataFrame([("NATION_4", 0), ("Supplier#000000002", None), ("ASIA", 9), ("Nobody", None)], "name string, expected_rev long")
+    done, clashes = gr.delete_entities(g, batch)
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(n).alias("part"), "n") for n, df in (("entities", done.entities), ("relations", done.relations), ("conflicts", clashes))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT event_type, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-16') AS live, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS old FROM events GROUP BY 1")
+def archive_split(spark: SparkSession, root: str) -> DataFrame:
+    events = read_table(spark, root, "events").withColumn("created_at", F.col("ts"))
+    live, old = archive.split_by_age(events, adapters.as_of(), 15)
+    return live.select("event_type", F.lit(1).alias("l"), F.lit(0).alias("o")).unionByName(old.select("event_type", F.lit(0).alias("l"), F.lit(1).alias("o"))).groupBy("event_type").agg(F.sum("l").alias("live"), F.sum("o").alias("old"))
+
+
+@query("SELECT min(o_orderkey) AS obs_id, o_custkey AS custkey, o_orderpriority AS content FROM orders GROUP BY o_custkey, o_orderpriority")
+def dedup_min_id(spark: SparkSession, root: str) -> DataFrame:
+    orders = read_table(spark, root, "orders").select(F.col("o_orderkey").alias("obs_id"), F.col("o_custkey").alias("name"), F.col("o_orderpriority").alias("content"))
+    return gr.migrated(orders).select("obs_id", F.col("name").alias("custkey"), "content")
+
+
+# --- sessions and transcripts
+
+
+@query("SELECT conv_id, turn + 1 AS turn_no, role AS speaker, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_lines, length(trim(text)) AS n_chars FROM conversations")
+def transcript_turns(spark: SparkSession, root: str) -> DataFrame:
+    """Conversations written out as transcripts and read back as turns."""
+    stamp = F.format_string("%02d:%02d:00", F.floor(F.col("turn") / 60), F.col("turn") % 60)
+    said = read_table(spark, root, "conversations").withColumn("said", F.concat(F.col("role"), F.lit(" ("), stamp, F.lit(")\n"), F.col("text")))
+    whole = said.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "said"))).alias("t")).select("conv_id", F.concat(F.lit("Meeting: m\nDate: 2024-01-05\n===\n"), F.array_join(F.col("t.said"), "\n")).alias("text"))
+    turns = readers.transcript_turns(readers.lines_of(whole, "text"), "conv_id")
+    return turns.select("conv_id", F.col("turn_no").cast("long").alias("turn_no"), "speaker", (F.col("line_end") - F.col("line_start")).alias("n_lines"), F.length("text").cast("long").alias("n_chars"))
+
+
+_LAST = "l AS (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS last_user FROM conversations)"
+
+
+@query(f"WITH {_LAST} SELECT conv_id, turn FROM l WHERE turn > coalesce(last_user, -1)")
+def current_turn(spark: SparkSession, root: str) -> DataFrame:
+    return search.current_turn(read_table(spark, root, "conversations")).select("conv_id", "turn")
+
+
+@query(
+    f"""WITH {_LAST}, m AS (SELECT *, role = 'assistant' AND contains(text, 'ent') AS h, role = 'assistant' AND contains(text, 'que') AS s FROM l),
+    g AS (SELECT conv_id, min(CASE WHEN turn > last_user AND h THEN turn END) AS fh, min(CASE WHEN turn > last_user AND s THEN turn END) AS fs, coalesce(bool_or(turn < last_user AND (h OR s)), false) AS e FROM m GROUP BY conv_id)
+    SELECT conv_id, fh IS NOT NULL AND NOT e AND (fs IS NULL OR fs > fh) AS denied FROM g"""
+)
+def first_turn_gate(spark: SparkSession, root: str) -> DataFrame:
+    return predicates.first_turn_gate(read_table(spark, root, "conversations"), F.contains("text", F.lit("ent")), F.contains("text", F.lit("que")))
+
+
+@query(f"WITH {_LAST} SELECT conv_id, bool_or(contains(text, 'er')) AND NOT bool_or(contains(text, 'que')) AS lacking FROM l WHERE turn > coalesce(last_user, -1) GROUP BY conv_id")
+def turn_enforce(spark: SparkSession, root: str) -> DataFrame:
+    return predicates.turn_lacks(read_table(spark, root, "conversations"), F.contains("text", F.lit("er")), F.contains("text", F.lit("que")))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+def json_extract(spark: SparkSession, root: str) -> DataFrame:
+    return read_table(spark, root, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN '?' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date FROM orders")
+def date_from_name(spark: SparkSession, root: str) -> DataFrame:
+    name = F.concat(F.lit("log-"), F.when(F.col("o_orderkey") % 4 == 0, F.lit("undated")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")), F.lit(".jsonl"))
+    return read_table(spark, root, "orders").select("o_orderkey", tx.date_in_name(name).alias("date"))
+
+
+# --- windows over events
+
+
+@query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_tumbling(spark: SparkSession, root: str) -> DataFrame:
+    found = ev.tumbling(read_table(spark, root, "events"), "1 hour", "event_type")
+    return found.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    """SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM (
+        SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM events) GROUP BY ALL"""
+)
+def event_sliding(spark: SparkSession, root: str) -> DataFrame:
+    return ev.sliding(read_table(spark, root, "events"), "1 hour", "30 minutes").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n")
+
+
+@query(
+    """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k"""
+)
+def event_sessions(spark: SparkSession, root: str) -> DataFrame:
+    return ev.sessions(read_table(spark, root, "events"), "2 hours", "user_id").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
+def pricing_summary(spark: SparkSession, root: str) -> DataFrame:
+    """Built-in aggregates over a pushed-down filter, as any Spark table gives them."""
+    items = spark.read.parquet(f"{root}/lineitem.parquet").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
+    return items.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, o_custkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM orders")
+def running_orders(spark: SparkSession, root: str) -> DataFrame:
+    before = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
+    return read_table(spark, root, "orders").select("o_orderkey", "o_custkey", F.count("*").over(before).alias("earlier"))
