@@ -38,9 +38,11 @@ N = 5
 #: 100 * intersection >= THRESHOLD * union
 THRESHOLD = 75
 #: Cells of the table of hashed counts; fixed, whatever the corpus.
-WIDTH = 1 << 20
-_BLOCK = 1 << 14
+WIDTH = 1 << 22
+_BLOCK = 1 << 16
 STAR_ROUNDS = 2
+#: A list of ids is broadcast up to so many (8 bytes each); longer lists join by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -117,13 +119,12 @@ def survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(_SURVEY)
-        cells = np.zeros(WIDTH, np.int64)
+        cells = np.zeros(WIDTH, np.int32)
         for ids, texts in sliced(batches):
             made = Shingles(texts)
-            for s in made.sets:
-                pass
             if made.sets:
-                cells += np.bincount((np.concatenate(made.sets) & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH)
+                hit, times = np.unique((np.concatenate(made.sets) & np.uint64(WIDTH - 1)).astype(np.int32), return_counts=True)
+                cells[hit] += times.astype(np.int32)
             n = [len(s) for s in made.sets]
             keys = [f"{int(w):016x}{d:08x}{k}" for w, d, k in zip(made.whole, made.digests, n, strict=True)]
             yield record_batch({"doc_id": ids, "n_shingles": n, "class_key": keys, "block": [None] * len(ids), "cells": [None] * len(ids)}, schema)
@@ -226,36 +227,53 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
+def _may_match(a: str, b: str, threshold: int):
+    """The length filter, and the positional one: what two sets can still share from a common shingle on.
+
+    The first common shingle of a similar pair passes it, so a pair that fails at another
+    shingle is met at its first one.
+    """
+    size_a, size_b = F.col(f"{a}_size"), F.col(f"{b}_size")
+    at_most = 1 + F.least(size_a - F.col(f"{a}_pos") - 1, size_b - F.col(f"{b}_pos") - 1)
+    fits = 100 * F.least(size_a, size_b) >= threshold * F.greatest(size_a, size_b)
+    return fits & (at_most * (100 + threshold) >= threshold * (size_a + size_b)) & (F.col(f"{a}_component") != F.col(f"{b}_component"))
+
+
+_FIELDS = ("doc_id", "size", "pos", "component")
+
+
 def _star_pairs(held: DataFrame, threshold: int) -> DataFrame:
     """Each class of a bucket against the one before it and against its size band's first, where their components differ."""
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(100 / threshold)))
     order = ("size", "doc_id")
     by_size = Window.partitionBy("h").orderBy(*order)
     by_band = Window.partitionBy("h", "band").orderBy(*order)
-    kin = [F.lag(c).over(by_size).alias(f"prev_{c}") for c in ("doc_id", "size", "component")]
-    first = [F.first(c).over(by_band).alias(f"first_{c}") for c in ("doc_id", "size", "component")]
-    seen = held.withColumn("band", band).select("doc_id", "size", "component", *kin, *first)
-    sides = [seen.select(F.col(f"{k}_doc_id").alias("x"), F.col(f"{k}_size").alias("x_size"), F.col(f"{k}_component").alias("x_component"), "doc_id", "size", "component") for k in ("prev", "first")]
-    both = sides[0].unionByName(sides[1]).where((F.col("x_component") != F.col("component")) & (100 * F.least("x_size", "size") >= threshold * F.greatest("x_size", "size")))
-    return both.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
+    own = [F.col(c).alias(f"y_{c}") for c in _FIELDS]
+    seen = held.withColumn("band", band).select(*own, *[F.lag(c).over(by_size).alias(f"prev_{c}") for c in _FIELDS], *[F.first(c).over(by_band).alias(f"first_{c}") for c in _FIELDS])
+    sides = [seen.select(*[f"y_{c}" for c in _FIELDS], *[F.col(f"{k}_{c}").alias(f"x_{c}") for c in _FIELDS]) for k in ("prev", "first")]
+    both = sides[0].unionByName(sides[1]).where(_may_match("x", "y", threshold))
+    return both.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
 
 
 def _all_pairs(held: DataFrame, threshold: int) -> DataFrame:
     """Every pair of a bucket between two components that passes the length and the positional filter."""
     spread = Window.partitionBy("h")
-    mixed = held.withColumn("lo", F.min("component").over(spread)).withColumn("hi", F.max("component").over(spread)).where("lo < hi").drop("lo", "hi")
-    left = mixed.select("h", F.col("doc_id").alias("a"), F.col("size").alias("a_size"), F.col("pos").alias("a_pos"), F.col("component").alias("a_component"))
-    right = mixed.select("h", F.col("doc_id").alias("b"), F.col("size").alias("b_size"), F.col("pos").alias("b_pos"), F.col("component").alias("b_component"))
-    need = F.ceil(threshold * (F.col("a_size") + F.col("b_size")) / F.lit(100 + threshold))
-    at_most = 1 + F.least(F.col("a_size") - F.col("a_pos") - 1, F.col("b_size") - F.col("b_pos") - 1)
-    fits = (100 * F.least("a_size", "b_size") >= threshold * F.greatest("a_size", "b_size")) & (at_most >= need - 1e-9)
-    return left.join(right, "h").where((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & fits).select("a", "b").distinct()
+    mixed = held.withColumn("lo", F.min("component").over(spread)).withColumn("hi", F.max("component").over(spread)).where("lo < hi")
+    left, right = (mixed.select("h", *[F.col(c).alias(f"{k}_{c}") for c in _FIELDS]) for k in ("x", "y"))
+    met = left.join(right, "h").where((F.col("x_doc_id") < F.col("y_doc_id")) & _may_match("x", "y", threshold))
+    return met.select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct()
+
+
+def _by_ids(texts: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Texts with, or without, the listed ids. A short list goes to the texts, so that these stay where they are."""
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
 
 
 def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links lead to, itself included.
 
-    A null or blank text has no shingles and is linked with nothing. Rows that repeat a
+    A null or blank text has no shingles and is linked with nothing; a row without an id
+    links only with copies of its text and has no component_id of its own. Rows that repeat a
     doc_id count as documents of their own texts under one id, and each row is returned.
     Texts of fewer than five words have their whole sequence as one shingle. Extra
     columns are not read; an empty table gives no rows.
@@ -263,21 +281,21 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "do
     docs = id_text(df, id_col, text_col)
     listed, levels = survey(docs)
     has_words = listed.where("n_shingles > 0")
-    classes = has_words.groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    reps = materialize(classes.select("class_key", "rep"), "class-representatives")
-    # one text per representative id: a repeated id with several texts keeps them all
-    texts = docs.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    reps = materialize(has_words.groupBy("class_key").agg(F.min("doc_id").alias("rep")), "class-representatives")
+    others = has_words.join(reps, "class_key").where("doc_id != rep").select("doc_id").distinct()
+    # an id that stands for one of its texts and repeats another's stays, for the sake of the first
+    copies = materialize(others.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"), "copies")
+    texts = _by_ids(docs.where("doc_id is not null"), copies, "left_anti")
     buckets = Window.partitionBy("h")
-    shared = prefixes(texts, levels, threshold).withColumn("held", F.count("*").over(buckets)).where("held > 1").drop("held")
-    shared = materialize(shared.dropDuplicates(["h", "doc_id"]), "shared-prefixes")
-    in_play = shared.select("doc_id").distinct()
-    sets = materialize(_sets(texts.join(in_play, "doc_id", "left_semi")), "shingle-sets")
+    shared = prefixes(texts, levels, threshold).dropDuplicates(["h", "doc_id"]).withColumn("held", F.count("*").over(buckets)).where("held > 1").drop("held")
+    shared = materialize(shared, "shared-prefixes")
 
     links: DataFrame | None = None
     held = shared.withColumn("component", F.col("doc_id"))
     for k in range(STAR_ROUNDS + 1):
-        pairs = _star_pairs(held, threshold) if k < STAR_ROUNDS else _all_pairs(held, threshold)
-        found = materialize(verify(pairs, sets, threshold), "links")
+        pairs = materialize(_star_pairs(held, threshold) if k < STAR_ROUNDS else _all_pairs(held, threshold), "pairs")
+        ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        found = materialize(verify(pairs, _sets(_by_ids(texts, ends, "left_semi")), threshold).distinct(), "links")
         links = found if links is None else links.unionByName(found)
         components = materialize(connected_components(links), "components")
         held = shared.join(components.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -287,10 +305,10 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "do
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """(doc_id, hashes): whole sets as packed sorted 64-bit hashes; repeated ids are united."""
+    """(doc_id, hashes): whole sets as packed sorted 64-bit hashes, a row a text; an id may repeat."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, part in sliced(batches):
             yield record_batch({"doc_id": ids, "hashes": [s.tobytes() for s in Shingles(part).sets]}, arrow_schema("doc_id long, hashes binary"))
 
-    return texts.mapInArrow(run, "doc_id long, hashes binary").dropDuplicates(["doc_id"])
+    return texts.mapInArrow(run, "doc_id long, hashes binary")
