@@ -168,6 +168,8 @@ def load_domains(toml_text: str) -> dict[str, Domain]:
     for name, values in tables.items():
         if unknown := set(values) - known:
             raise ValueError(f"domain {name}: unknown keys {sorted(unknown)}")
+        if "dir" not in values:
+            raise ValueError(f"domain {name}: no folder")
         out[name] = Domain(name, **{k: tuple(v) if isinstance(v, list) else v for k, v in values.items()})
     return out
 
