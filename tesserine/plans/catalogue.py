@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserine.functions import text as tx
-from tesserine.operators import archive, maintenance, predicates, ranking, search, semantic
+from tesserine.operators import archive, maintenance, predicates, ranking, records, search, semantic
 from tesserine.operators import graph as gr
 from tesserine.operators import postings as idx
 from tesserine.plans import adapters
@@ -547,6 +547,61 @@ def date_from_name(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, root, "orders").select("o_orderkey", tx.date_in_name(name).alias("date"))
 
 
+@query(
+    """WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, user_id) AS k FROM c)
+    SELECT CAST(user_id AS VARCHAR) AS value, n FROM r WHERE k <= 20 UNION ALL SELECT '…and ' || count(*) || ' more', CAST(sum(n) AS BIGINT) FROM r WHERE k > 20 HAVING count(*) > 0"""
+)
+def type_detail(spark: SparkSession, root: str) -> DataFrame:
+    return records.capped_histogram(read_table(spark, root, "events"), "user_id", 20)
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY ts DESC LIMIT 50")
+def digest_newest(spark: SparkSession, root: str) -> DataFrame:
+    return records.digest_newest(read_table(spark, root, "events"), 50).select("event_id", "event_type")
+
+
+@query(
+    """SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'user' ELSE role END AS role,
+        CASE WHEN turn % 3 = 2 THEN left(text, 300) WHEN turn % 3 = 1 THEN 'search(...) | write(...)' ELSE coalesce(nullif(left(text, 300), ''), '(no content)') END AS snippet FROM conversations"""
+)
+def message_snippets(spark: SparkSession, root: str) -> DataFrame:
+    """Messages as JSON lines, some with tool calls only and some no JSON, and back as snippets."""
+    said = read_table(spark, root, "conversations")
+    calls = F.lit('[{"function": {"name": "search", "arguments": "{}"}}, {"function": {"name": "write", "arguments": "{}"}}]')
+    whole = F.to_json(F.struct("role", F.col("text").alias("content")))
+    tools = F.concat(F.lit('{"role": "'), F.col("role"), F.lit('", "content": "", "tool_calls": '), calls, F.lit("}"))
+    line = F.when(F.col("turn") % 3 == 2, F.col("text")).when(F.col("turn") % 3 == 1, tools).otherwise(whole)
+    return records.snippets(said.select("conv_id", "turn", line.alias("line"))).select("conv_id", "turn", "role", "snippet")
+
+
+@query(f"WITH {_GRAPH} SELECT name, entity_type, coalesce(string_agg(content, '; ' ORDER BY obs_id), '') AS observations FROM ents LEFT JOIN obs USING (name) GROUP BY ALL")
+def read_graph(spark: SparkSession, root: str) -> DataFrame:
+    nodes, _ = gr.read_graph(adapters.graph(spark, root))
+    return nodes.select("name", "entity_type", F.coalesce(F.array_join("observations", "; "), F.lit("")).alias("observations"))
+
+
+@query(
+    f"""WITH {_GRAPH}, kept AS (SELECT name FROM ents ORDER BY updated_at DESC, name LIMIT 800)
+    SELECT (SELECT count(*) FROM kept) AS n_entities, (SELECT count(*) FROM obs WHERE name IN (SELECT name FROM kept)) AS n_observations, (SELECT count(*) FROM rels WHERE src IN (SELECT name FROM kept) AND dst IN (SELECT name FROM kept)) AS n_relations"""
+)
+def graph_cap(spark: SparkSession, root: str) -> DataFrame:
+    return gr.counts(gr.capped_graph(adapters.graph(spark, root), 800)).select("n_entities", "n_observations", "n_relations")
+
+
+@query(
+    f"""WITH {_GRAPH} SELECT c_name AS a, n_name AS b, CAST(c_custkey % 5 AS BIGINT) AS shared, contains(lower(n_name), lower(c_name)) OR coalesce((SELECT bool_or(contains(lower(content), lower(n_name))) FROM obs WHERE name = c_name), false) AS name_in_obs
+    FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE NOT EXISTS (SELECT 1 FROM rels WHERE (src = c_name AND dst = n_name AND c_custkey % 2 = 0))"""
+)
+def mentions_unrelated(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs without a relation in either direction, and whether one's observations name the other."""
+    g = adapters.graph(spark, root)
+    customer, nation = read_table(spark, root, "customer"), read_table(spark, root, "nation")
+    pairs = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("a"), F.col("n_name").alias("b"), (F.col("c_custkey") % 5).cast("long").alias("shared"))
+    even = customer.where("c_custkey % 2 = 0").select(F.col("c_name").alias("src"))
+    known = g.relations.join(even, "src", "left_semi").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return maintenance.mentions(g, semantic.unrelated(pairs, known)).select("a", "b", "shared", "name_in_obs")
+
+
 # --- windows over events
 
 

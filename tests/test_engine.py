@@ -308,3 +308,41 @@ def test_stream_into_snapshots(spark, tmp_path):
     assert store.read("events").count() == 5
     counted = events.tumbling(store.read("events"), "2 hours", "value")
     assert counted.agg(F.sum("n")).first()[0] == 5
+
+
+# --- records
+
+
+def test_summaries_and_digests(spark, tmp_path):
+    from tesserine.operators import records
+
+    rows = [("a", '{"goal": "g", "tags": ["x"], "action_items": [{"who": "w", "what": "t"}]}'), ("b", "broken")]
+    got = {r["id"]: r for r in records.summaries(spark.createDataFrame(rows, "id string, json string")).collect()}
+    assert got["a"]["tags"] == ["x"] and got["a"]["action_items"][0]["who"] == "w" and got["b"]["goal"] is None
+    log = spark.createDataFrame([(k, f"s{k}") for k in range(5)], "ts long, system string")
+    records.append_digest(log, str(tmp_path / "log"))
+    records.append_digest(log, str(tmp_path / "log"))
+    assert [r["ts"] for r in records.digest_newest(spark.read.json(str(tmp_path / "log")), 3).collect()] == [4, 4, 3]
+
+
+def test_entity_summary_and_embedding(spark, g):
+    from tesserine.operators import records
+
+    one = records.entity_summary(g, "alpha", width=4).first()
+    assert one["observations"] == ["firs…", "seco…"] and len(one["relations"]) == 2
+    got = {r["name"]: r["embedding"] for r in records.embed_entities(g, lambda texts: [[float(len(t))] for t in texts]).collect()}
+    assert got["beta"] == [float(len("beta. solo"))] and len(got) == 4
+
+
+def test_batches_limits_and_gates(spark):
+    from tesserine.operators import records
+
+    def judge(batch):
+        if (batch["a"] == 3).any():
+            raise RuntimeError("no answer")
+        return batch.assign(relation_type="uses", confidence=1.0)
+
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(6)], "a long, b long").coalesce(1)
+    assert sorted(r["a"] for r in records.validate_in_batches(pairs, judge, 2).collect()) == [0, 1, 4, 5]
+    assert records.should_run(100, None, 60, 5, 5) and not records.should_run(100, 90, 60, 5, 5) and not records.should_run(100, 0, 60, 1, 5)
+    assert records.within(spark, lambda: spark.range(10).count(), 30) == 10
