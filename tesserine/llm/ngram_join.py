@@ -290,14 +290,17 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "do
     shared = prefixes(texts, levels, threshold).dropDuplicates(["h", "doc_id"]).withColumn("held", F.count("*").over(buckets)).where("held > 1").drop("held")
     shared = materialize(shared, "shared-prefixes")
 
-    links: DataFrame | None = None
+    components = texts.sparkSession.createDataFrame([], "node long, component long")
     held = shared.withColumn("component", F.col("doc_id"))
     for k in range(STAR_ROUNDS + 1):
         pairs = materialize(_star_pairs(held, threshold) if k < STAR_ROUNDS else _all_pairs(held, threshold), "pairs")
         ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        found = materialize(verify(pairs, _sets(_by_ids(texts, ends, "left_semi")), threshold).distinct(), "links")
-        links = found if links is None else links.unionByName(found)
-        components = materialize(connected_components(links), "components")
+        found = materialize(verify(pairs, _sets(_by_ids(texts, ends, "left_semi")), threshold), "links")
+        if found.isEmpty():
+            continue
+        # what was linked before stands as its component's star, so each round adds few edges
+        stars = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        components = materialize(connected_components(found.unionByName(stars)), "components")
         held = shared.join(components.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     of_class = reps.join(components, reps["rep"] == components["node"], "left").select("class_key", F.coalesce("component", "rep").alias("component_id"))
     joined = listed.join(of_class, "class_key", "left")
