@@ -9,14 +9,14 @@ class first, so the join sees each different text once.
 2. Of each class the rarest |x| - ceil(t |x|) + 1 shingles are its prefix. Two sets of
    similarity t share a shingle there, so prefix shingles held by one class only go.
 3. Classes that share a prefix shingle are linked in rounds. Star rounds compare each
-   class with the one before it by size and with the first of its size band, so a group
-   of g copies costs about 2 g comparisons. Linked classes become one component.
+   class with the one before it by size and with the most central of its size band, so a
+   group of g copies costs about 2 g comparisons. Linked classes become one component.
 4. Last, every pair that still lies in two components and passes the length and the
    positional filter is compared. No pair between components is left out, so the
    components are exact; pairs inside one need no further look.
 
-A pair is compared once: the suffix filter bounds the overlap from a few halvings of
-the sorted sets, then the sets are intersected. Sets travel to the pairs by joins on
+A pair is compared once: suffix filters bound the overlap, first from bucket counts of
+128 bytes a set, then from a few halvings of the sorted sets; then the sets are intersected. Sets travel to the pairs by joins on
 class ids, so no group is gathered in one task.
 """
 
@@ -41,6 +41,8 @@ THRESHOLD = 75
 WIDTH = 1 << 22
 _BLOCK = 1 << 16
 STAR_ROUNDS = 2
+#: Buckets of a set's spread, a byte each.
+SPREAD = 128
 #: A list of ids is broadcast up to so many (8 bytes each); longer lists join by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -110,7 +112,7 @@ def prefix_length(size: int, threshold: int = THRESHOLD) -> int:
 
 
 def survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, class_key) of every document, written once, and the order levels by cell.
+    """(doc_id, n_shingles, class_key, spread) of every document, written once, and the order levels by cell.
 
     Counts of hashed shingles are summed cell by cell, a row a block of cells: at most
     WIDTH sums reach the driver, whatever the corpus. A level is a count's rounded
@@ -127,10 +129,10 @@ def survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 cells[hit] += times.astype(np.int32)
             n = [len(s) for s in made.sets]
             keys = [f"{int(w):016x}{d:08x}{k}" for w, d, k in zip(made.whole, made.digests, n, strict=True)]
-            yield record_batch({"doc_id": ids, "n_shingles": n, "class_key": keys, "block": [None] * len(ids), "cells": [None] * len(ids)}, schema)
+            yield record_batch({"doc_id": ids, "n_shingles": n, "class_key": keys, "spread": spreads(made.sets), "block": [None] * len(ids), "cells": [None] * len(ids)}, schema)
         full = [b for b in range(WIDTH // _BLOCK) if cells[b * _BLOCK : (b + 1) * _BLOCK].any()]
         packed = [zlib.compress(cells[b * _BLOCK : (b + 1) * _BLOCK].astype("<i8").tobytes(), 1) for b in full]
-        yield record_batch({"doc_id": [None] * len(full), "n_shingles": [None] * len(full), "class_key": [None] * len(full), "block": full, "cells": packed}, schema)
+        yield record_batch({"doc_id": [None] * len(full), "n_shingles": [None] * len(full), "class_key": [None] * len(full), "spread": [None] * len(full), "block": full, "cells": packed}, schema)
 
     written = materialize(docs.mapInArrow(run, _SURVEY), "shingle-survey")
 
@@ -149,10 +151,19 @@ def survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     for row in summed.collect():  # WIDTH / _BLOCK rows at most
         cells[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(zlib.decompress(row["cells"]), "<i8")
     levels = np.rint(2 * np.log2(np.maximum(cells, 1))).astype(np.uint8)
-    return written.where("block is null").select("doc_id", "n_shingles", "class_key"), levels
+    return written.where("block is null").select("doc_id", "n_shingles", "class_key", "spread"), levels
 
 
-_SURVEY = "doc_id long, n_shingles long, class_key string, block int, cells binary"
+_SURVEY = "doc_id long, n_shingles long, class_key string, spread binary, block int, cells binary"
+
+
+def spreads(sets: list[np.ndarray]) -> list[bytes]:
+    """For each set how many of its hashes fall into each of SPREAD buckets, 255 at most."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    bucket = (np.concatenate(sets) >> np.uint64(40) & np.uint64(SPREAD - 1)).astype(np.int64) if len(sets) else np.zeros(0, np.int64)
+    counts = np.bincount(np.repeat(np.arange(len(sets)), sizes) * SPREAD + bucket, minlength=len(sets) * SPREAD)
+    flat = np.minimum(counts, 255).astype(np.uint8).tobytes()
+    return [flat[k * SPREAD : (k + 1) * SPREAD] for k in range(len(sets))]
 
 
 def in_order(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -209,6 +220,27 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
     return 100 * both >= threshold * (len(a) + len(b) - both)
 
 
+def plausible(pairs: DataFrame, known: DataFrame, threshold: int) -> DataFrame:
+    """The (a, b) pairs that the suffix filter on spreads leaves.
+
+    Two sets differ at least by the sum of the differences of their bucket counts, so a
+    pair whose spreads differ by more than a similar pair may is dropped unseen.
+    """
+    sides = [known.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("spread").alias(f"s_{k}")) for k in ("a", "b")]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b, n_a, n_b = (batch.column(k).to_numpy().astype(np.int64) for k in range(4))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SPREAD).astype(np.int16) for k in (4, 5))
+            most = n_a + n_b - 2 * -(-threshold * (n_a + n_b) // (100 + threshold))
+            keep = np.abs(x - y).sum(1) <= most
+            yield record_batch({"a": a[keep], "b": b[keep]}, arrow_schema("a long, b long"))
+
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The (a, b) pairs whose sets are similar enough. Sets reach their pairs by joins on the ids."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("of_a"))
@@ -243,15 +275,18 @@ _FIELDS = ("doc_id", "size", "pos", "component")
 
 
 def _star_pairs(held: DataFrame, threshold: int) -> DataFrame:
-    """Each class of a bucket against the one before it and against its size band's first, where their components differ."""
+    """Each class of a bucket against the one before it by size, and against one of its size band, where their components differ.
+
+    The band's one is that in which fewest shingles are rarer than the shared one: of near
+    copies it has fewest shingles of its own, so it is the likest to all others.
+    """
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(100 / threshold)))
-    order = ("size", "doc_id")
-    by_size = Window.partitionBy("h").orderBy(*order)
-    by_band = Window.partitionBy("h", "band").orderBy(*order)
+    by_size = Window.partitionBy("h").orderBy("size", "doc_id")
+    by_band = Window.partitionBy("h", "band").orderBy("pos", "size", "doc_id")
     own = [F.col(c).alias(f"y_{c}") for c in _FIELDS]
     seen = held.withColumn("band", band).select(*own, *[F.lag(c).over(by_size).alias(f"prev_{c}") for c in _FIELDS], *[F.first(c).over(by_band).alias(f"first_{c}") for c in _FIELDS])
     sides = [seen.select(*[f"y_{c}" for c in _FIELDS], *[F.col(f"{k}_{c}").alias(f"x_{c}") for c in _FIELDS]) for k in ("prev", "first")]
-    both = sides[0].unionByName(sides[1]).where(_may_match("x", "y", threshold))
+    both = sides[0].unionByName(sides[1]).where((F.col("x_doc_id") != F.col("y_doc_id")) & _may_match("x", "y", threshold))
     return both.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
 
 
@@ -287,13 +322,15 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "do
     copies = materialize(others.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"), "copies")
     texts = _by_ids(docs.where("doc_id is not null"), copies, "left_anti")
     buckets = Window.partitionBy("h")
-    shared = prefixes(texts, levels, threshold).dropDuplicates(["h", "doc_id"]).withColumn("held", F.count("*").over(buckets)).where("held > 1").drop("held")
-    shared = materialize(shared, "shared-prefixes")
+    shared = prefixes(texts, levels, threshold).withColumn("held", F.count("*").over(buckets)).where("held > 1").drop("held")
+    shared = materialize(shared.dropDuplicates(["h", "doc_id"]), "shared-prefixes")
+    known = materialize(listed.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "spread"), "spreads")
 
     components = texts.sparkSession.createDataFrame([], "node long, component long")
     held = shared.withColumn("component", F.col("doc_id"))
     for k in range(STAR_ROUNDS + 1):
-        pairs = materialize(_star_pairs(held, threshold) if k < STAR_ROUNDS else _all_pairs(held, threshold), "pairs")
+        proposed = _star_pairs(held, threshold) if k < STAR_ROUNDS else _all_pairs(held, threshold)
+        pairs = materialize(plausible(proposed, known, threshold), "pairs")
         ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
         found = materialize(verify(pairs, _sets(_by_ids(texts, ends, "left_semi")), threshold), "links")
         if found.isEmpty():
