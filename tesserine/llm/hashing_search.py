@@ -44,7 +44,7 @@ class Codes:
         self.center = sample.mean(0) if len(sample) else np.zeros(dim)
         x = sample - self.center
         rng = np.random.Generator(np.random.PCG64(seed))
-        basis = np.linalg.svd(x, full_matrices=True)[2] if len(x) else np.eye(dim)
+        basis = np.linalg.eigh(x.T @ x)[1].T[::-1]  # principal axes; a dim x dim matrix, whatever the sample's size
         self.rotations = []
         for _ in range(ROTATIONS):
             r = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
