@@ -457,6 +457,15 @@ def layered_read(spark: SparkSession, root: str) -> DataFrame:
     return idx.layered(base, both).groupBy("file_idx").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {_POSTINGS} SELECT file_idx, count(*) AS n, count(DISTINCT token) AS n_tokens FROM tokens GROUP BY file_idx")
+def compact_equiv(spark: SparkSession, root: str) -> DataFrame:
+    """An index of older texts, two thirds of the files and those cut short, brought up to date equals a fresh one."""
+    entries = adapters.document_entries(spark, root)
+    old = idx.build(entries.where("file_idx % 3 != 1").withColumn("text", F.concat(F.substring("text", 1, 40), F.lit(" outdated"))))
+    held = idx.layered(old, idx.diff_postings(old, idx.build(entries), seq=1))
+    return held.groupBy("file_idx").agg(F.count("*").alias("n"), F.count_distinct("token").alias("n_tokens"))
+
+
 # --- guarded changes
 
 
@@ -488,6 +497,72 @@ def cas_delete(spark: SparkSession, root: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query(
+    f"""WITH {_GRAPH}, b AS (SELECT c_custkey, name FROM obs JOIN customer ON c_name = name WHERE c_custkey % 4 = 0 AND starts_with(content, '1-URGENT'))
+    SELECT 'observations' AS part, (SELECT count(*) FROM obs) - (SELECT count(*) FROM b WHERE c_custkey % 8 = 0) AS n
+    UNION ALL SELECT 'applied', count(DISTINCT name) FROM b WHERE c_custkey % 8 = 0 UNION ALL SELECT 'conflict', count(DISTINCT name) FROM b WHERE c_custkey % 8 = 4 UNION ALL SELECT 'missing', 1"""
+)
+def cas_delete_obs(spark: SparkSession, root: str) -> DataFrame:
+    """Urgent orders of some customers go; half of the items expect another revision, one names nobody."""
+    g = adapters.graph(spark, root)
+    keys = read_table(spark, root, "customer").where("c_custkey % 4 = 0").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("pos"))
+    urgent = g.observations.where(F.startswith("content", F.lit("1-URGENT"))).join(keys, "name").groupBy("name", "pos").agg(F.collect_list("content").alias("contents"))
+    batch = urgent.select(F.col("pos").cast("int").alias("pos"), "name", "contents", F.when(F.col("pos") % 8 == 4, -1).cast("long").alias("expected_rev"))
+    nobody = spark.createDataFrame([(-1, "Nobody", ["x"], None)], "pos int, name string, contents array<string>, expected_rev long")
+    done, log = gr.delete_observations(g, batch.unionByName(nobody))
+    out = done.observations.agg(F.count("*").alias("n")).select(F.lit("observations").alias("part"), "n")
+    for status in ("applied", "conflict", "missing"):
+        out = out.unionByName(log.agg(F.count_if(F.col("status") == status).alias("n")).select(F.lit(status).alias("part"), "n"))
+    return out
+
+
+@query(
+    """WITH f AS (SELECT p_brand, min(p_partkey) AS k, count(*) AS c FROM part GROUP BY 1)
+    SELECT p.p_brand AS name, p_type AS entity_type, c - 1 AS n_refused FROM f JOIN part p ON p_partkey = k UNION ALL SELECT r_name, 'region', 1 FROM region"""
+)
+def create_entities_apply(spark: SparkSession, root: str) -> DataFrame:
+    """Brands as entities: the first part's type holds, repeats are refused, and so are names that exist."""
+    g = adapters.graph(spark, root)
+    brands = read_table(spark, root, "part").select(F.col("p_partkey").alias("pos"), F.col("p_brand").alias("name"), F.col("p_type").alias("entity_type"), F.array("p_name").alias("observations"))
+    known = read_table(spark, root, "region").select((-1 - F.col("r_regionkey")).cast("long").alias("pos"), F.col("r_name").alias("name"), F.lit("place").alias("entity_type"), F.array().cast("array<string>").alias("observations"))
+    batch = brands.unionByName(known)
+    done, refused = gr.create_entities(g, batch, adapters.as_of())
+    counted = refused.groupBy("name").agg(F.count("*").alias("n_refused"))
+    return done.entities.join(batch.select("name").distinct(), "name", "left_semi").join(counted, "name", "left").select("name", "entity_type", F.coalesce("n_refused", F.lit(0)).alias("n_refused"))
+
+
+@query(
+    f"""WITH {_GRAPH}, x AS (SELECT s_name AS src, r_name AS dst FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+    SELECT src, dst, relation_type FROM rels UNION ALL SELECT src, dst, 'serves' FROM x UNION ALL SELECT src, 'NOWHERE', 'serves' FROM x"""
+)
+def create_relations_apply(spark: SparkSession, root: str) -> DataFrame:
+    """New relations go in once each, ends that don't exist included; known and incomplete ones are refused."""
+    g = adapters.graph(spark, root)
+    supplier, nation, region = (read_table(spark, root, t) for t in ("supplier", "nation", "region"))
+    placed = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    new = placed.select((F.col("s_suppkey") * 4).alias("pos"), F.col("s_name").alias("src"), F.col("r_name").alias("dst"), F.lit("serves").alias("relation_type"))
+    again = new.withColumn("pos", F.col("pos") + 1)
+    loose = new.withColumn("pos", F.col("pos") + 2).withColumn("dst", F.lit("NOWHERE"))
+    untyped = new.withColumn("pos", F.col("pos") + 3).withColumn("relation_type", F.lit(""))
+    known = g.relations.select((-1 - F.xxhash64(*gr.TRIPLE).bitwiseAND(F.lit(2**40 - 1))).alias("pos"), *gr.TRIPLE)
+    done, _ = gr.create_relations(g, new.unionByName(again).unionByName(loose).unionByName(untyped).unionByName(known), adapters.as_of())
+    return done.relations.select(gr.TRIPLE)
+
+
+@query(
+    f"""WITH {_GRAPH} SELECT src, dst, relation_type FROM rels
+    WHERE src NOT IN (SELECT c_name FROM customer WHERE c_custkey % 4 = 0) AND src NOT IN (SELECT s_name FROM supplier WHERE s_suppkey % 4 = 1)"""
+)
+def delete_relations_apply(spark: SparkSession, root: str) -> DataFrame:
+    """All relations of some pairs go, of others only those of a type they have, or lack."""
+    g = adapters.graph(spark, root)
+    customer, supplier = read_table(spark, root, "customer"), read_table(spark, root, "supplier")
+    gone = customer.where("c_custkey % 4 = 0").select(F.col("c_name").alias("src"), F.lit(None).cast("string").alias("kind"))
+    gone = gone.unionByName(supplier.where("s_suppkey % 4 < 2").select(F.col("s_name").alias("src"), F.when(F.col("s_suppkey") % 4 == 1, "located_in").otherwise("part_of").alias("kind")))
+    batch = g.relations.join(gone, "src").select("src", "dst", F.col("kind").alias("relation_type"))
+    return gr.delete_relations(g, batch).relations.select(gr.TRIPLE)
+
+
 @query("SELECT event_type, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-16') AS live, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS old FROM events GROUP BY 1")
 def archive_split(spark: SparkSession, root: str) -> DataFrame:
     events = read_table(spark, root, "events").withColumn("created_at", F.col("ts"))
