@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import replace
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,9 @@ from tesserine.operators.semantic import lexical_similarity, rerank, unrelated
 
 MIN_SHARED, MAX_CANDIDATES, WEAK = 2, 80, 0.45
 
+#: Merges that one task folds in order; more are settled by rounds of joins first.
+FOLD_ROWS = 50_000
+
 # Relation types that may be named, and what pairs of types suggest.
 ALLOWED = "implements fixes references depends_on extends relates_to part_of documents causes blocks supersedes uses".split()
 TYPE_RULES = [
@@ -105,23 +111,53 @@ def parse_relation_type(reply: Column) -> Column:
 # --- apply
 
 
-def merge_targets(spark: SparkSession, merges: DataFrame) -> DataFrame:
-    """remove, keep: a plan (pos, keep, remove) folded in order; merges of what has gone are skipped.
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """A checkpoint folder of our own only where the cluster names none."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tesserine-checkpoints-"))
 
-    A plan is a shortlist, MAX_CANDIDATES rows at most, so it is folded on the driver.
-    """
-    rows = merges.orderBy("pos").limit(10_000).collect()
-    gone: dict[str, str] = {}
-    for r in rows:
-        if r["keep"] not in gone and r["remove"] not in gone and r["keep"] != r["remove"]:
-            gone[r["remove"]] = r["keep"]
 
-    def last(name: str) -> str:
-        while name in gone:
-            name = gone[name]
-        return name
+def merge_targets(spark: SparkSession, merges: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
+    """remove, keep: a plan (pos, keep, remove) settled in order; merges of what has gone are skipped.
 
-    return spark.createDataFrame([(k, last(v)) for k, v in gone.items()], "remove string, keep string")
+    Rows with an empty name or twice the same one are no merges; equal pos go by the names.
+    A merge is taken once no earlier open one removes either of its names; later ones that
+    name what it removes are skipped. Rounds of that run as joins until at most fold_rows
+    are open, and these one task folds in order. Chains of keep are then followed by
+    pointer jumping. No plan is cut and none passes through the driver.
+    """
+    ensure_checkpoints(spark)
+    taken: list[DataFrame] = []
+    left = merges.select("pos", "keep", "remove").where("keep != '' and remove != '' and keep != remove").distinct().checkpoint()
+    at = F.struct("pos", "keep", "remove")
+    while left.count() > fold_rows:
+        first = left.groupBy("remove").agg(F.min(at).alias("first"))
+        ends = first.select(F.col("remove").alias("keep"), F.col("first").alias("first_keep"))
+        ready = (F.col("first") == at) & F.coalesce(F.col("first_keep") > at, F.lit(True))
+        marked = left.join(first, "remove").join(ends, "keep", "left").select("pos", "keep", "remove", ready.alias("ready")).checkpoint()
+        taken.append(marked.where("ready").select("remove", "keep"))
+        gone = marked.where("ready").select("remove", at.alias("gone"))
+        rest = marked.where("not ready").select("pos", "keep", "remove").join(gone, "remove", "left").join(gone.select(F.col("remove").alias("keep"), F.col("gone").alias("gone_keep")), "keep", "left")
+        left = rest.where(F.coalesce(F.col("gone") > at, F.lit(True)) & F.coalesce(F.col("gone_keep") > at, F.lit(True))).select("pos", "keep", "remove").checkpoint()
+    taken.append(left.repartition(1).sortWithinPartitions("pos", "keep", "remove").select("remove", "keep").mapInArrow(_fold, _TARGETS))
+    targets = reduce(DataFrame.unionByName, taken).checkpoint()
+    while not targets.join(targets.select(F.col("remove").alias("keep")), "keep", "left_semi").isEmpty():
+        ahead = targets.select(F.col("remove").alias("keep"), F.col("keep").alias("further"))
+        targets = targets.join(ahead, "keep", "left").select("remove", F.coalesce("further", "keep").alias("keep")).checkpoint()
+    return targets
+
+
+_TARGETS = "remove string, keep string"
+
+
+def _fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The merges that are taken out of (remove, keep) in the order of the plan."""
+    gone: dict[str, str] = {}
+    for batch in batches:
+        for remove, keep in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if keep not in gone and remove not in gone:
+                gone[remove] = keep
+    yield pa.RecordBatch.from_arrays([pa.array(gone.keys(), pa.string()), pa.array(gone.values(), pa.string())], names=["remove", "keep"])
 
 
 def apply_renames(g: Graph, renames: DataFrame) -> Graph:

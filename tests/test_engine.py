@@ -2,6 +2,7 @@
 
 import datetime as dt
 import io
+import random
 import zipfile
 
 import pytest
@@ -276,6 +277,36 @@ def test_merges(spark, g):
     assert {r["name"] for r in done.entities.collect()} == {"alpha", "gamma"} and done.relations.count() == 0 and done.observations.count() == 3
 
 
+def fold_by_hand(plan):
+    gone = {}
+    for _, keep, remove in sorted(plan):
+        if keep != remove and keep not in gone and remove not in gone:
+            gone[remove] = keep
+
+    def last(name):
+        while name in gone:
+            name = gone[name]
+        return name
+
+    return {(r, last(r)) for r in gone}
+
+
+def test_merges_of_long_plans(spark):
+    schema = "pos int, keep string, remove string"
+    plan = [(k, f"k{k}", f"r{k}") for k in range(12_000)]
+    got = maintenance.merge_targets(spark, spark.createDataFrame(plan, schema))
+    assert {(r["remove"], r["keep"]) for r in got.collect()} == fold_by_hand(plan)
+    chain = [(-k, f"n{k}", f"n{k + 1}") for k in range(40)] + [(k, f"m{k}", f"m{k + 1}") for k in range(8)]
+    rnd = random.Random(4)
+    for plan in (chain, [(k, f"n{rnd.randrange(60)}", f"n{rnd.randrange(60)}") for k in range(120)]):
+        df = spark.createDataFrame(plan, schema)
+        for fold_rows in (0, 30, 1000):
+            got = [(r["remove"], r["keep"]) for r in maintenance.merge_targets(spark, df, fold_rows).collect()]
+            assert len(got) == len(set(got)) and set(got) == fold_by_hand(plan)
+    odd = spark.createDataFrame([(0, None, "a"), (1, "b", ""), (2, "c", "c"), (3, "b", "a")], schema)
+    assert [tuple(r) for r in maintenance.merge_targets(spark, odd).collect()] == [("a", "b")]
+
+
 def test_archive(spark, g, tmp_path):
     old = spark.createDataFrame([(9, "beta", "ancient", dt.datetime(2023, 1, 1)), (10, "beta", "at the edge", dt.datetime(2023, 11, 3))], g.observations.schema)
     full = graph.Graph(g.entities, g.observations.unionByName(old), g.relations)
