@@ -10,12 +10,16 @@ before and after the position that the fingerprint stands for; runs of equal con
 then meet by their content hash. The first by (doc_id, line) stays; the lines of each
 later one are deleted. Deleted runs that overlap make up the whole repeated passage.
 
+Passages of over 50 words that begin or end inside a line are found by their words (see
+passages) and cut out of their lines, all but the first occurrence.
+
 Occurrences meet in grouped minima, never as pairs, so a line that a third of all
 documents hold costs one partial aggregate a task.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,10 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.llm.common import arrow_schema, materialize, record_batch, slices
+from tesserine.llm.passages import repeated_passages
 
 #: Words that a repeated run has at least.
 MIN_WORDS = 50
+#: Words beside deleted lines that count as more than chance.
+MIN_EDGE = 4
 
+_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _RUNS = "fp long, run long, doc_id long, text_key long, pos int, start int, stop int"
 _BASE = 0xD6E8FEB86659FD93
 _POWER_CACHE: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -137,14 +145,67 @@ def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id
     empty; the row stays. Texts of fewer than min_words words are never touched. Rows
     that repeat both id and text count once and are treated alike; rows that repeat an
     id with another text are documents of their own, ordered by a hash of the text. All
-    columns of df are kept, and their names may clash with none but n_lines and n_removed.
+    columns of df are kept, and their names may clash with none but n_lines, n_removed,
+    n_words_cut (words cut out of lines that stay). Fewer than
+    MIN_EDGE words beside deleted lines stay: they are alike by chance.
     """
     keyed = df.withColumn("__key", F.xxhash64(F.col(text_col)))
     docs = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("__key").alias("text_key"))
-    gone = repeated_ranges(docs, min_words).withColumnsRenamed({"doc_id": "__id", "text_key": "__text_key", "n_removed": "__removed"})
+    gone = repeated_ranges(docs, min_words).drop("n_removed").join(repeated_passages(docs), ["doc_id", "text_key"], "full_outer").withColumnsRenamed({"doc_id": "__id", "text_key": "__text_key"})
     joined = keyed.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text_key")), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.flatten(F.zip_with("gap_start", "gap_stop", lambda a, b: F.slice(lines, a + 1, b - a)))
-    clean = F.when(F.col("__removed").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))
-    plain = [F.col(c) if c != text_col else clean.alias(text_col) for c in df.columns]
-    return joined.select(*plain, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("__removed", F.lit(0)).alias("n_removed"))
+    at = df.columns.index(text_col)
+    parts = joined.select(*(keyed[c] for c in df.columns), *(gone[c] for c in ("gap_start", "gap_stop", "word_start", "word_stop")))
+    names = [*df.columns, "n_lines", "n_removed", "n_words_cut"]
+    width = len(df.columns)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col=at):
+            rows = zip(part.column(at).to_pylist(), *(part.column(width + k).to_pylist() for k in range(4)), strict=True)
+            done = [_clean(*row) for row in rows]
+            columns = [part.column(k) if k != at else pa.array([d[0] for d in done], part.schema.field(at).type) for k in range(width)]
+            columns += [pa.array([d[k] for d in done], pa.int64()) for k in (1, 2, 3)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = df.select(*df.columns, F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_words_cut")).schema
+    return parts.mapInArrow(run, schema)
+
+
+def _clean(text: str | None, gap_start: list | None, gap_stop: list | None, word_start: list | None, word_stop: list | None) -> tuple[str | None, int, int, int]:
+    """The text without its repeats, its lines, how many of them went whole and how many words went from the others."""
+    if text is None:
+        return None, 0, 0, 0
+    lines = text.split("\n")
+    if gap_start is None and word_start is None:
+        return text, len(lines), 0, 0
+    live = np.ones(len(lines), bool)
+    if gap_start is not None:
+        live[:] = False
+        for a, b in zip(gap_start, gap_stop, strict=True):
+            live[a:b] = True
+    if word_start is None:
+        return "\n".join(x for x, k in zip(lines, live, strict=True) if k), len(lines), int((~live).sum()), 0
+    spans = [[m.span() for m in _WORDS.finditer(line)] for line in lines]
+    line_of = np.repeat(np.arange(len(lines)), [len(x) for x in spans])
+    cut = np.zeros(len(line_of) + 1, bool)
+    for a, b in zip(word_start, word_stop, strict=True):
+        cut[a:b] = True
+    step = np.diff(np.concatenate([[False], cut]).astype(np.int8))
+    for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True):
+        left = live[line_of[a:b]]
+        edge = np.diff(np.concatenate([[0], left.astype(np.int8), [0]]))
+        for x, y in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
+            if y - x < MIN_EDGE and y - x < b - a:
+                cut[a + x : a + y] = False
+    kept, removed, n_cut, w = [], 0, 0, 0
+    for line, alive, found in zip(lines, live, spans, strict=True):
+        dead = cut[w : w + len(found)]
+        w += len(found)
+        if not alive or (len(dead) and dead.all()):
+            removed += 1
+        elif not dead.any():
+            kept.append(line)
+        else:
+            n_cut += int(dead.sum())
+            pieces = [line[: found[0][0]]] + [line[a : found[k + 1][0] if k + 1 < len(found) else len(line)] for k, (a, _) in enumerate(found) if not dead[k]]
+            kept.append("".join(pieces).rstrip() if dead[-1] else "".join(pieces))
+    return "\n".join(kept), len(lines), removed, n_cut

@@ -1,0 +1,112 @@
+"""Passages of over 50 words that repeat, wherever they begin and end in their lines.
+
+Words lie between ASCII spaces and line ends. Every window of WINDOW words picks the
+smallest hash among its grams of GRAM words, the leftmost of equals; the windows that
+pick the same gram make up a basin. Equal windows pick equal grams, so a repeated window
+lies in basins that meet by the gram's hash. Basins with equal words meet as one class:
+all but its first go as a whole. Where one gram has several classes, the windows of
+each class's first basin are hashed one by one and meet by content, all but the first go.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tesserine.llm.common import materialize, slices
+from tesserine.llm.fingerprints import _BYTE, _mix, _powers
+
+GRAM, SPAN = 20, 32
+#: Words of a window: the shortest passage that is found.
+WINDOW = GRAM + SPAN - 1
+#: Documents with several classes that are looked up by broadcast; more are joined.
+BROADCAST_ROWS = 200_000
+SLICE = 1_000_000
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_LOW, _HIGH = np.uint64(0xFFFFFF), np.uint64(24)
+
+
+def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts' words: the text of each, its number within it, and running sums of their hashes."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+    inside = np.concatenate([[False], ~_SPACE[data], [False]])
+    start, stop = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+    up, down = _powers(len(data) + 1)
+    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)])
+    words = _mix((running[stop] - running[start]) * down[start] + (stop - start).astype(np.uint64))
+    doc = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), start, side="right")
+    first = np.searchsorted(doc, np.arange(len(raw)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)])
+    return doc, np.arange(len(doc)) - first[doc], sums
+
+
+def _content(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    return _mix((sums[stop] - sums[start]) * _powers(len(sums))[1][start] + (stop - start).astype(np.uint64))
+
+
+def find_basins(texts: list[str]) -> dict[str, np.ndarray]:
+    """Of each basin: doc (index), fp, words (a hash of them), lo (first word) and n (windows)."""
+    doc, number, sums = _hashed(texts)
+    at = np.flatnonzero(doc[: max(0, len(doc) - WINDOW + 1)] == doc[WINDOW - 1 :]) if len(doc) >= WINDOW else np.zeros(0, np.int64)
+    if not len(at):
+        return {k: np.zeros(0, np.int64) for k in ("doc", "fp", "words", "lo", "n")}
+    place = np.arange(len(doc) - GRAM + 1)
+    gram = _content(sums, place, place + GRAM)
+    least = (gram >> _HIGH << _HIGH) | (place.astype(np.uint64) & _LOW)
+    for k in range(SPAN.bit_length() - 1):
+        least = np.minimum(least[: -(1 << k)], least[1 << k :])
+    pos = at + ((((least[at] & _LOW).astype(np.int64)) - at) & 0xFFFFFF)
+    edge = np.flatnonzero(np.concatenate([[True], (pos[1:] != pos[:-1]) | (doc[at[1:]] != doc[at[:-1]])]))
+    lo, n = at[edge], np.diff(np.concatenate([edge, [len(at)]]))
+    words = _content(sums, lo, lo + n + WINDOW - 1)
+    return {"doc": doc[lo], "fp": gram[pos[edge]].view(np.int64), "words": words.view(np.int64), "lo": number[lo], "n": n}
+
+
+def _basins(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, SLICE):
+        found = find_basins(part.column(1).to_pylist())
+        at = pa.array(found["doc"])
+        columns = [pa.array(found["fp"]), pa.array(found["words"]), part.column(0).take(at), part.column(2).take(at), pa.array(found["lo"].astype(np.int32)), pa.array(found["n"].astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, names=["fp", "words", "doc_id", "text_key", "lo", "n"])
+
+
+def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """run, doc_id, text_key, lo of every window in the basins (los, ns) of each text."""
+    for part in slices(batches, SLICE):
+        doc, _, sums = _hashed(part.column(1).to_pylist())
+        first = np.searchsorted(doc, np.arange(part.num_rows))
+        los, ns = part.column(3), part.column(4)
+        owner = np.repeat(np.arange(part.num_rows), [len(x) for x in los])
+        n = ns.flatten().to_numpy().astype(np.int64)
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        lo = np.repeat(los.flatten().to_numpy().astype(np.int64), n) + step
+        owner = np.repeat(owner, n)
+        start = lo + first[owner]
+        at = pa.array(owner)
+        yield pa.RecordBatch.from_arrays([pa.array(_content(sums, start, start + WINDOW).view(np.int64)), part.column(0).take(at), part.column(2).take(at), pa.array(lo.astype(np.int32))], names=["run", "doc_id", "text_key", "lo"])
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, word_start, word_stop: sorted stretches of words, of (doc_id, text, text_key), that stand earlier too."""
+    place = F.struct("doc_id", "text_key", "lo")
+    found = materialize(docs.mapInArrow(_basins, "fp long, words long, doc_id long, text_key long, lo int, n int"), "word-basins")
+    shared = found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.min("words").alias("c"), F.max("words").alias("d")).where("a != b").select("fp", F.expr("c != d").alias("several"))
+    kept = materialize(found.join(shared, "fp"), "shared-basins")
+    classes = kept.groupBy("fp", "words").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("n").alias("n"), F.first("several").alias("several"))
+    whole = kept.join(classes.where("first != last").select("fp", "words", "first"), ["fp", "words"]).where(place != F.col("first")).select("doc_id", "text_key", "lo", (F.col("lo") + F.col("n") + WINDOW - 1).alias("hi"))
+    doubtful = classes.where("several").select("first.*", "n").groupBy("doc_id", "text_key").agg(F.collect_list("lo").alias("los"), F.collect_list("n").alias("ns"))
+    doubtful = materialize(doubtful, "doubtful-basins")
+    few = doubtful.count() <= BROADCAST_ROWS
+    texts = docs.join(F.broadcast(doubtful) if few else doubtful, ["doc_id", "text_key"]).select("doc_id", "text", "text_key", "los", "ns")
+    runs = materialize(texts.mapInArrow(_windows, "run long, doc_id long, text_key long, lo int"), "word-windows")
+    firsts = runs.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("run", "first")
+    single = runs.join(firsts, "run").where(place != F.col("first")).select("doc_id", "text_key", "lo", (F.col("lo") + WINDOW).alias("hi"))
+    ranges = whole.unionByName(single).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("r"))
+    return ranges.select("doc_id", "text_key", F.col("r.lo").alias("word_start"), F.col("r.hi").alias("word_stop"))

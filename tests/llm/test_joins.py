@@ -165,6 +165,17 @@ def test_line_dedup_edges(spark):
     assert [r["text"] for r in got] == [long, ""] and got[0]["pos"] == 1
 
 
+def test_passages_inside_lines(spark):
+    rnd = random.Random(6)
+    some = lambda n: " ".join(f"v{rnd.randrange(10**6)}" for _ in range(n))
+    p, q, short = some(51), some(180), some(50)
+    texts = [f"{some(40)} {p} {some(9)}", f"{some(7)}\n{some(3)} {p} tail end", f"{some(5)} {q} {some(30)}", f"x {' '.join(q.split()[20:150])} y", f"{q[: len(q) // 2]}\n{q[len(q) // 2 :].strip()} z", f"{short} a", f"b {short} c"]
+    got = [r["text"] for r in line_dedup.dedup_lines(docs(spark, texts).repartition(3)).orderBy("doc_id").collect()]
+    head = texts[1][: texts[1].index(p)]
+    assert got[0] == texts[0] and got[1] == f"{head}tail end" and got[2] == texts[2] and got[3] == "x y" and got[5:] == texts[5:]
+    assert len(got[4].split()) <= 4 and got[4].endswith("z")
+
+
 # --- vectors
 
 
