@@ -71,7 +71,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
     found = set()
     for m in _RUN.finditer(text):
         found.add(m.span())
-        if m.end() - m.start() > LONG:
+        if m.end() - m.start() > LONG and not text.endswith("base64,", 0, m.start()):  # an embedded file is judged as a whole
             found.update(p.span() for part in (_PART, _PIECE) for p in part.finditer(text, m.start(), m.end()))
     spans = {(a, b) for a, b in found if _SHAPES.match(text[a:b])}
     for m in _VALUE.finditer(text):
