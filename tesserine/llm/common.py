@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set."""
+    """The shared folder that the cluster names. Where none is set, a folder of our own: in
+    local mode a temporary one, elsewhere one in the warehouse, which all machines share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="tesserine-checkpoints-")
+        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
+        root = tempfile.mkdtemp(prefix="tesserine-checkpoints-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tesserine-checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
@@ -46,6 +48,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Keys that skew_join broadcasts at most.
+HOT_KEYS = 4_000
+
+
+def skew_join(big: DataFrame, small: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """big joined with small, a row a key, where `held` says how many of big's n rows have the key.
+
+    Keys with over n / HOT_KEYS rows, HOT_KEYS at most whatever the corpus, are broadcast, so
+    that their rows stay where they are; the others meet by a shuffle, none of them large.
+    `held` is dropped.
+    """
+    hot = F.col("held") > n / HOT_KEYS
+    often = F.broadcast(small.where(hot).drop("held"))
+    rest = big.join(F.broadcast(small.where(hot).select(*keys)), keys, "left_anti")
+    return big.join(often, keys).unionByName(rest.join(small.where(~hot).drop("held"), keys))
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, a null text as the empty one: extra columns never reach Python."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

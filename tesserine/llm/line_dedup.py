@@ -1,20 +1,24 @@
-"""Line dedup: repeated runs of lines are deleted, all but their first occurrence.
-
-A run is a stretch of whole lines with at least MIN_WORDS words: for each line the
-shortest such stretch that starts there, and the shortest that ends there. Winnowing
-picks in every run the line with the smallest hash, the leftmost of equals, as its
-fingerprint. Equal runs pick the same line, so a passage that repeats is sure to share a
-fingerprint; fingerprints found at one position only are dropped with all their runs.
-At the shared positions the match is extended both ways, which is to say over all runs
-before and after the position that the fingerprint stands for; runs of equal content
-then meet by their content hash. The first by (doc_id, line) stays; the lines of each
-later one are deleted. Deleted runs that overlap make up the whole repeated passage.
-
-Passages of over 50 words that begin or end inside a line are found by their words (see
-passages) and cut out of their lines, all but the first occurrence.
-
-Occurrences meet in grouped minima, never as pairs, so a line that a third of all
-documents hold costs one partial aggregate a task.
+"""Line dedup: passages of over 50 words that repeat are deleted, all but their first occurrence.
+
+A repeated passage may begin and end anywhere in its lines, and copies may be wrapped
+otherwise. So a text counts as all the lines of LINE words that it can be wrapped to, one
+from each of its words on, and white space between words doesn't matter.
+
+1. Winnowing: every window of SPAN such lines, WINDOW words in all, selects the line with
+   the smallest hash, the leftmost of equals, as its fingerprint. Equal windows select
+   equal lines, so a passage of WINDOW words is sure to share a fingerprint. Only selected
+   positions are written, each with its reach: the windows that selected it, which lie
+   around it without a gap, and a hash of all words in them.
+2. Positions are joined by fingerprint; those found at one place only are dropped.
+3. Matches are extended both ways. Positions whose whole reach is alike match up to its
+   ends, and the match goes on at the fingerprints before and after. Where the reaches of
+   one fingerprint differ, the match is extended from the line word by word: the windows
+   of the reach are compared one by one, for one place of each kind of reach.
+4. Of equal windows the first by (doc_id, text, word) stays; later ones are deleted unless
+   they overlap their own first in the same text. So the first run always stays whole.
+
+Places meet in grouped minima, never as pairs, and hot fingerprints meet their minima by
+a broadcast of bounded size (see skew_join).
 """
 
 from __future__ import annotations
@@ -24,143 +28,140 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import arrow_schema, materialize, record_batch, slices
-from tesserine.llm.passages import repeated_passages
+from tesserine.llm.common import materialize, skew_join, slices
+from tesserine.llm.fingerprints import BYTE_HASHES, mix, powers
 
-#: Words that a repeated run has at least.
-MIN_WORDS = 50
-#: Words beside deleted lines that count as more than chance.
-MIN_EDGE = 4
+LINE, SPAN = 20, 32
+#: Words of a window: the shortest passage that is found.
+WINDOW = LINE + SPAN - 1
+#: A list of documents is broadcast up to so many rows; longer ones are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+SLICE = 1_000_000
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-_RUNS = "fp long, run long, doc_id long, text_key long, pos int, start int, stop int"
-_BASE = 0xD6E8FEB86659FD93
-_POWER_CACHE: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    size = 1 << max(16, n.bit_length())
-    if size not in _POWER_CACHE:
-        both = []
-        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        _POWER_CACHE.clear()
-        _POWER_CACHE[size] = (both[0], both[1])
-    return _POWER_CACHE[size]
-
-
-def find_runs(texts: list[str], min_words: int = MIN_WORDS) -> dict[str, np.ndarray]:
-    """The runs of each text: doc (index), fp, run, pos, start and stop; lines count from 0, stop is exclusive."""
-    lines = [t.split("\n") for t in texts]
-    n_lines = np.fromiter(map(len, lines), np.int64, len(lines))
-    flat = [line for doc in lines for line in doc]
-    n = len(flat)
-    words = np.fromiter((len(line.split()) for line in flat), np.int64, n)
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) for line in flat), np.uint64, n)
-    doc = np.repeat(np.arange(len(lines)), n_lines)
-    low = np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
-    high = low + np.repeat(n_lines, n_lines)
-    total = np.concatenate([[0], np.cumsum(words)])
-    here = np.arange(n)
-    stop = np.searchsorted(total, total[:-1] + min_words)
-    begin = np.searchsorted(total, total[1:] - min_words, side="right") - 1
-    forward, backward = stop <= high, begin >= low
-    start = np.concatenate([here[forward], begin[backward]])
-    stop = np.concatenate([stop[forward], here[backward] + 1])
-    pair = np.unique(start * (n + 1) + stop)
-    start, stop = pair // (n + 1), pair % (n + 1)
-    if not len(start):
-        return {k: np.zeros(0, np.int64) for k in ("doc", "fp", "run", "pos", "start", "stop")}
-    # the smallest hash of each run: the top bits of the hash with the line's number below them
-    ranked = np.concatenate([(hashes >> np.uint64(24) << np.uint64(24)) | (here.astype(np.uint64) & np.uint64(0xFFFFFF)), [np.uint64(2**64 - 1)]])
-    least = np.minimum.reduceat(ranked, np.stack([start, stop], 1).ravel())[::2]
-    offset = ((least & np.uint64(0xFFFFFF)).astype(np.int64) - start) & 0xFFFFFF
-    pos = start + offset
-    power, inverse = _powers(n + 1)
-    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[:n], dtype=np.uint64)])
-    content = (running[stop] - running[start]) * inverse[start] + (stop - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    content = (content ^ (content >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return {"doc": doc[start], "fp": hashes[pos].view(np.int64), "run": (content ^ (content >> np.uint64(29))).view(np.int64), "pos": pos - low[start], "start": start - low[start], "stop": stop - low[start]}
-
-
-def runs(docs: DataFrame, min_words: int) -> DataFrame:
-    """Every run with its fingerprint, from (doc_id, text, text_key)."""
-
-    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            found = find_runs(part.column(1).to_pylist(), min_words)
-            at = pa.array(found["doc"])
-            columns = [pa.array(found["fp"]), pa.array(found["run"]), part.column(0).take(at), part.column(2).take(at), *(pa.array(found[k].astype(np.int32)) for k in ("pos", "start", "stop"))]
-            yield pa.RecordBatch.from_arrays(columns, names=["fp", "run", "doc_id", "text_key", "pos", "start", "stop"])
-
-    return docs.mapInArrow(find, _RUNS)
-
-
-def repeated_ranges(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, text_key, the stretches of lines to keep and the number of lines to delete."""
-    found = materialize(runs(docs, min_words), "line-runs")
-    place = F.struct("doc_id", "text_key", "pos")
-    shared = found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("fp")
-    kept = found.join(shared, "fp", "left_semi")
-    at = F.struct("doc_id", "text_key", "start")
-    firsts = kept.groupBy("run").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first != last").select("run", "first")
-    later = kept.join(firsts, "run").where(at != F.col("first"))
-    grouped = later.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("ranges"))
-    return grouped.select("doc_id", "text_key", "ranges.start", "ranges.stop").mapInArrow(_gaps, _GAPS)
-
-
-_GAPS = "doc_id long, text_key long, gap_start array<int>, gap_stop array<int>, n_removed long"
-
-
-def _gaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The stretches of lines between sorted ranges; the last one is open."""
-    schema = arrow_schema(_GAPS)
-    for batch in batches:
-        rows: dict[str, list] = {f.name: [] for f in schema}
-        for doc_id, key, starts, stops in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            at = removed = 0
-            gap_start, gap_stop = [], []
-            for start, stop in zip(starts, stops, strict=True):
-                if start > at:
-                    gap_start.append(at)
-                    gap_stop.append(start)
-                removed += max(0, stop - max(at, start))
-                at = max(at, stop)
-            for name, value in zip(rows, (doc_id, key, [*gap_start, at], [*gap_stop, 2**31 - 1], removed), strict=True):
-                rows[name].append(value)
-        yield record_batch(rows, schema)
-
-
-def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with text_col rid of repeated runs, and n_lines and n_removed beside its columns.
-
-    A null text stays null and has no lines. A text that is wholly a later repeat becomes
-    empty; the row stays. Texts of fewer than min_words words are never touched. Rows
-    that repeat both id and text count once and are treated alike; rows that repeat an
-    id with another text are documents of their own, ordered by a hash of the text. All
-    columns of df are kept, and their names may clash with none but n_lines, n_removed,
-    n_words_cut (words cut out of lines that stay). Fewer than
-    MIN_EDGE words beside deleted lines stay: they are alike by chance.
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_LOW, _HIGH = np.uint64(0xFFFFFF), np.uint64(24)
+
+
+def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts' words: the text of each, its number within it, and running sums of their hashes."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+    inside = np.concatenate([[False], ~_SPACE[data], [False]])
+    start, stop = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+    up, down = powers(len(data) + 1)
+    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_HASHES[data] * up[: len(data)], dtype=np.uint64)])
+    words = mix((running[stop] - running[start]) * down[start] + (stop - start).astype(np.uint64))
+    doc = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), start, side="right")
+    first = np.searchsorted(doc, np.arange(len(raw)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)])
+    return doc, np.arange(len(doc)) - first[doc], sums
+
+
+def _content(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    return mix((sums[stop] - sums[start]) * powers(len(sums))[1][start] + (stop - start).astype(np.uint64))
+
+
+def winnow(texts: list[str]) -> dict[str, np.ndarray]:
+    """The selected positions: doc (index), fp, reach (a hash of its words), lo (first word of the reach) and n (windows)."""
+    doc, number, sums = _hashed(texts)
+    at = np.flatnonzero(doc[: max(0, len(doc) - WINDOW + 1)] == doc[WINDOW - 1 :]) if len(doc) >= WINDOW else np.zeros(0, np.int64)
+    if not len(at):
+        return {k: np.zeros(0, np.int64) for k in ("doc", "fp", "reach", "lo", "n")}
+    place = np.arange(len(doc) - LINE + 1)
+    lines = _content(sums, place, place + LINE)
+    least = (lines >> _HIGH << _HIGH) | (place.astype(np.uint64) & _LOW)
+    for k in range(SPAN.bit_length() - 1):
+        least = np.minimum(least[: -(1 << k)], least[1 << k :])
+    pos = at + ((((least[at] & _LOW).astype(np.int64)) - at) & 0xFFFFFF)
+    edge = np.flatnonzero(np.concatenate([[True], (pos[1:] != pos[:-1]) | (doc[at[1:]] != doc[at[:-1]])]))
+    lo, n = at[edge], np.diff(np.concatenate([edge, [len(at)]]))
+    reach = _content(sums, lo, lo + n + WINDOW - 1)
+    return {"doc": doc[lo], "fp": lines[pos[edge]].view(np.int64), "reach": reach.view(np.int64), "lo": number[lo], "n": n}
+
+
+def _selected(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, SLICE):
+        found = winnow(part.column(1).to_pylist())
+        at = pa.array(found["doc"])
+        columns = [pa.array(found["fp"]), pa.array(found["reach"]), part.column(0).take(at), part.column(2).take(at), pa.array(found["lo"].astype(np.int32)), pa.array(found["n"].astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, names=["fp", "reach", "doc_id", "text_key", "lo", "n"])
+
+
+def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """run, doc_id, text_key, lo of every window in the reaches (los, ns) of each text."""
+    for part in slices(batches, SLICE):
+        doc, _, sums = _hashed(part.column(1).to_pylist())
+        first = np.searchsorted(doc, np.arange(part.num_rows))
+        los, ns = part.column(3), part.column(4)
+        owner = np.repeat(np.arange(part.num_rows), [len(x) for x in los])
+        n = ns.flatten().to_numpy().astype(np.int64)
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        lo = np.repeat(los.flatten().to_numpy().astype(np.int64), n) + step
+        owner = np.repeat(owner, n)
+        start = lo + first[owner]
+        at = pa.array(owner)
+        yield pa.RecordBatch.from_arrays([pa.array(_content(sums, start, start + WINDOW).view(np.int64)), part.column(0).take(at), part.column(2).take(at), pa.array(lo.astype(np.int32))], names=["run", "doc_id", "text_key", "lo"])
+
+
+def _overlaps(first: str = "first"):
+    """Whether a place lies in the same text as its first one and less than a window behind it."""
+    return F.col(f"{first}.doc_id").eqNullSafe(F.col("doc_id")) & F.col(f"{first}.text_key").eqNullSafe(F.col("text_key")) & (F.col("lo") - F.col(f"{first}.lo") < WINDOW)
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, word_start, word_stop: sorted stretches of words, of (doc_id, text, text_key), that stand earlier too."""
+    place = F.struct("doc_id", "text_key", "lo")
+    found = materialize(docs.mapInArrow(_selected, "fp long, reach long, doc_id long, text_key long, lo int, n int"), "line-fingerprints")
+    shared = found.groupBy("fp").agg(F.count("*").alias("held"), F.min("reach").alias("c"), F.max("reach").alias("d")).where("held > 1").select("fp", "held", F.expr("c != d").alias("several"))
+    kept = materialize(skew_join(found, materialize(shared, "shared-fingerprints"), ["fp"], found.count()), "shared-positions")
+    n_kept = kept.count()
+    kinds = materialize(kept.groupBy("fp", "reach").agg(F.count("*").alias("held"), F.min(place).alias("first"), F.min("n").alias("n"), F.first("several").alias("several")), "reaches")
+    alike = skew_join(kept.drop("several", "n"), kinds.where("held > 1"), ["fp", "reach"], n_kept).where(place != F.col("first"))
+    alike = materialize(alike.select("doc_id", "text_key", "lo", "n", "several", _overlaps().alias("overlaps")), "later-positions")
+    whole = alike.where("not overlaps").select("doc_id", "text_key", "lo", (F.col("lo") + F.col("n") + WINDOW - 1).alias("hi"))
+    # one place of each kind of reach, and those that overlap it, are extended window by window
+    differing = kinds.where("several").select("first.*", "n").unionByName(alike.where("overlaps and several").select("doc_id", "text_key", "lo", "n"))
+    differing = materialize(differing.groupBy("doc_id", "text_key").agg(F.collect_list("lo").alias("los"), F.collect_list("n").alias("ns")), "differing-reaches")
+    few = differing.count() <= BROADCAST_ROWS
+    texts = docs.join(F.broadcast(differing) if few else differing, ["doc_id", "text_key"]).select("doc_id", "text", "text_key", "los", "ns")
+    runs = materialize(texts.mapInArrow(_windows, "run long, doc_id long, text_key long, lo int"), "windows")
+    firsts = materialize(runs.groupBy("run").agg(F.count("*").alias("held"), F.min(place).alias("first")).where("held > 1"), "first-windows")
+    single = skew_join(runs, firsts, ["run"], runs.count()).where((place != F.col("first")) & ~_overlaps()).select("doc_id", "text_key", "lo", (F.col("lo") + WINDOW).alias("hi"))
+    ranges = whole.unionByName(single).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("r"))
+    return ranges.select("doc_id", "text_key", F.col("r.lo").alias("word_start"), F.col("r.hi").alias("word_stop"))
+
+
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with text_col rid of repeated passages, and n_lines, n_removed, n_words_cut beside its columns.
+
+    n_removed counts lines that went whole, n_words_cut words that went from lines that
+    stay. A null text stays null and has no lines. A text that is wholly a later repeat
+    becomes empty; the row stays. Texts of fewer than WINDOW words are never touched, nor
+    are equal lines of fewer words, however often they occur. Rows that repeat both id and
+    text count once and are treated alike; rows that repeat an id with another text are
+    documents of their own, ordered by a hash of the text; rows without an id come first
+    and those of one text count as one. All columns of df are kept, and their names may
+    clash with none but the three added ones.
     """
     keyed = df.withColumn("__key", F.xxhash64(F.col(text_col)))
     docs = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("__key").alias("text_key"))
-    gone = repeated_ranges(docs, min_words).drop("n_removed").join(repeated_passages(docs), ["doc_id", "text_key"], "full_outer").withColumnsRenamed({"doc_id": "__id", "text_key": "__text_key"})
-    joined = keyed.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text_key")), "left")
+    null_id = F.lit(-(1 << 63))  # a null id joins with nothing, so it takes the smallest number
+    docs = docs.withColumn("doc_id", F.coalesce("doc_id", null_id))
+    gone = repeated_passages(docs).withColumnsRenamed({"doc_id": "__id", "text_key": "__text_key"})
+    joined = keyed.join(gone, (F.coalesce(F.col(id_col).cast("long"), null_id) == F.col("__id")) & (F.col("__key") == F.col("__text_key")), "left")
     at = df.columns.index(text_col)
-    parts = joined.select(*(keyed[c] for c in df.columns), *(gone[c] for c in ("gap_start", "gap_stop", "word_start", "word_stop")))
+    parts = joined.select(*(keyed[c] for c in df.columns), *(gone[c] for c in ("word_start", "word_stop")))
     names = [*df.columns, "n_lines", "n_removed", "n_words_cut"]
     width = len(df.columns)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col=at):
-            rows = zip(part.column(at).to_pylist(), *(part.column(width + k).to_pylist() for k in range(4)), strict=True)
+            rows = zip(part.column(at).to_pylist(), *(part.column(width + k).to_pylist() for k in range(2)), strict=True)
             done = [_clean(*row) for row in rows]
             columns = [part.column(k) if k != at else pa.array([d[0] for d in done], part.schema.field(at).type) for k in range(width)]
             columns += [pa.array([d[k] for d in done], pa.int64()) for k in (1, 2, 3)]
@@ -170,37 +171,24 @@ def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id
     return parts.mapInArrow(run, schema)
 
 
-def _clean(text: str | None, gap_start: list | None, gap_stop: list | None, word_start: list | None, word_stop: list | None) -> tuple[str | None, int, int, int]:
+def _clean(text: str | None, word_start: list | None, word_stop: list | None) -> tuple[str | None, int, int, int]:
     """The text without its repeats, its lines, how many of them went whole and how many words went from the others."""
     if text is None:
         return None, 0, 0, 0
     lines = text.split("\n")
-    if gap_start is None and word_start is None:
-        return text, len(lines), 0, 0
-    live = np.ones(len(lines), bool)
-    if gap_start is not None:
-        live[:] = False
-        for a, b in zip(gap_start, gap_stop, strict=True):
-            live[a:b] = True
     if word_start is None:
-        return "\n".join(x for x, k in zip(lines, live, strict=True) if k), len(lines), int((~live).sum()), 0
+        return text, len(lines), 0, 0
     spans = [[m.span() for m in _WORDS.finditer(line)] for line in lines]
-    line_of = np.repeat(np.arange(len(lines)), [len(x) for x in spans])
-    cut = np.zeros(len(line_of) + 1, bool)
+    cut = np.zeros(sum(map(len, spans)) + 1, bool)
     for a, b in zip(word_start, word_stop, strict=True):
         cut[a:b] = True
-    step = np.diff(np.concatenate([[False], cut]).astype(np.int8))
-    for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True):
-        left = live[line_of[a:b]]
-        edge = np.diff(np.concatenate([[0], left.astype(np.int8), [0]]))
-        for x, y in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-            if y - x < MIN_EDGE and y - x < b - a:
-                cut[a + x : a + y] = False
     kept, removed, n_cut, w = [], 0, 0, 0
-    for line, alive, found in zip(lines, live, spans, strict=True):
+    for line, found in zip(lines, spans, strict=True):
         dead = cut[w : w + len(found)]
+        # a blank line goes with the repeat that it lies in
+        gone = dead.all() if len(found) else bool(w and cut[w - 1] and cut[w])
         w += len(found)
-        if not alive or (len(dead) and dead.all()):
+        if gone:
             removed += 1
         elif not dead.any():
             kept.append(line)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tesserine.llm import components, hashing_search, line_dedup, ngram_join
+from tesserine.llm import common, components, hashing_search, line_dedup, ngram_join
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -111,28 +111,21 @@ def test_suffix_bound_is_a_bound():
 # --- line dedup
 
 
-def dedup_by_hand(texts, t=50):
-    def runs(lines):
-        words, out = [len(x.split()) for x in lines], set()
-        for k in range(len(lines)):
-            for step, far in ((1, len(lines)), (-1, -1)):
-                total = 0
-                for e in range(k, far, step):
-                    total += words[e]
-                    if total >= t:
-                        out.add((min(k, e), max(k, e) + 1))
-                        break
-        return out
-
-    every = [(i, a, b, tuple(t.split("\n")[a:b])) for i, t in enumerate(texts) if t for a, b in runs(t.split("\n"))]
-    first = {}
-    for i, a, _, c in every:
-        first[c] = min(first.get(c, (i, a)), (i, a))
-    gone = {}
-    for i, a, b, c in every:
-        if first[c] != (i, a):
-            gone.setdefault(i, set()).update(range(a, b))
-    return {i: (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())), len(gone.get(i, ()))) for i, t in enumerate(texts)}
+def dedup_by_hand(texts, t=51):
+    """(words kept, whether the text changed) from the statement: of equal windows of t words all but the first go, overlaps with the first apart."""
+    first, held = {}, [re.findall(r"[^\x20\x09-\x0D]+", x or "") for x in texts]
+    for i, w in enumerate(held):
+        for k in range(len(w) - t + 1):
+            first.setdefault(tuple(w[k : k + t]), (i, k))
+    out = {}
+    for i, w in enumerate(held):
+        gone = set()
+        for k in range(len(w) - t + 1):
+            j, at = first[tuple(w[k : k + t])]
+            if j != i or k - at >= t:
+                gone.update(range(k, k + t))
+        out[i] = [x for k, x in enumerate(w) if k not in gone]
+    return out
 
 
 def line_corpus(rnd):
@@ -151,8 +144,24 @@ def line_corpus(rnd):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_line_dedup_equals_brute_force(spark, seed):
     texts = line_corpus(random.Random(seed))
-    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(docs(spark, texts).repartition(5)).collect()}
-    assert got == dedup_by_hand(texts)
+    want = dedup_by_hand(texts)
+    for r in line_dedup.dedup_lines(docs(spark, texts).repartition(5)).collect():
+        before = texts[r["doc_id"]]
+        if before is None:
+            assert r["text"] is None and r["n_lines"] == 0
+            continue
+        assert (r["text"] or "").split() == want[r["doc_id"]] and r["n_lines"] == before.count("\n") + 1
+        assert r["text"] == before or len(want[r["doc_id"]]) < len(before.split())
+        assert r["n_words_cut"] <= len(before.split()) - len(want[r["doc_id"]])
+
+
+def test_a_run_that_repeats_itself_keeps_its_first(spark):
+    line = " ".join(f"w{k}" for k in range(10))
+    texts = ["\n".join([line] * 20), "and " * 300, "\n".join([line] * 7)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert got[0]["text"] == "\n".join([line] * 6) and got[0]["n_removed"] == 14
+    assert len(got[1]["text"].split()) == 51 and got[2]["text"] == ""
+    assert {k: r["text"].split() for k, r in got.items()} == dedup_by_hand(texts)
 
 
 def test_line_dedup_edges(spark):
@@ -160,9 +169,14 @@ def test_line_dedup_edges(spark):
     long = " ".join(f"x{k}" for k in range(80))
     again = docs(spark, [long, "short"]).unionByName(docs(spark, [long]))
     assert sorted(r["n_removed"] for r in line_dedup.dedup_lines(again).collect()) == [0, 0, 0]  # one id and text: one document
-    clashing = docs(spark, [long, long]).withColumn("pos", F.lit(1)).withColumn("fp", F.lit(2))
+    clashing = docs(spark, [long, long]).withColumn("reach", F.lit(1)).withColumn("fp", F.lit(2)).withColumn("first", F.lit("z")).withColumn("lo", F.lit(3))
     got = line_dedup.dedup_lines(clashing).orderBy("doc_id").collect()
-    assert [r["text"] for r in got] == [long, ""] and got[0]["pos"] == 1
+    assert [r["text"] for r in got] == [long, ""] and (got[0]["reach"], got[0]["fp"], got[0]["first"], got[0]["lo"]) == (1, 2, "z", 3)
+    no_id = spark.createDataFrame([(None, long), (None, long), (None, f"a {long}"), (5, long)], "doc_id long, text string")
+    assert sorted(r["text"] for r in line_dedup.dedup_lines(no_id).collect())[0] == ""
+    huge = " ".join(f"y{k}" for k in range(200_000))
+    got = line_dedup.dedup_lines(docs(spark, [huge, f"new {huge} end"])).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == [huge, "new end"]
 
 
 def test_passages_inside_lines(spark):
@@ -176,6 +190,15 @@ def test_passages_inside_lines(spark):
     assert len(got[4].split()) <= 4 and got[4].endswith("z")
 
 
+def test_hot_keys_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
+    big = spark.createDataFrame([(k % 7 if k % 2 else 0, k) for k in range(200)], "key long, v long")
+    small = big.groupBy("key").agg(F.count("*").alias("held"), F.min("v").alias("m"))
+    got = common.skew_join(big, small, ["key"], 200)
+    assert got.columns == ["key", "v", "m"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, big.join(small.drop("held"), "key").collect()))
+
+
 # --- vectors
 
 
