@@ -5,7 +5,8 @@ key (rank, position) of the pair that starts there; inner nodes hold the minimum
 their children, so the root names the leftmost pair of the lowest rank. A merge is
 three point updates (the pair itself, its left neighbour, the vanished right symbol),
 each of which touches one leaf-to-root path: O(log n) for a merge and O(n log n) for
-a word, until no mergeable pair remains. NumPy carries the step for all rows at once.
+a word, until no mergeable pair remains. NumPy carries the step for all rows at once,
+and the last few rows, or a single very long word, go through the same steps one by one.
 
 Texts are cut at white space first; a piece's ids don't depend on its neighbours, so a
 bounded cache by piece holds for all of a worker's tasks.
@@ -31,6 +32,8 @@ CACHE_ENTRIES = 900_000
 #: Cells of a batch of segment trees at most, for bounded memory.
 BATCH_CELLS = 1 << 21
 NONE = np.int64(1) << 60
+#: So many live rows or fewer are finished one by one: a step over arrays costs more than they do.
+FEW_ROWS = 12
 
 #: White space as Unicode's White_Space has it; str.split() also cuts at the four below.
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -78,12 +81,15 @@ class PairRanks:
         right = np.array([vocab[b] for _, b in merges], np.int64)
         made = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.by_rank = np.concatenate([made, [-1]]).astype(np.int32)
+        self.made: list[int] = made.tolist()
         key = left << 20 | right
         rank = np.arange(len(key))
         # of a pair listed twice the later listing holds
         key, rank = key[::-1], rank[::-1]
         self.keys, first = np.unique(key, return_index=True)
         self.ranks = rank[first]
+        #: The same by a pair's packed key, for single look-ups.
+        self.table = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
 
     def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks, or -1 where the pair doesn't merge."""
@@ -124,7 +130,7 @@ class SegmentTrees:
     def merge_all(self) -> None:
         tree, w = self.tree, self.w
         live = np.flatnonzero(tree[:, 1] < NONE)
-        while live.size:
+        while live.size > FEW_ROWS:
             root = tree[live, 1]
             at = root % w
             made = self.pairs.by_rank[root // w]
@@ -145,6 +151,40 @@ class SegmentTrees:
             self._lift(live, at)
             self._lift(live[some], ahead[some])
             live = live[tree[live, 1] < NONE]
+        for row in live.tolist():
+            self._finish(row)
+
+    def _finish(self, row: int) -> None:
+        """The same steps for one row, without arrays: for the last few live rows and for very long words."""
+        w, none, table, made = self.w, int(NONE), self.pairs.table, self.pairs.made
+        tree, symbols, after, before = (x[row].tolist() for x in (self.tree, self.symbols, self.after, self.before))
+        length = int(self.lengths[row])
+
+        def put(at: int, right: int) -> None:
+            rank = table.get(symbols[at] << 20 | symbols[right], -1) if right < length else -1
+            node = w + at
+            tree[node] = rank * w + at if rank >= 0 else none
+            node >>= 1
+            while node:
+                a, b = tree[2 * node], tree[2 * node + 1]
+                least = a if a < b else b
+                if tree[node] == least:
+                    return  # nothing above changes
+                tree[node] = least
+                node >>= 1
+
+        while (root := tree[1]) < none:
+            at = root % w
+            gone = after[at]
+            following = after[gone]
+            symbols[at], symbols[gone], after[at] = made[root // w], -1, following
+            if following < length:
+                before[following] = at
+            put(gone, length)
+            put(at, following)
+            if before[at] >= 0:
+                put(before[at], at)
+        self.symbols[row] = symbols
 
 
 class Bpe:

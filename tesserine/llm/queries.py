@@ -19,7 +19,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.token_counts(table(spark, sf_dir, "documents"), limit=2048)
-    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit", "chars_within_limit")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

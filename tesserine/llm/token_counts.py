@@ -1,80 +1,242 @@
-"""Token counts by dynamic programming over prefixes.
-
-White space always ends a token, so the count of the first k words obeys
-count[k] = count[k-1] + tokens(word k), and inside a word a table of its own prefixes
-holds the rest. The operator stores the running count at every stride-th word; any
-prefix of the text is then answered exactly from the last stored count and the few
-words after it, without encoding what lies before.
+"""Token counts at every prefix, by dynamic programming.
+
+The last token of a prefix's encoding tells the rest: before it stands the encoding of a
+shorter prefix. So count[i] = count[i - |t|] + 1 for the one token t that ends at i and
+may follow the last token at i - |t|. A token may follow another if no merge joins a part
+at the end of the one with a part at the start of the other before these parts are
+absorbed. White space always ends a token, so the counts of a text are those of its
+pieces, one after another, and a piece's are computed once and kept.
+
+The operator stores how the exact count changes with each character, one signed byte
+each (a token spans 32 letters at most). What a prefix costs is then a sum, and what fits
+a budget a search in running sums; no text is encoded again.
 """
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.bpe import DEFAULT_VOCABULARY, Bpe, load
+from tesserine.llm.bpe import _PIECES, DEFAULT_VOCABULARY, Bpe, byte_letters, is_plain, load
 from tesserine.llm.common import id_text, map_texts
 
-STRIDE = 64
-
-
-def word_counts(bpe: Bpe, text: str) -> np.ndarray:
-    """Token count of each prefix of whole words; the first entry is 0."""
-    size = bpe.dtype.itemsize
-    return np.concatenate([[0], np.cumsum([len(p) // size for p in bpe.packed([text])[0]])]).astype(np.int64)
-
-
-def prefix_counts(bpe: Bpe, text: str) -> np.ndarray:
-    """Token count of text[:i] for every i from 0 to len(text)."""
-    out = np.zeros(len(text) + 1, np.int64)
-    at = total = 0
-    for word in bpe.split(text):
-        start = text.index(word, at)
-        out[at : start + 1] = total
-        inner = bpe.encode_batch([word[:j] for j in range(1, len(word) + 1)])
-        out[start + 1 : start + len(word) + 1] = total + np.array([len(x) for x in inner])
-        at = start + len(word)
-        total = int(out[at])
-    out[at:] = total
-    return out
-
-
-def count_prefix(bpe: Bpe, text: str, stored: list[int], n_chars: int, stride: int = STRIDE) -> int:
-    """Tokens of text[:n_chars] from the stored counts and at most stride words after them."""
-    words = bpe.split(text[:n_chars])
-    # the last word may be cut short: only the words before it are sure to be whole
-    k = min(max(0, len(words) - 1) // stride, len(stored) - 1)
-    return stored[k] + sum(len(x) for x in bpe.encode_batch([" ".join(words[k * stride :])]))
+CACHE_PIECES = 400_000
+
+
+class PrefixCounter:
+    """Counts of all prefixes of a piece, a stretch of text without white space."""
+
+    def __init__(self, bpe: Bpe):
+        self.bpe = bpe
+        self.letters = byte_letters()
+        end = next((k for k in bpe.vocab if k.startswith(self.letters[97]) and len(k) > 1 and bpe.vocab[k] == int(bpe.last[97])), self.letters[97])
+        self.end = end[1:]
+        merged = set(bpe.pairs.made) | set(bpe.inner.tolist()) | set(bpe.last.tolist())
+        size = len(self.end)
+        self.last = {k[: len(k) - size]: i for k, i in bpe.vocab.items() if i in merged and self.end and k.endswith(self.end)}
+        self.inner = {k: i for k, i in bpe.vocab.items() if i in merged and not (self.end and k.endswith(self.end))}
+        if not self.end:
+            self.last = self.inner
+        #: Both by their letters: the token inside a word and the one that ends it, -1 for none.
+        self.tokens = {k: (self.inner.get(k, -1), self.last.get(k, -1)) for k in {*self.last, *self.inner}}
+        self.longest = max(map(len, self.tokens))
+        self.rank: dict[int, int] = {}
+        self.parts: dict[int, tuple[int, int]] = {}
+        for key, rank in bpe.pairs.table.items():
+            made = bpe.pairs.made[rank]
+            if rank < self.rank.get(made, 1 << 40):
+                self.rank[made], self.parts[made] = rank, (key >> 20, key & 0xFFFFF)
+        self._spines: tuple[dict[int, list], dict[int, list]] = ({}, {})
+        self._follows: dict[int, bool] = {}
+        self.known: dict[str, bytes] = {}
+        self.words: dict[str, list[int]] = {}
+
+    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The parts of a token at its end (side 1) or start (side 0), each with the rank of the merge that absorbs it."""
+        found = self._spines[side].get(token)
+        if found is None:
+            found, part, until = [], token, 1 << 40
+            while True:
+                found.append((part, until))
+                if part not in self.parts:
+                    break
+                until, part = self.rank[part], self.parts[part][side]
+            self._spines[side][token] = found
+        return found
+
+    def follows(self, a: int, b: int) -> bool:
+        """Whether the encoding of both tokens' letters is a, b."""
+        key = a << 20 | b
+        known = self._follows.get(key)
+        if known is None:
+            table, known = self.bpe.pairs.table, True
+            for x, x_until in self._spine(a, 1):
+                for y, y_until in self._spine(b, 0):
+                    rank = table.get(x << 20 | y)
+                    # of equal pairs the leftmost merges first
+                    if rank is not None and rank < x_until and rank <= y_until:
+                        known = False
+            if len(self._follows) > 4 * CACHE_PIECES:
+                self._follows.clear()
+            self._follows[key] = known
+        return known
+
+    def word(self, letters: str) -> list[int]:
+        """Token counts of letters[:i] for i from 0, each prefix a word of its own."""
+        found = self.words.get(letters)
+        if found is not None:
+            return found
+        n, table, longest, follows = len(letters), self.tokens.get, self.longest, self.follows
+        tokens, counts, out = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        for i in range(1, n + 1):
+            inside = ends = True  # still wanted
+            for start in range(max(0, i - longest), i):
+                both = table(letters[start:i])
+                if both is None:
+                    continue
+                token, last = both
+                before = tokens[start]
+                if inside and token >= 0 and (not start or follows(before, token)):
+                    tokens[i], counts[i], inside = token, counts[start] + 1, False
+                if ends and last >= 0 and (not start or follows(before, last)):
+                    out[i], ends = counts[start] + 1, False
+                if not (inside or ends):
+                    break
+            if inside or ends:
+                raise ValueError("a letter without a token")
+        if len(self.words) >= CACHE_PIECES:
+            self.words.clear()
+        self.words[letters] = out
+        return out
+
+    def _normal(self, text: str, pretokens: list[str]) -> list[int]:
+        """Counts of every prefix of normalised text, cut to pretokens."""
+        out, total = [0], 0
+        for word in pretokens:
+            raw = word.encode("utf-8", "surrogatepass")
+            if word[0] == "'" and len(word) > 1 and word[1].isalpha():  # a contraction; cut short it is a quote and a letter
+                quote, whole = self.word(self.letters[39])[1], self.word("".join([self.letters[b] for b in raw]))[len(raw)]
+                steps = [quote, *([quote + self.word(self.letters[ord(word[1])])[1]] if len(word) == 3 else []), whole]
+            else:
+                counts = self.word("".join([self.letters[b] for b in raw]))
+                if len(raw) == len(word):
+                    steps = counts[1:]
+                else:
+                    steps, at = [], 0
+                    for c in word:
+                        at += len(c.encode("utf-8", "surrogatepass"))
+                        steps.append(counts[at])
+            out += [total + k for k in steps]
+            total += steps[-1]
+        return out
+
+    def _odd(self, piece: str) -> list[int]:
+        """Counts of every prefix of a raw piece, the library's own rules applied."""
+        library, bpe = self.bpe._library, self.bpe
+        out, before = [0], ""
+        for part in bpe._special.split(piece) if bpe._special else [piece]:
+            base = out[-1 - len(before)]
+            if part in bpe.special:  # cut short it is text behind the text before it
+                # the count before it, and one more, once it is whole
+                inside = self._odd_text(before + part, library)
+                out += [base + k for k in inside[len(before) + 1 : -1]] + [out[-1] + 1]
+                before = ""
+            elif part:
+                out += [base + k for k in self._odd_text(part, library)[1:]]
+                before = part
+        return out
+
+    def _odd_text(self, part: str, library) -> list[int]:
+        """Counts of a part without special strings that count as such."""
+        clean = library.normalizer.normalize_str(part)
+        each = [library.normalizer.normalize_str(c) for c in part]
+        if unicodedata.is_normalized("NFC", part) and "".join(each) == clean and "" not in each:
+            counts = self._normal(clean, [clean[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(clean)])
+            at = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+            return [counts[k] for k in at]
+        # composing characters change what stands before them: each prefix on its own
+        return [sum(self._normal(c, [c[a:b]])[-1] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(c)) if (c := library.normalizer.normalize_str(part[:i])) else 0 for i in range(len(part) + 1)]
+
+    def steps(self, piece: str, plain: bool) -> bytes:
+        """Changes of the count with each character of a piece, lower-cased already if plain."""
+        key = piece if plain else "\n" + piece
+        found = self.known.get(key)
+        if found is None:
+            if len(self.known) >= CACHE_PIECES:
+                self.known.clear()
+            counts = self._normal(piece, _PIECES.findall(piece)) if plain else self._odd(piece)
+            found = self.known[key] = np.diff(np.array(counts, np.int64)).astype(np.int8).tobytes()
+        return found
+
+    def text(self, text: str) -> bytes:
+        """Changes of the count with each character of a text."""
+        plain = is_plain(text)
+        pieces = self.bpe.split(text.lower() if plain else text)
+        known = self.known.get
+        found = [known(p) or self.steps(p, True) for p in pieces] if plain else [self.steps(p, False) for p in pieces]
+        whole = b"\0".join(found)
+        if len(whole) == len(text):  # single blanks between the words and none around them
+            return whole
+        out, at, low = bytearray(len(text)), 0, text.lower() if plain else text
+        for p, step in zip(pieces, found, strict=True):
+            at = low.index(p, at)
+            out[at : at + len(p)] = step
+            at += len(p)
+        return bytes(out)
+
+
+@functools.lru_cache(maxsize=2)
+def counter(vocabulary: str = DEFAULT_VOCABULARY) -> PrefixCounter:
+    """One counter for each worker process."""
+    return PrefixCounter(load(vocabulary))
+
+
+def running(steps: bytes) -> np.ndarray:
+    """Token count of every prefix, from the empty one to the whole text, out of what is stored."""
+    return np.concatenate([[0], np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int64)])
+
+
+def count_prefix(steps: bytes, n_chars: int) -> int:
+    """Tokens of text[:n_chars], from what is stored."""
+    return int(np.frombuffer(steps, np.int8)[:n_chars].sum(dtype=np.int64))
+
+
+def chars_within(steps: bytes, budget: int) -> int:
+    """The longest prefix whose tokens fit the budget, in characters, from what is stored."""
+    fits = np.flatnonzero(running(steps) <= budget)
+    return int(fits[-1]) if len(fits) else 0
+
+
+def token_counts(df: DataFrame, limit: int = 2048, vocabulary: str = DEFAULT_VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit, chars_within_limit, steps.
+
+    steps stores the count at every prefix as changes, a byte a character; the count of
+    the whole text is their sum, and chars_within_limit the longest prefix of at most
+    limit tokens. A null text counts as empty: no bytes, no tokens. Repeated rows give
+    repeated results; columns besides id and text are not read. A very long word costs
+    time in proportion to its length; only one with characters that compose with those
+    before them (not in normal form C) costs its square.
+    """
 
+    def rows(ids: list, texts: list[str]) -> dict[str, list]:
+        prefixes = counter(vocabulary)
+        steps = [prefixes.text(t) for t in texts]
+        return {"doc_id": ids, "n_bytes": [len(t.encode()) for t in texts], "n_tokens": [count_prefix(s, len(s)) for s in steps], "chars_within_limit": [chars_within(s, limit) for s in steps], "steps": steps}
 
-def words_within(bpe: Bpe, text: str, stored: list[int], budget: int, stride: int = STRIDE) -> int:
-    """The most leading words whose tokens fit the budget, found in the stored counts first."""
-    k = int(np.searchsorted(stored, budget, side="right")) - 1
-    if k < 0:
-        return 0
-    rest = bpe.split(text)[k * stride : (k + 1) * stride]
-    size = bpe.dtype.itemsize
-    counts = np.cumsum([len(p) // size for p in bpe.packed([" ".join(rest)])[0]]) if rest else np.array([])
-    return k * stride + int(np.searchsorted(counts, budget - stored[k], side="right"))
+    counted = map_texts(id_text(df, id_col, text_col), rows, "doc_id long, n_bytes long, n_tokens long, chars_within_limit long, steps binary")
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-def token_counts(df: DataFrame, limit: int = 2048, stride: int = STRIDE, vocabulary: str = DEFAULT_VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, stored: counts before every stride-th word.
-
-    A null text counts as empty: no bytes, no tokens, stored [0]. Repeated rows give
-    repeated results; columns besides id and text are not read.
-    """
+def truncated(df: DataFrame, budget: int, vocabulary: str = DEFAULT_VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text cut to the longest prefix of at most `budget` tokens, n_tokens of it."""
 
     def rows(ids: list, texts: list[str]) -> dict[str, list]:
-        bpe = load(vocabulary)
-        size = bpe.dtype.itemsize
-        totals, stored = [], []
-        for pieces in bpe.packed(texts):
-            running = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)), dtype=np.int64) // size
-            totals.append(int(running[-1]) if len(running) else 0)
-            stored.append(np.concatenate([[0], running[stride - 1 :: stride]]).astype(np.int32))
-        return {"doc_id": ids, "n_bytes": [len(t.encode()) for t in texts], "n_tokens": totals, "stored": stored}
-
-    counted = map_texts(id_text(df, id_col, text_col), rows, "doc_id long, n_bytes long, n_tokens long, stored array<int>")
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+        steps = [counter(vocabulary).text(t) for t in texts]
+        ends = [chars_within(s, budget) for s in steps]
+        return {"doc_id": ids, "text": [t[:e] for t, e in zip(texts, ends, strict=True)], "n_tokens": [count_prefix(s, e) for s, e in zip(steps, ends, strict=True)]}
+
+    return map_texts(id_text(df, id_col, text_col), rows, "doc_id long, text string, n_tokens long")

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -75,28 +76,48 @@ def test_counts(spark, data, library):
     for r in queries.op2_token_counts(spark, data).collect():
         n = len(library.encode(rows[r["doc_id"]], add_special_tokens=False).ids)
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(rows[r["doc_id"]].encode()), n, n > 2048)
+        assert r["chars_within_limit"] == len(rows[r["doc_id"]]) if n <= 2048 else 0 < r["chars_within_limit"] < len(rows[r["doc_id"]])
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.text(alphabet="ab é.'s\n", max_size=40))
+ODD_CHARS = "abcel é.'sSrRvtLİσΣ1\n<|endoftext|>\u0301ﬁ🙂"
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet=ODD_CHARS, max_size=30))
 def test_every_prefix(text):
-    model = bpe.load()
-    counts = token_counts.prefix_counts(model, text)
-    stored = [0, *token_counts.word_counts(model, text)[2::2]]
+    lib = Tokenizer.from_file(public_tokenizers.path(bpe.DEFAULT_VOCABULARY)) if not hasattr(test_every_prefix, "lib") else test_every_prefix.lib
+    test_every_prefix.lib = lib
+    steps = token_counts.counter().text(text)
+    counts = [len(lib.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+    assert token_counts.running(steps).tolist() == counts
     for k in range(len(text) + 1):
-        want = len(model.encode_batch([text[:k]])[0])
-        assert counts[k] == want == token_counts.count_prefix(model, text, stored, k, stride=2)
-
-
-def test_budgets():
-    model = bpe.load()
-    text = "alpha beta gamma delta epsilon zeta eta theta iota"
-    words = text.split()
-    stored = [0, *token_counts.word_counts(model, text)[3::3]]
-    for budget in range(20):
-        k = token_counts.words_within(model, text, stored, budget, stride=3)
-        assert len(model.encode_batch([" ".join(words[:k])])[0]) <= budget
-        assert k == len(words) or len(model.encode_batch([" ".join(words[: k + 1])])[0]) > budget
+        assert token_counts.count_prefix(steps, k) == counts[k]
+    for budget in range(-1, 6):
+        assert token_counts.chars_within(steps, budget) == max([k for k, c in enumerate(counts) if c <= budget], default=0)
+
+
+def test_prefixes_of_odd_texts_and_tokens(library):
+    for text in [*ODD, "they're x'r !'s don't", "ab!<|endoftext|>!x<|endoftext|><|endof"]:
+        got = token_counts.running(token_counts.counter().text(text or "")).tolist()
+        assert got == [len(library.encode((text or "")[:k], add_special_tokens=False).ids) for k in range(len(text or "") + 1)]
+
+
+def test_very_long_words(library):
+    rnd = random.Random(9)
+    word = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(32_000))
+    want = library.encode(word, add_special_tokens=False).ids
+    began = time.time()
+    assert bpe.load().encode_batch([word])[0].tolist() == want
+    assert time.time() - began < 3
+    assert token_counts.count_prefix(token_counts.counter().text(word), len(word)) == len(want)
+
+
+def test_truncated_texts(spark, library):
+    texts = ["alpha beta gamma delta epsilon zeta eta theta iota", "", None, "x" * 500]
+    for r in token_counts.truncated(docs(spark, texts), 5).collect():
+        whole = texts[r["doc_id"]] or ""
+        assert whole.startswith(r["text"]) and r["n_tokens"] == len(library.encode(r["text"], add_special_tokens=False).ids) <= 5
+        assert all(len(library.encode(whole[:k], add_special_tokens=False).ids) > 5 for k in range(len(r["text"]) + 1, len(whole) + 1))
 
 
 # --- packing
