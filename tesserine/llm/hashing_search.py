@@ -1,17 +1,21 @@
 """Approximate nearest neighbours by multi-index hashing.
 
-Vectors become binary codes: centred, turned by a rotation that is learned so that the
-signs lose little (PCA, then alternating Procrustes steps), a bit for each sign; several
-such rotations from different starts give a code of ROTATIONS x dimension bits. The code
-is split into substrings, and an index holds the rows by each substring's value. A code
-within Hamming radius r of a query's agrees with it up to floor(r / substrings) bits in
-some substring, so probing those values in all substrings finds every code within r. The
-radius grows until the wanted number of codes lies within it; then their original
-vectors are compared in double precision.
-
-Every row is indexed. Rows are cut into blocks by a hash of their id, blocks of a
-bounded size, and the stated queries meet every block in blocks of their own; a block
-pair gives each query its best k, and the best k over all blocks are kept.
+Vectors become binary codes: centred, turned by learned rotations (principal axes, then
+alternating Procrustes steps, from different starts), a bit for each sign. A code is cut
+into SUBSTRINGS substrings of about log2(block rows) bits, and an index holds a block's
+rows by each substring's value. Within Hamming radius r, two codes agree up to
+floor(r / SUBSTRINGS) bits in some substring, and in one of the first r % SUBSTRINGS + 1
+if exactly so many; so a query probes the values that near its own in each substring and
+is sure to retrieve every code within r. Every row retrieved is reranked by its original
+vector in double precision.
+
+The radius is learned: the least one at which probing retrieves KEEP of the true nearest
+neighbours in a bounded sample (in a larger table neighbours are nearer, so there it
+retrieves more). A query that retrieves too few rows widens it by itself, up to all codes.
+
+Rows of one vector are one candidate list, cut exactly to the ids that can be among a
+query's nearest; queries of one vector are asked once. Rows are dealt to blocks of
+BLOCK_ROWS by a hash, each block is indexed once, and the queries go to the blocks.
 """
 
 from __future__ import annotations
@@ -25,28 +29,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import arrow_schema, materialize, record_batch
+from tesserine.llm.common import arrow_schema, materialize, record_batch, skew_join
 
-#: Rows that the rotations are fitted on at most, picked evenly by a hash of vec_id.
-MAX_FIT_ROWS = 10_000
-ROTATIONS, PROCRUSTES_STEPS = 4, 20
-SUBSTRING_BITS = 16
-BLOCK_ROWS, QUERY_BLOCK = 32_768, 512
-#: Codes that a query reranks in a block: a share of its rows, and a number at least.
-RERANK_SHARE, RERANK_LEAST = 0.06, 400
+#: Rows that rotations and radius are fitted on at most, picked evenly by a hash of vec_id, and queries among them.
+MAX_FIT_ROWS, MAX_FIT_QUERIES = 10_000, 256
+PROCRUSTES_STEPS = 20
+SUBSTRINGS = 48
+BLOCK_ROWS = 32_768
+#: Share of the sample's true neighbours that the learned radius retrieves.
+KEEP = 0.96
+
+
+def substring_bits(rows: int) -> int:
+    """About log2 of a block's rows: so a value is held by a row or two."""
+    return max(4, min(16, math.ceil(math.log2(max(2, rows)))))
 
 
 class Codes:
-    """The learned centre and rotations, and the codes they give."""
+    """The learned centre and rotations, and the codes they give: a number for each substring."""
 
-    def __init__(self, sample: np.ndarray, seed: int = 5):
+    def __init__(self, sample: np.ndarray, bits: int, seed: int = 5):
         dim = sample.shape[1]
+        self.bits = bits
         self.center = sample.mean(0) if len(sample) else np.zeros(dim)
         x = sample - self.center
         rng = np.random.Generator(np.random.PCG64(seed))
         basis = np.linalg.eigh(x.T @ x)[1].T[::-1]  # principal axes; a dim x dim matrix, whatever the sample's size
         self.rotations = []
-        for _ in range(ROTATIONS):
+        for _ in range(math.ceil(SUBSTRINGS * bits / dim)):
             r = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
             v = x @ basis.T
             for _ in range(PROCRUSTES_STEPS if len(x) else 0):
@@ -55,147 +65,177 @@ class Codes:
             self.rotations.append(basis.T @ r)
 
     def of(self, x: np.ndarray) -> np.ndarray:
-        """Packed codes, one row of bytes a vector."""
-        bits = np.concatenate([(x - self.center) @ r > 0 for r in self.rotations], 1)
-        return np.packbits(bits, axis=1)
+        """Substring values, [rows, SUBSTRINGS]."""
+        signs = np.concatenate([(x - self.center) @ r > 0 for r in self.rotations], 1)[:, : SUBSTRINGS * self.bits]
+        weights = (1 << np.arange(self.bits)).astype(np.int64)
+        return (signs.reshape(len(x), SUBSTRINGS, self.bits) @ weights).astype(np.int32)
+
+
+_FLIPS: dict[tuple[int, int], np.ndarray] = {}
+
+
+def flips(bits: int, most: int) -> np.ndarray:
+    """All masks of so many bits with at most `most` of them set, fewest first."""
+    most = min(most, bits)
+    if (bits, most) not in _FLIPS:
+        _FLIPS[bits, most] = np.array([sum(1 << b for b in chosen) for k in range(most + 1) for chosen in itertools.combinations(range(bits), k)], np.int32)
+    return _FLIPS[bits, most]
+
+
+def levels(radius: int) -> np.ndarray:
+    """The flips that each substring is probed with at a radius; -1 for none."""
+    return radius // SUBSTRINGS - (np.arange(SUBSTRINGS) > radius % SUBSTRINGS)
+
+
+def n_probes(bits: int, radius: int) -> int:
+    """Probes of one query in one block."""
+    return sum(len(flips(bits, int(k))) for k in levels(radius) if k >= 0)
+
+
+def met_at(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least radius at which probing for codes a retrieves codes b, for rows of substring values."""
+    apart = np.bitwise_count((a ^ b).astype(np.uint32)).astype(np.int64)
+    return (apart * SUBSTRINGS + np.arange(SUBSTRINGS)).min(1)
 
 
 class MultiIndex:
-    """Rows by the value of each substring of their codes."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        n = codes.shape[0]
-        width = SUBSTRING_BITS // 8
-        padded = np.pad(codes, ((0, 0), (0, -codes.shape[1] % width)))
-        self.values = padded.reshape(n, -1, width).astype(np.uint32) @ (256 ** np.arange(width, dtype=np.uint32))
-        self.tables = []
-        for k in range(self.values.shape[1]):
-            order = np.argsort(self.values[:, k], kind="stable")
-            self.tables.append((self.values[order, k], order))
-        self.words = _words(codes)
-
-    @property
-    def substrings(self) -> int:
-        return len(self.tables)
-
-    def within(self, code: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Every row whose code lies within the radius, and its distance."""
-        masks = flips(radius // self.substrings)
-        if len(masks) * self.substrings >= len(self.codes):
-            rows = np.arange(len(self.codes))  # as many probes as rows: each row is looked at once instead
-        else:
-            found = []
-            for (keys, order), value in zip(self.tables, values, strict=True):
-                probes = np.uint32(value) ^ masks
-                lo, hi = np.searchsorted(keys, probes), np.searchsorted(keys, probes, side="right")
-                found += [order[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True) if a < b]
-            rows = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        distance = np.bitwise_count(self.words[rows] ^ code).sum(1)
-        near = distance <= radius
-        return rows[near], distance[near]
-
-
-def _words(codes: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8)))).view(np.uint64)
-
-
-_FLIPS: dict[int, np.ndarray] = {}
-
-
-def flips(most: int) -> np.ndarray:
-    """All substring masks with at most so many bits set."""
-    most = min(most, SUBSTRING_BITS)
-    if most not in _FLIPS:
-        _FLIPS[most] = np.array([sum(1 << b for b in bits) for k in range(most + 1) for bits in itertools.combinations(range(SUBSTRING_BITS), k)], np.uint32)
-    return _FLIPS[most]
-
-
-def search_block(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray], model: Codes, k: int) -> dict[str, list]:
-    """The k best of a block's rows for each query: (ids, vectors) against (ids, vectors)."""
-    (q_ids, q), (ids, x) = queries, rows
-    index = MultiIndex(model.of(x))
-    q_codes = model.of(q)
-    of_query = MultiIndex(q_codes)
-    bits = q_codes.shape[1] * 8
-    wanted = min(len(ids), max(RERANK_LEAST, math.ceil(RERANK_SHARE * len(ids))))
-    out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-    radius = bits // 4
-    for j in range(len(q_ids)):
-        step = max(4, index.substrings)
-        while True:
-            near, _ = index.within(of_query.words[j], of_query.values[j], radius)
-            if len(near) >= wanted or radius >= bits:
-                break
-            radius += step
-        ranked = near[ids[near] != q_ids[j]]
-        if len(near) > 2 * wanted and radius > step:
-            radius -= step  # the next query starts from less
-        d = np.sqrt(((x[ranked] - q[j]) ** 2).sum(1))
-        best = np.lexsort((ids[ranked], d))[:k]
-        out["query_id"] += [q_ids[j]] * len(best)
-        out["vec_id"] += ids[ranked][best].tolist()
-        out["score"] += d[best].tolist()
+    """A block's rows by the value of each substring of their codes."""
+
+    def __init__(self, values: np.ndarray, bits: int):
+        self.n, self.bits = len(values), bits
+        self.rows = np.argsort(values, axis=0, kind="stable").astype(np.int32).T.copy()
+        self.ends = np.stack([np.concatenate([[0], np.cumsum(np.bincount(values[:, k], minlength=1 << bits))]) for k in range(SUBSTRINGS)]).astype(np.int32)
+        self.probes = self.visited = self.asked = 0
+
+    def retrieve(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """The rows that probing finds, ascending: every row whose code lies within the radius, and others."""
+        held = np.zeros(self.n, bool)
+        for most in {int(k) for k in levels(radius) if k >= 0}:
+            masks = flips(self.bits, most)
+            chosen = np.flatnonzero(levels(radius) == most)
+            probes = code[chosen][:, None] ^ masks[None, :]
+            lo, hi = self.ends[chosen[:, None], probes].ravel(), self.ends[chosen[:, None], probes + 1].ravel()
+            full = hi > lo
+            table = np.repeat(chosen, len(masks))[full]
+            lo, size = lo[full].astype(np.int64), (hi - lo)[full].astype(np.int64)
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+            held[self.rows[np.repeat(table, size), at]] = True
+            self.probes += probes.size
+            self.visited += len(at)
+        return np.flatnonzero(held)
+
+
+def search_block(index: MultiIndex, ids: np.ndarray, x: np.ndarray, q: np.ndarray, codes: np.ndarray, radius: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the (ids, distances) of its k best among the retrieved rows of a block."""
+    out = []
+    for vector, code in zip(q, codes, strict=True):
+        index.asked += 1
+        r = radius
+        rows = index.retrieve(code, r)
+        while len(rows) < min(k, index.n):
+            r += SUBSTRINGS
+            rows = index.retrieve(code, r)
+        d = np.sqrt(((x[rows] - vector) ** 2).sum(1))
+        if len(d) > 4 * k:
+            near = d <= np.partition(d, k)[k]  # ties at the edge stay
+            rows, d = rows[near], d[near]
+        best = np.lexsort((ids[rows], d))[:k]
+        out.append((ids[rows][best], d[best]))
     return out
 
 
+def learned_radius(sample: np.ndarray, model: Codes, k: int) -> int:
+    """The radius at which KEEP of the true neighbours of some of the sample's rows are retrieved."""
+    if len(sample) < 2:
+        return 0
+    codes, radii = model.of(sample), []
+    for j in np.unique(np.linspace(0, len(sample) - 1, min(MAX_FIT_QUERIES, len(sample))).astype(np.int64)):
+        d = ((sample - sample[j]) ** 2).sum(1)
+        d[j] = np.inf
+        near = np.argsort(d, kind="stable")[: min(k, len(sample) - 1)]
+        radii.append(met_at(codes[[j]], codes[near]))
+    return int(np.quantile(np.concatenate(radii), KEEP, method="higher"))
+
+
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v) of the rows that take part: a vector of doubles, finite and not all zero."""
-    v = F.col(vector_col).cast("array<double>")
+    """(vec_id, v) of the rows that take part: a vector that is finite and not all zero, of the table's most frequent length."""
+    v = F.col(vector_col)
     sound = v.isNotNull() & F.col(id_col).isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists(v, lambda e: e != 0)
-    return df.where(sound).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
+    kind = "array<float>" if dict(df.dtypes)[vector_col] == "array<float>" else "array<double>"
+    rows = df.where(sound).select(F.col(id_col).cast("long").alias("vec_id"), v.cast(kind).alias("v"))
+    usual = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").first()
+    return rows if usual is None else rows.where(F.size("v") == usual["n"])
+
+
+_FOUND = "q long, vec_id long, score double"
 
 
 def nearest(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by `every`.
 
-    Rows with a null, zero or unsound vector take no part, nor do rows without an id. Ties
-    go to the smaller id. Rows that repeat an id are candidates each; a query's own id is
-    none. Fewer candidates than k are all returned; extra columns are not read.
+    Rows with a null, zero or unsound vector take no part, nor do rows without an id or
+    with vectors of another length than most. Ties go to the smaller id. Rows that repeat
+    id and vector count once; rows that repeat an id with another vector are candidates
+    and queries each, and a query's own id is never among its results. Fewer candidates
+    than k are all returned; an empty table gives no rows; extra columns are not read.
     """
     spark = df.sparkSession
-    rows = materialize(usable(df, id_col, vector_col), "vectors")
+    rows = materialize(usable(df, id_col, vector_col).dropDuplicates(["vec_id", "v"]), "vectors")
     n = rows.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    picked = rows if n <= MAX_FIT_ROWS else rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(1_000_000 * MAX_FIT_ROWS / n))
-    sample = np.array([r["v"] for r in picked.select("v").limit(2 * MAX_FIT_ROWS).collect()])
-    model = spark.sparkContext.broadcast(Codes(sample))  # a few square matrices of the dimension
-    blocks = math.ceil(n / BLOCK_ROWS)
+    # of equal vectors only the k + 1 smallest ids can be among the nearest of any query
+    equal = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    kept = materialize(rows.withColumn("nth", equal).where(F.col("nth") <= k + 1).drop("nth"), "candidates")
+    n_kept = kept.count()
     asked = rows.where(F.col("vec_id") % every == 0)
-    q_blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    dealt = rows.select(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q_block"), F.lit(False).alias("asks"), "vec_id", "v")
-    asking = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(q_blocks)).cast("int").alias("q_block"), F.lit(True).alias("asks"), "vec_id", "v")
-    pairs = dealt.unionByName(asking).repartition(max(blocks * q_blocks, 1), "block", "q_block").sortWithinPartitions("block", "q_block")
+    classes = materialize(asked.groupBy("v").agg(F.count("*").alias("held")).withColumn("q", F.xxhash64("v")), "query-vectors")
+
+    picked = kept if n_kept <= MAX_FIT_ROWS else kept.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(1_000_000 * MAX_FIT_ROWS / n_kept))
+    sample = np.array([r["v"] for r in picked.select("v").limit(2 * MAX_FIT_ROWS).collect()], np.float64)
+    blocks = math.ceil(n_kept / BLOCK_ROWS)
+    bits = substring_bits(math.ceil(n_kept / blocks))
+    codes = Codes(sample, bits)
+    radius = learned_radius(sample, codes, k)
+    model = spark.sparkContext.broadcast((codes, radius))  # a few square matrices of the dimension
+
+    dealt = kept.select(F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "vec_id", "v")
+    asking = classes.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), F.col("q").alias("vec_id"), "v")
+    pairs = dealt.unionByName(asking).repartitionById(blocks, "block").sortWithinPartitions("block", "asks")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema("query_id long, vec_id long, score double")
+        schema, (learned, r) = arrow_schema(_FOUND), model.value
+        current, held, index = None, [], None
+        ids = x = np.zeros(0)
 
-        def finish(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        def vectors(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
             whole = pa.Table.from_batches(parts)
-            asks = whole["asks"].to_numpy()
-            ids = whole["vec_id"].to_numpy()
-            flat = whole["v"].combine_chunks()
-            vectors = flat.flatten().to_numpy().reshape(len(ids), -1)
-            if asks.all() or not asks.any():
-                return record_batch({"query_id": [], "vec_id": [], "score": []}, schema)
-            return record_batch(search_block((ids[asks], vectors[asks]), (ids[~asks], vectors[~asks]), model.value, k), schema)
-
-        current, held = None, []
+            return whole["vec_id"].to_numpy(), whole["v"].combine_chunks().flatten().to_numpy().reshape(whole.num_rows, -1).astype(np.float64)
+
         for batch in batches:
-            key = batch.column(0).to_numpy().astype(np.int64) * (1 << 31) + batch.column(1).to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
-            for a, b in itertools.pairwise(edges):
+            key = 2 * batch.column(0).to_numpy().astype(np.int64) + batch.column(1).to_numpy(zero_copy_only=False)
+            for a, b in itertools.pairwise([0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]):
                 if a == b:
                     continue
-                if held and key[a] != current:
-                    yield finish(held)
-                    held = []
-                current = key[a]
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield finish(held)
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+                if key[a] // 2 != current:
+                    current, held, index = key[a] // 2, [], None
+                if not key[a] % 2:
+                    held.append(batch.slice(a, b - a))
+                elif held or index:
+                    if index is None:
+                        ids, x = vectors(held)
+                        index, held = MultiIndex(learned.of(x), learned.bits), []
+                    q_ids, q = vectors([batch.slice(a, b - a)])
+                    found = search_block(index, ids, x, q, learned.of(q), r, k + 1)
+                    yield record_batch({"q": np.repeat(q_ids, [len(f[0]) for f in found]), "vec_id": np.concatenate([f[0] for f in found]), "score": np.concatenate([f[1] for f in found])}, schema)
+
+    best = F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))
+    found = pairs.mapInArrow(run, _FOUND).withColumn("nth", best).where(F.col("nth") <= 2 * (k + 1)).drop("nth")
+    found = materialize(found, "found")
+    # queries of one vector share what was found; own ids go
+    named = skew_join(asked.select(F.col("vec_id").alias("query_id"), "v"), classes, ["v"], asked.count()).select("query_id", "q")
+    sizes = classes.select("q", "held")
+    answers = found.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("near"))  # 2 (k + 1) entries at most
+    answered = skew_join(named, answers.join(sizes, "q"), ["q"], asked.count())
+    others = answered.select("query_id", F.posexplode(F.slice(F.filter("near", lambda e: e["vec_id"] != F.col("query_id")), 1, k)).alias("pos", "e"))
+    return others.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"), F.col("e.score").alias("score"))

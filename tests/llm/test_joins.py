@@ -224,24 +224,61 @@ def test_search_recall_and_ties(spark):
     assert [v for _, v, _ in got[500]] == list(range(501, 511))
 
 
-def test_search_with_few_rows(spark):
+def test_search_edges(spark):
     schema = "vec_id long, embedding array<float>"
     assert hashing_search.nearest(spark.createDataFrame([], schema)).count() == 0
     assert hashing_search.nearest(spark.createDataFrame([(0, [1.0, 2.0])], schema)).count() == 0
     got = hashing_search.nearest(spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 3.0])], schema)).orderBy("rank").collect()
     assert [(r["vec_id"], r["score"]) for r in got] == [(1, 0.0), (2, 1.0)]
+    odd = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [5.0, 2.0]), (1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0]), (3, []), (4, None)]
+    clash = spark.createDataFrame(odd, schema).withColumn("q", F.lit(1)).withColumn("block", F.lit("x")).withColumn("v", F.lit(2)).withColumn("held", F.lit(0))
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in hashing_search.nearest(clash).collect())
+    assert got == [(0, 1, 1, 0.0), (0, 1, 1, 4.0)]  # both vectors of id 0 ask; own id, repeats and another length give nothing
+
+
+def test_equal_vectors_are_searched_once(spark):
+    rows = [(k, [1.0, 0.0, 0.0, 1.0]) for k in range(300)] + [(1000 + k, [1.0, 0.1 * k, 0.0, 1.0]) for k in range(1, 9)]
+    got = {}
+    for r in hashing_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, 50).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    assert set(got) == {0, 50, 100, 150, 200, 250}
+    for q, found in got.items():
+        assert [found[k] for k in range(1, 6)] == [(v, 0.0) for v in range(6) if v != q][:5]
 
 
 def test_probing_finds_every_code_in_the_radius():
     rng = np.random.Generator(np.random.PCG64(2))
-    codes = rng.integers(0, 256, (4000, 8)).astype(np.uint8)
-    codes[1::2] = codes[::2] ^ (rng.random((2000, 8)) < 0.2).astype(np.uint8)
-    index = hashing_search.MultiIndex(codes)
+    bits = 8
+    values = rng.integers(0, 1 << bits, (4000, hashing_search.SUBSTRINGS))
+    values[1::2] = values[::2] ^ np.sum([(rng.random((2000, hashing_search.SUBSTRINGS)) < 0.2).astype(np.int64) << b for b in range(bits)], axis=0)
+    index = hashing_search.MultiIndex(values, bits)
     for q in range(0, 200, 7):
-        distance = np.bitwise_count(codes ^ codes[q]).sum(1)
-        for radius in (0, 3, 7):
-            rows, found = index.within(index.words[q], index.values[q], radius)
-            assert rows.tolist() == np.flatnonzero(distance <= radius).tolist() and found.tolist() == distance[rows].tolist()
+        distance = np.bitwise_count(values ^ values[q]).sum(1)
+        for radius in (0, 5, 60, 97):
+            rows = index.retrieve(values[q], radius)
+            assert set(np.flatnonzero(distance <= radius)) <= set(rows)
+            assert set(rows) == set(np.flatnonzero(hashing_search.met_at(values[[q]], values) <= radius))
+
+
+def test_a_full_block_is_probed_and_not_scanned():
+    """At production size, on vectors without any structure: recall, probes and rows visited."""
+    rng = np.random.Generator(np.random.PCG64(7))
+    n = hashing_search.BLOCK_ROWS
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    bits = hashing_search.substring_bits(n)
+    sample = x[: hashing_search.MAX_FIT_ROWS]
+    model = hashing_search.Codes(sample, bits)
+    radius = hashing_search.learned_radius(sample, model, 10)
+    index = hashing_search.MultiIndex(model.of(x), bits)
+    queries, hits, distinct = np.arange(0, n, 1000), 0, 0
+    found = hashing_search.search_block(index, np.arange(n), x, x[queries], model.of(x[queries]), radius, 11)
+    for q, (ids, _) in zip(queries, found, strict=True):
+        d = ((x - x[q]) ** 2).sum(1)
+        hits += len(set(np.argsort(d, kind="stable")[1:11]) & set(ids))
+    distinct = np.mean([len(index.retrieve(c, radius)) for c in model.of(x[queries])])
+    assert hits / (10 * len(queries)) >= 0.9
+    assert 0 < hashing_search.n_probes(bits, radius) < n / 2 and distinct < n / 3
 
 
 # --- pipeline
