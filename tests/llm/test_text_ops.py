@@ -227,7 +227,7 @@ def test_fingerprints_against_sets(spark):
             else:
                 assert abs(near - want) <= 5 * (max(want * (1 - want), 0.05) / sample) ** 0.5
         assert (r["fingerprint"] == r["edited_fingerprint"]) == (text == edited)
-    assert exact > len(texts)
+    assert exact > 20
     assert got[len(texts) - 3]["near_next"] == 1.0 and got[len(texts) - 3]["fingerprint"] == got[len(texts) - 2]["fingerprint"]
     assert fingerprints.fingerprint_edits(docs(spark, [])).count() == 0
     assert fingerprints.fingerprint_edits(docs(spark, ["alone here"])).first()["near_next"] == 1.0
