@@ -37,8 +37,8 @@ from tesserine.llm.fingerprints import BYTE_HASHES, mix, powers
 LINE, SPAN = 20, 32
 #: Words of a window: the shortest passage that is found.
 WINDOW = LINE + SPAN - 1
-#: A list of documents is broadcast up to so many rows; longer ones are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: A list of documents is broadcast up to so many rows and positions (8 bytes each); longer ones are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_POSITIONS = 200_000, 1_000_000
 SLICE = 1_000_000
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -127,7 +127,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     # one place of each kind of reach, and those that overlap it, are extended window by window
     differing = kinds.where("several").select("first.*", "n").unionByName(alike.where("overlaps and several").select("doc_id", "text_key", "lo", "n"))
     differing = materialize(differing.groupBy("doc_id", "text_key").agg(F.collect_list("lo").alias("los"), F.collect_list("n").alias("ns")), "differing-reaches")
-    few = differing.count() <= BROADCAST_ROWS
+    rows, positions = differing.agg(F.count("*"), F.coalesce(F.sum(F.size("los")), F.lit(0))).first()
+    few = rows <= BROADCAST_ROWS and positions <= BROADCAST_POSITIONS
     texts = docs.join(F.broadcast(differing) if few else differing, ["doc_id", "text_key"]).select("doc_id", "text", "text_key", "los", "ns")
     runs = materialize(texts.mapInArrow(_windows, "run long, doc_id long, text_key long, lo int"), "windows")
     firsts = materialize(runs.groupBy("run").agg(F.count("*").alias("held"), F.min(place).alias("first")).where("held > 1"), "first-windows")

@@ -52,8 +52,11 @@ class PrefixCounter:
                 self.rank[made], self.parts[made] = rank, (key >> 20, key & 0xFFFFF)
         self._spines: tuple[dict[int, list], dict[int, list]] = ({}, {})
         self._follows: dict[int, bool] = {}
+        #: Changes of the count by piece (raw ones behind a line end) and by word; on filling up the older half goes.
         self.known: dict[str, bytes] = {}
-        self.words: dict[str, list[int]] = {}
+        self.older: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self._before: tuple[str, list[int], list[int], list[int]] = ("", [-1], [0], [0])
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The parts of a token at its end (side 1) or start (side 0), each with the rank of the merge that absorbs it."""
@@ -68,71 +71,91 @@ class PrefixCounter:
             self._spines[side][token] = found
         return found
 
-    def follows(self, a: int, b: int) -> bool:
-        """Whether the encoding of both tokens' letters is a, b."""
-        key = a << 20 | b
-        known = self._follows.get(key)
-        if known is None:
-            table, known = self.bpe.pairs.table, True
-            for x, x_until in self._spine(a, 1):
-                for y, y_until in self._spine(b, 0):
-                    rank = table.get(x << 20 | y)
-                    # of equal pairs the leftmost merges first
-                    if rank is not None and rank < x_until and rank <= y_until:
-                        known = False
-            if len(self._follows) > 4 * CACHE_PIECES:
-                self._follows.clear()
-            self._follows[key] = known
-        return known
-
-    def word(self, letters: str) -> list[int]:
-        """Token counts of letters[:i] for i from 0, each prefix a word of its own."""
-        found = self.words.get(letters)
-        if found is not None:
-            return found
-        n, table, longest, follows = len(letters), self.tokens.get, self.longest, self.follows
-        tokens, counts, out = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
+    def follows(self, pair: int) -> bool:
+        """Whether the encoding of both tokens' letters is a, b, for the pair a << 20 | b."""
+        table, fits = self.bpe.pairs.table, True
+        for x, x_until in self._spine(pair >> 20, 1):
+            for y, y_until in self._spine(pair & 0xFFFFF, 0):
+                rank = table.get(x << 20 | y)
+                # of equal pairs the leftmost merges first
+                if rank is not None and rank < x_until and rank <= y_until:
+                    fits = False
+        if len(self._follows) > 4 * CACHE_PIECES:
+            self._follows.clear()
+        self._follows[pair] = fits
+        return fits
+
+    def counts(self, letters: str) -> list[int]:
+        """Token counts of letters[:i] for i from 0, each prefix a word of its own.
+
+        What the letters share with those asked for before is taken from there, so words in
+        order are cheap.
+        """
+        n, table, longest, known = len(letters), self.tokens.get, self.longest, self._follows
+        done, tokens, counts, out = self._before
+        k, most = 0, min(n, len(done))
+        while k < most and letters[k] == done[k]:
+            k += 1
+        rest = [-1] * (n - k)
+        tokens, counts, out = tokens[: k + 1] + rest, counts[: k + 1] + rest, out[: k + 1] + rest
+        for i in range(k + 1, n + 1):
             inside = ends = True  # still wanted
-            for start in range(max(0, i - longest), i):
+            for start in range(i - longest if i > longest else 0, i):
                 both = table(letters[start:i])
                 if both is None:
                     continue
                 token, last = both
-                before = tokens[start]
-                if inside and token >= 0 and (not start or follows(before, token)):
-                    tokens[i], counts[i], inside = token, counts[start] + 1, False
-                if ends and last >= 0 and (not start or follows(before, last)):
-                    out[i], ends = counts[start] + 1, False
+                if not start:
+                    if inside and token >= 0:
+                        tokens[i], counts[i], inside = token, 1, False
+                    if ends and last >= 0:
+                        out[i], ends = 1, False
+                else:
+                    before = tokens[start] << 20
+                    if inside and token >= 0:
+                        fits = known.get(before | token)
+                        if self.follows(before | token) if fits is None else fits:
+                            tokens[i], counts[i], inside = token, counts[start] + 1, False
+                    if ends and last >= 0:
+                        fits = known.get(before | last)
+                        if self.follows(before | last) if fits is None else fits:
+                            out[i], ends = counts[start] + 1, False
                 if not (inside or ends):
                     break
             if inside or ends:
                 raise ValueError("a letter without a token")
-        if len(self.words) >= CACHE_PIECES:
-            self.words.clear()
-        self.words[letters] = out
+        self._before = (letters, tokens, counts, out)
         return out
 
-    def _normal(self, text: str, pretokens: list[str]) -> list[int]:
+    def _letters(self, raw: bytes) -> str:
+        return "".join([self.letters[b] for b in raw])
+
+    def _word(self, word: str) -> bytes:
+        """Changes of the count with each character of one pretoken."""
+        raw = word.encode("utf-8", "surrogatepass")
+        counts = self.counts(self._letters(raw))
+        if word[0] == "'" and len(word) > 1 and word[1].isalpha():  # a contraction; cut short it is a quote and a letter
+            whole, quote = counts[-1], self.counts(self._letters(b"'"))[1]
+            counts = [0, quote, *([quote + self.counts(self._letters(raw[1:2]))[1]] if len(word) == 3 else []), whole]
+        elif len(raw) != len(word):
+            ends = [0]
+            for c in word:
+                ends.append(ends[-1] + len(c.encode("utf-8", "surrogatepass")))
+            counts = [counts[k] for k in ends]
+        return bytes([(b - a) & 255 for a, b in zip(counts, counts[1:], strict=False)])
+
+    def learn(self, words: set[str]) -> None:
+        fresh = [w for w in words if w not in self.words]
+        if len(self.words) + len(fresh) > CACHE_PIECES:
+            self.words.clear()
+            fresh = list(words)
+        for word in sorted(fresh):
+            self.words[word] = self._word(word)
+
+    def _normal(self, pretokens: list[str]) -> list[int]:
         """Counts of every prefix of normalised text, cut to pretokens."""
-        out, total = [0], 0
-        for word in pretokens:
-            raw = word.encode("utf-8", "surrogatepass")
-            if word[0] == "'" and len(word) > 1 and word[1].isalpha():  # a contraction; cut short it is a quote and a letter
-                quote, whole = self.word(self.letters[39])[1], self.word("".join([self.letters[b] for b in raw]))[len(raw)]
-                steps = [quote, *([quote + self.word(self.letters[ord(word[1])])[1]] if len(word) == 3 else []), whole]
-            else:
-                counts = self.word("".join([self.letters[b] for b in raw]))
-                if len(raw) == len(word):
-                    steps = counts[1:]
-                else:
-                    steps, at = [], 0
-                    for c in word:
-                        at += len(c.encode("utf-8", "surrogatepass"))
-                        steps.append(counts[at])
-            out += [total + k for k in steps]
-            total += steps[-1]
-        return out
+        self.learn(set(pretokens))
+        return running(b"".join([self.words[w] for w in pretokens])).tolist()
 
     def _odd(self, piece: str) -> list[int]:
         """Counts of every prefix of a raw piece, the library's own rules applied."""
@@ -155,38 +178,58 @@ class PrefixCounter:
         clean = library.normalizer.normalize_str(part)
         each = [library.normalizer.normalize_str(c) for c in part]
         if unicodedata.is_normalized("NFC", part) and "".join(each) == clean and "" not in each:
-            counts = self._normal(clean, [clean[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(clean)])
+            counts = self._normal([clean[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(clean)])
             at = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
             return [counts[k] for k in at]
         # composing characters change what stands before them: each prefix on its own
-        return [sum(self._normal(c, [c[a:b]])[-1] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(c)) if (c := library.normalizer.normalize_str(part[:i])) else 0 for i in range(len(part) + 1)]
-
-    def steps(self, piece: str, plain: bool) -> bytes:
-        """Changes of the count with each character of a piece, lower-cased already if plain."""
-        key = piece if plain else "\n" + piece
-        found = self.known.get(key)
-        if found is None:
-            if len(self.known) >= CACHE_PIECES:
-                self.known.clear()
-            counts = self._normal(piece, _PIECES.findall(piece)) if plain else self._odd(piece)
-            found = self.known[key] = np.diff(np.array(counts, np.int64)).astype(np.int8).tobytes()
-        return found
+        return [sum(self._normal([c[a:b]])[-1] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(c)) if (c := library.normalizer.normalize_str(part[:i])) else 0 for i in range(len(part) + 1)]
+
+    def _known(self, pieces: set[str]) -> None:
+        """Puts the changes of all pieces, raw ones behind a line end, into the cache."""
+        known, older = self.known, self.older
+        fresh = []
+        for p in pieces:
+            if p not in known:
+                found = older.get(p)
+                if found is None:
+                    fresh.append(p)
+                else:
+                    known[p] = found
+        if len(known) + len(fresh) > CACHE_PIECES:
+            kept = {p: known[p] for p in pieces if p in known}
+            self.older, self.known = known, kept
+            known = kept
+        cuts = {p: _PIECES.findall(p) for p in fresh if p[0] != "\n"}
+        self.learn({w for cut in cuts.values() for w in cut})
+        words = self.words
+        for p, cut in cuts.items():
+            known[p] = b"".join([words[w] for w in cut])
+        for p in fresh:
+            if p[0] == "\n":
+                known[p] = np.diff(np.array(self._odd(p[1:]), np.int64)).astype(np.int8).tobytes()
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """Changes of the count with each character of each text."""
+        plain = [is_plain(t) for t in texts]
+        low = [t.lower() if k else t for t, k in zip(texts, plain, strict=True)]
+        pieces = [self.bpe.split(t) if k else ["\n" + p for p in self.bpe.split(t)] for t, k in zip(low, plain, strict=True)]
+        self._known({p for found in pieces for p in found})
+        known, out = self.known, []
+        for text, is_low, found in zip(low, plain, pieces, strict=True):
+            steps = [known[p] for p in found]
+            whole = b"\0".join(steps)
+            if len(whole) != len(text):  # else single blanks between the words and none around them
+                held, at = bytearray(len(text)), 0
+                for p, step in zip(found, steps, strict=True):
+                    at = text.index(p if is_low else p[1:], at)
+                    held[at : at + len(step)] = step
+                    at += len(step)
+                whole = bytes(held)
+            out.append(whole)
+        return out
 
     def text(self, text: str) -> bytes:
-        """Changes of the count with each character of a text."""
-        plain = is_plain(text)
-        pieces = self.bpe.split(text.lower() if plain else text)
-        known = self.known.get
-        found = [known(p) or self.steps(p, True) for p in pieces] if plain else [self.steps(p, False) for p in pieces]
-        whole = b"\0".join(found)
-        if len(whole) == len(text):  # single blanks between the words and none around them
-            return whole
-        out, at, low = bytearray(len(text)), 0, text.lower() if plain else text
-        for p, step in zip(pieces, found, strict=True):
-            at = low.index(p, at)
-            out[at : at + len(p)] = step
-            at += len(p)
-        return bytes(out)
+        return self.texts([text])[0]
 
 
 @functools.lru_cache(maxsize=2)
@@ -223,8 +266,7 @@ def token_counts(df: DataFrame, limit: int = 2048, vocabulary: str = DEFAULT_VOC
     """
 
     def rows(ids: list, texts: list[str]) -> dict[str, list]:
-        prefixes = counter(vocabulary)
-        steps = [prefixes.text(t) for t in texts]
+        steps = counter(vocabulary).texts(texts)
         return {"doc_id": ids, "n_bytes": [len(t.encode()) for t in texts], "n_tokens": [count_prefix(s, len(s)) for s in steps], "chars_within_limit": [chars_within(s, limit) for s in steps], "steps": steps}
 
     counted = map_texts(id_text(df, id_col, text_col), rows, "doc_id long, n_bytes long, n_tokens long, chars_within_limit long, steps binary")
@@ -235,7 +277,7 @@ def truncated(df: DataFrame, budget: int, vocabulary: str = DEFAULT_VOCABULARY,
     """doc_id, text cut to the longest prefix of at most `budget` tokens, n_tokens of it."""
 
     def rows(ids: list, texts: list[str]) -> dict[str, list]:
-        steps = [counter(vocabulary).text(t) for t in texts]
+        steps = counter(vocabulary).texts(texts)
         ends = [chars_within(s, budget) for s in steps]
         return {"doc_id": ids, "text": [t[:e] for t, e in zip(texts, ends, strict=True)], "n_tokens": [count_prefix(s, e) for s, e in zip(steps, ends, strict=True)]}
 
