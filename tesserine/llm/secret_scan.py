@@ -4,15 +4,17 @@ Candidates are runs of token characters, at least MIN_LENGTH of them and with di
 mixed case in them, and, from MIN_ASSIGNED characters on and with any symbols, the values
 that a secret word and an assignment precede. A run over LONG is a candidate as a whole,
 and so are its pieces between slashes and between any symbols. Of findings that overlap
-the longest is kept. Each candidate gets features: its length, how it changes between character classes and how
-likely its letter transitions are, how much of it a dictionary covers, whether it sits in
-a path or an address, and the words beside it. A random forest, trained by Spark on
-labelled findings, tells secrets from what only looks like one. Its trees are small
-arrays, so texts are scanned, judged and cleaned in one pass.
+the longest is kept. Each candidate gets features: its length, how it changes between
+character classes and how likely its letter transitions are, how much of it a dictionary
+covers, whether it sits in a path or an address, and the words beside it. The dictionary
+and the letter transitions are those of the corpus: its WORDS most frequent words, counted
+over all documents. A random forest, trained by Spark on labelled findings, tells secrets
+from what only looks like one. Its trees are small arrays, so texts are scanned, judged
+and cleaned in one pass.
 
 The labelled findings are generated from rules with a fixed seed, FINDINGS of each kind:
 keys, tokens and passwords in their usual settings against identifiers, digests, paths,
-addresses, numbers and words. No text of the corpus is used for training.
+addresses, numbers and words of the dictionary. No text of the corpus is labelled.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import re
 import uuid
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +41,8 @@ MIN_LENGTH, MIN_ASSIGNED, LONG = 14, 6, 512
 BESIDE = 28
 FINDINGS = 220
 TREES, DEPTH, SEED = 24, 7, 17
+#: Words of the corpus that make up the dictionary, at most, and how often each occurs at least.
+WORDS, WORD_COUNT = 5_000, 5
 THRESHOLD = 0.5
 MASK = "[secret]"
 
@@ -57,13 +62,54 @@ _VALUE = re.compile(
 )
 _MIXED = re.compile(r"[0-9!#$%^&*?~+@]|(?<=[a-z])[A-Z]")
 _WORD = re.compile(r"[a-z0-9]+")
-_LETTER_RUN = re.compile(r"[a-z]{3,}")
 _SHAPES = re.compile(r"(?=.*[0-9].*[0-9])|(?=.*[a-z])(?=.+[A-Z])", re.DOTALL)
 _SECRET, _PLAIN = frozenset(SECRET_WORDS.split()), frozenset(PLAIN_WORDS.split())
-_ENTRIES = re.compile("|".join(sorted(set(DICTIONARY.split()), key=len, reverse=True)))
 FEATURES = ["length", "digits", "upper", "lower", "symbols", "changes", "transition", "entropy", "hexadecimal", "covered", "slashes", "in_path", "assigned", "quoted", "secret_word", "plain_word", "prefixed", "repeats"]
 
-_VOWELS = set("aeiouyäöüáéíóúàèêâîôûë")
+
+
+class Lexicon:
+    """A dictionary and the letter transitions in its words."""
+
+    def __init__(self, counts: dict[str, int]):
+        self.counts = dict.fromkeys(sorted(set(DICTIONARY.split())), 1) | counts
+        pairs = np.ones((27, 27))
+        for word, n in self.counts.items():
+            at = letter_numbers(word)
+            np.add.at(pairs, (at[:-1], at[1:]), math.sqrt(n))
+        self.transitions = np.log(pairs / pairs.sum(1)[:, None])
+        self._finder = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_finder": None}
+
+    def covered(self, low: str) -> int:
+        """Characters of a lower-cased string that words of the dictionary cover, the longest first."""
+        if self._finder is None:
+            self._finder = ahocorasick.Automaton()
+            for word in self.counts:
+                self._finder.add_word(word, len(word))
+            self._finder.make_automaton()
+        return sum(n for _, n in self._finder.iter_long(low))
+
+    def transition(self, low: str) -> float:
+        """The mean log-probability of a lower-cased string's letter pairs."""
+        at = letter_numbers(low)
+        both = (at[:-1] < 26) & (at[1:] < 26)
+        return float(self.transitions[at[:-1][both], at[1:][both]].mean()) if both.any() else -3.3
+
+
+def letter_numbers(low: str) -> np.ndarray:
+    """a to z as 0 to 25, all else as 26."""
+    at = np.frombuffer(low.encode("ascii", "replace"), np.uint8).astype(np.int64) - 97
+    return np.where((at < 0) | (at > 25), 26, at)
+
+
+def lexicon_of(docs: DataFrame) -> Lexicon:
+    """The dictionary of a corpus: its most frequent words over all documents, WORDS at most."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,20}"), F.lit(0))).alias("word"))
+    top = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= WORD_COUNT).orderBy(F.desc("n"), "word").limit(WORDS)
+    return Lexicon({r["word"]: r["n"] for r in top.collect()})
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
@@ -83,20 +129,17 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return sorted(spans)
 
 
-def features(text: str, start: int, end: int) -> list[float]:
+def features(text: str, start: int, end: int, lexicon: Lexicon) -> list[float]:
     s = text[start:end]
     n = len(s)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in s]
     share = {k: kinds.count(k) / n for k in "duls"}
     changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1)
     low = s.lower()
-    letters = [c for c in low if c.isalpha()]
-    # natural letters alternate between vowels and consonants in short runs
-    turns = [(a in _VOWELS) != (b in _VOWELS) for a, b in zip(letters, letters[1:], strict=False)]
-    transition = sum(turns) / len(turns) if turns else 0.0
+    transition = lexicon.transition(low)
     counts = [low.count(c) / n for c in set(low)]
     entropy = -sum(p * math.log2(p) for p in counts)
-    covered = sum(len(m.group()) for run in _LETTER_RUN.finditer(low) for m in _ENTRIES.finditer(run.group())) / n
+    covered = lexicon.covered(low) / n
     before, after = text[max(0, start - BESIDE) : start].lower(), text[end : end + BESIDE].lower()
     near = set(_WORD.findall(before)[-3:])
     assigned = bool(re.search(r"[:=]\s*[\"'`]?$", before))
@@ -107,10 +150,10 @@ def features(text: str, start: int, end: int) -> list[float]:
     ]
 
 
-def labelled_findings(per_kind: int = FINDINGS, seed: int = SEED) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, label) of generated findings, secrets and look-alikes."""
+def labelled_findings(per_kind: int = FINDINGS, seed: int = SEED, words: list[str] | None = None) -> list[tuple[str, int, int, int]]:
+    """(text, start, end, label) of generated findings, secrets and look-alikes, among the given words."""
     rng = random.Random(seed)
-    words = sorted(set(DICTIONARY.split()))
+    words = words or sorted(set(DICTIONARY.split()))
     hexa, upper, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
     def some(chars: str, n: int) -> str:
@@ -197,12 +240,14 @@ class Forest:
         return total / max(1, len(self.trees))
 
 
-def train(spark: SparkSession) -> Forest:
-    """A random forest fitted by Spark on the labelled findings."""
+def train(spark: SparkSession, lexicon: Lexicon) -> Forest:
+    """A random forest fitted by Spark on the labelled findings; words that the corpus has and others make up half of them each."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
-    rows = [([*features(t, a, b)], float(label)) for t, a, b, label in labelled_findings()]
+    known = sorted(w for w in lexicon.counts if w.isascii())
+    findings = labelled_findings(FINDINGS // 2) + labelled_findings(FINDINGS // 2, SEED + 1, known)
+    rows = [([*features(t, a, b, lexicon)], float(label)) for t, a, b, label in findings]
     findings = spark.createDataFrame(rows, "f array<double>, label double").coalesce(1).select(array_to_vector("f").alias("features"), "label")
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.8).fit(findings)
     trees = []
@@ -228,10 +273,10 @@ def train(spark: SparkSession) -> Forest:
     return Forest(trees)
 
 
-def judge(forest: Forest, texts: list[str], threshold: float = THRESHOLD) -> list[list[tuple[int, int, float]]]:
+def judge(forest: Forest, lexicon: Lexicon, texts: list[str], threshold: float = THRESHOLD) -> list[list[tuple[int, int, float]]]:
     """For each text its findings as (start, end, probability), in order; of those that overlap the longest."""
     spans = [candidates(t) for t in texts]
-    rows = [features(t, a, b) for t, found in zip(texts, spans, strict=True) for a, b in found]
+    rows = [features(t, a, b, lexicon) for t, found in zip(texts, spans, strict=True) for a, b in found]
     scores = iter(forest.probability(np.array(rows)).tolist() if rows else [])
     return [_apart([(a, b, p) for a, b in found if (p := next(scores)) >= threshold]) for found in spans]
 
@@ -252,18 +297,21 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     start counts characters from 0. A null or empty text has no findings; repeated rows
     repeat theirs; extra columns are not read. Findings don't overlap.
     """
-    forest = train(df.sparkSession)
+    docs = id_text(df, id_col, text_col)
+    lexicon = lexicon_of(docs)
+    forest = train(df.sparkSession, lexicon)
 
     def rows(ids: list, texts: list[str]) -> dict[str, list]:
-        kept = [(i, a, b - a, p, hashlib.sha256(t[a:b].encode()).hexdigest()) for i, t, found in zip(ids, texts, judge(forest, texts, threshold), strict=True) for a, b, p in found]
+        kept = [(i, a, b - a, p, hashlib.sha256(t[a:b].encode()).hexdigest()) for i, t, found in zip(ids, texts, judge(forest, lexicon, texts, threshold), strict=True) for a, b, p in found]
         return dict(zip(("doc_id", "start", "length", "score", "secret_sha256"), map(list, zip(*kept, strict=True)) if kept else ([],) * 5, strict=True))
 
-    return map_texts(id_text(df, id_col, text_col), rows, "doc_id long, start long, length long, score double, secret_sha256 string")
+    return map_texts(docs, rows, "doc_id long, start long, length long, score double, secret_sha256 string")
 
 
 def mask_secrets(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """df with every secret found in text_col replaced by MASK; all rows and columns stay, null texts too."""
-    forest = train(df.sparkSession)
+    lexicon = lexicon_of(df.select(F.col(text_col).alias("text")))
+    forest = train(df.sparkSession, lexicon)
     at = df.columns.index(text_col)
 
     def clean(text: str, found: list[tuple[int, int, float]]) -> str:
@@ -276,7 +324,7 @@ def mask_secrets(df: DataFrame, text_col: str = "text", threshold: float = THRES
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col=at):
             texts = part.column(at).to_pylist()
-            found = judge(forest, [t or "" for t in texts], threshold)
+            found = judge(forest, lexicon, [t or "" for t in texts], threshold)
             done = pa.array([None if t is None else clean(t, f) for t, f in zip(texts, found, strict=True)], pa.string())
             yield part.set_column(at, part.schema.field(at).name, done)
 

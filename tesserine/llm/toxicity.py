@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 A lexicon transducer turns a clause's words into symbols with weights: INSULT, THREAT,
-TARGET, NEGATION, REPORT, QUOTE or OTHER. Four more transducers are composed with it,
-each a small automaton that reads a symbol and passes it on, its weight changed: a
-negation shortly before an insult weakens it; reported or quoted speech weakens what it
-reports; a target nearby strengthens it; a threat counts only with a target. The sum of
+TARGET, NEGATION, REPORT, QUOTE or OTHER. Five more transducers are composed with it,
+each a small automaton that reads a symbol and passes it on, its weight changed. Two read
+from the clause's end: a threat is aimed at a target shortly after it, and what is quoted
+before a word of saying is reported. Three read from its start: a negation shortly before
+an insult weakens it; reported or quoted speech weakens what it reports, across a colon
+too; a target nearby strengthens it; a threat counts only with a target. The sum of
 what comes out is the clause's weight, in log-odds, and the clauses of a text combine as
 independent evidence. Words outside a matched clause don't count.
 
@@ -41,14 +43,14 @@ FOLDS = 5
 # Words of each class.
 INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown imbecile vermin filth"
 THREATS = "kill murder destroy strangle stab"
-TARGETS = "you your yours he him his she her they them their we us du dich dir ihr euch sie tu toi te vous tú ti vosotros usted"
+TARGETS = "you your yours he him his she her they them their we us du dich dir ihr euch sie tu toi te vous tú ti vosotros usted yourself yourselves himself herself themselves everyone"
 NEGATIONS = "not no never neither nor isn't aren't wasn't weren't don't nicht kein keine nie ne pas jamais nunca tampoco"
 REPORTS = "said says say wrote writes told claimed called reported quoted sagte schrieb nannte dit disait écrit dijo decía escribió"
 
 PRIOR = 3.0
 #: Pseudo-rows that stand behind a prior, and behind a learned weight.
 PRIOR_ROWS, SMOOTH = 4.0, 0.5
-CLAUSE_END = re.compile(r"[.!?;:\n]")
+CLAUSE_END = re.compile(r"[.!?;\n]")
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[\"“”«»]")
 
 
@@ -132,7 +134,10 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
             continue
         weights[feature] = weight(*found[feature])
     if stems:
-        begins = counts.where(F.col("feature").endswith("$") & (F.col("rows") >= 4) & (share < 0.5)).join(F.broadcast(rows.sparkSession.createDataFrame([(s,) for s in stems], "stem string")), F.col("feature").startswith(F.col("stem")))
+        listed = rows.sparkSession.createDataFrame([(s,) for s in stems], "stem string")  # MAX_LEXICON rows at most
+        starts = F.transform(F.sequence(F.lit(STEMS.start), F.least(F.length("feature") - 1, F.lit(STEMS.stop - 1))), lambda k: F.col("feature").substr(F.lit(1), k))
+        ordinary = counts.where(F.col("feature").endswith("$") & (F.col("rows") >= 4) & (share < 0.5))
+        begins = ordinary.withColumn("stem", F.explode(starts)).join(F.broadcast(listed), "stem").dropDuplicates(["feature"])
         for r in begins.orderBy(F.desc("rows"), "feature").limit(MAX_LEXICON).collect():
             weights.setdefault(r["feature"], min(1.0, weight(r["toxic_rows"], r["rows"] - r["toxic_rows"])))
     return weights
@@ -208,18 +213,39 @@ def targeted(state: tuple, symbol: str, weight: float) -> tuple[tuple, str, floa
     return (max(0, left - 1),), symbol, weight
 
 
-def compose(*steps: Step) -> Callable[[list[tuple[str, float]]], float]:
-    """The weight that a sequence of symbols has after passing all transducers."""
+def aimed(state: tuple, symbol: str, weight: float) -> tuple[tuple, str, float]:
+    """Read from the end: a threat with a target within three words after it is aimed and counts."""
+    left = state[0] if state else 0
+    if symbol == "TARGET":
+        return (3,), symbol, weight
+    if symbol == "THREAT" and left:
+        symbol = "INSULT"
+    return (max(0, left - 1),), symbol, weight
+
+
+def attributed(state: tuple, symbol: str, weight: float) -> tuple[tuple, str, float]:
+    """Read from the end: a quotation that ends within four words before a word of saying is reported."""
+    left, quoted = state or (0, False)
+    if symbol == "REPORT":
+        left = 5
+    elif symbol == "QUOTE":
+        quoted = not quoted and left > 0
+    elif symbol in ("INSULT", "THREAT") and quoted:
+        weight *= 0.4
+    return (max(0, left - 1), quoted), symbol, weight
+
 
-    def run(symbols: list[tuple[str, float]]) -> float:
+def compose(*steps: Step) -> Callable[[list[tuple[str, float]]], list[tuple[str, float]]]:
+    """One transducer that passes a sequence of symbols through all steps."""
+
+    def run(symbols: list[tuple[str, float]]) -> list[tuple[str, float]]:
         states: list[tuple] = [()] * len(steps)
-        total = 0.0
+        out = []
         for symbol, weight in symbols:
             for k, step in enumerate(steps):
                 states[k], symbol, weight = step(states[k], symbol, weight)
-            if symbol == "INSULT":
-                total += weight
-        return total
+            out.append((symbol, weight))
+        return out
 
     return run
 
@@ -232,7 +258,7 @@ class Grammar:
         self.stems = {f: w for f, w in weights.items() if not f.endswith("$")}
         self.classes = dict.fromkeys(TARGETS.split(), "TARGET") | dict.fromkeys(NEGATIONS.split(), "NEGATION") | dict.fromkeys(REPORTS.split(), "REPORT")
         self.threats = set(THREATS.split())
-        self.run = compose(negation, reported, targeted)
+        self.from_end, self.from_start = compose(aimed, attributed), compose(negation, reported, targeted)
         self.finder = ahocorasick.Automaton()
         for lexeme in {*self.whole, *self.stems}:
             self.finder.add_word(lexeme, len(lexeme))
@@ -256,11 +282,15 @@ class Grammar:
             if spans and start < spans[-1][1] or start and text[start - 1].isalnum():
                 continue
             low = spans[-1][1] if spans else 0
-            before = max(text.rfind(c, low, start) for c in ".!?;:\n")
+            before = max(text.rfind(c, low, start) for c in ".!?;\n")
             after = CLAUSE_END.search(text, last)
             spans.append((max(low, before + 1), after.end() if after else len(text)))
         return spans
 
+    def run(self, symbols: list[tuple[str, float]]) -> float:
+        """The weight that a clause has after passing all transducers."""
+        return sum(weight for symbol, weight in self.from_start(self.from_end(symbols[::-1])[::-1]) if symbol == "INSULT")
+
     def evidence(self, text: str) -> float:
         """The sum of the matched clauses' weights, bounded."""
         text = text.lower()

@@ -297,3 +297,20 @@ def test_pipeline(spark, data):
     pieces = corpus_pipeline.run(spark, data)
     assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == {r[0] for r in kept.select("doc_id").collect()}
     assert [s for s, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "n-gram Jaccard join", "secret scans", "packing"]
+
+
+def test_pipeline_stages_on_odd_rows(spark, data):
+    """Empty tables, null ids and texts, repeated rows and ids, extra columns: no stage fails, clean rows stay."""
+    some = lambda seed: " ".join(f"w{random.Random(seed * 1000 + k).randrange(10**6)}" for k in range(40))
+    rows = [(1, some(1), "en", "s", 0), (1, some(1), "en", "s", 0), (1, some(2), "en", "s", 0), (2, some(2), "en", "s", 0), (None, some(3), "en", "s", 0), (None, some(1), "en", "s", 0), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (5, some(5), None, None, None)]
+    odd = spark.createDataFrame(rows, DOCS).withColumn("h", F.lit(1)).withColumn("fp", F.lit(2)).withColumn("score", F.lit("z")).withColumn("component_id", F.lit(9))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, odd.limit(0), data).count() == 0, name
+        got = stage(spark, odd, data)
+        assert got.columns == odd.columns, name
+        want = len(rows) if name != "n-gram Jaccard join" else 6
+        assert got.count() == want, name
+    kept = sorted(((r["doc_id"] or -1, r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, odd, data).collect()), key=str)
+    assert kept == sorted([(1, some(1)), (1, some(2)), (-1, some(3)), (3, None), (4, ""), (5, some(5))], key=str)
+    assert corpus_pipeline.pack_sequences(spark, odd.limit(0), data).count() == 0
+    assert corpus_pipeline.pack_sequences(spark, odd, data).count() == len(rows)

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import time
 import zlib
 
@@ -274,16 +275,30 @@ def test_peeling_recovers_the_difference():
 # --- secrets
 
 
-@pytest.fixture(scope="module")
-def forest(spark):
-    return secret_scan.train(spark)
-
-
-def test_forest_on_unseen_findings(forest):
+def test_forest_on_unseen_findings(spark):
+    lexicon = secret_scan.Lexicon({})
+    forest = secret_scan.train(spark, lexicon)
     held = secret_scan.labelled_findings(40, seed=1234)
-    x = np.array([secret_scan.features(*f[:3]) for f in held])
+    x = np.array([secret_scan.features(*f[:3], lexicon) for f in held])
     right = (forest.probability(x) >= 0.5) == np.array([f[3] for f in held])
-    assert right.mean() > 0.97
+    assert right.mean() > 0.96
+
+
+def test_lexicon_of_a_corpus(spark):
+    lexicon = secret_scan.lexicon_of(docs(spark, ["grolfen Grolfen"] * 4 + ["zrax", None, ""]))
+    assert lexicon.counts["grolfen"] == 8 and "zrax" not in lexicon.counts
+    assert lexicon.covered("xgrolfenx") == 7 and lexicon.covered("") == 0
+    assert lexicon.transition("grolfen") > lexicon.transition("qzjxkv")
+    assert secret_scan.lexicon_of(docs(spark, [])).counts
+
+
+def test_planted_secrets_of_the_documents(spark, data):
+    """Keys of known shapes in the documents, which no training finding shares, are found; few other things are."""
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text").collect()}
+    planted = {(d, m.start(), m.end()) for d, t in texts.items() for m in re.finditer(r"\bAKIA[A-Z0-9]{16}\b|(?<=token = \")[0-9a-f]{40}(?=\")", t)}
+    found = {(r["doc_id"], r["start"], r["start"] + r["length"]) for r in queries.op6_secret_scan(spark, data.replace("0.001", "0.01")).collect()}
+    assert planted and len(planted & found) >= 0.95 * len(planted)
+    assert len(planted & found) >= 0.9 * len(found)
 
 
 def test_secrets_are_found_and_masked(spark):
@@ -359,6 +374,26 @@ def test_grammar_weighs_clauses():
     assert rules.evidence("kill the process") == 0 < rules.evidence("you i kill")
     assert rules.evidence("an idiot. an idiot!") == 2 * plain
     assert rules.evidence("idiotic") == 0 and rules.evidence("") == 0
+    assert rules.evidence("you are an idiot") > rules.evidence('he said: "you are an idiot"') > 0
+    assert rules.evidence("you are an idiot") > rules.evidence('"you are an idiot", he said') > 0
+    assert rules.evidence("i will kill you") > 0 and rules.evidence("kill yourself") > 0 == rules.evidence("kill the old process now")
+
+
+def test_toxicity_on_the_held_out_fold(spark, data):
+    root = data.replace("0.001", "0.1")
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{root}/labels.parquet").collect() if r["toxic"] is not None}
+    got = [(r["score"], labels[r["doc_id"]]) for r in queries.op9_toxicity(spark, root).where("held_out").collect() if r["doc_id"] in labels]
+    toxic, clean = (np.array([s for s, y in got if y == k]) for k in (1, 0))
+    assert len(toxic) > 20 and len(clean) > 100
+    assert np.mean([(s > clean).mean() + (s == clean).mean() / 2 for s in toxic]) > 0.95
+    assert (toxic >= 0.5).mean() > 0.8 and (clean < 0.5).mean() > 0.97
+
+
+def test_toxicity_of_odd_inputs(spark):
+    df = docs(spark, ["you idiot " * 50_000, "x" * 200_000]).withColumn("score", F.lit("a")).withColumn("toxic", F.lit(3)).withColumn("held_out", F.lit(1))
+    none = spark.createDataFrame([(None, 1, 0), (0, None, 0)], "doc_id long, toxic int, quality int")
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(df, none).collect()} == {0: 1, 1: 0}
+    assert toxicity.drop_toxic(df, none).columns == df.columns
 
 
 def test_toxicity_edges(spark):
