@@ -154,6 +154,7 @@ def labelled_findings(per_kind: int = FINDINGS, seed: int = SEED, words: list[st
     """(text, start, end, label) of generated findings, secrets and look-alikes, among the given words."""
     rng = random.Random(seed)
     words = words or sorted(set(DICTIONARY.split()))
+    long_words = [w for w in words if len(w) > 3]
     hexa, upper, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
     def some(chars: str, n: int) -> str:
@@ -167,7 +168,7 @@ def labelled_findings(per_kind: int = FINDINGS, seed: int = SEED, words: list[st
         return rng.choice([f"{name}={value}", f'{name} = "{value}"', f"{name}: {value}", f"{name}: '{value}'", f"{name.upper()}={value}"])
 
     def word() -> str:
-        return rng.choice([w for w in words if len(w) > 3])
+        return rng.choice(long_words)
 
     def password() -> str:
         core = rng.choice([lambda: word().capitalize() + some("0123456789", rng.randint(1, 4)), lambda: some(alnum + "!@#$%&*?", rng.randint(7, 16)), lambda: leet(word() + word()), lambda: word() + some("0123456789", 2) + word().capitalize()])()
