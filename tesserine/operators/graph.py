@@ -82,6 +82,18 @@ def search_nodes(g: Graph, query: str, limit: int = 20, most_observations: int =
     return top.join(capped_observations(g, top, most_observations), "name", "left")
 
 
+def relations_of(g: Graph, found: DataFrame) -> DataFrame:
+    """The relations that touch an entity found."""
+    return incident(g, found).select(TRIPLE)
+
+
+def with_neighbours(found: DataFrame, vectors: DataFrame, query_vector: list[float], limit: int = 10, threshold: float = 0.5) -> DataFrame:
+    """name, similarity of entities like a query's vector that are not among those found; vectors(name, embedding)."""
+    from tesserine.operators.semantic import top_k
+
+    return top_k(vectors.join(found.select("name"), "name", "left_anti"), query_vector, limit, threshold, "name", "embedding")
+
+
 def incident(g: Graph, names: DataFrame) -> DataFrame:
     """Relations that touch a named entity at either end, once each."""
     out = g.relations.join(names.select(F.col("name").alias("src")), "src", "left_semi")
@@ -140,6 +152,16 @@ def traverse(g: Graph, start: str, depth: int = 2) -> DataFrame:
     return reached.join(g.entities.select("name"), "name", "left_semi").orderBy("hop", "name")
 
 
+def traverse_edges(g: Graph, start: str, depth: int = 2) -> DataFrame:
+    """src, dst, relation_type, once each: the relations that touch an entity less than depth steps away, dangling ends included."""
+    steps = min(max(depth, 1), 3)
+    inner = g.entities.sparkSession.createDataFrame([(start,)], "name string")
+    for _ in range(steps - 1):
+        edges = incident(g, inner)
+        inner = edges.select(F.col("src").alias("name")).unionByName(edges.select(F.col("dst").alias("name"))).unionByName(inner).distinct()
+    return incident(g, inner).select(TRIPLE)
+
+
 def capped_graph(g: Graph, most: int = 800) -> Graph:
     """The most recently updated entities and what lies among them."""
     kept = g.entities.orderBy(F.desc("updated_at"), "name").limit(most)
@@ -176,8 +198,9 @@ def create_relations(g: Graph, batch: DataFrame, now: Column) -> tuple[Graph, Da
 
 
 def _folded(batch: DataFrame, g: Graph) -> DataFrame:
-    """Batch items by entity in order, with the entity's revision and observations: one row an entity."""
-    held = g.observations.groupBy("name").agg(F.collect_set("content").alias("held"))
+    """Batch items by entity in order, with the entity's revision and which of the batch's contents it has: one row an entity."""
+    asked = batch.select("name", F.explode("contents").alias("content")).distinct()
+    held = asked.join(g.observations.select("name", "content"), ["name", "content"], "left_semi").groupBy("name").agg(F.collect_list("content").alias("held"))
     items = batch.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("pos", "contents", "expected_rev"))).alias("items"))
     return items.join(g.entities.select("name", "revision"), "name", "left").join(held, "name", "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>")))
 

@@ -21,11 +21,26 @@ MIN_SHARED, MAX_CANDIDATES, WEAK = 2, 80, 0.45
 #: Merges that one task folds in order; more are settled by rounds of joins first.
 FOLD_ROWS = 50_000
 
-# Relation types that may be named, and what pairs of types suggest.
-ALLOWED = "implements fixes references depends_on extends relates_to part_of documents causes blocks supersedes uses".split()
+# Relation types that may be named, what pairs of types suggest, and the one spelling of each entity type.
+ALLOWED = "implements part_of related_to tested_by fixes depends_on uses references causes verified_by contains supersedes".split()
 TYPE_RULES = [
-    ("implementation", "plan", "implements"), ("fix", "bug", "fixes"), ("test", "implementation", "tests"), ("plan", "decision", "references"), ("bug", "implementation", "affects"), ("document", "project", "documents"),
+    ("plan", "implementation", "implements"), ("plan", "refactor", "implements"), ("design-decision", "implementation", "implements"), ("bug", "fix", "fixes"), ("bug", "bugfix", "fixes"), ("finding", "fix", "fixes"),
+    ("test", "code-change", "tests"), ("test", "implementation", "tests"), ("implementation", "test", "tested_by"), ("file", "test", "contains"), ("change", "implementation", "implements"), ("milestone", "plan", "contains"),
 ]
+CANONICAL_TYPES = {
+    "Change": "change", "Task": "task", "Fix": "fix", "File": "file", "Feature": "feature", "DesignDecision": "design-decision", "CodeChange": "code-change", "Implementation": "implementation", "TestSuite": "test", "TestResult": "test-result",
+    "Code": "code", "Project": "project", "Session": "change", "Module": "module", "Fact": "finding", "Lesson": "finding", "Server": "service", "Convention": "config", "Milestone": "plan", "Assessment": "finding", "Recommendation": "finding",
+    "KnownIssue": "bug", "RefactorTask": "task", "Performance_problem": "bug", "NetworkConfig": "config", "NetworkingConfig": "config", "NetworkInterface": "infrastructure", "System_config": "config", "SystemConfig": "config",
+    "Infrastructure": "infrastructure", "Repository": "project", "Artifact": "file", "Configuration": "config", "System": "infrastructure", "Peer": "infrastructure",
+}
+
+
+def default_rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TYPE_RULES, "from_type string, to_type string, relation_type string")
+
+
+def default_mapping(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(CANONICAL_TYPES.items()), "from_type string, to_type string")
 
 
 def entity_tokens(g: Graph, most: int = 3) -> DataFrame:
@@ -37,12 +52,20 @@ def entity_tokens(g: Graph, most: int = 3) -> DataFrame:
 def shared_tokens(tokens: DataFrame, key: str = "name", least: int = MIN_SHARED) -> DataFrame:
     """a, b, shared, signals of pairs a < b that share at least so many tokens.
 
-    Pairs arise per token, in an equi join on the token; tokens of one owner are no pair.
+    Of the tokens that a pair shares, the rarest is none of the least - 1 most frequent ones
+    of either, so pairs meet by an equi join on each owner's other tokens only; then their
+    whole lists are compared. A token that most owners have makes no pairs by itself.
     """
-    left = tokens.select(F.col(key).alias("a"), "token")
-    right = tokens.select(F.col(key).alias("b"), "token")
-    pairs = left.join(right, "token").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.collect_list(F.struct((-F.length("token")).alias("l"), "token")).alias("t"))
-    return pairs.where(F.col("shared") >= least).select("a", "b", "shared", F.transform(F.slice(F.sort_array("t"), 1, 4), lambda x: x["token"]).alias("signals"))
+    held = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "token")))
+    lists = tokens.select(key, "token").distinct().join(held, "token").groupBy(key).agg(order.alias("t")).where(F.size("t") >= least)
+    rare = lists.select(key, F.explode(F.slice("t", least, 1_000_000_000)).alias("e")).select(key, "e.token")
+    left, right = rare.select(F.col(key).alias("a"), "token"), rare.select(F.col(key).alias("b"), "token")
+    met = left.join(right, "token").where("a < b").select("a", "b").distinct()
+    sides = [lists.select(F.col(key).alias(k), F.col("t.token").alias(f"t_{k}")) for k in ("a", "b")]
+    both = met.join(sides[0], "a").join(sides[1], "b").withColumn("t", F.array_intersect("t_a", "t_b")).where(F.size("t") >= least)
+    longest = F.array_sort(F.transform("t", lambda x: F.struct((-F.length(x)).alias("l"), x.alias("token"))))
+    return both.select("a", "b", F.size("t").cast("long").alias("shared"), F.transform(F.slice(longest, 1, 4), lambda x: x["token"]).alias("signals"))
 
 
 def duplicate_names(entities: DataFrame) -> DataFrame:
@@ -57,8 +80,9 @@ def type_renames(entities: DataFrame, mapping: DataFrame) -> DataFrame:
     return entities.select("name", F.col("entity_type").alias("from_type")).join(mapping, "from_type").where("from_type != to_type").select("name", "from_type", "to_type")
 
 
-def discover(g: Graph, mapping: DataFrame) -> dict[str, DataFrame]:
-    """renames, merges and candidate relations."""
+def discover(g: Graph, mapping: DataFrame | None = None) -> dict[str, DataFrame]:
+    """renames, merges and candidate relations; types go by the default mapping unless another is given."""
+    mapping = default_mapping(g.entities.sparkSession) if mapping is None else mapping
     candidates = unrelated(shared_tokens(entity_tokens(g)), g.relations)
     return {"renames": type_renames(g.entities, mapping), "merges": duplicate_names(g.entities), "candidates": candidates.orderBy(F.desc("shared"), "a", "b").limit(MAX_CANDIDATES)}
 
@@ -68,6 +92,28 @@ def chunks(entities: DataFrame, size: int = 150) -> DataFrame:
     return numbered(entities.select("name"), ["name"]).select("name", F.floor(F.col("n") / size).cast("long").alias("chunk"))
 
 
+def chunk_edges(g: Graph, size: int = 150) -> DataFrame:
+    """src, dst, relation_type, chunk: the relations with both ends in one chunk."""
+    placed = chunks(g.entities, size)
+    ends = g.relations.join(placed.select(F.col("name").alias("src"), "chunk"), "src")
+    return ends.join(placed.select(F.col("name").alias("dst"), "chunk"), ["dst", "chunk"]).select(*TRIPLE, "chunk")
+
+
+def chunk_candidates(g: Graph, size: int = 150, least: int = MIN_SHARED) -> DataFrame:
+    """chunk, a, b, shared, signals of pairs within one chunk: what a model is asked about, chunk by chunk."""
+    placed = chunks(g.entities, size)
+    pairs = unrelated(shared_tokens(entity_tokens(g), least=least), g.relations)
+    return pairs.join(placed.select(F.col("name").alias("a"), "chunk"), "a").join(placed.select(F.col("name").alias("b"), "chunk"), ["b", "chunk"]).select("chunk", "a", "b", "shared", "signals")
+
+
+def shortlist(found: dict[str, DataFrame], most: int = MAX_CANDIDATES, least: int = MIN_SHARED) -> dict[str, DataFrame]:
+    """What is certain, merges and renames, and what needs a judge: the `most` best candidates that share enough."""
+    merges = found["merges"].select(F.col("a").alias("keep"), F.col("b").alias("remove"))
+    renames = found["renames"].select("name", "to_type")
+    needed = found["candidates"].where(F.col("shared") >= least).orderBy(F.desc("shared"), "a", "b").limit(most).select("a", "b", "shared")
+    return {"merges": merges, "renames": renames, "candidates": needed}
+
+
 def rank(candidates: DataFrame, similarities: DataFrame | None = None) -> DataFrame:
     """Candidates with similarity and score, best first; the lexical stand-in without vectors."""
     if similarities is None:
@@ -84,17 +130,19 @@ def mentions(g: Graph, pairs: DataFrame) -> DataFrame:
     return pairs.join(found, ["a", "b"], "left")
 
 
-def validate(g: Graph, ranked: DataFrame, rules: DataFrame, validator: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def validate(g: Graph, ranked: DataFrame, rules: DataFrame | None = None, validator: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """src, dst, relation_type, confidence of the candidates that a rule, a mention or the validator names.
 
-    Weak candidates without a mention go. Rules by type come first, then mentions, which
-    make references; the validator gets what is left and may name allowed types only.
+    Weak candidates without a mention go. Rules by type, the default ones unless others are
+    given, come first, then mentions, which make references; the validator gets what is left
+    and may name allowed types only. confidence is the rounded similarity.
     """
+    rules = default_rules(g.entities.sparkSession) if rules is None else rules
     types = g.entities.select("name", "entity_type")
     typed = mentions(g, ranked).join(types.select(F.col("name").alias("a"), F.col("entity_type").alias("a_type")), "a", "left").join(types.select(F.col("name").alias("b"), F.col("entity_type").alias("b_type")), "b", "left")
     strong = typed.where((F.col("similarity") >= WEAK) | F.col("name_in_obs"))
     ruled = strong.join(rules.select(F.col("from_type").alias("a_type"), F.col("to_type").alias("b_type"), "relation_type"), ["a_type", "b_type"], "left")
-    named = ruled.withColumn("relation_type", F.coalesce("relation_type", F.when(F.col("name_in_obs"), "references"))).withColumn("confidence", F.when(F.col("relation_type").isNotNull(), F.col("score")))
+    named = ruled.withColumn("relation_type", F.coalesce("relation_type", F.when(F.col("name_in_obs"), "references"))).withColumn("confidence", F.when(F.col("relation_type").isNotNull(), F.round("similarity", 3)))
     out = named.where("relation_type is not null").select(F.col("a").alias("src"), F.col("b").alias("dst"), "relation_type", "confidence")
     if validator is not None:
         said = validator(named.where("relation_type is null").select("a", "b", "shared", "similarity", "score"))
@@ -102,6 +150,14 @@ def validate(g: Graph, ranked: DataFrame, rules: DataFrame, validator: Callable[
     return out
 
 
+def validator_health(candidates: DataFrame, named: DataFrame, asked: DataFrame, answered: DataFrame, again: DataFrame) -> DataFrame:
+    """One row of counters: candidates that came in, were named without the validator, were asked of it in batches, answered, and asked again one by one without an answer."""
+    parts = [("candidates_in", candidates), ("named_by_rules", named), ("batch_asked", asked), ("batch_answered", answered), ("single_asked", asked.join(answered.select("a", "b"), ["a", "b"], "left_anti"))]
+    counted = [df.agg(F.count("*").alias(name)) for name, df in parts]
+    counted.append(parts[-1][1].join(again.select("a", "b"), ["a", "b"], "left_anti").agg(F.count("*").alias("single_none")))
+    return reduce(lambda x, y: x.join(y, F.lit(True)), counted)
+
+
 def parse_relation_type(reply: Column) -> Column:
     """The longest allowed type that stands in a reply as a word."""
     names = "|".join(sorted(ALLOWED, key=lambda t: (-len(t), t)))
@@ -213,17 +269,35 @@ def growth(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(after, F.lit(True)).select((F.greatest(F.col("n_entities") - F.col("e0"), F.lit(0)) + F.greatest(F.col("n_observations") - F.col("o0"), F.lit(0))).alias("growth"))
 
 
-def run_stages(spark: SparkSession, g: Graph, mapping: DataFrame, rules: DataFrame, run_dir: str, similarities: DataFrame | None = None, from_stage: str = "discover") -> DataFrame:
-    """The stages up to validate, each written below run_dir; earlier ones than from_stage are read back."""
-    order = ["discover", "rank", "validate"]
-    skip = order.index(from_stage)
+STAGES = ["discover", "rank", "validate", "apply"]
+
+
+def run_stages(spark: SparkSession, g: Graph, run_dir: str, mapping: DataFrame | None = None, rules: DataFrame | None = None, similarities: DataFrame | None = None, from_stage: str = "discover", now: Column | None = None) -> Graph:
+    """The stages, each written below run_dir; those before from_stage are read back. The graph with relations applied is returned.
 
-    def stage(k: int, name: str, made: Callable[[], DataFrame]) -> DataFrame:
+    apply writes the relations that are added; the tables of the graph are the caller's to store.
+    """
+    if from_stage not in STAGES:
+        raise ValueError(f"no stage {from_stage!r}")
+    skip = STAGES.index(from_stage)
+
+    def stage(name: str, made: Callable[[], DataFrame]) -> DataFrame:
+        k = STAGES.index(name)
         path = f"{run_dir}/{k + 1:02d}_{name}"
         if k >= skip:
             made().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
-    found = stage(0, "discover", lambda: discover(g, mapping)["candidates"])
-    ranked = stage(1, "rank", lambda: rank(found, similarities))
-    return stage(2, "validate", lambda: validate(g, ranked, rules))
+    found = stage("discover", lambda: discover(g, mapping)["candidates"])
+    ranked = stage("rank", lambda: rank(found, similarities))
+    named = stage("validate", lambda: validate(g, ranked, rules))
+    when = F.current_timestamp() if now is None else now
+    fit = stage("apply", lambda: apply_relations(g, named, when).relations.join(g.relations.select(TRIPLE), TRIPLE, "left_anti"))
+    return replace(g, relations=g.relations.unionByName(fit.select(g.relations.columns)))
+
+
+def list_runs(spark: SparkSession, root: str) -> list[str]:
+    """The runs below a folder, newest names first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted((s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()), reverse=True) if fs.exists(path) else []

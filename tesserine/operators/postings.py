@@ -82,39 +82,51 @@ class PostingsIndex:
     def postings(self) -> DataFrame:
         return layered(self.store.read("base"), self.store.read("delta"))
 
+    def live_files(self) -> DataFrame:
+        return self.store.read("files").where(~F.col("tombstoned"))
+
     def search(self, tokens: list[str], mode: str = "and") -> DataFrame:
         """Hits with their file's name and date; tombstoned files are left out."""
-        live = self.store.read("files").where(~F.col("tombstoned"))
+        live = self.live_files()
         return search(self.postings(), tokens, mode).join(live, "file_idx")
 
-    def update(self, entries: DataFrame, files: DataFrame) -> bool:
-        """Takes over files (file, file_idx, modified, size) and their entries; False if nothing changed.
+    def update(self, entries: DataFrame, files: DataFrame, defer_compact: bool = False) -> dict[str, int | bool]:
+        """Takes over files (file, file_idx, modified, size) and their entries; says what was done.
 
         entries has at least those of changed and new files. Removed files are tombstoned
-        and keep their number.
+        and keep their number; new ones are numbered after all that there ever were. A delta
+        over COMPACT_SHARE of the base is folded, unless defer_compact leaves that for later.
         """
-        known = self.store.read("files")
-        status = diff_files(files, known).where("status != 'unchanged'").select("file", F.coalesce("file_idx", F.lit(-1)).alias("file_idx"), "status")
-        if status.isEmpty():
-            return False
-        next_idx = (known.agg(F.max("file_idx")).first()[0] or -1) + 1
-        fresh = files.join(status.where("status = 'new'").select("file"), "file", "left_semi")
         from tesserine.operators.ranking import numbered
 
-        named = numbered(fresh.drop("file_idx"), ["file"], "file_idx").withColumn("file_idx", F.col("file_idx") + next_idx)
-        kept = known.join(status.where("status != 'removed'").select("file", F.col("status").alias("s")), "file", "left").join(files.select("file", F.col("modified").alias("m"), F.col("size").alias("z")), "file", "left")
-        kept = kept.withColumn("tombstoned", F.col("tombstoned") | F.col("z").isNull()).withColumn("modified", F.coalesce("m", "modified")).withColumn("size", F.coalesce("z", "size")).drop("s", "m", "z")
-        manifest = kept.unionByName(named.withColumn("tombstoned", F.lit(False)), allowMissingColumns=True)
-        numbers = manifest.where(~F.col("tombstoned")).select("file", "file_idx")
-        touched = status.where("status != 'new'").select("file_idx")
-        old = self.postings().join(touched, "file_idx", "left_semi").select(*KEY)
-        changed = status.where("status in ('new', 'changed')").select("file")
-        new = build(entries.drop("file_idx").join(changed, "file", "left_semi").join(numbers, "file"))
-        delta = self.store.read("delta").unionByName(diff_postings(old, new, self.store.version() + 1))
-        self.store.commit({"files": manifest, "delta": delta, "base": None})
-        if self.store.read("delta").count() > COMPACT_SHARE * self.store.read("base").count():
+        known = self.store.read("files")
+        status = diff_files(files, known).select("file", F.coalesce("file_idx", F.lit(-1)).alias("file_idx"), "status")
+        counts = {r["status"]: r["n"] for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}
+        done: dict[str, int | bool] = {n: counts.get(s, 0) for n, s in (("unchanged", "unchanged"), ("updated", "changed"), ("added", "new"), ("removed", "removed"))}
+        status = status.where("status != 'unchanged'")
+        if done["updated"] or done["added"] or done["removed"]:
+            last = known.agg(F.max("file_idx")).first()[0]
+            next_idx = 0 if last is None else last + 1
+            fresh = files.join(status.where("status = 'new'").select("file"), "file", "left_semi")
+            named = numbered(fresh.drop("file_idx"), ["file"], "file_idx").withColumn("file_idx", F.col("file_idx") + next_idx)
+            kept = known.join(files.select("file", F.col("modified").alias("m"), F.col("size").alias("z")), "file", "left")
+            kept = kept.withColumn("tombstoned", F.col("tombstoned") | F.col("z").isNull()).withColumn("modified", F.coalesce("m", "modified")).withColumn("size", F.coalesce("z", "size")).drop("m", "z")
+            manifest = kept.unionByName(named.withColumn("tombstoned", F.lit(False)), allowMissingColumns=True)
+            numbers = manifest.where(~F.col("tombstoned")).select("file", "file_idx")
+            touched = status.where("status != 'new'").select("file_idx")
+            old = self.postings().join(touched, "file_idx", "left_semi").select(*KEY)
+            changed = status.where("status in ('new', 'changed')").select("file")
+            new = build(entries.drop("file_idx").join(changed, "file", "left_semi").join(numbers, "file"))
+            delta = self.store.read("delta").unionByName(diff_postings(old, new, self.store.version() + 1))
+            self.store.commit({"files": manifest, "delta": delta, "base": None})
+        done["total_slots"] = self.store.read("files").count()
+        done["needs_compact"] = self.needs_compact()
+        if done["needs_compact"] and not defer_compact:
             self.compact()
-        return True
+        return done
+
+    def needs_compact(self) -> bool:
+        return self.store.read("delta").count() > COMPACT_SHARE * self.store.read("base").count()
 
     def compact(self) -> int:
         """Folds the delta into the base; nothing changes if there is none."""
@@ -122,3 +134,25 @@ class PostingsIndex:
             return self.store.version()
         base = self.postings().repartitionByRange("token").sortWithinPartitions(*KEY)
         return self.store.commit({"base": base, "files": None, "delta": self.store.read("delta").limit(0)})
+
+
+def build_domains(spark: SparkSession, root: str, domains: dict[str, tuple[DataFrame, DataFrame]]) -> dict[str, PostingsIndex]:
+    """An index below root for each domain's (entries, files)."""
+    made = {name: PostingsIndex(spark, f"{root}/{name}") for name in domains}
+    for name, (entries, files) in domains.items():
+        made[name].create(entries, files)
+    return made
+
+
+def update_domains(spark: SparkSession, root: str, domains: dict[str, tuple[DataFrame, DataFrame]], defer_compact: bool = False) -> dict[str, dict[str, int | bool]]:
+    """Brings each domain's index up to date, or builds it where there is none; what was done, by domain."""
+    done = {}
+    for name, (entries, files) in domains.items():
+        index = PostingsIndex(spark, f"{root}/{name}")
+        if index.store.version():
+            done[name] = index.update(entries, files, defer_compact)
+        else:
+            index.create(entries, files)
+            n = files.count()
+            done[name] = {"unchanged": 0, "updated": 0, "added": n, "removed": 0, "total_slots": n, "needs_compact": False}
+    return done

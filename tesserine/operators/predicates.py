@@ -34,5 +34,29 @@ def top_level(path: Column) -> Column:
 
 
 def tool_marker(arguments: Column, marker: str) -> Column:
-    """Whether a tool call's arguments hold a marker, JSON inside JSON strings included."""
-    return F.contains(F.regexp_replace(arguments, r"\\+", ""), F.lit(marker))
+    """Whether a tool call's arguments hold a marker in a string, also in JSON that stands in strings of JSON.
+
+    Each level of nesting doubles the escapes before a quote, so texts are unescaped level by
+    level, three deep, and looked at on each.
+    """
+    held, text = F.contains(arguments, F.lit(marker)), arguments
+    for _ in range(3):
+        text = F.regexp_replace(F.regexp_replace(text, r'\\(["/])', "$1"), r"\\\\", r"\\")
+        held = held | F.contains(text, F.lit(marker))
+    return held
+
+
+def planner_gate(messages: DataFrame, plans: Column, searched: Column, path_col: str = "path") -> DataFrame:
+    """conv_id, denied: top-level sessions that call a planner in their current turn without a search before it in that turn."""
+    now = _since_user(messages).where(F.col("turn") > F.coalesce("last_user", F.lit(-1)))
+    said = F.col("role") == "assistant"
+    first_plan, first_search = F.min(F.when(said & plans, F.col("turn"))), F.min(F.when(said & searched, F.col("turn")))
+    out = now.groupBy("conv_id").agg(first_plan.alias("p"), first_search.alias("s"), F.max(path_col).alias("path"))
+    return out.select("conv_id", (top_level(F.col("path")) & F.col("p").isNotNull() & (F.col("s").isNull() | (F.col("s") >= F.col("p")))).alias("denied"))
+
+
+def report_missing(messages: DataFrame, delegated: Column, reported: Column, path_col: str = "path") -> DataFrame:
+    """conv_id, denied: top-level sessions whose current turn hands work on but writes no report of it."""
+    now = _since_user(messages).where(F.col("turn") > F.coalesce("last_user", F.lit(-1)))
+    out = now.groupBy("conv_id").agg(F.coalesce(F.bool_or(delegated), F.lit(False)).alias("d"), F.coalesce(F.bool_or(reported), F.lit(False)).alias("r"), F.max(path_col).alias("path"))
+    return out.select("conv_id", (top_level(F.col("path")) & F.col("d") & ~F.col("r")).alias("denied"))

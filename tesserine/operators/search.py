@@ -80,9 +80,13 @@ def newest_first(df: DataFrame, limit: int) -> DataFrame:
 
 def search(
     domains: dict[str, DataFrame], query: str, domain: str = "all", max_results: int = 20, date_from: str | None = None, date_to: str | None = None, regex: bool = False, context_lines: int = 2, case_sensitive: bool = False,
-    max_matches_per_file: int = 5, role: str | None = None, speaker: str | None = None, any_word: bool = True,
+    max_matches_per_file: int = 5, role: str | None = None, speaker: str | None = None, any_word: bool = True, indexes: dict[str, idx.PostingsIndex] | None = None,
 ) -> DataFrame:
-    """Matches of a query over domains' lines: domain, file, date, line_no, line, before, after."""
+    """Matches of a query over domains' lines: domain, file, date, line_no, line, before, after.
+
+    Where a domain has an index, words are looked up in it, and lines are only read for
+    what is shown; patterns and cased queries are scanned.
+    """
     if not query.strip():
         raise ValueError("empty query")
     if domain != "all" and domain not in domains:
@@ -94,6 +98,16 @@ def search(
     parts = []
     for name, lines in chosen.items():
         full = lines if "date" in lines.columns else lines.withColumn("date", F.lit("?"))
+        by_line = ("role" in full.columns and role is not None) or ("speaker" in full.columns and speaker is not None)
+        if indexes and name in indexes and not (regex or case_sensitive or by_line):
+            hits = indexes[name].search(index_tokens(query), "or" if any_word else "and").withColumn("line_no", F.col("entry_idx") + 1)
+            hits = hits if "date" in hits.columns else hits.withColumn("date", F.lit("?"))
+            hits = first_n(in_dates(hits, date_from, date_to), ["file"], ["line_no"], max_matches_per_file)
+            top = newest_first(hits.withColumn("domain", F.lit(name)), max_results).select("domain", "file", "date", "line_no")
+            # max_results rows at most, so the lines stay where they are
+            shown = lines.select("file", "line_no", "line").join(F.broadcast(top), ["file", "line_no"])
+            parts.append(with_context(shown.select("domain", "file", "date", "line_no", "line"), lines, context_lines))
+            continue
         found = scan(full, query, regex, case_sensitive) if regex or case_sensitive else by_words(full, query, any_word)
         found = in_dates(found, date_from, date_to)
         if "role" in full.columns:
@@ -111,10 +125,14 @@ def turn_of_line(hits: DataFrame, turns: DataFrame) -> DataFrame:
     return hits.join(turns, "file").where(F.col("line_no").between(F.col("line_start"), F.col("line_end")))
 
 
-def list_domain(lines: DataFrame, limit: int = 50) -> DataFrame:
-    """Files of a domain with their counts, newest first."""
+def list_domain(lines: DataFrame, limit: int = 50, turns: DataFrame | None = None) -> DataFrame:
+    """Files of a domain with their counts, newest first; with turns(file, speaker) also how many they have and who takes part."""
     named = lines if "date" in lines.columns else lines.withColumn("date", F.lit("?"))
-    return named.groupBy("file").agg(F.max("date").alias("date"), F.count("*").alias("n_lines"), F.count_if(F.trim("line") != "").alias("n_entries")).orderBy(F.coalesce("date", F.lit("?")).desc(), "file").limit(limit)
+    listed = named.groupBy("file").agg(F.max("date").alias("date"), F.count("*").alias("n_lines"), F.count_if(F.trim("line") != "").alias("n_entries"))
+    if turns is not None:
+        who = turns.groupBy("file", "speaker").agg(F.count("*").alias("n")).groupBy("file").agg(F.sum("n").alias("n_turns"), F.array_sort(F.collect_list("speaker")).alias("participants"))
+        listed = listed.join(who, "file", "left").withColumn("n_turns", F.coalesce("n_turns", F.lit(0)))
+    return listed.orderBy(F.coalesce("date", F.lit("?")).desc(), "file").limit(limit)
 
 
 def current_turn(messages: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.functions.vectors import cosine, dot, unit
+from tesserine.functions.vectors import cosine
 
 
 def embedding_text(name: Column, observations: Column) -> Column:
@@ -19,20 +22,43 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 10, threshold: float
     return vectors.select(id_col, sim.alias("s")).where(F.col("s") >= threshold).orderBy(F.desc("s"), id_col).limit(k).select(id_col, F.round("s", 3).alias("similarity"))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = 0.55, limit: int | None = 80, id_col: str = "vec_id", vector_col: str = "embedding", blocks: int = 16) -> DataFrame:
+#: Vectors of a block; two of them and their product, 32 MB, lie in a task at once.
+BLOCK_VECTORS = 2_048
+
+
+def similar_pairs(vectors: DataFrame, threshold: float = 0.55, limit: int | None = 80, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Pairs a < b with a cosine at or above the threshold.
 
-    Vectors are dealt to blocks and pairs of blocks are joined on the block pair, an equi
-    join, so each pair of vectors meets once and no task holds more than two blocks.
+    Vectors are dealt to blocks of a fixed size, and each pair of blocks is one matrix
+    product, so every pair of vectors meets once. All pairs are compared, which is what an
+    exact join without a bound on the angle costs; a null or zero vector is like nothing.
     """
-    v = vectors.select(F.col(id_col).alias("id"), unit(F.col(vector_col)).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"))
-    left = v.select(F.col("id").alias("x"), F.col("v").alias("xv"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(F.col("block"), o).alias("lo"), F.greatest(F.col("block"), o).alias("hi")))).alias("pair"), F.col("block").alias("xb"))
-    right = left.select(F.col("x").alias("y"), F.col("xv").alias("yv"), "pair", F.col("xb").alias("yb"))
-    met = left.join(right, "pair").where((F.col("x") < F.col("y")) & (F.least("xb", "yb") == F.col("pair.lo")) & (F.greatest("xb", "yb") == F.col("pair.hi")))
-    pairs = met.select(F.col("x").alias("a"), F.col("y").alias("b"), dot(F.col("xv"), F.col("yv")).alias("s")).where(F.col("s") >= threshold)
+    kind = dict(vectors.dtypes)[id_col]
+    v = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    blocks = max(1, -(-v.count() // BLOCK_VECTORS))
+    dealt = v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    pairs = dealt.withColumn("other", other).select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "v")
+
+    def product(group: pa.Table) -> pa.Table:
+        lo, block = group["lo"][0].as_py(), group["block"].to_numpy()
+        order = np.argsort(block != lo, kind="stable")
+        ids = group["id"].take(pa.array(order))
+        x = group["v"].combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)[order]
+        n = np.sqrt((x * x).sum(1))
+        x = x / np.where(n > 0, n, 1)[:, None]
+        first = int((block == lo).sum())
+        rows, columns = (x, x) if first == len(x) else (x[:first], x[first:])
+        s = rows @ columns.T
+        i, j = np.nonzero(np.triu(s >= threshold, 1) if first == len(x) else s >= threshold)
+        left, right = ids.take(pa.array(i)), ids.take(pa.array(j + (0 if first == len(x) else first)))
+        swap = pc.greater(left, right)
+        return pa.table({"a": pc.if_else(swap, right, left), "b": pc.if_else(swap, left, right), "s": pa.array(s[i, j])})
+
+    found = pairs.groupBy("lo", "hi").applyInArrow(product, f"a {kind}, b {kind}, s double").where("a < b")
     if limit is not None:
-        pairs = pairs.orderBy(F.desc("s"), "a", "b").limit(limit)
-    return pairs.select("a", "b", F.round("s", 3).alias("similarity"))
+        found = found.orderBy(F.desc("s"), "a", "b").limit(limit)
+    return found.select("a", "b", F.round("s", 3).alias("similarity"))
 
 
 def unrelated(pairs: DataFrame, relations: DataFrame) -> DataFrame:

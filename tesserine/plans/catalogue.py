@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -68,6 +71,9 @@ rels AS (
     UNION ALL SELECT n_name, r_name, 'part_of' FROM nation JOIN region ON n_regionkey = r_regionkey)"""
 
 
+_UNIT = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+
+
 def _frequent_tokens(postings: DataFrame) -> list[str]:
     """The tokens of the fifth and the twelfth rank by documents."""
     top = postings.groupBy("token").agg(F.count_distinct("file_idx").alias("n")).orderBy(F.desc("n"), "token").limit(12).collect()
@@ -84,24 +90,24 @@ def postings_build(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"WITH {_POSTINGS} SELECT token, count(DISTINCT file_idx) AS df FROM tokens GROUP BY token ORDER BY df DESC, token LIMIT 50")
 def token_df_topk(spark: SparkSession, root: str) -> DataFrame:
-    built = idx.build(adapters.document_entries(spark, root))
+    built = adapters.indexes(spark, root)["documents"].postings()
     return built.groupBy("token").agg(F.count_distinct("file_idx").alias("df")).orderBy(F.desc("df"), "token").limit(50)
 
 
 @query(f"WITH {_POSTINGS}, by_token AS (SELECT token, count(*) AS df FROM tokens GROUP BY token) SELECT count(*) AS n_tokens, CAST(sum(df) AS BIGINT) AS n_postings, max(df) AS max_df FROM by_token")
 def index_stats(spark: SparkSession, root: str) -> DataFrame:
-    return idx.index_stats(idx.build(adapters.document_entries(spark, root)))
+    return idx.index_stats(adapters.indexes(spark, root)["documents"].postings())
 
 
 @query(f"WITH {_PICKED} SELECT file_idx, entry_idx FROM tokens WHERE token IN (SELECT token FROM picked) GROUP BY ALL HAVING count(*) = 2")
 def search_and(spark: SparkSession, root: str) -> DataFrame:
-    built = idx.build(adapters.document_entries(spark, root))
+    built = adapters.indexes(spark, root)["documents"].postings()
     return idx.search(built, _frequent_tokens(built), "and")
 
 
 @query(f"WITH {_PICKED} SELECT DISTINCT file_idx, entry_idx FROM tokens WHERE token IN (SELECT token FROM picked)")
 def search_or(spark: SparkSession, root: str) -> DataFrame:
-    built = idx.build(adapters.document_entries(spark, root))
+    built = adapters.indexes(spark, root)["documents"].postings()
     return idx.search(built, _frequent_tokens(built), "or")
 
 
@@ -166,18 +172,26 @@ _LINE_WORDS = r"list_transform(regexp_split_to_array({c}, '[^\p{{L}}\p{{N}}_\-]+
     SELECT domain, file, CAST(line_no AS INTEGER) AS line_no FROM topped WHERE m <= 60 ORDER BY line_no, domain, file LIMIT 60"""
 )
 def search_all_domains(spark: SparkSession, root: str) -> DataFrame:
-    found = search.search(adapters.domains(spark, root), "with para", max_results=60, context_lines=0)
+    found = search.search(adapters.domains(spark, root), "with para", max_results=60, context_lines=0, indexes=adapters.indexes(spark, root))
     return found.select("domain", "file", "line_no")
 
 
 @query(
     f"""WITH {_LINES} SELECT 'documents' AS domain, CAST(doc_id AS VARCHAR) AS file, count(*) AS n_lines, count(*) FILTER (WHERE trim(line) <> '') AS n_entries FROM lines GROUP BY doc_id
-    UNION ALL SELECT 'sessions', CAST(conv_id AS VARCHAR), count(*), count(*) FILTER (WHERE trim(text) <> '') FROM conversations GROUP BY conv_id"""
+    UNION ALL SELECT 'sessions', CAST(conv_id AS VARCHAR), count(*), count(*) FILTER (WHERE trim(text) <> '') FROM conversations GROUP BY conv_id
+    UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR), count(*), count(*) FILTER (WHERE trim(x) <> '') FROM (SELECT page_id, unnest(string_split_regex(html, '\r\n|\n|\r')) AS x FROM pages) GROUP BY page_id
+    UNION ALL SELECT 'benchmark', CAST(item_id AS VARCHAR), count(*), count(*) FILTER (WHERE trim(x) <> '') FROM (SELECT item_id, unnest(string_split_regex(text, '\r\n|\n|\r')) AS x FROM benchmark) GROUP BY item_id"""
 )
 def list_domain_meta(spark: SparkSession, root: str) -> DataFrame:
-    found = adapters.domains(spark, root)
-    parts = [search.list_domain(found[d], 2_000_000_000).select(F.lit(d).alias("domain"), "file", "n_lines", "n_entries") for d in ("documents", "sessions")]
-    return parts[0].unionByName(parts[1])
+    parts = [search.list_domain(lines, 2_000_000_000).select(F.lit(d).alias("domain"), "file", "n_lines", "n_entries") for d, lines in adapters.domains(spark, root).items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS file, sum(n)::BIGINT AS n_turns, string_agg(role, ',' ORDER BY role) AS participants FROM (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY ALL) GROUP BY conv_id")
+def list_domain_turns(spark: SparkSession, root: str) -> DataFrame:
+    lines = adapters.domains(spark, root)["sessions"]
+    listed = search.list_domain(lines, 2_000_000_000, lines.select("file", F.col("role").alias("speaker")))
+    return listed.select("file", "n_turns", F.array_join("participants", ",").alias("participants"))
 
 
 @query("SELECT event_id FROM events WHERE event_type = 'error' OR CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'")
@@ -267,6 +281,44 @@ for _depth in (1, 2, 3):
     _traverse(_depth)
 
 
+def _traverse_edges(depth: int) -> None:
+    def run(spark: SparkSession, root: str) -> DataFrame:
+        return gr.traverse_edges(adapters.graph(spark, root), "NATION_3", depth)
+
+    run.__name__ = f"traverse_edges_{depth}"
+    query(
+        f"""WITH RECURSIVE {_GRAPH}, either_way AS (SELECT src, dst FROM rels UNION SELECT dst, src FROM rels),
+        walk AS (SELECT 'NATION_3' AS name, 0 AS hop UNION SELECT b.dst, w.hop + 1 FROM walk w JOIN either_way b ON b.src = w.name WHERE w.hop < {depth - 1})
+        SELECT DISTINCT src, dst, relation_type FROM rels WHERE src IN (SELECT name FROM walk) OR dst IN (SELECT name FROM walk)"""
+    )(run)
+
+
+for _depth in (1, 2, 3):
+    _traverse_edges(_depth)
+
+
+@query(
+    f"""WITH {_GRAPH}, top AS (SELECT name FROM ents WHERE contains(lower(name), '0000001') ORDER BY name LIMIT 20)
+    SELECT DISTINCT src, dst, relation_type FROM rels WHERE src IN (SELECT name FROM top) OR dst IN (SELECT name FROM top)"""
+)
+def search_nodes_relations(spark: SparkSession, root: str) -> DataFrame:
+    g = adapters.graph(spark, root)
+    return gr.relations_of(g, gr.search_nodes(g, "0000001", 20, 4))
+
+
+@query(f"WITH {_UNIT} SELECT CAST(b.vec_id AS VARCHAR) AS name, round(list_cosine_similarity(a.e, b.e), 3) AS similarity FROM v a, v b WHERE a.vec_id = 3 AND b.vec_id % 5 <> 3 AND list_cosine_similarity(a.e, b.e) >= 0.05 ORDER BY list_cosine_similarity(a.e, b.e) DESC, 1 LIMIT 10")
+def search_nodes_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    """Entities like the query's vector, beside a fifth that words have found already."""
+    vectors = read_table(spark, root, "embeddings").select(F.col("vec_id").cast("string").alias("name"), "embedding", "vec_id")
+    asked = vectors.where("vec_id = 3").first()["embedding"]
+    return gr.with_neighbours(vectors.where("vec_id % 5 = 3"), vectors, asked, 10, 0.05)
+
+
+@query(f"WITH {_GRAPH} SELECT pos::INTEGER AS pos, name, entity_type FROM (VALUES (0, 'ASIA'), (2, 'NATION_5'), (3, 'Customer#000000007')) t(pos, n) JOIN ents ON name = n")
+def open_nodes(spark: SparkSession, root: str) -> DataFrame:
+    return gr.open_nodes(adapters.graph(spark, root), ["ASIA", "Nobody", "NATION_5", "Customer#000000007"]).select("pos", "name", "entity_type")
+
+
 @query(f"WITH {_GRAPH} SELECT 'out' AS direction, dst AS other, relation_type FROM rels WHERE src = 'NATION_1' UNION ALL SELECT 'in', src, relation_type FROM rels WHERE dst = 'NATION_1'")
 def entity_summary(spark: SparkSession, root: str) -> DataFrame:
     return gr.neighbours(adapters.graph(spark, root), "NATION_1")
@@ -296,9 +348,6 @@ def trigram_similar(spark: SparkSession, root: str) -> DataFrame:
 # --- vectors
 
 
-_UNIT = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
-
-
 @query(f"WITH {_UNIT} SELECT b.vec_id, round(list_cosine_similarity(a.e, b.e), 3) AS similarity FROM v a, v b WHERE a.vec_id = 0 AND list_cosine_similarity(a.e, b.e) >= 0.1 ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.vec_id LIMIT 10")
 def cosine_topk(spark: SparkSession, root: str) -> DataFrame:
     vectors = read_table(spark, root, "embeddings")
@@ -311,10 +360,12 @@ def cosine_pairs(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_UNIT}, s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 3) AS similarity FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.3),
-    c AS (SELECT vec_id AS a, vec_id + 1 AS b, vec_id % 13 AS shared FROM embeddings UNION ALL SELECT b, a, (a + b) % 13 FROM s)
+    """WITH v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS e FROM embeddings),
+    d AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, array_cosine_similarity(a.e, b.e) AS x FROM v a JOIN v b ON a.vec_id < b.vec_id),
+    s AS MATERIALIZED (SELECT a, b, round(x, 3) AS similarity FROM d WHERE x >= 0.3),
+    c AS MATERIALIZED (SELECT vec_id AS a, vec_id + 1 AS b, vec_id % 13 AS shared, vec_id AS lo, vec_id + 1 AS hi FROM embeddings UNION ALL SELECT b, a, (a + b) % 13, a, b FROM s)
     SELECT c.a, c.b, c.shared, coalesce(s.similarity, 0) AS similarity, round(0.6 * coalesce(s.similarity, 0) + 0.4 * least(c.shared / 10, 1.0), 6) AS score, round(least(c.shared / 3, 1.0), 3) AS lexical
-    FROM c LEFT JOIN s ON least(c.a, c.b) = s.a AND greatest(c.a, c.b) = s.b"""
+    FROM c LEFT JOIN s ON c.lo = s.a AND c.hi = s.b"""
 )
 def rerank_blend(spark: SparkSession, root: str) -> DataFrame:
     vectors = read_table(spark, root, "embeddings")
@@ -346,7 +397,9 @@ def duplicate_pairs(spark: SparkSession, root: str) -> DataFrame:
     return maintenance.duplicate_names(names.unionByName(variants).distinct())
 
 
-_STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
+# The words left out, in full, so that the SQL stands on its own.
+_STOP = """'the','a','an','and','or','but','of','to','in','on','for','with','is','are','was','were','be','been','it','this','that','from','by','at','as','its','his','her','their','we','you','they','not','no',
+    'has','have','had','do','does','did','will','would','can','could','should','into','via','through','using','used','use','more','most'"""
 
 
 @query(
@@ -361,8 +414,7 @@ def candidate_relations(spark: SparkSession, root: str) -> DataFrame:
     lines = adapters.document_lines(spark, root).where(F.trim("line") != "")
     head = ranking.first_n(lines, ["file_idx"], ["line_no"], 3)
     tokens = head.select("file_idx", F.explode(tx.graph_tokens(F.col("line"))).alias("token")).distinct()
-    left, right = tokens.select(F.col("file_idx").alias("a"), "token"), tokens.select(F.col("file_idx").alias("b"), "token")
-    pairs = left.join(right, "token").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= maintenance.MIN_SHARED)
+    pairs = maintenance.shared_tokens(tokens, "file_idx").select("a", "b", "shared")
     return pairs.orderBy(F.desc("shared"), "a", "b").limit(maintenance.MAX_CANDIDATES)
 
 
@@ -433,6 +485,64 @@ def graph_chunks(spark: SparkSession, root: str) -> DataFrame:
     return maintenance.chunks(read_table(spark, root, "documents").select(F.col("doc_id").cast("string").alias("name")))
 
 
+@query(
+    f"""WITH {_GRAPH}, k AS (SELECT name, (row_number() OVER (ORDER BY name) - 1) // 150 AS chunk FROM ents)
+    SELECT src, dst, relation_type, CAST(x.chunk AS BIGINT) AS chunk FROM rels JOIN k x ON x.name = src JOIN k y ON y.name = dst WHERE x.chunk = y.chunk"""
+)
+def chunk_edges(spark: SparkSession, root: str) -> DataFrame:
+    return maintenance.chunk_edges(adapters.graph(spark, root))
+
+
+@query(
+    f"""WITH {_GRAPH}, o AS (SELECT name, content, row_number() OVER (PARTITION BY name ORDER BY obs_id) AS n FROM obs),
+    t AS (SELECT DISTINCT name, unnest(regexp_extract_all(lower(content), '[a-z0-9][a-z0-9_-]*')) AS token FROM o WHERE n <= 3),
+    k AS (SELECT * FROM t WHERE length(token) > 2 AND token NOT IN ({_STOP})),
+    p AS (SELECT x.name AS a, y.name AS b, count(*) AS shared, list(x.token ORDER BY length(x.token) DESC, x.token) AS l FROM k x JOIN k y ON x.token = y.token AND x.name < y.name GROUP BY ALL HAVING count(*) >= 3)
+    SELECT a, b, shared, array_to_string(l[1:4], ',') AS signals FROM p"""
+)
+def shared_signals(spark: SparkSession, root: str) -> DataFrame:
+    """Customers whose first orders share three tokens and more, and the longest of these."""
+    found = maintenance.shared_tokens(maintenance.entity_tokens(adapters.graph(spark, root)), least=3)
+    return found.select("a", "b", "shared", F.array_join("signals", ",").alias("signals"))
+
+
+# One spelling for each entity type, written out for the SQL.
+_CANONICAL = """VALUES ('Change','change'),('Task','task'),('Fix','fix'),('File','file'),('Feature','feature'),('DesignDecision','design-decision'),('CodeChange','code-change'),('Implementation','implementation'),('TestSuite','test'),
+    ('TestResult','test-result'),('Code','code'),('Project','project'),('Session','change'),('Module','module'),('Fact','finding'),('Lesson','finding'),('Server','service'),('Convention','config'),('Milestone','plan'),('Assessment','finding'),
+    ('Recommendation','finding'),('KnownIssue','bug'),('RefactorTask','task'),('Performance_problem','bug'),('NetworkConfig','config'),('NetworkingConfig','config'),('NetworkInterface','infrastructure'),('System_config','config'),
+    ('SystemConfig','config'),('Infrastructure','infrastructure'),('Repository','project'),('Artifact','file'),('Configuration','config'),('System','infrastructure'),('Peer','infrastructure')"""
+_TYPES = "Change Task Fix File Feature DesignDecision CodeChange Implementation TestSuite TestResult Code Project Session Module Fact Lesson Server Convention Milestone Assessment Recommendation KnownIssue RefactorTask Performance_problem NetworkConfig NetworkingConfig NetworkInterface System_config SystemConfig Infrastructure Repository Artifact Configuration System Peer plan change".split()
+
+
+@query(f"WITH m(f, t) AS ({_CANONICAL}), e AS (SELECT CAST(p_partkey AS VARCHAR) AS name, string_split('{' '.join(_TYPES)}', ' ')[p_partkey % 37 + 1] AS f FROM part) SELECT name, f AS from_type, t AS to_type FROM e JOIN m USING (f) WHERE f <> t")
+def canonical_types(spark: SparkSession, root: str) -> DataFrame:
+    """Entities of every spelling, renamed by the default mapping."""
+    kind = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("p_partkey") % 37 + 1).cast("int"))
+    parts = read_table(spark, root, "part").select(F.col("p_partkey").cast("string").alias("name"), kind.alias("entity_type"))
+    return maintenance.type_renames(parts, maintenance.default_mapping(spark))
+
+
+_RULED = "plan implementation refactor design-decision bug fix bugfix finding test code-change file change milestone".split()
+
+
+@query(
+    f"""WITH e AS (SELECT p_partkey AS k, string_split('{' '.join(_RULED)}', ' ')[p_partkey % 13 + 1] AS x, string_split('{' '.join(_RULED)}', ' ')[(p_partkey // 13) % 13 + 1] AS y, p_partkey % 5 AS shared FROM part),
+    r AS (SELECT *, round(least(shared / 3, 1.0), 3) AS s FROM e)
+    SELECT 'x' || k AS src, 'y' || k AS dst, t AS relation_type, s AS confidence FROM r JOIN (VALUES ('plan','implementation','implements'),('plan','refactor','implements'),('design-decision','implementation','implements'),('bug','fix','fixes'),('bug','bugfix','fixes'),('finding','fix','fixes'),
+        ('test','code-change','tests'),('test','implementation','tests'),('implementation','test','tested_by'),('file','test','contains'),('change','implementation','implements'),('milestone','plan','contains')) m(p, q, t) ON p = x AND q = y WHERE s >= 0.45"""
+)
+def default_rules(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of every two types, named by the default rules."""
+    kinds = F.array(*map(F.lit, _RULED))
+    parts = read_table(spark, root, "part").select(F.col("p_partkey").alias("k"), F.element_at(kinds, (F.col("p_partkey") % 13 + 1).cast("int")).alias("x"), F.element_at(kinds, (F.floor(F.col("p_partkey") / 13) % 13 + 1).cast("int")).alias("y"))
+    ends = [parts.select(F.concat(F.lit(end), F.col("k").cast("string")).alias("name"), F.col(end).alias("entity_type")) for end in ("x", "y")]
+    none = spark.createDataFrame([], "obs_id long, name string, content string, created_at timestamp")
+    g = gr.Graph(ends[0].unionByName(ends[1]), none, spark.createDataFrame([], "src string, dst string, relation_type string, created_at timestamp"))
+    name = F.col("k").cast("string")
+    pairs = parts.select(F.concat(F.lit("x"), name).alias("a"), F.concat(F.lit("y"), name).alias("b"), (F.col("k") % 5).alias("shared"))
+    return maintenance.validate(g, maintenance.rank(pairs))
+
+
 # --- index maintenance
 
 
@@ -449,7 +559,7 @@ def update_diff(spark: SparkSession, root: str) -> DataFrame:
 @query(f"WITH {_POSTINGS} SELECT file_idx, count(*) AS n FROM tokens WHERE file_idx % 3 <> 0 OR file_idx % 2 = 0 GROUP BY file_idx")
 def layered_read(spark: SparkSession, root: str) -> DataFrame:
     """Base of even and of third documents; a delta removes the odd ones and adds what lacks, one file first added and then removed again."""
-    built = idx.build(adapters.document_entries(spark, root))
+    built = adapters.indexes(spark, root)["documents"].postings()
     base = built.where("file_idx % 2 = 0 or file_idx % 3 = 0")
     gone = built.where("file_idx % 2 = 1 and file_idx % 3 = 0").withColumn("op", F.lit("DEL")).withColumn("seq", F.lit(2).cast("long"))
     come = built.where("file_idx % 3 <> 0").withColumn("op", F.lit("ADD")).withColumn("seq", F.lit(1).cast("long"))
@@ -466,6 +576,56 @@ def compact_equiv(spark: SparkSession, root: str) -> DataFrame:
     return held.groupBy("file_idx").agg(F.count("*").alias("n"), F.count_distinct("token").alias("n_tokens"))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared scratch space."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tesserine-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _updated(spark: SparkSession, root: str, defer_compact: bool) -> tuple[idx.PostingsIndex, dict]:
+    """An index of a third of the documents, some of them cut short, brought up to date: files come, change and go."""
+    lines = adapters.document_lines(spark, root).where(F.trim("line") != "")
+    entries = lines.select("file", "file_idx", (F.col("line_no") - 1).alias("entry_idx"), F.col("line").alias("text"))
+    files = read_table(spark, root, "documents").select(F.col("doc_id").cast("string").alias("file"), F.col("doc_id").alias("file_idx"), F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0).alias("modified"), F.col("n_chars").alias("size"))
+    old = "file_idx % 3 = 0"
+    index = idx.PostingsIndex(spark, _folder(spark, "index"))
+    cut = entries.where(old).withColumn("text", F.when(F.col("file_idx") % 2 == 0, F.concat(F.substring("text", 1, 40), F.lit(" outdated"))).otherwise(F.col("text")))
+    index.create(cut, files.where(old).withColumn("modified", F.lit(0)).withColumn("tombstoned", F.lit(False)))
+    here = "file_idx % 7 <> 0"
+    return index, index.update(entries.where(here), files.where(here), defer_compact)
+
+
+_UPDATED = f"WITH {_POSTINGS} SELECT CAST(file_idx AS VARCHAR) AS file, count(*) AS n, count(DISTINCT token) AS n_tokens FROM tokens WHERE file_idx % 7 <> 0 GROUP BY file_idx"
+
+
+def _by_file(index: idx.PostingsIndex) -> DataFrame:
+    return index.postings().join(index.live_files(), "file_idx").groupBy("file").agg(F.count("*").alias("n"), F.count_distinct("token").alias("n_tokens"))
+
+
+@query(_UPDATED)
+def index_update(spark: SparkSession, root: str) -> DataFrame:
+    """The updated index, its delta still apart, holds what a fresh one would."""
+    return _by_file(_updated(spark, root, True)[0])
+
+
+@query(_UPDATED)
+def index_compact(spark: SparkSession, root: str) -> DataFrame:
+    """The same once the delta is folded into the base."""
+    index = _updated(spark, root, True)[0]
+    index.compact()
+    return _by_file(index)
+
+
+@query(
+    """SELECT * FROM (SELECT 'unchanged' AS what, count(*) FILTER (WHERE doc_id % 3 = 0 AND doc_id % 7 <> 0 AND doc_id % 2 = 1) AS n FROM documents
+    UNION ALL SELECT 'updated', count(*) FILTER (WHERE doc_id % 3 = 0 AND doc_id % 7 <> 0 AND doc_id % 2 = 0) FROM documents UNION ALL SELECT 'added', count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 7 <> 0) FROM documents
+    UNION ALL SELECT 'removed', count(*) FILTER (WHERE doc_id % 3 = 0 AND doc_id % 7 = 0) FROM documents UNION ALL SELECT 'total_slots', count(*) FILTER (WHERE doc_id % 3 = 0 OR doc_id % 7 <> 0) FROM documents)"""
+)
+def index_update_summary(spark: SparkSession, root: str) -> DataFrame:
+    done = _updated(spark, root, True)[1]
+    return spark.createDataFrame([(k, int(v)) for k, v in done.items() if k != "needs_compact"], "what string, n long")
+
+
 # --- guarded changes
 
 
@@ -570,6 +730,20 @@ def archive_split(spark: SparkSession, root: str) -> DataFrame:
     return live.select("event_type", F.lit(1).alias("l"), F.lit(0).alias("o")).unionByName(old.select("event_type", F.lit(0).alias("l"), F.lit(1).alias("o"))).groupBy("event_type").agg(F.sum("l").alias("live"), F.sum("o").alias("old"))
 
 
+@query(
+    f"""WITH {_GRAPH}, old AS (SELECT * FROM obs WHERE created_at < TIMESTAMP '2001-01-01')
+    SELECT 'archived' AS part, count(*) AS n FROM old UNION ALL SELECT 'live', count(*) FROM obs WHERE created_at >= TIMESTAMP '2001-01-01'
+    UNION ALL SELECT 'raised', count(DISTINCT name) FROM old UNION ALL SELECT 'entities', count(*) FROM ents"""
+)
+def archive_apply(spark: SparkSession, root: str) -> DataFrame:
+    """Old observations leave the graph for JSON lines, and each touched entity's revision rises once."""
+    g, path = adapters.graph(spark, root), _folder(spark, "archive")
+    done, _ = archive.archive(g, F.lit("2001-01-31").cast("timestamp"), path, 30, apply=True)
+    raised = done.entities.join(g.entities.select("name", F.col("revision").alias("before")), "name").where(F.col("revision") == F.col("before") + 1)
+    parts = [("archived", spark.read.json(path)), ("live", done.observations), ("raised", raised), ("entities", done.entities)]
+    return functools.reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, df in parts])
+
+
 @query("SELECT min(o_orderkey) AS obs_id, o_custkey AS custkey, o_orderpriority AS content FROM orders GROUP BY o_custkey, o_orderpriority")
 def dedup_min_id(spark: SparkSession, root: str) -> DataFrame:
     orders = read_table(spark, root, "orders").select(F.col("o_orderkey").alias("obs_id"), F.col("o_custkey").alias("name"), F.col("o_orderpriority").alias("content"))
@@ -579,14 +753,19 @@ def dedup_min_id(spark: SparkSession, root: str) -> DataFrame:
 # --- sessions and transcripts
 
 
-@query("SELECT conv_id, turn + 1 AS turn_no, role AS speaker, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_lines, length(trim(text)) AS n_chars FROM conversations")
+@query(r"SELECT conv_id, turn + 1 AS turn_no, role AS speaker, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_lines, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS n_chars FROM conversations")
 def transcript_turns(spark: SparkSession, root: str) -> DataFrame:
     """Conversations written out as transcripts and read back as turns."""
+    turns = readers.transcript_turns(_transcripts(spark, root), "conv_id")
+    return turns.select("conv_id", F.col("turn_no").cast("long").alias("turn_no"), "speaker", (F.col("line_end") - F.col("line_start")).alias("n_lines"), F.length("text").cast("long").alias("n_chars"))
+
+
+def _transcripts(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of the conversations, each written out as a transcript."""
     stamp = F.format_string("%02d:%02d:00", F.floor(F.col("turn") / 60), F.col("turn") % 60)
     said = read_table(spark, root, "conversations").withColumn("said", F.concat(F.col("role"), F.lit(" ("), stamp, F.lit(")\n"), F.col("text")))
     whole = said.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "said"))).alias("t")).select("conv_id", F.concat(F.lit("Meeting: m\nDate: 2024-01-05\n===\n"), F.array_join(F.col("t.said"), "\n")).alias("text"))
-    turns = readers.transcript_turns(readers.lines_of(whole, "text"), "conv_id")
-    return turns.select("conv_id", F.col("turn_no").cast("long").alias("turn_no"), "speaker", (F.col("line_end") - F.col("line_start")).alias("n_lines"), F.length("text").cast("long").alias("n_chars"))
+    return readers.lines_of(whole, "text")
 
 
 _LAST = "l AS (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS last_user FROM conversations)"
@@ -611,6 +790,85 @@ def turn_enforce(spark: SparkSession, root: str) -> DataFrame:
     return predicates.turn_lacks(read_table(spark, root, "conversations"), F.contains("text", F.lit("er")), F.contains("text", F.lit("que")))
 
 
+@query(
+    f"""WITH {_LAST}, c AS (SELECT * FROM l WHERE turn > coalesce(last_user, -1)), g AS (SELECT conv_id, min(CASE WHEN role = 'assistant' AND contains(text, 'er') THEN turn END) AS p, min(CASE WHEN role = 'assistant' AND contains(text, 'que') THEN turn END) AS s FROM c GROUP BY conv_id)
+    SELECT conv_id, conv_id % 4 <> 0 AND p IS NOT NULL AND (s IS NULL OR s >= p) AS denied FROM g"""
+)
+def planner_gate(spark: SparkSession, root: str) -> DataFrame:
+    """Sessions that plan in their current turn before they search; those of agents, a quarter, are let through."""
+    return predicates.planner_gate(_placed(spark, root), F.contains("text", F.lit("er")), F.contains("text", F.lit("que")))
+
+
+def _placed(spark: SparkSession, root: str) -> DataFrame:
+    said = read_table(spark, root, "conversations")
+    return said.withColumn("path", F.concat(F.when(F.col("conv_id") % 4 == 0, "logs/agents/").otherwise("logs/"), F.col("conv_id").cast("string")))
+
+
+@query(
+    f"""WITH {_LAST} SELECT conv_id, conv_id % 4 <> 0 AND bool_or(contains(text, 'en')) AND NOT bool_or(contains(text, 'ion')) AS denied FROM l WHERE turn > coalesce(last_user, -1) GROUP BY conv_id"""
+)
+def report_missing(spark: SparkSession, root: str) -> DataFrame:
+    """Top-level sessions that hand on work in their current turn and write a marker nowhere, not even in nested JSON."""
+    inner = F.to_json(F.struct(F.to_json(F.struct(F.col("text").alias("t"))).alias("arguments")))
+    said = _placed(spark, root).withColumn("arguments", inner)
+    return predicates.report_missing(said, F.contains("text", F.lit("en")), predicates.tool_marker(F.col("arguments"), "ion"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS file, nth::INTEGER AS nth, CASE WHEN turn % 3 = 0 THEN NULL ELSE 'no json ' || turn END AS raw FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS nth FROM conversations) WHERE nth <= 4")
+def newest_entries(spark: SparkSession, root: str) -> DataFrame:
+    """The last lines of each log, newest first; what is no JSON is returned as it stands."""
+    line = F.when(F.col("turn") % 3 == 0, F.to_json(F.struct("role"))).otherwise(F.concat(F.lit("no json "), F.col("turn").cast("string")))
+    lines = read_table(spark, root, "conversations").select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("line_no"), line.alias("line"))
+    return readers.newest_entries(lines, 4).select("file", "nth", "raw")
+
+
+@query("SELECT conv_id, turn AS turn_no FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user') WHERE n <= 2")
+def read_turns(spark: SparkSession, root: str) -> DataFrame:
+    """The first turns of one speaker in each transcript: the speaker counts before the cut."""
+    turns = read_table(spark, root, "conversations").select("conv_id", F.col("turn").alias("turn_no"), F.col("role").alias("speaker"))
+    return readers.read_turns(turns, "User", 2, "conv_id").select("conv_id", "turn_no")
+
+
+@query(
+    """WITH s AS (SELECT conv_id, turn, len(string_split(text, chr(10))) + 1 AS n FROM conversations), p AS (SELECT *, CAST(4 + coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a FROM s)
+    SELECT conv_id AS file, a AS line_no, turn + 1 AS turn_no FROM p"""
+)
+def turn_of_line(spark: SparkSession, root: str) -> DataFrame:
+    """For the first line of each turn of a written-out transcript, the turn that it lies in."""
+    lines = _transcripts(spark, root)
+    turns = readers.transcript_turns(lines, "conv_id").withColumnRenamed("conv_id", "file")
+    hits = lines.where(F.col("line").rlike(readers.TURN_LINE)).select(F.col("conv_id").alias("file"), F.col("line_no").cast("long").alias("line_no"))
+    return search.turn_of_line(hits, turns).select("file", "line_no", F.col("turn_no").cast("long").alias("turn_no"))
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE contains(lower(role), 'assist')")
+def speaker_filter(spark: SparkSession, root: str) -> DataFrame:
+    said = read_table(spark, root, "conversations").withColumn("speaker", F.col("role"))
+    return search.with_speaker(said, "Assist").select("conv_id", "turn")
+
+
+@query("SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS entry_idx, CASE WHEN turn % 2 = 0 AND text <> '' THEN text WHEN turn % 2 = 0 THEN '{\"content\":\"\"}' ELSE 'plain ' || turn END AS text FROM conversations WHERE turn % 5 <> 4")
+def jsonl_entries(spark: SparkSession, root: str) -> DataFrame:
+    """JSON lines as entries: the content, or the line where it has none; blank lines aren't counted."""
+    line = F.when(F.col("turn") % 5 == 4, "  ").when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.col("text").alias("content")))).otherwise(F.concat(F.lit("plain "), F.col("turn").cast("string")))
+    lines = read_table(spark, root, "conversations").select("conv_id", "turn", F.col("turn").alias("line_no"), line.alias("line"))
+    return readers.jsonl_entries(lines, "conv_id").select("conv_id", "turn", "entry_idx", "text")
+
+
+@query("SELECT o_orderkey AS line_no, 'run ' || o_orderkey AS line FROM orders WHERE contains(CAST(o_orderkey AS VARCHAR), '77') ORDER BY o_orderkey DESC LIMIT 30")
+def history_search(spark: SparkSession, root: str) -> DataFrame:
+    lines = read_table(spark, root, "orders").select(F.col("o_orderkey").alias("line_no"), F.concat(F.lit("'run "), F.col("o_orderkey").cast("string"), F.lit("' ")).alias("line"))
+    return readers.history_lines(lines, "77")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS held, CASE WHEN o_orderkey % 2 = 0 THEN '{\"k\": ' || o_orderkey || '}' END AS reply FROM orders")
+def header_and_reply(spark: SparkSession, root: str) -> DataFrame:
+    """The date in a transcript's header, and the JSON object in a model's reply."""
+    header = F.concat(F.lit("Meeting: m\nDate: "), F.when(F.col("o_orderkey") % 3 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")), F.lit("\n==="))
+    reply = F.concat(F.lit("Here:\n```json\n"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit('{"k": '), F.col("o_orderkey").cast("string"), F.lit("}"))).otherwise("none"), F.lit("\n```"))
+    return read_table(spark, root, "orders").select("o_orderkey", F.date_format(tx.header_date(header), "yyyy-MM-dd").alias("held"), tx.json_object(reply).alias("reply"))
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
 def json_extract(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, root, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))

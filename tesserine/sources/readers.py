@@ -90,7 +90,7 @@ def transcript_turns(lines: DataFrame, key: str) -> DataFrame:
     numbered = marked.withColumn("head", is_turn).withColumn("turn_no", F.sum(is_turn.cast("int")).over(in_file)).where("turn_no > 0")
     said = F.when(~F.col("head"), F.struct("line_no", "line"))
     grouped = numbered.groupBy(key, "turn_no").agg(F.max(F.when(F.col("head"), F.col("line"))).alias("first"), F.sort_array(F.collect_list(said)).alias("said"), F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"))
-    text = F.trim(F.array_join(F.col("said.line"), "\n"))
+    text = F.regexp_replace(F.array_join(F.col("said.line"), "\n"), r"^\s+|\s+$", "")
     return grouped.select(key, "turn_no", F.regexp_extract("first", TURN_LINE, 1).alias("speaker"), F.regexp_extract("first", TURN_LINE, 2).alias("stamp"), text.alias("text"), "line_start", "line_end")
 
 
@@ -110,7 +110,8 @@ def docx_text(content: bytes) -> str | None:
     for paragraph in root.iter(_PARAGRAPH):
         text = "".join(t.text or "" for t in paragraph.iter(_RUN_TEXT)).strip()
         if turn := _DOCX_TURN.match(text):
-            stamp = turn[1] if turn[1].count(":") == 2 else f"00:{turn[1].zfill(5)}"
+            stamp = turn[1] if turn[1].count(":") == 2 else f"{turn[1]}:00"
+            stamp = stamp.zfill(8)
             lines += [f"{turn[2].strip()} ({stamp})", turn[3]]
         elif text:
             lines.append(text)
@@ -199,3 +200,34 @@ def newest_messages(messages: DataFrame, n: int, role: str | None = None, filter
     base = messages.where(wanted) if filter_first else messages
     number = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
     return base.withColumn("nth", number).where(F.col("nth") <= n).where(wanted)
+
+
+def newest_entries(lines: DataFrame, most: int = 50, key: str = "file") -> DataFrame:
+    """The last `most` non-blank lines of each file, newest first: key, nth, line, raw (the line where it is no JSON)."""
+    number = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("line_no")))
+    kept = lines.where(F.trim("line") != "").withColumn("nth", number).where(F.col("nth") <= most)
+    return kept.select(key, "nth", F.trim("line").alias("line"), F.when(F.try_parse_json("line").isNull(), F.trim("line")).alias("raw"))
+
+
+def read_turns(turns: DataFrame, speaker: str | None = None, most: int = 50, key: str = "file") -> DataFrame:
+    """The first turns of each transcript, those of one speaker if named; the speaker counts before the cut."""
+    said = turns if speaker is None else turns.where(F.lower("speaker") == speaker.lower())
+    number = F.row_number().over(Window.partitionBy(key).orderBy("turn_no"))
+    return said.withColumn("nth", number).where(F.col("nth") <= most).drop("nth")
+
+
+def read_entries(spark: SparkSession, domain: Domain, wanted: str, most: int = 50, role: str | None = None, speaker: str | None = None) -> DataFrame:
+    """Entries of the file of a domain that an id names: turns of a transcript, newest messages of a session, else newest lines.
+
+    An unknown id gives no rows.
+    """
+    files = read_files(spark, domain.dir, domain.pattern if domain.kind == "files" else "*").drop("content")
+    name = F.col("name") if domain.kind == "files" else F.element_at(F.split("file", "/"), -2)
+    target = resolve_id(files.withColumn("id", name), wanted, "id").select("file")
+    lines = read_lines(spark, domain.dir, domain.pattern if domain.kind == "files" else "*").join(target, "file", "left_semi")
+    if domain.extractor == "text":
+        return read_turns(transcript_turns(lines, "file"), speaker, most)
+    if "role" in domain.filters:
+        said = lines.where(F.trim("line") != "").select(F.col("file").alias("conv_id"), F.col("line_no").alias("turn"), "line", F.get_json_object("line", "$.role").alias("role"))
+        return newest_messages(said, most, role)
+    return newest_entries(lines, most)

@@ -33,14 +33,15 @@ def sessions(events: DataFrame, gap: str, key: str, ts: str = "ts") -> DataFrame
     return counted.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def ingest(stream: DataFrame, store: SnapshotStore, merge: Callable[[DataFrame | None, DataFrame], DataFrame], table: str, checkpoint: str) -> StreamingQuery:
-    """Merges each micro-batch into a snapshot table. A batch that was committed before is passed over."""
+def ingest(stream: DataFrame, store: SnapshotStore, merge: Callable[[DataFrame | None, DataFrame], DataFrame], table: str, checkpoint: str, name: str = "stream") -> StreamingQuery:
+    """Merges each micro-batch into a snapshot table. The store remembers the last batch of each named
+    stream, so a batch that was committed before is passed over and no other is, whatever the store held."""
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        done = store.version()
-        if batch_id < done:
+        if batch_id <= store.marks().get(name, -1):
             return
-        old = store.read(table) if done else None
-        store.commit({table: merge(old, batch)}, expected=done)
+        done = store.version()
+        old = store.read(table) if store.has(table) else None
+        store.commit({table: merge(old, batch)}, expected=done, marks={name: batch_id})
 
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tesserine.functions import text as tx
-from tesserine.operators import archive, graph, maintenance, postings, predicates, ranking, search
+from tesserine.operators import archive, graph, maintenance, postings, predicates, ranking, search, semantic
 from tesserine.plans.snapshot import SnapshotStore
 from tesserine.sources import readers
 from tesserine.streaming import events
@@ -50,12 +50,17 @@ def test_contains_knows_no_wildcards(spark):
     assert column(spark, rows, "t string", tx.contains_ci(F.col("t"), "O_B")) == [False, False, True, False]
 
 
-@pytest.mark.parametrize("bad", ["(a+)+", "(a|b)*", ".*.*x", r"\w+\w+"])
+@pytest.mark.parametrize("bad", ["(a+)+b", "(a*)*", "(a|b)*c", "(a|aa)+", "a**", "a+*b", "x*?"])
 def test_dangerous_patterns_are_refused(bad):
     with pytest.raises(ValueError):
         tx.pattern(bad, True, False)
 
 
+@pytest.mark.parametrize("pattern", [r"\w+\s+\w+", r"[a-z]+\d+", "(ab+c)+", "(?:foo)+", r"\d+ *\d+"])
+def test_harmless_patterns_are_let_through(pattern):
+    assert tx.regex_danger(pattern) is None
+
+
 @given(st.text(max_size=30))
 def test_literals_are_quoted(query):
     assert tx.pattern(query, False, True).startswith("\\Q")
@@ -93,7 +98,7 @@ def test_transcripts_and_docx(spark, tmp_path):
     text = readers.read_docx(spark, str(tmp_path)).collect()
     assert [r["name"] for r in text] == ["m.docx"]
     turns = readers.transcript_turns(readers.lines_of(spark.createDataFrame([("m", text[0]["text"])], "file string, text string"), "text"), "file").orderBy("turn_no").collect()
-    assert [(r["speaker"], r["stamp"], r["text"]) for r in turns] == [("Ann", "00:00:05", "hello\nmore"), ("Bob", "01:02:03", "bye")]
+    assert [(r["speaker"], r["stamp"], r["text"]) for r in turns] == [("Ann", "00:05:00", "hello\nmore"), ("Bob", "01:02:03", "bye")]
     hits = spark.createDataFrame([("m", turns[0]["line_end"])], "file string, line_no int")
     lines = readers.transcript_turns(readers.lines_of(spark.createDataFrame([("m", text[0]["text"])], "file string, text string"), "text"), "file")
     assert [r["speaker"] for r in search.turn_of_line(hits, lines).collect()] == ["Ann"]
@@ -143,8 +148,9 @@ def test_update_equals_build_and_compaction_changes_nothing(spark, tmp_path):
     new = {"a": ["alpha banana", "fresh line"], "b": ["bravo banana cherry"], "d": ["delta alpha"]}
     index = postings.PostingsIndex(spark, str(tmp_path / "i"))
     index.create(entries_of(spark, old).join(files_of(spark, old).select("file", "file_idx"), "file"), files_of(spark, old))
-    assert not index.update(entries_of(spark, old), files_of(spark, old))
-    assert index.update(entries_of(spark, new), files_of(spark, new, {"a": 2}))
+    assert index.update(entries_of(spark, old), files_of(spark, old)) == {"unchanged": 3, "updated": 0, "added": 0, "removed": 0, "total_slots": 3, "needs_compact": False}
+    done = index.update(entries_of(spark, new), files_of(spark, new, {"a": 2}), defer_compact=True)
+    assert done == {"unchanged": 1, "updated": 1, "added": 1, "removed": 1, "total_slots": 4, "needs_compact": True}
     fresh = postings.build(entries_of(spark, new).join(files_of(spark, new).select("file", "file_idx"), "file"))
     want = held(fresh, files_of(spark, new))
     assert held(index.postings(), index.store.read("files")) == want
@@ -156,6 +162,31 @@ def test_update_equals_build_and_compaction_changes_nothing(spark, tmp_path):
     assert index.search(["old"]).count() == 0
 
 
+def test_a_new_file_never_takes_another_ones_number(spark, tmp_path):
+    old, new = {"a": ["alpha"]}, {"a": ["alpha"], "b": ["bravo"]}
+    index = postings.PostingsIndex(spark, str(tmp_path / "i"))
+    index.create(entries_of(spark, old).join(files_of(spark, old).select("file", "file_idx"), "file"), files_of(spark, old))
+    index.update(entries_of(spark, new), files_of(spark, new))
+    assert [r["file"] for r in index.search(["bravo"]).collect()] == ["b"]
+    back = {"a": ["alpha"]}
+    index.update(entries_of(spark, back), files_of(spark, back))
+    index.update(entries_of(spark, new), files_of(spark, new))
+    assert [r["file"] for r in index.search(["bravo"]).collect()] == ["b"] and index.store.read("files").count() == 3
+
+
+def test_domains_are_built_then_updated(spark, tmp_path):
+    old, new = {"a": ["alpha"], "b": ["bravo"]}, {"a": ["alpha"], "b": ["bravo"], "c": ["alpha c1"]}
+    numbered = entries_of(spark, old).join(files_of(spark, old).select("file", "file_idx"), "file")
+    first = postings.update_domains(spark, str(tmp_path), {"notes": (numbered, files_of(spark, old))})
+    assert first["notes"]["added"] == 2
+    assert postings.update_domains(spark, str(tmp_path), {"notes": (entries_of(spark, new), files_of(spark, new))})["notes"]["added"] == 1
+    index = postings.PostingsIndex(spark, str(tmp_path / "notes"))
+    lines = entries_of(spark, new).select("file", (F.col("entry_idx") + 1).alias("line_no"), F.col("text").alias("line"))
+    for query, any_word in (("alpha", True), ("alpha c1", False), ("nothing", True), ("Bravo c1", True)):
+        plain, indexed = (sorted((r["file"], r["line_no"]) for r in search.search({"notes": lines}, query, any_word=any_word, indexes=x).collect()) for x in (None, {"notes": index}))
+        assert plain == indexed
+
+
 def test_and_or_and_empty_queries(spark):
     built = postings.build(spark.createDataFrame([(0, 0, "x y1 zz"), (1, 0, "y1 zz"), (1, 1, "zz")], "file_idx long, entry_idx int, text string"))
     assert postings.search(built, ["y1", "zz"]).count() == 2
@@ -261,9 +292,19 @@ def test_stages(spark, g, tmp_path):
     small = graph.Graph(g.entities, obs, g.relations)
     mapping = spark.createDataFrame([("concept", "idea")], "from_type string, to_type string")
     rules = spark.createDataFrame([("concept", "concept", "extends")], "from_type string, to_type string, relation_type string")
-    first = maintenance.run_stages(spark, small, mapping, rules, str(tmp_path / "run")).collect()
-    assert [(r["src"], r["dst"], r["relation_type"]) for r in first] == [("alpha", "gamma", "extends")]
-    assert maintenance.run_stages(spark, small, mapping, rules, str(tmp_path / "run"), from_stage="validate").collect() == first
+    run = str(tmp_path / "runs" / "2")
+    first = maintenance.run_stages(spark, small, run, mapping, rules, now=F.lit(T0)).relations.collect()
+    added = [(r["src"], r["dst"], r["relation_type"]) for r in spark.read.parquet(f"{run}/04_apply").collect()]
+    assert added == [("alpha", "gamma", "extends")] and len(first) == small.relations.count() + 1
+    for stage in ("validate", "apply"):
+        assert sorted(maintenance.run_stages(spark, small, run, mapping, rules, from_stage=stage, now=F.lit(T0)).relations.collect()) == sorted(first)
+    with pytest.raises(ValueError):
+        maintenance.run_stages(spark, small, run, from_stage="publish")
+    (tmp_path / "runs" / "1").mkdir()
+    assert maintenance.list_runs(spark, str(tmp_path / "runs")) == ["2", "1"] and maintenance.list_runs(spark, str(tmp_path / "none")) == []
+    short = maintenance.shortlist(maintenance.discover(small, mapping))
+    assert [tuple(r) for r in short["candidates"].collect()] == [("alpha", "gamma", 2)] and short["merges"].columns == ["keep", "remove"]
+    assert [r["signals"] for r in maintenance.chunk_candidates(small, 150).collect()] == [["shared", "words"]] and maintenance.chunk_candidates(small, 1).count() == 0
     assert maintenance.plan_warnings({"renames": mapping}) == ["renames lacks ['name']"]
     none = maintenance.validate(small, maintenance.rank(maintenance.discover(small, mapping)["candidates"]), rules.limit(0), lambda df: df.select("a", "b", F.lit("invented").alias("relation_type"), F.lit(1.0).alias("confidence")))
     assert none.count() == 0
@@ -329,6 +370,28 @@ def test_session_predicates(spark):
 # --- streams
 
 
+def test_a_stream_into_a_used_store_loses_nothing(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "t"))
+    for k in range(3):
+        store.commit({"other": spark.range(k + 1)})
+    for name in ("one", "two"):
+        spark.range(5).selectExpr("id", "timestamp_seconds(id * 3600) as ts").write.parquet(str(tmp_path / name))
+        stream = events.event_stream(spark, str(tmp_path / name), "id long, ts timestamp")
+        events.ingest(stream, store, lambda old, new: new if old is None else old.unionByName(new), "events", str(tmp_path / f"cp-{name}"), name).awaitTermination(60)
+    assert store.read("events").count() == 10 and store.read("other").count() == 3 and set(store.marks()) == {"one", "two"}
+
+
+def test_commits_exclude_each_other(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "t"))
+    store.commit({"a": spark.range(1)})
+    claim = store._claim(2)
+    with pytest.raises(RuntimeError):
+        store.commit({"a": spark.range(2)})
+    store._fs.delete(claim, False)
+    assert store.commit({"a": spark.range(2)}) == 2 and store.read("a").count() == 2
+    assert [p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("C")] == ["CURRENT"]
+
+
 def test_stream_into_snapshots(spark, tmp_path):
     folder = tmp_path / "in"
     spark.range(5).selectExpr("id", "timestamp_seconds(id * 3600) as ts", "cast(id as double) as value").write.parquet(str(folder))
@@ -377,3 +440,53 @@ def test_batches_limits_and_gates(spark):
     assert sorted(r["a"] for r in records.validate_in_batches(pairs, judge, 2).collect()) == [0, 1, 4, 5]
     assert records.should_run(100, None, 60, 5, 5) and not records.should_run(100, 90, 60, 5, 5) and not records.should_run(100, 0, 60, 1, 5)
     assert records.within(spark, lambda: spark.range(10).count(), 30) == 10
+
+
+def test_similar_pairs_over_several_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(semantic, "BLOCK_VECTORS", 40)
+    x = np.random.default_rng(1).standard_normal((150, 6))
+    x[7] = 0
+    df = spark.createDataFrame([(int(k), [float(v) for v in x[k]]) for k in range(150)] + [(900, None)], "vec_id long, embedding array<double>")
+    u = x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+    want = {(a, b) for a in range(150) for b in range(a + 1, 150) if u[a] @ u[b] >= 0.5}
+    assert {(r["a"], r["b"]) for r in semantic.similar_pairs(df, 0.5, None).collect()} == want
+    assert semantic.similar_pairs(df.limit(0), 0.5).count() == 0
+
+
+def test_shared_tokens_equal_all_pairs(spark):
+    import itertools
+    import random
+
+    rnd = random.Random(2)
+    held = {f"n{k}": {f"t{min(rnd.randrange(12), rnd.randrange(30))}" for _ in range(rnd.randrange(8))} for k in range(40)}
+    df = spark.createDataFrame([(n, t) for n, ts in held.items() for t in ts], "name string, token string")
+    for least in (1, 2, 3):
+        want = {(a, b): len(held[a] & held[b]) for a, b in itertools.combinations(sorted(held), 2) if len(held[a] & held[b]) >= least}
+        got = {(r["a"], r["b"]): (r["shared"], set(r["signals"])) for r in maintenance.shared_tokens(df, least=least).collect()}
+        assert {k: v[0] for k, v in got.items()} == want and all(v[1] <= held[a] & held[b] for (a, b), v in got.items())
+
+
+def test_gates_over_nested_arguments(spark):
+    rows = [(1, 0, "user", "q", "logs/1", "{}"), (1, 1, "assistant", "plan", "logs/1", '{"x": "{\\"y\\": \\"{\\\\\\"stage\\\\\\": \\\\\\"report:\\\\\\"}\\"}"}'), (2, 0, "user", "q", "logs/agents/2", "{}"), (2, 1, "assistant", "plan", "logs/agents/2", "{}"), (3, 0, "user", "q", "logs/3", "{}"), (3, 1, "assistant", "plan", "logs/3", "{}")]
+    said = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, path string, arguments string")
+    plans, searched = F.col("text") == "plan", F.col("text") == "search"
+    assert {r["conv_id"]: r["denied"] for r in predicates.planner_gate(said, plans, searched).collect()} == {1: True, 2: False, 3: True}
+    marker = predicates.tool_marker(F.col("arguments"), '"stage": "report:"')
+    assert {r["conv_id"]: r["denied"] for r in predicates.report_missing(said, plans, marker).collect()} == {1: False, 2: False, 3: True}
+
+
+def test_entries_of_a_file_by_its_id(spark, tmp_path):
+    (tmp_path / "2024-01-02.jsonl").write_text('{"a": 1}\n\nno json\n')
+    (tmp_path / "talk.txt").write_text("Meeting: m\n===\nAnn (00:00:01)\nhello\nBob (00:00:02)\nbye\n")
+    logs, talks = readers.Domain("logs", str(tmp_path), "*.jsonl"), readers.Domain("talks", str(tmp_path), "*.txt", extractor="text")
+    assert [(r["nth"], r["raw"]) for r in readers.read_entries(spark, logs, "2024").orderBy("nth").collect()] == [(1, "no json"), (2, None)]
+    assert [r["text"] for r in readers.read_entries(spark, talks, "talk.txt", speaker="bob").collect()] == ["bye"]
+    assert readers.read_entries(spark, logs, "unknown").count() == 0
+
+
+def test_validator_counters(spark):
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(6)], "a long, b long")
+    row = maintenance.validator_health(pairs, pairs.where("a < 2"), pairs.where("a >= 2"), pairs.where("a in (2, 3)"), pairs.where("a = 4")).first()
+    assert row.asDict() == {"candidates_in": 6, "named_by_rules": 2, "batch_asked": 4, "batch_answered": 2, "single_asked": 2, "single_none": 1}
