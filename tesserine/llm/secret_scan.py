@@ -41,8 +41,8 @@ MIN_LENGTH, MIN_ASSIGNED, LONG = 14, 6, 512
 BESIDE = 28
 FINDINGS = 220
 TREES, DEPTH, SEED = 24, 7, 17
-#: Words of the corpus that make up the dictionary, at most, and how often each occurs at least.
-WORDS, WORD_COUNT = 5_000, 5
+#: Words of the corpus that make up the dictionary, at most; how often each occurs at least, and at least once in so many characters.
+WORDS, WORD_COUNT, WORD_CHARS = 5_000, 5, 120_000
 THRESHOLD = 0.5
 MASK = "[secret]"
 
@@ -106,10 +106,15 @@ def letter_numbers(low: str) -> np.ndarray:
 
 
 def lexicon_of(docs: DataFrame) -> Lexicon:
-    """The dictionary of a corpus: its most frequent words over all documents, WORDS at most."""
+    """The dictionary of a corpus: its most frequent words over all documents, WORDS at most.
+
+    A word and what parts it from the next take four characters at least, so fewer than
+    WORD_CHARS / 4 words pass the bound on their share, however large the corpus.
+    """
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,20}"), F.lit(0))).alias("word"))
-    top = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= WORD_COUNT).orderBy(F.desc("n"), "word").limit(WORDS)
-    return Lexicon({r["word"]: r["n"] for r in top.collect()})
+    often = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= max(WORD_COUNT, size // WORD_CHARS))
+    return Lexicon({r["word"]: r["n"] for r in often.orderBy(F.desc("n"), "word").limit(WORDS).collect()})
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
