@@ -28,7 +28,7 @@ from tesserine.llm.common import id_text, map_texts
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Entries that a worker keeps at most; on reaching it the cache starts anew.
-CACHE_ENTRIES = 900_000
+CACHE_ENTRIES = 400_000
 #: Cells of a batch of segment trees at most, for bounded memory.
 BATCH_CELLS = 1 << 21
 NONE = np.int64(1) << 60

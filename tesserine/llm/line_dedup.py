@@ -39,7 +39,7 @@ LINE, SPAN = 20, 32
 WINDOW = LINE + SPAN - 1
 #: A list of documents is broadcast up to so many rows and positions (8 bytes each); longer ones are joined by a shuffle.
 BROADCAST_ROWS, BROADCAST_POSITIONS = 200_000, 1_000_000
-SLICE = 1_000_000
+SLICE = 400_000
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACE = np.zeros(256, bool)
