@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import replace
 from functools import reduce
@@ -15,6 +14,7 @@ from tesserine.functions.text import graph_tokens, normalised_name
 from tesserine.operators.graph import TRIPLE, Graph
 from tesserine.operators.ranking import first_n, numbered
 from tesserine.operators.semantic import lexical_similarity, rerank, unrelated
+from tesserine.scratch import ensure_checkpoints
 
 MIN_SHARED, MAX_CANDIDATES, WEAK = 2, 80, 0.45
 
@@ -75,6 +75,17 @@ def duplicate_names(entities: DataFrame) -> DataFrame:
     return left.join(right, "norm").where("a < b").select("a", "b")
 
 
+def duplicate_merges(entities: DataFrame) -> DataFrame:
+    """a, b: each name b whose normalised form a smaller name has, with the smallest such name a.
+
+    These are the pairs of duplicate_names that a plan in the order of names takes, a row a
+    name that goes instead of all pairs of a group.
+    """
+    named = entities.select("name", normalised_name(F.col("name")).alias("norm")).where(F.length("norm") > 3)
+    first = named.groupBy("norm").agg(F.min("name").alias("a"))
+    return named.join(first, "norm").where("a < name").select("a", F.col("name").alias("b"))
+
+
 def type_renames(entities: DataFrame, mapping: DataFrame) -> DataFrame:
     """name, from_type, to_type where the mapping (from_type, to_type) asks for another type."""
     return entities.select("name", F.col("entity_type").alias("from_type")).join(mapping, "from_type").where("from_type != to_type").select("name", "from_type", "to_type")
@@ -84,7 +95,7 @@ def discover(g: Graph, mapping: DataFrame | None = None) -> dict[str, DataFrame]
     """renames, merges and candidate relations; types go by the default mapping unless another is given."""
     mapping = default_mapping(g.entities.sparkSession) if mapping is None else mapping
     candidates = unrelated(shared_tokens(entity_tokens(g)), g.relations)
-    return {"renames": type_renames(g.entities, mapping), "merges": duplicate_names(g.entities), "candidates": candidates.orderBy(F.desc("shared"), "a", "b").limit(MAX_CANDIDATES)}
+    return {"renames": type_renames(g.entities, mapping), "merges": duplicate_merges(g.entities), "candidates": candidates.orderBy(F.desc("shared"), "a", "b").limit(MAX_CANDIDATES)}
 
 
 def chunks(entities: DataFrame, size: int = 150) -> DataFrame:
@@ -167,12 +178,6 @@ def parse_relation_type(reply: Column) -> Column:
 # --- apply
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """A checkpoint folder of our own only where the cluster names none."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tesserine-checkpoints-"))
-
-
 def merge_targets(spark: SparkSession, merges: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """remove, keep: a plan (pos, keep, remove) settled in order; merges of what has gone are skipped.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserine.scratch import ensure_checkpoints
+
 _LOCAL = (1 << 33) - 1
 
 
@@ -13,8 +15,11 @@ def numbered(df: DataFrame, order: list[Column | str], name: str = "n") -> DataF
 
     Rows are range-partitioned and sorted in their partition; a prefix sum over the
     partitions' counts, a row a partition, gives each its offset. No task sees all rows.
+    The placed rows are checkpointed: counts and rows must come of the same ranges, and these
+    are drawn from a sample anew each time that the plan runs.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    ensure_checkpoints(df.sparkSession)
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()).checkpoint()
     part, local = F.shiftright("__id", 33), F.col("__id").bitwiseAND(_LOCAL)
     counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__count"))
     before = F.sum("__count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from tesserine.operators import postings
 from tesserine.operators.graph import Graph
 from tesserine.operators.postings import PostingsIndex
+from tesserine.scratch import scratch_dir
 from tesserine.sources.readers import lines_of, read_table
 
 #: The moment that look-backs count from.
@@ -47,14 +47,13 @@ def indexes(spark: SparkSession, root: str) -> dict[str, PostingsIndex]:
     """The index of each domain, built at its first use in an application and read by all queries after that."""
     key = (spark.sparkContext.applicationId, root)
     if key not in _INDEXES:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tesserine-indexes-")
         parts = {}
         for name, lines in domains(spark, root).items():
             number = F.col("file").cast("long")  # the ids of the tables number the files
             entries = lines.where(F.trim("line") != "").select(number.alias("file_idx"), (F.col("line_no") - 1).alias("entry_idx"), F.col("line").alias("text"))
             files = lines.groupBy("file").agg(F.count("*").alias("size")).select("file", number.alias("file_idx"), F.lit(0).alias("modified"), "size", F.lit(False).alias("tombstoned"))
             parts[name] = (entries, files)
-        _INDEXES[key] = postings.build_domains(spark, f"{base.rstrip('/')}/indexes-{uuid.uuid4().hex}", parts)
+        _INDEXES[key] = postings.build_domains(spark, f"{scratch_dir(spark)}/indexes-{uuid.uuid4().hex}", parts)
     return _INDEXES[key]
 
 

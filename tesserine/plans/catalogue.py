@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +14,7 @@ from tesserine.operators import archive, maintenance, predicates, ranking, recor
 from tesserine.operators import graph as gr
 from tesserine.operators import postings as idx
 from tesserine.plans import adapters
+from tesserine.scratch import scratch_dir
 from tesserine.sources import readers
 from tesserine.sources.readers import read_table
 from tesserine.streaming import events as ev
@@ -578,8 +578,7 @@ def compact_equiv(spark: SparkSession, root: str) -> DataFrame:
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared scratch space."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tesserine-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _updated(spark: SparkSession, root: str, defer_compact: bool) -> tuple[idx.PostingsIndex, dict]:

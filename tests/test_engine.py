@@ -129,6 +129,13 @@ def test_ids_logs_and_history(spark):
 def test_numbers_follow_the_order(spark):
     df = spark.range(1000).selectExpr("(id * 7919) % 1000 as k")
     assert [r["n"] for r in ranking.numbered(df, ["k"]).orderBy("k").collect()] == list(range(1000))
+    # ties, a hot key and the same numbers at each use of the result
+    hot = spark.range(600).selectExpr("if(id % 3 = 0, 7, id) as k", "id")
+    numbers = ranking.numbered(hot, ["k"])
+    rows = numbers.orderBy("n").collect()
+    assert [r["n"] for r in rows] == list(range(600)) and [r["k"] for r in rows] == sorted(r["k"] for r in rows)
+    assert numbers.join(numbers, ["id", "n"]).count() == 600
+    assert ranking.numbered(hot.limit(0), ["k"]).count() == 0
 
 
 def entries_of(spark, files):
@@ -332,6 +339,16 @@ def fold_by_hand(plan):
     return {(r, last(r)) for r in gone}
 
 
+def test_duplicate_merges_are_what_all_pairs_give(spark):
+    names = ["Alpha One", "alpha-one", "ALPHA_ONE", "beta", "Beta", "abc", "ABC", "lone name", None]
+    entities = spark.createDataFrame([(n,) for n in names], "name string")
+    stars = sorted(tuple(r) for r in maintenance.duplicate_merges(entities).collect())
+    pairs = sorted(tuple(r) for r in maintenance.duplicate_names(entities).collect())
+    assert stars == [("ALPHA_ONE", "Alpha One"), ("ALPHA_ONE", "alpha-one"), ("Beta", "beta")] and len(pairs) == 4
+    assert fold_by_hand([(k, *p) for k, p in enumerate(stars)]) == fold_by_hand([(k, *p) for k, p in enumerate(pairs)])
+    assert maintenance.duplicate_merges(entities.limit(0)).count() == 0
+
+
 def test_merges_of_long_plans(spark):
     schema = "pos int, keep string, remove string"
     plan = [(k, f"k{k}", f"r{k}") for k in range(12_000)]
