@@ -31,14 +31,16 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.55, limit: int | None
 
     Vectors are dealt to blocks of a fixed size, and each pair of blocks is one matrix
     product, so every pair of vectors meets once. All pairs are compared, which is what an
-    exact join without a bound on the angle costs; a null or zero vector is like nothing.
+    exact join without a bound on the angle costs. A null, empty or zero vector and one that
+    holds a null is like nothing; vectors of different lengths aren't alike.
     """
     kind = dict(vectors.dtypes)[id_col]
     v = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    v = v.where((F.size("v") > 0) & ~F.exists("v", F.isnull)).withColumn("d", F.size("v"))
     blocks = max(1, -(-v.count() // BLOCK_VECTORS))
     dealt = v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    pairs = dealt.withColumn("other", other).select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "v")
+    pairs = dealt.withColumn("other", other).select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "d", "block", "id", "v")
 
     def product(group: pa.Table) -> pa.Table:
         lo, block = group["lo"][0].as_py(), group["block"].to_numpy()
@@ -55,7 +57,7 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.55, limit: int | None
         swap = pc.greater(left, right)
         return pa.table({"a": pc.if_else(swap, right, left), "b": pc.if_else(swap, left, right), "s": pa.array(s[i, j])})
 
-    found = pairs.groupBy("lo", "hi").applyInArrow(product, f"a {kind}, b {kind}, s double").where("a < b")
+    found = pairs.groupBy("lo", "hi", "d").applyInArrow(product, f"a {kind}, b {kind}, s double").where("a < b")
     if limit is not None:
         found = found.orderBy(F.desc("s"), "a", "b").limit(limit)
     return found.select("a", "b", F.round("s", 3).alias("similarity"))

@@ -339,6 +339,13 @@ def fold_by_hand(plan):
     return {(r, last(r)) for r in gone}
 
 
+def test_pairs_of_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0, 0.0]), (4, [3.0, 0.0, 0.0]), (5, []), (6, None), (7, [1.0, None]), (8, [0.0, 0.0]), (9, [])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in semantic.similar_pairs(vectors).collect()] == [(1, 2, 1.0), (3, 4, 1.0)]
+    assert semantic.similar_pairs(vectors.limit(0)).count() == 0
+
+
 def test_duplicate_merges_are_what_all_pairs_give(spark):
     names = ["Alpha One", "alpha-one", "ALPHA_ONE", "beta", "Beta", "abc", "ABC", "lone name", None]
     entities = spark.createDataFrame([(n,) for n in names], "name string")
