@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tesserine.functions.text import contains_ci, query_tokens, trigram_similarity
 from tesserine.operators.ranking import first_n
+from tesserine.scratch import ensure_checkpoints
 
 TRIPLE = ["src", "dst", "relation_type"]
 
@@ -139,27 +140,31 @@ def recent(g: Graph, as_of: Column, hours: int = 24, limit: int = 20, most_obser
 def traverse(g: Graph, start: str, depth: int = 2) -> DataFrame:
     """name, hop of entities within depth undirected steps (1 to 3) of the start; dangling ends are left out.
 
-    The start meets the edges as one filter; later hops join the frontier to edges that
-    are cut to both directions once.
     """
-    both = g.relations.select("src", "dst").unionByName(g.relations.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    reached = g.entities.sparkSession.createDataFrame([(start, 0)], "name string, hop int")
-    frontier = reached
-    for hop in range(1, min(max(depth, 1), 3) + 1):
-        ahead = both.join(frontier.select(F.col("name").alias("src")), "src").select(F.col("dst").alias("name")).distinct()
-        frontier = ahead.join(reached, "name", "left_anti").withColumn("hop", F.lit(hop))
-        reached = reached.unionByName(frontier)
-    return reached.join(g.entities.select("name"), "name", "left_semi").orderBy("hop", "name")
+    return _reached(g, start, min(max(depth, 1), 3)).join(g.entities.select("name"), "name", "left_semi").orderBy("hop", "name")
+
+
+def _reached(g: Graph, start: str, steps: int) -> DataFrame:
+    """name, hop of all names within so many steps of the start, whether entities or not.
+
+    Only the last hop's names meet the edges, at either end, and what is repeated goes after
+    that. Each hop is checkpointed, so that no hop computes the ones before it again.
+    """
+    spark = g.entities.sparkSession
+    ensure_checkpoints(spark)
+    reached = spark.createDataFrame([(start, 0)], "name string, hop int")
+    for hop in range(1, steps + 1):
+        last = reached.where(F.col("hop") == hop - 1).select("name")
+        out = g.relations.join(last.select(F.col("name").alias("src")), "src").select(F.col("dst").alias("name"))
+        into = g.relations.join(last.select(F.col("name").alias("dst")), "dst").select(F.col("src").alias("name"))
+        ahead = out.unionByName(into).distinct().join(reached, "name", "left_anti")
+        reached = reached.unionByName(ahead.withColumn("hop", F.lit(hop))).checkpoint()
+    return reached
 
 
 def traverse_edges(g: Graph, start: str, depth: int = 2) -> DataFrame:
     """src, dst, relation_type, once each: the relations that touch an entity less than depth steps away, dangling ends included."""
-    steps = min(max(depth, 1), 3)
-    inner = g.entities.sparkSession.createDataFrame([(start,)], "name string")
-    for _ in range(steps - 1):
-        edges = incident(g, inner)
-        inner = edges.select(F.col("src").alias("name")).unionByName(edges.select(F.col("dst").alias("name"))).unionByName(inner).distinct()
-    return incident(g, inner).select(TRIPLE)
+    return incident(g, _reached(g, start, min(max(depth, 1), 3) - 1)).select(TRIPLE)
 
 
 def capped_graph(g: Graph, most: int = 800) -> Graph:

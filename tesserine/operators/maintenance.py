@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.functions.text import graph_tokens, normalised_name
-from tesserine.operators.graph import TRIPLE, Graph
+from tesserine.operators.graph import TRIPLE, Graph, create_entities
 from tesserine.operators.ranking import first_n, numbered
 from tesserine.operators.semantic import lexical_similarity, rerank, unrelated
 from tesserine.scratch import ensure_checkpoints
@@ -222,13 +222,19 @@ def _fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def apply_renames(g: Graph, renames: DataFrame) -> Graph:
-    """renames(name, to_type)."""
-    joined = g.entities.join(renames.select("name", "to_type"), "name", "left").withColumn("entity_type", F.coalesce("to_type", "entity_type"))
+    """renames(name, to_type). Of several for one name the last one by pos holds, without pos the largest type; empty ones are skipped."""
+    order = F.col("pos") if "pos" in renames.columns else F.col("to_type")
+    last = renames.where("name != '' and to_type != ''").groupBy("name").agg(F.max(F.struct(order.alias("o"), "to_type"))["to_type"].alias("to_type"))
+    joined = g.entities.join(last, "name", "left").withColumn("entity_type", F.coalesce("to_type", "entity_type"))
     return replace(g, entities=joined.select(g.entities.columns))
 
 
 def apply_merges(g: Graph, targets: DataFrame) -> Graph:
-    """targets(remove, keep): observations move without repeats, relations are rewired; loops that arise so go."""
+    """targets(remove, keep): observations move without repeats, relations are rewired.
+
+    An entity that a rewired relation leads back to itself loses its loops, older ones included;
+    the loops of other entities stay.
+    """
     names = g.entities.select(F.col("name").alias("keep"))
     sound = targets.join(names, "keep", "left_semi").join(g.entities.select(F.col("name").alias("remove")), "remove", "left_semi")
 
@@ -237,16 +243,44 @@ def apply_merges(g: Graph, targets: DataFrame) -> Graph:
 
     observations = first_n(moved(g.observations, "name").withColumn("own", (F.col("name") != F.col("name_was")).cast("int")), ["name", "content"], ["own", "obs_id"], 1).select(g.observations.columns)
     wired = moved(moved(g.relations, "src"), "dst")
-    loop = (F.col("src") == F.col("dst")) & (F.col("src_was") != F.col("dst_was"))
-    relations = wired.where(~loop).groupBy(TRIPLE).agg(F.min("created_at").alias("created_at"))
+    loops = wired.where("src = dst")
+    arisen = loops.where("src_was != src or dst_was != dst").select("src").distinct()
+    sound_ones = wired.where("src != dst").unionByName(loops.join(arisen, "src", "left_anti"))
+    relations = sound_ones.groupBy(TRIPLE).agg(F.min("created_at").alias("created_at"))
     return Graph(g.entities.join(sound.select(F.col("remove").alias("name")), "name", "left_anti"), observations, relations.select(g.relations.columns))
 
 
+def new_relations(g: Graph, new: DataFrame, now: Column) -> DataFrame:
+    """The relations of new(src, dst, relation_type) whose ends both exist and that the graph lacks, once each."""
+    names = g.entities.select("name")
+    fit = new.select(TRIPLE).where("src != '' and dst != '' and relation_type != ''").distinct().join(names.withColumnRenamed("name", "src"), "src", "left_semi").join(names.withColumnRenamed("name", "dst"), "dst", "left_semi").join(g.relations.select(TRIPLE), TRIPLE, "left_anti")
+    return fit.select(*TRIPLE, now.alias("created_at"))
+
+
 def apply_relations(g: Graph, new: DataFrame, now: Column) -> Graph:
     """new(src, dst, relation_type): added where both ends exist and the triple doesn't."""
-    names = g.entities.select("name")
-    fit = new.select(TRIPLE).distinct().join(names.withColumnRenamed("name", "src"), "src", "left_semi").join(names.withColumnRenamed("name", "dst"), "dst", "left_semi").join(g.relations.select(TRIPLE), TRIPLE, "left_anti")
-    return replace(g, relations=g.relations.unionByName(fit.select(*TRIPLE, now.alias("created_at"))))
+    return replace(g, relations=g.relations.unionByName(new_relations(g, new, now)))
+
+
+def apply_plan(g: Graph, plan: dict[str, DataFrame], now: Column) -> Graph:
+    """A plan's parts in this order: renames(name, to_type), merges(pos, keep, remove), entities(pos, name, entity_type, observations), relations(src, dst, relation_type).
+
+    Parts may be missing, and others are ignored. Merges count only where both names exist, so
+    one with an unknown name stands in no other's way. Entities without a type are summaries;
+    names that exist by then are left as they are. Relations may name the added entities.
+    """
+    if "renames" in plan:
+        g = apply_renames(g, plan["renames"])
+    if "merges" in plan:
+        names = g.entities.select("name")
+        known = plan["merges"].join(names.withColumnRenamed("name", "keep"), "keep", "left_semi").join(names.withColumnRenamed("name", "remove"), "remove", "left_semi")
+        g = apply_merges(g, merge_targets(g.entities.sparkSession, known))
+    if "entities" in plan:
+        named = plan["entities"].where("name != ''").withColumn("entity_type", F.coalesce("entity_type", F.lit("summary")))
+        g, _ = create_entities(g, named, now)
+    if "relations" in plan:
+        g = apply_relations(g, plan["relations"], now)
+    return g
 
 
 def reconcile(observed: DataFrame, planned: DataFrame, live: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -278,27 +312,31 @@ STAGES = ["discover", "rank", "validate", "apply"]
 
 
 def run_stages(spark: SparkSession, g: Graph, run_dir: str, mapping: DataFrame | None = None, rules: DataFrame | None = None, similarities: DataFrame | None = None, from_stage: str = "discover", now: Column | None = None) -> Graph:
-    """The stages, each written below run_dir; those before from_stage are read back. The graph with relations applied is returned.
+    """The stages, each written below run_dir; those before from_stage are read back. The graph with the whole plan applied is returned.
 
-    apply writes the relations that are added; the tables of the graph are the caller's to store.
+    discover writes candidates, and beside them renames and merges. apply writes the relations
+    that are added; the tables of the graph are the caller's to store.
     """
     if from_stage not in STAGES:
         raise ValueError(f"no stage {from_stage!r}")
     skip = STAGES.index(from_stage)
 
-    def stage(name: str, made: Callable[[], DataFrame]) -> DataFrame:
+    def stage(name: str, made: Callable[[], DataFrame], part: str = "") -> DataFrame:
         k = STAGES.index(name)
-        path = f"{run_dir}/{k + 1:02d}_{name}"
+        path = f"{run_dir}/{k + 1:02d}_{name}{part}"
         if k >= skip:
             made().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
     found = stage("discover", lambda: discover(g, mapping)["candidates"])
+    renames = stage("discover", lambda: discover(g, mapping)["renames"], "_renames")
+    merges = stage("discover", lambda: discover(g, mapping)["merges"], "_merges")
     ranked = stage("rank", lambda: rank(found, similarities))
     named = stage("validate", lambda: validate(g, ranked, rules))
     when = F.current_timestamp() if now is None else now
-    fit = stage("apply", lambda: apply_relations(g, named, when).relations.join(g.relations.select(TRIPLE), TRIPLE, "left_anti"))
-    return replace(g, relations=g.relations.unionByName(fit.select(g.relations.columns)))
+    certain = apply_plan(g, {"renames": renames, "merges": merges.select(F.lit(0).alias("pos"), F.col("a").alias("keep"), F.col("b").alias("remove"))}, when)
+    fit = stage("apply", lambda: new_relations(certain, named, when))
+    return replace(certain, relations=certain.relations.unionByName(fit.select(certain.relations.columns)))
 
 
 def list_runs(spark: SparkSession, root: str) -> list[str]:

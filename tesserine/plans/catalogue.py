@@ -464,6 +464,29 @@ def add_relations_apply(spark: SparkSession, root: str) -> DataFrame:
     return done.relations.select("src", "dst", "relation_type")
 
 
+@query(
+    f"""WITH {_GRAPH}, t AS (SELECT a.s_name AS remove, b.s_name AS keep FROM supplier a JOIN supplier b ON b.s_suppkey = CASE WHEN a.s_suppkey % 10 = 1 THEN a.s_suppkey - 1 ELSE a.s_suppkey + 1 END WHERE a.s_suppkey % 10 IN (1, 5)),
+    e AS (SELECT name, CASE WHEN entity_type = 'furniture' THEN 'household' ELSE entity_type END AS entity_type FROM ents WHERE name NOT IN (SELECT remove FROM t) UNION ALL SELECT p_brand, arg_min(p_type, p_partkey) FROM part GROUP BY 1),
+    r AS (SELECT coalesce(t.keep, src) AS src, dst, relation_type FROM rels LEFT JOIN t ON t.remove = src UNION SELECT p_brand, 'AFRICA', 'sold_in' FROM part)
+    SELECT 'entity' AS part, name AS a, entity_type AS b, '' AS c FROM e UNION ALL SELECT 'relation', src, dst, relation_type FROM r"""
+)
+def plan_apply(spark: SparkSession, root: str) -> DataFrame:
+    """Renames, merges, entities and relations of one plan; merges with unknown names, known entities and relations with unknown or merged ends are skipped."""
+    g = adapters.graph(spark, root)
+    named, part = read_table(spark, root, "supplier").select("s_suppkey", "s_name"), read_table(spark, root, "part")
+    gone = named.where("s_suppkey % 10 in (1, 5)").select(F.col("s_suppkey").cast("long").alias("pos"), F.col("s_name").alias("remove"), F.when(F.col("s_suppkey") % 10 == 1, F.col("s_suppkey") - 1).otherwise(F.col("s_suppkey") + 1).cast("long").alias("to"))
+    merges = gone.join(named.select(F.col("s_suppkey").cast("long").alias("to"), F.col("s_name").alias("keep")), "to").select("pos", "keep", "remove")
+    unknown = merges.select((-1 - F.col("pos")).alias("pos"), F.lit("NOBODY").alias("keep"), "remove")
+    brands = part.select(F.col("p_partkey").cast("long").alias("pos"), F.col("p_brand").alias("name"), F.col("p_type").alias("entity_type"), F.array("p_name").alias("observations"))
+    known = read_table(spark, root, "region").select((-1 - F.col("r_regionkey")).cast("long").alias("pos"), F.col("r_name").alias("name"), F.lit("place").alias("entity_type"), F.array().cast("array<string>").alias("observations"))
+    sold = brands.select(F.col("name").alias("src"), F.lit("AFRICA").alias("dst"), F.lit("sold_in").alias("relation_type"))
+    loose = sold.withColumn("dst", F.lit("NOWHERE")).unionByName(merges.select(F.col("remove").alias("src"), F.lit("AFRICA").alias("dst"), F.lit("sold_in").alias("relation_type")))
+    renames = maintenance.type_renames(g.entities, spark.createDataFrame([("furniture", "household")], "from_type string, to_type string"))
+    done = maintenance.apply_plan(g, {"renames": renames, "merges": merges.unionByName(unknown), "entities": brands.unionByName(known), "relations": sold.unionByName(loose)}, adapters.as_of())
+    entities = done.entities.select(F.lit("entity").alias("part"), F.col("name").alias("a"), F.col("entity_type").alias("b"), F.lit("").alias("c"))
+    return entities.unionByName(done.relations.select(F.lit("relation").alias("part"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("relation_type").alias("c")))
+
+
 @query(
     """WITH o AS (SELECT c_name AS name, c_mktsegment AS v FROM customer WHERE c_custkey % 5 <> 4),
     p AS (SELECT c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN 'X' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 7 <> 0 ),

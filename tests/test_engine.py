@@ -286,6 +286,8 @@ def test_reads(spark, g):
     assert [(r["name"], r["score"]) for r in graph.search_nodes(g, "beta").orderBy("name").collect()] == [("alpha", 1), ("beta", 10)]
     near, far = ({r["name"] for r in graph.traverse(g, "beta", k).collect()} for k in (1, 2))
     assert near == {"alpha", "beta"} and far == {"alpha", "beta", "delta"}
+    edges = [{(r["src"], r["dst"]) for r in graph.traverse_edges(g, "beta", k).collect()} for k in (1, 2)]
+    assert edges == [{("alpha", "beta")}, {("alpha", "beta"), ("delta", "alpha")}]
     assert graph.read_graph(g)[0].count() == 4
     assert graph.capped_graph(g, 2).relations.count() == 1
     assert graph.migrated(g.observations.unionByName(g.observations)).count() == 3
@@ -325,6 +327,34 @@ def test_merges(spark, g):
     assert {r["name"] for r in done.entities.collect()} == {"alpha", "gamma"} and done.relations.count() == 0 and done.observations.count() == 3
 
 
+def test_loops_that_merges_make_go(spark, g):
+    rels = [("alpha", "alpha", "old"), ("alpha", "beta", "uses"), ("gamma", "gamma", "old"), ("delta", "delta", "old")]
+    loops = graph.Graph(g.entities, g.observations, spark.createDataFrame([(*r, T0) for r in rels], g.relations.schema))
+
+    def left(keep, remove):
+        targets = spark.createDataFrame([(remove, keep)], "remove string, keep string")
+        return sorted(tuple(r)[:3] for r in maintenance.apply_merges(loops, targets).relations.collect())
+
+    assert left("alpha", "beta") == [("delta", "delta", "old"), ("gamma", "gamma", "old")]
+    assert left("alpha", "gamma") == [("alpha", "beta", "uses"), ("delta", "delta", "old")]
+
+
+def test_plans(spark, g):
+    plan = {
+        "renames": spark.createDataFrame([(0, "gamma", "idea"), (1, "gamma", "thought"), (2, "", "x"), (3, "alpha", "")], "pos int, name string, to_type string"),
+        "merges": spark.createDataFrame([(0, "nobody", "beta"), (1, "delta", "beta"), (2, "alpha", "nobody")], "pos int, keep string, remove string"),
+        "entities": spark.createDataFrame([(0, "beta", None, ["again"]), (1, "beta", "late", ["x"]), (2, "alpha", "place", ["y"]), (3, "", "z", ["z"])], "pos int, name string, entity_type string, observations array<string>"),
+        "relations": spark.createDataFrame([("beta", "gamma", "uses"), ("beta", "gamma", "uses"), ("beta", "nobody", "uses"), ("alpha", "beta", ""), ("delta", "alpha", "depends_on")], "src string, dst string, relation_type string"),
+        "archive_observations": g.observations,
+    }
+    done = maintenance.apply_plan(g, plan, now())
+    assert sorted((r["name"], r["entity_type"]) for r in done.entities.collect()) == [("alpha", "concept"), ("beta", "summary"), ("delta", "project"), ("gamma", "thought")]
+    assert sorted(tuple(r)[:3] for r in done.relations.collect()) == [("alpha", "delta", "relates_to"), ("beta", "gamma", "uses"), ("delta", "alpha", "depends_on")]
+    assert sorted((r["name"], r["content"]) for r in done.observations.collect()) == [("alpha", "first"), ("alpha", "second beta"), ("beta", "again"), ("delta", "solo")]
+    same = maintenance.apply_plan(g, {}, now())
+    assert same.entities.count() == 4 and same.relations.count() == 2
+
+
 def fold_by_hand(plan):
     gone = {}
     for _, keep, remove in sorted(plan):
