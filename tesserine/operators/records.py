@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tesserine.functions.text import message_snippet
 from tesserine.operators.graph import Graph, capped_observations, neighbours
 from tesserine.operators.semantic import embedding_text
+from tesserine.plans.snapshot import SnapshotStore
 
 DIGEST_ROWS = 500
 SUMMARY = "goal string, outcome string, status string, tags array<string>, key_decisions array<string>, files_touched array<string>, topic string, key_points array<string>, decisions array<string>, action_items array<struct<who:string,what:string>>"
@@ -35,11 +36,13 @@ def summaries(files: DataFrame, json_col: str = "json") -> DataFrame:
 
 
 def snippets(lines: DataFrame, line_col: str = "line") -> DataFrame:
-    """role and snippet of messages that are JSON lines; other lines count as the user's words."""
+    """role and snippet of messages that are JSON lines; other lines count as the user's words. Content in parts is their texts, a blank between."""
     parsed = lines.withColumn("m", F.from_json(line_col, MESSAGE))
     names = F.transform("m.tool_calls", lambda c: c["function"]["name"])
     sound = F.col(line_col).startswith("{") & F.col("m").isNotNull()
-    text = F.when(sound, message_snippet(F.col("m.content"), names, F.lit(None).cast("string"))).otherwise(F.substring(line_col, 1, 300))
+    parts = F.try_variant_get(F.try_parse_json(line_col), "$.content", "array<struct<text:string>>")
+    content = F.coalesce(F.array_join(F.transform(parts, lambda p: p["text"]), " "), F.col("m.content"))
+    text = F.when(sound, message_snippet(content, names, F.lit(None).cast("string"))).otherwise(F.substring(line_col, 1, 300))
     return parsed.select(*lines.columns, F.when(sound, F.lower("m.role")).otherwise("user").alias("role"), text.alias("snippet"))
 
 
@@ -70,6 +73,16 @@ def embed_entities(g: Graph, embed: Callable[[list[str]], list[list[float]]]) ->
     return texts.mapInPandas(run, "name string, embedding array<float>")
 
 
+def store_vectors(spark: SparkSession, root: str, vectors: DataFrame) -> int:
+    """Stores name, embedding as the next version of a vector index; readers see the old or the new one whole."""
+    return SnapshotStore(spark, root).commit({"vectors": vectors.select("name", "embedding")})
+
+
+def load_vectors(spark: SparkSession, root: str) -> DataFrame:
+    """name, embedding as last stored."""
+    return SnapshotStore(spark, root).read("vectors")
+
+
 def should_run(now: float, last: float | None, pause: float, grown: int, least: int) -> bool:
     """Whether a maintenance run is due: enough time since the last one, and enough growth."""
     return (last is None or now - last >= pause) and grown >= least

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,6 +24,13 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 10, threshold: float
     return vectors.select(id_col, sim.alias("s")).where(F.col("s") >= threshold).orderBy(F.desc("s"), id_col).limit(k).select(id_col, F.round("s", 3).alias("similarity"))
 
 
+def search_text(vectors: DataFrame, query: str, embed: Callable[[list[str]], list[list[float]]], k: int = 10, threshold: float = 0.5) -> DataFrame:
+    """name, similarity of the entities like a text, which the callable embeds as it did theirs; vectors(name, embedding)."""
+    if not query.strip():
+        raise ValueError("empty query")
+    return top_k(vectors, embed([query])[0], k, threshold, "name", "embedding")
+
+
 #: Vectors of a block; two of them and their product, 32 MB, lie in a task at once.
 BLOCK_VECTORS = 2_048
 

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tesserine.functions import text as tx
-from tesserine.operators import archive, graph, maintenance, postings, predicates, ranking, search, semantic
+from tesserine.operators import archive, graph, maintenance, postings, predicates, ranking, records, search, semantic
 from tesserine.plans.snapshot import SnapshotStore
 from tesserine.sources import readers
 from tesserine.streaming import events
@@ -462,7 +462,6 @@ def test_stream_into_snapshots(spark, tmp_path):
 
 
 def test_summaries_and_digests(spark, tmp_path):
-    from tesserine.operators import records
 
     rows = [("a", '{"goal": "g", "tags": ["x"], "action_items": [{"who": "w", "what": "t"}]}'), ("b", "broken")]
     got = {r["id"]: r for r in records.summaries(spark.createDataFrame(rows, "id string, json string")).collect()}
@@ -544,3 +543,25 @@ def test_validator_counters(spark):
     pairs = spark.createDataFrame([(k, k + 1) for k in range(6)], "a long, b long")
     row = maintenance.validator_health(pairs, pairs.where("a < 2"), pairs.where("a >= 2"), pairs.where("a in (2, 3)"), pairs.where("a = 4")).first()
     assert row.asDict() == {"candidates_in": 6, "named_by_rules": 2, "batch_asked": 4, "batch_answered": 2, "single_asked": 2, "single_none": 1}
+
+
+def test_vectors_are_stored_and_searched_by_text(spark, g, tmp_path):
+    def embed(texts):
+        return [[1.0, 0.0] if "first" in t else [0.6, 0.8] if "solo" in t else [0.0, 1.0] for t in texts]
+
+    root = str(tmp_path / "vectors")
+    assert records.store_vectors(spark, root, records.embed_entities(g, embed)) == 1
+    assert records.store_vectors(spark, root, records.embed_entities(g, embed).where("name != 'delta'")) == 2
+    held = records.load_vectors(spark, root)
+    assert held.count() == 3
+    assert [tuple(r) for r in semantic.search_text(held, "the first", embed, threshold=0.5).collect()] == [("alpha", 1.0), ("beta", 0.6)]
+    assert semantic.search_text(held.limit(0), "the first", embed).count() == 0
+    with pytest.raises(ValueError):
+        semantic.search_text(held, " ", embed)
+
+
+def test_content_in_parts(spark):
+    lines = ['{"role": "User", "content": [{"type": "text", "text": "one"}, {"type": "image"}, {"text": "two"}]}', '{"role": "assistant", "content": "[plain]"}', '{"role": "user", "content": []}', "words", None]
+    got = records.snippets(spark.createDataFrame([(x,) for x in lines], "line string")).collect()
+    assert [(r["role"], r["snippet"]) for r in got][:2] == [("user", "one two"), ("assistant", "[plain]")]
+    assert got[3]["snippet"] == "words" and got[4]["snippet"] is None
