@@ -462,7 +462,6 @@ def test_stream_into_snapshots(spark, tmp_path):
 
 
 def test_summaries_and_digests(spark, tmp_path):
-
     rows = [("a", '{"goal": "g", "tags": ["x"], "action_items": [{"who": "w", "what": "t"}]}'), ("b", "broken")]
     got = {r["id"]: r for r in records.summaries(spark.createDataFrame(rows, "id string, json string")).collect()}
     assert got["a"]["tags"] == ["x"] and got["a"]["action_items"][0]["who"] == "w" and got["b"]["goal"] is None
@@ -473,8 +472,6 @@ def test_summaries_and_digests(spark, tmp_path):
 
 
 def test_entity_summary_and_embedding(spark, g):
-    from tesserine.operators import records
-
     one = records.entity_summary(g, "alpha", width=4).first()
     assert one["observations"] == ["firs…", "seco…"] and len(one["relations"]) == 2
     got = {r["name"]: r["embedding"] for r in records.embed_entities(g, lambda texts: [[float(len(t))] for t in texts]).collect()}
@@ -482,8 +479,6 @@ def test_entity_summary_and_embedding(spark, g):
 
 
 def test_batches_limits_and_gates(spark):
-    from tesserine.operators import records
-
     def judge(batch):
         if (batch["a"] == 3).any():
             raise RuntimeError("no answer")
