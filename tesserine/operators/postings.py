@@ -1,7 +1,8 @@
 """The full-text index: postings (token, file_idx, entry_idx) as a table.
 
 Base and delta make up the index: a delta row adds or deletes a posting, and the last
-operation on a posting holds. Compaction folds the delta into a new base.
+operation on a posting holds. Compaction folds the delta into a new base. Beside them lies
+a directory of lines, which says on which line of its file an entry stands.
 """
 
 from __future__ import annotations
@@ -10,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.functions.text import words
-from tesserine.plans.snapshot import SnapshotStore
+from tesserine.plans.snapshot import Append, Buckets, SnapshotStore
 
 KEY = ["token", "file_idx", "entry_idx"]
 COMPACT_SHARE = 0.25
 
+#: Entries of a row of the directory of lines.
+CHUNK = 4_096
+
 
 def build(entries: DataFrame, text_col: str = "text") -> DataFrame:
     """Distinct postings of (file_idx, entry_idx, text) entries.
@@ -68,16 +72,45 @@ def layered(base: DataFrame, delta: DataFrame) -> DataFrame:
     return base.join(last, KEY, "left_anti").select(*KEY).unionByName(last.where("op = 'ADD'").select(*KEY))
 
 
+def directory(entries: DataFrame, seq: int) -> DataFrame:
+    """file_idx, chunk, entries, lines, seq: where the entries stand, CHUNK of them to a row at most.
+
+    entries has file_idx, entry_idx and, where lines without an entry lie between them,
+    line_no; else an entry's line is the one after its number.
+    """
+    line = F.col("line_no") if "line_no" in entries.columns else F.col("entry_idx") + 1
+    placed = entries.select("file_idx", F.floor(F.col("entry_idx") / CHUNK).cast("int").alias("chunk"), F.struct(F.col("entry_idx").cast("int").alias("entry_idx"), line.cast("int").alias("line_no")).alias("e"))
+    rows = placed.groupBy("file_idx", "chunk").agg(F.sort_array(F.collect_set("e")).alias("e"))
+    return rows.select("file_idx", "chunk", F.col("e.entry_idx").alias("entries"), F.col("e.line_no").alias("lines"), F.lit(seq).cast("long").alias("seq"))
+
+
+def in_order(postings: DataFrame) -> DataFrame:
+    """Postings as they are stored: ranges of the whole key, so that files hold few tokens each and a frequent token lies in many."""
+    return postings.repartitionByRange(*KEY).sortWithinPartitions(*KEY)
+
+
+#: What the manifest is kept in buckets by.
+FILES = ("file",)
+
+
 class PostingsIndex:
-    """An index in a folder: base, delta and manifest as snapshots behind one pointer file."""
+    """An index in a folder: base, delta, lines and manifest as snapshots behind one pointer file.
 
-    def __init__(self, spark: SparkSession, root: str):
+    The manifest names for each file the version that its lines were last written at, so
+    older rows of the directory need no deleting. An update adds its rows to delta and
+    lines and rewrites the manifest's buckets of files that changed.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, version: int | None = None):
         self.spark = spark
-        self.store = SnapshotStore(spark, root)
+        self.store = SnapshotStore(spark, root, version)
 
     def create(self, entries: DataFrame, files: DataFrame) -> int:
-        base = build(entries).repartitionByRange("token").sortWithinPartitions(*KEY)
-        return self.store.commit({"base": base, "files": files, "delta": base.limit(0).selectExpr(*KEY, "cast(null as string) op", "cast(null as bigint) seq")})
+        seq = self.store.version() + 1
+        base = in_order(build(entries))
+        known = files.withColumn("lines_seq", F.lit(seq).cast("long"))
+        buckets = Buckets(known, FILES, tuple(self.store.touched("files", known, list(FILES))))
+        return self.store.commit({"base": base, "files": buckets, "lines": directory(entries, seq), "delta": base.limit(0).selectExpr(*KEY, "cast(null as string) op", "cast(null as bigint) seq")})
 
     def postings(self) -> DataFrame:
         return layered(self.store.read("base"), self.store.read("delta"))
@@ -90,35 +123,54 @@ class PostingsIndex:
         live = self.live_files()
         return search(self.postings(), tokens, mode).join(live, "file_idx")
 
-    def update(self, entries: DataFrame, files: DataFrame, defer_compact: bool = False) -> dict[str, int | bool]:
+    def with_lines(self, hits: DataFrame) -> DataFrame:
+        """Hits of search() with line_no, the line of its file that each entry stands on."""
+        lines = self.store.read("lines").select("file_idx", F.col("seq").alias("lines_seq"), "chunk", "entries", "lines")
+        placed = hits.withColumn("chunk", F.floor(F.col("entry_idx") / CHUNK).cast("int")).join(lines, ["file_idx", "lines_seq", "chunk"])
+        at = F.array_position("entries", F.col("entry_idx").cast("int"))
+        return placed.withColumn("line_no", F.get("lines", (at - 1).cast("int"))).drop("chunk", "entries", "lines")
+
+    def update(self, entries: DataFrame, files: DataFrame, defer_compact: bool = False, complete: bool = True, marks: dict[str, int] | None = None) -> dict[str, int | bool]:
         """Takes over files (file, file_idx, modified, size) and their entries; says what was done.
 
         entries has at least those of changed and new files. Removed files are tombstoned
-        and keep their number; new ones are numbered after all that there ever were. A delta
-        over COMPACT_SHARE of the base is folded, unless defer_compact leaves that for later.
+        and keep their number; new ones are numbered after all that there ever were. Unless
+        complete, files that aren't named are left alone. A delta over COMPACT_SHARE of the
+        base is folded, unless defer_compact leaves that for later. marks go with the commit.
         """
         from tesserine.operators.ranking import numbered
 
         known = self.store.read("files")
-        status = diff_files(files, known).select("file", F.coalesce("file_idx", F.lit(-1)).alias("file_idx"), "status")
+        seq = self.store.version() + 1
+        met = known if complete else known.join(files.select("file"), "file", "left_semi")
+        status = diff_files(files, met).select("file", F.coalesce("file_idx", F.lit(-1)).alias("file_idx"), "status")
         counts = {r["status"]: r["n"] for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}
         done: dict[str, int | bool] = {n: counts.get(s, 0) for n, s in (("unchanged", "unchanged"), ("updated", "changed"), ("added", "new"), ("removed", "removed"))}
-        status = status.where("status != 'unchanged'")
         if done["updated"] or done["added"] or done["removed"]:
             last = known.agg(F.max("file_idx")).first()[0]
             next_idx = 0 if last is None else last + 1
             fresh = files.join(status.where("status = 'new'").select("file"), "file", "left_semi")
             named = numbered(fresh.drop("file_idx"), ["file"], "file_idx").withColumn("file_idx", F.col("file_idx") + next_idx)
-            kept = known.join(files.select("file", F.col("modified").alias("m"), F.col("size").alias("z")), "file", "left")
-            kept = kept.withColumn("tombstoned", F.col("tombstoned") | F.col("z").isNull()).withColumn("modified", F.coalesce("m", "modified")).withColumn("size", F.coalesce("z", "size")).drop("m", "z")
-            manifest = kept.unionByName(named.withColumn("tombstoned", F.lit(False)), allowMissingColumns=True)
-            numbers = manifest.where(~F.col("tombstoned")).select("file", "file_idx")
-            touched = status.where("status != 'new'").select("file_idx")
-            old = self.postings().join(touched, "file_idx", "left_semi").select(*KEY)
-            changed = status.where("status in ('new', 'changed')").select("file")
-            new = build(entries.drop("file_idx").join(changed, "file", "left_semi").join(numbers, "file"))
-            delta = self.store.read("delta").unionByName(diff_postings(old, new, self.store.version() + 1))
-            self.store.commit({"files": manifest, "delta": delta, "base": None})
+            moved = status.where("status != 'unchanged'").select("file", "file_idx", "status")
+            numbers = moved.where("status = 'changed'").select("file", "file_idx").unionByName(named.select("file", "file_idx"))
+            numbers = numbers.withColumn("file_idx", F.col("file_idx").cast("long"))
+
+            def manifest(old: DataFrame | None, changed: DataFrame) -> DataFrame:
+                """The manifest's rows of the buckets that changed files fall into."""
+                now = files.select("file", F.col("modified").alias("m"), F.col("size").alias("z"))
+                kept = old.join(changed.where("status != 'new'").select("file", "status"), "file", "left").join(now, "file", "left")
+                gone, over = F.coalesce(F.col("status") == "removed", F.lit(False)), F.coalesce(F.col("status") == "changed", F.lit(False))
+                kept = kept.withColumn("tombstoned", F.col("tombstoned") | gone).withColumn("modified", F.when(over, F.col("m")).otherwise(F.col("modified"))).withColumn("size", F.when(over, F.col("z")).otherwise(F.col("size")))
+                kept = kept.withColumn("lines_seq", F.when(over, F.lit(seq).cast("long")).otherwise(F.col("lines_seq"))).drop("m", "z", "status")
+                return kept.unionByName(named.withColumn("tombstoned", F.lit(False)).withColumn("lines_seq", F.lit(seq).cast("long")), allowMissingColumns=True).select(old.columns)
+
+            buckets = self.store.touched("files", moved, list(FILES))
+            old = self.postings().join(moved.where("status != 'new'").select("file_idx"), "file_idx", "left_semi").select(*KEY)
+            mine = entries.drop("file_idx").join(numbers, "file")
+            delta = diff_postings(old, build(mine), seq)
+            self.store.commit({"files": self.store.merged("files", moved, list(FILES), manifest, buckets), "delta": Append(delta), "lines": Append(directory(mine, seq)), "base": None}, marks=marks)
+        elif marks:
+            self.store.commit({}, marks=marks)
         done["total_slots"] = self.store.read("files").count()
         done["needs_compact"] = self.needs_compact()
         if done["needs_compact"] and not defer_compact:
@@ -130,10 +182,12 @@ class PostingsIndex:
 
     def compact(self) -> int:
         """Folds the delta into the base; nothing changes if there is none."""
-        if self.store.read("delta").isEmpty():
+        delta = self.store.read("delta")
+        if delta.isEmpty():
             return self.store.version()
-        base = self.postings().repartitionByRange("token").sortWithinPartitions(*KEY)
-        return self.store.commit({"base": base, "files": None, "delta": self.store.read("delta").limit(0)})
+        live = self.live_files().select("file_idx", F.col("lines_seq").alias("seq"))
+        lines = self.store.read("lines")
+        return self.store.commit({"base": in_order(self.postings()), "files": None, "lines": lines.join(live, ["file_idx", "seq"], "left_semi").select(lines.columns), "delta": self.spark.createDataFrame([], delta.schema)})
 
 
 def build_domains(spark: SparkSession, root: str, domains: dict[str, tuple[DataFrame, DataFrame]]) -> dict[str, PostingsIndex]:

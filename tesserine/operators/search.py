@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserine.functions.text import index_tokens, pattern, words
@@ -15,6 +17,18 @@ from tesserine.operators.ranking import first_n
 BASE = ["file", "line_no", "line"]
 
 
+@dataclass(frozen=True)
+class Lines:
+    """A domain's lines, and how those of a few files are read alone: of(files) reads no other file's text."""
+
+    all: DataFrame
+    of: Callable[[list[str]], DataFrame]
+
+
+#: Shown hits whose files are named to the reader; more of them are joined with all lines.
+NAMED_FILES = 1_000
+
+
 def in_dates(df: DataFrame, date_from: str | None, date_to: str | None) -> DataFrame:
     """Rows within the dates, both ends included; a row without a date passes."""
     d = F.col("date")
@@ -78,37 +92,68 @@ def newest_first(df: DataFrame, limit: int) -> DataFrame:
     return df.orderBy(F.coalesce("date", F.lit("?")).desc(), "line_no", "domain", "file").limit(limit)
 
 
+_SHOWN = "domain string, file string, date string, line_no int"
+
+
+def shown(spark: SparkSession, top: DataFrame, lines: Lines | DataFrame, k: int, most: int) -> DataFrame:
+    """top (domain, file, date, line_no), at most so many rows, with their line and up to k lines before and after.
+
+    Only the files of top are read, each once: the lines wanted are a list that goes to
+    them. Where top may be long, or a domain has no reader of single files, all lines meet
+    the list, which then is a table.
+    """
+    if isinstance(lines, Lines) and most <= NAMED_FILES:
+        rows = [tuple(r) for r in top.select("domain", "file", "date", "line_no").collect()]
+        top = spark.createDataFrame(rows, _SHOWN)
+        text = lines.of(sorted({r[1] for r in rows})) if rows else lines.all.limit(0)
+    else:
+        everything = lines.all if isinstance(lines, Lines) else lines
+        text = everything.join(top.select("file").distinct(), "file", "left_semi")
+    near = F.explode(F.sequence(F.col("line_no") - k, F.col("line_no") + k)).alias("near") if k else F.col("line_no").alias("near")
+    asked = top.select("domain", "file", "date", "line_no", near)
+    said = text.select("file", F.col("line_no").cast("int").alias("near"), F.col("line").alias("text"))
+    met = said.join(F.broadcast(asked) if most <= NAMED_FILES else asked, ["file", "near"])
+    hit = F.col("near") == F.col("line_no")
+    beside = F.sort_array(F.collect_list(F.when(~hit, F.struct("near", "text"))))
+    found = met.groupBy("domain", "file", "date", "line_no").agg(F.max(F.when(hit, F.col("text"))).alias("line"), F.count_if(hit).alias("own"), beside.alias("around")).where("own > 0")
+    before = F.transform(F.filter("around", lambda x: x["near"] < F.col("line_no")), lambda x: x["text"])
+    after = F.transform(F.filter("around", lambda x: x["near"] > F.col("line_no")), lambda x: x["text"])
+    return found.select("domain", "file", "date", "line_no", "line", before.alias("before"), after.alias("after"))
+
+
 def search(
-    domains: dict[str, DataFrame], query: str, domain: str = "all", max_results: int = 20, date_from: str | None = None, date_to: str | None = None, regex: bool = False, context_lines: int = 2, case_sensitive: bool = False,
-    max_matches_per_file: int = 5, role: str | None = None, speaker: str | None = None, any_word: bool = True, indexes: dict[str, idx.PostingsIndex] | None = None,
+    domains: dict[str, DataFrame | Lines], query: str, domain: str = "all", max_results: int = 20, date_from: str | None = None, date_to: str | None = None, regex: bool = False, context_lines: int = 2, case_sensitive: bool = False,
+    max_matches_per_file: int = 5, role: str | None = None, speaker: str | None = None, any_word: bool = True, indexes: dict[str, idx.PostingsIndex] | None = None, by_word: bool = False,
 ) -> DataFrame:
     """Matches of a query over domains' lines: domain, file, date, line_no, line, before, after.
 
-    Where a domain has an index, words are looked up in it, and lines are only read for
-    what is shown; patterns and cased queries are scanned.
+    Where a domain has an index, words are looked up in it, and only the files of what is
+    shown are read. Without one, and for patterns and cased queries, lines are scanned for
+    the query as it stands, whatever its case; by_word looks for its words there too.
     """
     if not query.strip():
         raise ValueError("empty query")
     if domain != "all" and domain not in domains:
         raise ValueError(f"unknown domain {domain!r}")
     chosen = domains if domain == "all" else {domain: domains[domain]}
+    every = {name: d.all if isinstance(d, Lines) else d for name, d in chosen.items()}
     for name, value in (("role", role), ("speaker", speaker)):
-        if value is not None and not any(name in d.columns for d in chosen.values()):
+        if value is not None and not any(name in d.columns for d in every.values()):
             raise ValueError(f"no searched domain has {name}")
     parts = []
-    for name, lines in chosen.items():
+    for name, lines in every.items():
+        spark = lines.sparkSession
         full = lines if "date" in lines.columns else lines.withColumn("date", F.lit("?"))
         by_line = ("role" in full.columns and role is not None) or ("speaker" in full.columns and speaker is not None)
         if indexes and name in indexes and not (regex or case_sensitive or by_line):
-            hits = indexes[name].search(index_tokens(query), "or" if any_word else "and").withColumn("line_no", F.col("entry_idx") + 1)
+            hits = indexes[name].search(index_tokens(query), "or" if any_word else "and")
             hits = hits if "date" in hits.columns else hits.withColumn("date", F.lit("?"))
-            hits = first_n(in_dates(hits, date_from, date_to), ["file"], ["line_no"], max_matches_per_file)
+            # entries of a file have the order of its lines, so the cap comes before lines are looked up
+            hits = indexes[name].with_lines(first_n(in_dates(hits, date_from, date_to), ["file"], ["entry_idx"], max_matches_per_file))
             top = newest_first(hits.withColumn("domain", F.lit(name)), max_results).select("domain", "file", "date", "line_no")
-            # max_results rows at most, so the lines stay where they are
-            shown = lines.select("file", "line_no", "line").join(F.broadcast(top), ["file", "line_no"])
-            parts.append(with_context(shown.select("domain", "file", "date", "line_no", "line"), lines, context_lines))
+            parts.append(shown(spark, top, chosen[name], context_lines, max_results))
             continue
-        found = scan(full, query, regex, case_sensitive) if regex or case_sensitive else by_words(full, query, any_word)
+        found = by_words(full, query, any_word) if by_word and not (regex or case_sensitive) else scan(full, query, regex, case_sensitive)
         found = in_dates(found, date_from, date_to)
         if "role" in full.columns:
             found = with_role(found, role)
@@ -116,13 +161,39 @@ def search(
             found = with_speaker(found, speaker)
         found = first_n(found, ["file"], ["line_no"], max_matches_per_file)
         top = newest_first(found.withColumn("domain", F.lit(name)), max_results)
-        parts.append(with_context(top.select("domain", "file", "date", "line_no", "line"), lines, context_lines))
+        if context_lines:
+            parts.append(shown(spark, top.select("domain", "file", "date", "line_no"), chosen[name], context_lines, max_results))
+        else:
+            none = F.array().cast("array<string>")
+            parts.append(top.select("domain", "file", "date", F.col("line_no").cast("int").alias("line_no"), "line", none.alias("before"), none.alias("after")))
     return newest_first(functools.reduce(DataFrame.unionByName, parts), max_results)
 
 
+#: Lines of a bin of the join by ranges of lines.
+BIN = 64
+
+
 def turn_of_line(hits: DataFrame, turns: DataFrame) -> DataFrame:
-    """The transcript turn that holds each hit's line, by its line range."""
-    return hits.join(turns, "file").where(F.col("line_no").between(F.col("line_start"), F.col("line_end")))
+    """The transcript turn that holds each hit's line, by its line range line_start to line_end.
+
+    Hits (file, line_no) and turns meet in one ordered pass over each file: a turn is put
+    in the place of its first line, the last turn before a hit is carried along, and it holds
+    the hit if it ends no earlier. Turns of a file don't overlap. The pass is made within
+    ranges of lines, so that a long file is many tasks; a turn that reaches into further
+    ranges is put at the first line of each of them. A hit gives one row or none.
+    """
+    shared = [c for c in hits.columns if c in turns.columns and c not in ("file", "line_no")]
+    if shared:
+        raise ValueError(f"hits and turns both have {shared}")
+    width = BIN * 1_024
+    turn = F.struct(*[F.col(c) for c in turns.columns])
+    bins = F.explode(F.sequence(F.floor(F.col("line_start") / width), F.floor(F.greatest("line_end", "line_start") / width))).alias("bin")
+    placed = turns.select("file", bins, turn.alias("turn")).select("file", "bin", F.greatest(F.col("turn.line_start").cast("long"), F.col("bin") * width).alias("at"), F.lit(0).alias("kind"), "turn", F.lit(None).cast(hits.schema.simpleString()).alias("hit"))
+    asked = hits.select("file", F.floor(F.col("line_no") / width).alias("bin"), F.col("line_no").cast("long").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(turns.schema.simpleString()).alias("turn"), F.struct(*[F.col(c) for c in hits.columns]).alias("hit"))
+    order = Window.partitionBy("file", "bin").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    carried = placed.unionByName(asked).withColumn("turn", F.last("turn", ignorenulls=True).over(order))
+    found = carried.where((F.col("kind") == 1) & (F.col("turn.line_end") >= F.col("at")))
+    return found.select("file", *[F.col(f"hit.{c}") for c in hits.columns if c != "file"], *[F.col(f"turn.{c}") for c in turns.columns if c != "file"])
 
 
 def list_domain(lines: DataFrame, limit: int = 50, turns: DataFrame | None = None) -> DataFrame:

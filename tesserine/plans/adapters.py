@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.operators import postings
 from tesserine.operators.graph import Graph
 from tesserine.operators.postings import PostingsIndex
+from tesserine.operators.search import Lines
 from tesserine.scratch import scratch_dir
 from tesserine.sources.readers import lines_of, read_table
 
@@ -32,29 +32,55 @@ def document_entries(spark: SparkSession, root: str) -> DataFrame:
     return document_lines(spark, root).where(F.trim("line") != "").select("file_idx", (F.col("line_no") - 1).alias("entry_idx"), F.col("line").alias("text"))
 
 
-def domains(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The searchable domains: conversations, documents, pages and benchmark items."""
-    conversations = read_table(spark, root, "conversations").select(F.col("conv_id").cast("string").alias("file"), (F.col("turn") + 1).cast("int").alias("line_no"), F.col("text").alias("line"), "role")
-    pages = lines_of(read_table(spark, root, "pages").select(F.col("page_id").cast("string").alias("file"), "html"), "html")
-    benchmark = lines_of(read_table(spark, root, "benchmark").select(F.col("item_id").cast("string").alias("file"), "text"), "text")
-    return {"documents": document_lines(spark, root).select("file", "line_no", "line"), "sessions": conversations, "pages": pages, "benchmark": benchmark}
+def _numbered(files: list[str]) -> list[int]:
+    return [int(f) for f in files]
 
 
-_INDEXES: dict[tuple[str, str], dict[str, PostingsIndex]] = {}
+def domains(spark: SparkSession, root: str) -> dict[str, Lines]:
+    """The searchable domains: documents, conversations, pages and benchmark items. Their files are numbered by the tables' ids."""
 
+    def texts(table: str, key: str, text: str) -> Lines:
+        rows = read_table(spark, root, table)
 
-def indexes(spark: SparkSession, root: str) -> dict[str, PostingsIndex]:
-    """The index of each domain, built at its first use in an application and read by all queries after that."""
-    key = (spark.sparkContext.applicationId, root)
-    if key not in _INDEXES:
-        parts = {}
-        for name, lines in domains(spark, root).items():
-            number = F.col("file").cast("long")  # the ids of the tables number the files
-            entries = lines.where(F.trim("line") != "").select(number.alias("file_idx"), (F.col("line_no") - 1).alias("entry_idx"), F.col("line").alias("text"))
-            files = lines.groupBy("file").agg(F.count("*").alias("size")).select("file", number.alias("file_idx"), F.lit(0).alias("modified"), "size", F.lit(False).alias("tombstoned"))
-            parts[name] = (entries, files)
-        _INDEXES[key] = postings.build_domains(spark, f"{scratch_dir(spark)}/indexes-{uuid.uuid4().hex}", parts)
-    return _INDEXES[key]
+        def cut(df: DataFrame) -> DataFrame:
+            return lines_of(df.select(F.col(key).cast("string").alias("file"), text), text)
+
+        return Lines(cut(rows), lambda files: cut(rows.where(F.col(key).isin(_numbered(files)))))
+
+    said = read_table(spark, root, "conversations")
+
+    def turns(df: DataFrame) -> DataFrame:
+        return df.select(F.col("conv_id").cast("string").alias("file"), (F.col("turn") + 1).cast("int").alias("line_no"), F.col("text").alias("line"), "role")
+
+    sessions = Lines(turns(said), lambda files: turns(said.where(F.col("conv_id").isin(_numbered(files)))))
+    return {"documents": texts("documents", "doc_id", "text"), "sessions": sessions, "pages": texts("pages", "page_id", "html"), "benchmark": texts("benchmark", "item_id", "text")}
+
+
+_TABLES = {"documents": "documents", "sessions": "conversations", "pages": "pages", "benchmark": "benchmark"}
+
+
+def _fingerprint(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of a table's files: another one where the table has changed."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(hadoop, True)
+    files = []
+    while found.hasNext():
+        s = found.next()
+        files.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return hashlib.sha256(repr(sorted(files)).encode()).hexdigest()[:16]
+
+
+def index(spark: SparkSession, root: str, domain: str) -> PostingsIndex:
+    """The index of one domain. It is stored under its table's fingerprint and built where none is, so a changed table gets another one."""
+    name = _TABLES[domain]
+    held = PostingsIndex(spark, f"{scratch_dir(spark)}/indexes/{domain}-{_fingerprint(spark, f'{root}/{name}.parquet')}")
+    if not held.store.version():
+        lines = domains(spark, root)[domain].all
+        number = F.col("file").cast("long")
+        entries = lines.where(F.trim("line") != "").select(number.alias("file_idx"), (F.col("line_no") - 1).alias("entry_idx"), "line_no", F.col("line").alias("text"))
+        files = lines.groupBy("file").agg(F.count("*").alias("size")).select("file", number.alias("file_idx"), F.lit(0).alias("modified"), "size", F.lit(False).alias("tombstoned"))
+        held.create(entries, files)
+    return held
 
 
 def graph(spark: SparkSession, root: str) -> Graph:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,27 +13,12 @@ from tesserine.operators import archive, maintenance, predicates, ranking, recor
 from tesserine.operators import graph as gr
 from tesserine.operators import postings as idx
 from tesserine.plans import adapters
+from tesserine.plans.registry import ORACLE_SQL, QUERIES, query
 from tesserine.scratch import scratch_dir
 from tesserine.sources import readers
 from tesserine.sources.readers import read_table
 from tesserine.streaming import events as ev
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str) -> Callable[[Query], Query]:
-    """Registers a query under its name, with the SQL that gives the same rows."""
-
-    def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
 # --- SQL that several queries share
 
 _LINES = r"""
@@ -90,24 +74,24 @@ def postings_build(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"WITH {_POSTINGS} SELECT token, count(DISTINCT file_idx) AS df FROM tokens GROUP BY token ORDER BY df DESC, token LIMIT 50")
 def token_df_topk(spark: SparkSession, root: str) -> DataFrame:
-    built = adapters.indexes(spark, root)["documents"].postings()
+    built = adapters.index(spark, root, "documents").postings()
     return built.groupBy("token").agg(F.count_distinct("file_idx").alias("df")).orderBy(F.desc("df"), "token").limit(50)
 
 
 @query(f"WITH {_POSTINGS}, by_token AS (SELECT token, count(*) AS df FROM tokens GROUP BY token) SELECT count(*) AS n_tokens, CAST(sum(df) AS BIGINT) AS n_postings, max(df) AS max_df FROM by_token")
 def index_stats(spark: SparkSession, root: str) -> DataFrame:
-    return idx.index_stats(adapters.indexes(spark, root)["documents"].postings())
+    return idx.index_stats(adapters.index(spark, root, "documents").postings())
 
 
 @query(f"WITH {_PICKED} SELECT file_idx, entry_idx FROM tokens WHERE token IN (SELECT token FROM picked) GROUP BY ALL HAVING count(*) = 2")
 def search_and(spark: SparkSession, root: str) -> DataFrame:
-    built = adapters.indexes(spark, root)["documents"].postings()
+    built = adapters.index(spark, root, "documents").postings()
     return idx.search(built, _frequent_tokens(built), "and")
 
 
 @query(f"WITH {_PICKED} SELECT DISTINCT file_idx, entry_idx FROM tokens WHERE token IN (SELECT token FROM picked)")
 def search_or(spark: SparkSession, root: str) -> DataFrame:
-    built = adapters.indexes(spark, root)["documents"].postings()
+    built = adapters.index(spark, root, "documents").postings()
     return idx.search(built, _frequent_tokens(built), "or")
 
 
@@ -140,14 +124,14 @@ def search_literal_ci(spark: SparkSession, root: str) -> DataFrame:
         coalesce((SELECT string_agg(left(c.text, 20), '|' ORDER BY c.turn) FROM conversations c WHERE c.conv_id = h.conv_id AND c.turn BETWEEN h.turn + 1 AND h.turn + 2), '') AS after FROM hits h"""
 )
 def search_context(spark: SparkSession, root: str) -> DataFrame:
-    lines = adapters.domains(spark, root)["sessions"]
+    lines = adapters.domains(spark, root)["sessions"].all
     found = search.with_context(search.scan(lines, "thea").select("file", "line_no", "line"), lines, 2)
     return found.select("file", "line_no", F.size("before").cast("long").alias("n_before"), F.array_join(F.transform("after", lambda x: F.substring(x, 1, 20)), "|").alias("after"))
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS file, CAST(turn + 1 AS INTEGER) AS line_no FROM conversations WHERE role = 'assistant' AND contains(lower(text), 'and')")
 def search_role(spark: SparkSession, root: str) -> DataFrame:
-    return search.with_role(search.scan(adapters.domains(spark, root)["sessions"], "and"), "Assistant").select("file", "line_no")
+    return search.with_role(search.scan(adapters.domains(spark, root)["sessions"].all, "and"), "Assistant").select("file", "line_no")
 
 
 @query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3 AND role = 'user'")
@@ -172,7 +156,8 @@ _LINE_WORDS = r"list_transform(regexp_split_to_array({c}, '[^\p{{L}}\p{{N}}_\-]+
     SELECT domain, file, CAST(line_no AS INTEGER) AS line_no FROM topped WHERE m <= 60 ORDER BY line_no, domain, file LIMIT 60"""
 )
 def search_all_domains(spark: SparkSession, root: str) -> DataFrame:
-    found = search.search(adapters.domains(spark, root), "with para", max_results=60, context_lines=0, indexes=adapters.indexes(spark, root))
+    domains = adapters.domains(spark, root)
+    found = search.search(domains, "with para", max_results=60, context_lines=0, indexes={name: adapters.index(spark, root, name) for name in domains})
     return found.select("domain", "file", "line_no")
 
 
@@ -183,13 +168,13 @@ def search_all_domains(spark: SparkSession, root: str) -> DataFrame:
     UNION ALL SELECT 'benchmark', CAST(item_id AS VARCHAR), count(*), count(*) FILTER (WHERE trim(x) <> '') FROM (SELECT item_id, unnest(string_split_regex(text, '\r\n|\n|\r')) AS x FROM benchmark) GROUP BY item_id"""
 )
 def list_domain_meta(spark: SparkSession, root: str) -> DataFrame:
-    parts = [search.list_domain(lines, 2_000_000_000).select(F.lit(d).alias("domain"), "file", "n_lines", "n_entries") for d, lines in adapters.domains(spark, root).items()]
+    parts = [search.list_domain(lines.all, 2_000_000_000).select(F.lit(d).alias("domain"), "file", "n_lines", "n_entries") for d, lines in adapters.domains(spark, root).items()]
     return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS file, sum(n)::BIGINT AS n_turns, string_agg(role, ',' ORDER BY role) AS participants FROM (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY ALL) GROUP BY conv_id")
 def list_domain_turns(spark: SparkSession, root: str) -> DataFrame:
-    lines = adapters.domains(spark, root)["sessions"]
+    lines = adapters.domains(spark, root)["sessions"].all
     listed = search.list_domain(lines, 2_000_000_000, lines.select("file", F.col("role").alias("speaker")))
     return listed.select("file", "n_turns", F.array_join("participants", ",").alias("participants"))
 
@@ -582,7 +567,7 @@ def update_diff(spark: SparkSession, root: str) -> DataFrame:
 @query(f"WITH {_POSTINGS} SELECT file_idx, count(*) AS n FROM tokens WHERE file_idx % 3 <> 0 OR file_idx % 2 = 0 GROUP BY file_idx")
 def layered_read(spark: SparkSession, root: str) -> DataFrame:
     """Base of even and of third documents; a delta removes the odd ones and adds what lacks, one file first added and then removed again."""
-    built = adapters.indexes(spark, root)["documents"].postings()
+    built = adapters.index(spark, root, "documents").postings()
     base = built.where("file_idx % 2 = 0 or file_idx % 3 = 0")
     gone = built.where("file_idx % 2 = 1 and file_idx % 3 = 0").withColumn("op", F.lit("DEL")).withColumn("seq", F.lit(2).cast("long"))
     come = built.where("file_idx % 3 <> 0").withColumn("op", F.lit("ADD")).withColumn("seq", F.lit(1).cast("long"))
@@ -994,3 +979,8 @@ def pricing_summary(spark: SparkSession, root: str) -> DataFrame:
 def running_orders(spark: SparkSession, root: str) -> DataFrame:
     before = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
     return read_table(spark, root, "orders").select("o_orderkey", "o_custkey", F.count("*").over(before).alias("earlier"))
+
+
+from tesserine.plans import index_queries, stream_queries  # noqa: E402, F401  these register theirs
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -190,7 +190,7 @@ def test_domains_are_built_then_updated(spark, tmp_path):
     index = postings.PostingsIndex(spark, str(tmp_path / "notes"))
     lines = entries_of(spark, new).select("file", (F.col("entry_idx") + 1).alias("line_no"), F.col("text").alias("line"))
     for query, any_word in (("alpha", True), ("alpha c1", False), ("nothing", True), ("Bravo c1", True)):
-        plain, indexed = (sorted((r["file"], r["line_no"]) for r in search.search({"notes": lines}, query, any_word=any_word, indexes=x).collect()) for x in (None, {"notes": index}))
+        plain, indexed = (sorted((r["file"], r["line_no"]) for r in search.search({"notes": lines}, query, any_word=any_word, indexes=x, by_word=True).collect()) for x in (None, {"notes": index}))
         assert plain == indexed
 
 
