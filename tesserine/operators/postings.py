@@ -7,11 +7,12 @@ a directory of lines, which says on which line of its file an entry stands.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tesserine.functions.text import words
-from tesserine.plans.snapshot import Append, Buckets, SnapshotStore
+from tesserine.plans.snapshot import Append, Buckets, Empty, SnapshotStore
 
 KEY = ["token", "file_idx", "entry_idx"]
 COMPACT_SHARE = 0.25
@@ -19,6 +20,9 @@ COMPACT_SHARE = 0.25
 #: Entries of a row of the directory of lines.
 CHUNK = 4_096
 
+#: What an index's tables look like; stored ones of another layout aren't opened again.
+LAYOUT = 3
+
 
 def build(entries: DataFrame, text_col: str = "text") -> DataFrame:
     """Distinct postings of (file_idx, entry_idx, text) entries.
@@ -29,15 +33,20 @@ def build(entries: DataFrame, text_col: str = "text") -> DataFrame:
     return entries.select(F.explode(tokens).alias("token"), "file_idx", "entry_idx").select(*KEY)
 
 
-def search(postings: DataFrame, tokens: list[str], mode: str = "and") -> DataFrame:
-    """(file_idx, entry_idx) that hold all tokens, or any. No tokens find nothing; no limit is applied."""
+def search(postings: DataFrame, tokens: list[str], mode: str = "and", per_file: int | None = None) -> DataFrame:
+    """(file_idx, entry_idx) that hold all tokens, or any. No tokens find nothing; no limit is applied but, where asked for, the first so many of each file."""
     distinct = sorted(set(tokens))
     if mode not in ("and", "or"):
         raise ValueError("mode is and, or")
     found = postings.where(F.col("token").isin(distinct) if distinct else F.lit(False))
+    first = Window.partitionBy("file_idx").orderBy("entry_idx")
     if mode == "or" or len(distinct) < 2:
-        return found.select("file_idx", "entry_idx").distinct()
-    return found.groupBy("file_idx", "entry_idx").agg(F.count_distinct("token").alias("n")).where(F.col("n") == len(distinct)).select("file_idx", "entry_idx")
+        held = found.select("file_idx", "entry_idx")
+        # ranks of equal entries are equal, so each task cuts its postings before the one shuffle
+        held = held if per_file is None else held.withColumn("r", F.dense_rank().over(first)).where(F.col("r") <= per_file).drop("r")
+        return held.distinct()
+    both = found.groupBy("file_idx", "entry_idx").agg(F.count_distinct("token").alias("n")).where(F.col("n") == len(distinct)).select("file_idx", "entry_idx")
+    return both if per_file is None else both.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_file).drop("r")
 
 
 def index_stats(postings: DataFrame) -> DataFrame:
@@ -89,8 +98,8 @@ def in_order(postings: DataFrame) -> DataFrame:
     return postings.repartitionByRange(*KEY).sortWithinPartitions(*KEY)
 
 
-#: What the manifest is kept in buckets by.
-FILES = ("file",)
+#: What the manifest is kept in buckets by, and how many.
+FILES, FILE_BUCKETS = ("file",), 16
 
 
 class PostingsIndex:
@@ -109,19 +118,24 @@ class PostingsIndex:
         seq = self.store.version() + 1
         base = in_order(build(entries))
         known = files.withColumn("lines_seq", F.lit(seq).cast("long"))
-        buckets = Buckets(known, FILES, tuple(self.store.touched("files", known, list(FILES))))
-        return self.store.commit({"base": base, "files": buckets, "lines": directory(entries, seq), "delta": base.limit(0).selectExpr(*KEY, "cast(null as string) op", "cast(null as bigint) seq")})
+        buckets = Buckets(known, FILES, tuple(range(FILE_BUCKETS)), FILE_BUCKETS)
+        return self.store.commit({"base": base, "files": buckets, "lines": directory(entries, seq), "delta": Empty(self._delta_schema(base))})
+
+    @staticmethod
+    def _delta_schema(base: DataFrame) -> StructType:
+        return base.selectExpr(*KEY, "cast(null as string) op", "cast(null as bigint) seq").schema
 
     def postings(self) -> DataFrame:
-        return layered(self.store.read("base"), self.store.read("delta"))
+        base = self.store.read("base")
+        return base if self.store.is_empty("delta") else layered(base, self.store.read("delta"))
 
     def live_files(self) -> DataFrame:
         return self.store.read("files").where(~F.col("tombstoned"))
 
-    def search(self, tokens: list[str], mode: str = "and") -> DataFrame:
-        """Hits with their file's name and date; tombstoned files are left out."""
+    def search(self, tokens: list[str], mode: str = "and", per_file: int | None = None) -> DataFrame:
+        """Hits, of each file the first so many where asked for, with their file's name and date; tombstoned files are left out."""
         live = self.live_files()
-        return search(self.postings(), tokens, mode).join(live, "file_idx")
+        return search(self.postings(), tokens, mode, per_file).join(live, "file_idx")
 
     def with_lines(self, hits: DataFrame) -> DataFrame:
         """Hits of search() with line_no, the line of its file that each entry stands on."""
@@ -164,11 +178,11 @@ class PostingsIndex:
                 kept = kept.withColumn("lines_seq", F.when(over, F.lit(seq).cast("long")).otherwise(F.col("lines_seq"))).drop("m", "z", "status")
                 return kept.unionByName(named.withColumn("tombstoned", F.lit(False)).withColumn("lines_seq", F.lit(seq).cast("long")), allowMissingColumns=True).select(old.columns)
 
-            buckets = self.store.touched("files", moved, list(FILES))
+            buckets = self.store.touched("files", moved, list(FILES), FILE_BUCKETS)
             old = self.postings().join(moved.where("status != 'new'").select("file_idx"), "file_idx", "left_semi").select(*KEY)
             mine = entries.drop("file_idx").join(numbers, "file")
             delta = diff_postings(old, build(mine), seq)
-            self.store.commit({"files": self.store.merged("files", moved, list(FILES), manifest, buckets), "delta": Append(delta), "lines": Append(directory(mine, seq)), "base": None}, marks=marks)
+            self.store.commit({"files": self.store.merged("files", moved, list(FILES), manifest, buckets, FILE_BUCKETS), "delta": Append(delta), "lines": Append(directory(mine, seq)), "base": None}, marks=marks)
         elif marks:
             self.store.commit({}, marks=marks)
         done["total_slots"] = self.store.read("files").count()
@@ -178,16 +192,15 @@ class PostingsIndex:
         return done
 
     def needs_compact(self) -> bool:
-        return self.store.read("delta").count() > COMPACT_SHARE * self.store.read("base").count()
+        return not self.store.is_empty("delta") and self.store.read("delta").count() > COMPACT_SHARE * self.store.read("base").count()
 
     def compact(self) -> int:
         """Folds the delta into the base; nothing changes if there is none."""
-        delta = self.store.read("delta")
-        if delta.isEmpty():
+        if self.store.is_empty("delta") or self.store.read("delta").isEmpty():
             return self.store.version()
         live = self.live_files().select("file_idx", F.col("lines_seq").alias("seq"))
         lines = self.store.read("lines")
-        return self.store.commit({"base": in_order(self.postings()), "files": None, "lines": lines.join(live, ["file_idx", "seq"], "left_semi").select(lines.columns), "delta": self.spark.createDataFrame([], delta.schema)})
+        return self.store.commit({"base": in_order(self.postings()), "files": None, "lines": lines.join(live, ["file_idx", "seq"], "left_semi").select(lines.columns), "delta": Empty(self.store.read("delta").schema)})
 
 
 def build_domains(spark: SparkSession, root: str, domains: dict[str, tuple[DataFrame, DataFrame]]) -> dict[str, PostingsIndex]:

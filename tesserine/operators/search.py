@@ -6,7 +6,8 @@ import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserine.functions.text import index_tokens, pattern, words
@@ -92,27 +93,30 @@ def newest_first(df: DataFrame, limit: int) -> DataFrame:
     return df.orderBy(F.coalesce("date", F.lit("?")).desc(), "line_no", "domain", "file").limit(limit)
 
 
-_SHOWN = "domain string, file string, date string, line_no int"
+_SHOWN = pa.schema([("domain", pa.string()), ("file", pa.string()), ("date", pa.string()), ("line_no", pa.int32())])
 
 
-def shown(spark: SparkSession, top: DataFrame, lines: Lines | DataFrame, k: int, most: int) -> DataFrame:
-    """top (domain, file, date, line_no), at most so many rows, with their line and up to k lines before and after.
+def shown(top: DataFrame | list[tuple], lines: Lines | DataFrame, k: int) -> DataFrame:
+    """top (domain, file, date, line_no) with their line and up to k lines before and after.
 
-    Only the files of top are read, each once: the lines wanted are a list that goes to
-    them. Where top may be long, or a domain has no reader of single files, all lines meet
-    the list, which then is a table.
+    Of a list, only the files named in it are read, each once, and the lines wanted go to
+    them; a table meets all lines.
     """
-    if isinstance(lines, Lines) and most <= NAMED_FILES:
-        rows = [tuple(r) for r in top.select("domain", "file", "date", "line_no").collect()]
-        top = spark.createDataFrame(rows, _SHOWN)
-        text = lines.of(sorted({r[1] for r in rows})) if rows else lines.all.limit(0)
+    everything = lines.all if isinstance(lines, Lines) else lines
+    few = isinstance(top, list)
+    if few:
+        files = sorted({r[1] for r in top})
+        text = lines.of(files) if isinstance(lines, Lines) else everything.where(F.col("file").isin(files))
+        top = everything.sparkSession.createDataFrame(pa.Table.from_pylist([dict(zip(_SHOWN.names, r, strict=True)) for r in top], _SHOWN))
     else:
-        everything = lines.all if isinstance(lines, Lines) else lines
         text = everything.join(top.select("file").distinct(), "file", "left_semi")
-    near = F.explode(F.sequence(F.col("line_no") - k, F.col("line_no") + k)).alias("near") if k else F.col("line_no").alias("near")
-    asked = top.select("domain", "file", "date", "line_no", near)
     said = text.select("file", F.col("line_no").cast("int").alias("near"), F.col("line").alias("text"))
-    met = said.join(F.broadcast(asked) if most <= NAMED_FILES else asked, ["file", "near"])
+    if not k:
+        none = F.array().cast("array<string>")
+        met = said.join(F.broadcast(top) if few else top, (said["file"] == top["file"]) & (F.col("near") == F.col("line_no")))
+        return met.select("domain", top["file"], "date", "line_no", F.col("text").alias("line"), none.alias("before"), none.alias("after"))
+    asked = top.select("domain", "file", "date", "line_no", F.explode(F.sequence(F.col("line_no") - k, F.col("line_no") + k)).alias("near"))
+    met = said.join(F.broadcast(asked) if few else asked, ["file", "near"])
     hit = F.col("near") == F.col("line_no")
     beside = F.sort_array(F.collect_list(F.when(~hit, F.struct("near", "text"))))
     found = met.groupBy("domain", "file", "date", "line_no").agg(F.max(F.when(hit, F.col("text"))).alias("line"), F.count_if(hit).alias("own"), beside.alias("around")).where("own > 0")
@@ -140,32 +144,34 @@ def search(
     for name, value in (("role", role), ("speaker", speaker)):
         if value is not None and not any(name in d.columns for d in every.values()):
             raise ValueError(f"no searched domain has {name}")
-    parts = []
+    tops, parts = {}, []
     for name, lines in every.items():
-        spark = lines.sparkSession
         full = lines if "date" in lines.columns else lines.withColumn("date", F.lit("?"))
         by_line = ("role" in full.columns and role is not None) or ("speaker" in full.columns and speaker is not None)
         if indexes and name in indexes and not (regex or case_sensitive or by_line):
-            hits = indexes[name].search(index_tokens(query), "or" if any_word else "and")
-            hits = hits if "date" in hits.columns else hits.withColumn("date", F.lit("?"))
-            # entries of a file have the order of its lines, so the cap comes before lines are looked up
-            hits = indexes[name].with_lines(first_n(in_dates(hits, date_from, date_to), ["file"], ["entry_idx"], max_matches_per_file))
-            top = newest_first(hits.withColumn("domain", F.lit(name)), max_results).select("domain", "file", "date", "line_no")
-            parts.append(shown(spark, top, chosen[name], context_lines, max_results))
-            continue
-        found = by_words(full, query, any_word) if by_word and not (regex or case_sensitive) else scan(full, query, regex, case_sensitive)
-        found = in_dates(found, date_from, date_to)
-        if "role" in full.columns:
-            found = with_role(found, role)
-        if "speaker" in full.columns:
-            found = with_speaker(found, speaker)
-        found = first_n(found, ["file"], ["line_no"], max_matches_per_file)
-        top = newest_first(found.withColumn("domain", F.lit(name)), max_results)
-        if context_lines:
-            parts.append(shown(spark, top.select("domain", "file", "date", "line_no"), chosen[name], context_lines, max_results))
+            # entries of a file have the order of its lines, and dates are the file's, so the cap comes first
+            hits = indexes[name].search(index_tokens(query), "or" if any_word else "and", max_matches_per_file)
+            hits = indexes[name].with_lines(in_dates(hits if "date" in hits.columns else hits.withColumn("date", F.lit("?")), date_from, date_to))
         else:
-            none = F.array().cast("array<string>")
-            parts.append(top.select("domain", "file", "date", F.col("line_no").cast("int").alias("line_no"), "line", none.alias("before"), none.alias("after")))
+            hits = by_words(full, query, any_word) if by_word and not (regex or case_sensitive) else scan(full, query, regex, case_sensitive)
+            hits = in_dates(hits, date_from, date_to)
+            if "role" in full.columns:
+                hits = with_role(hits, role)
+            if "speaker" in full.columns:
+                hits = with_speaker(hits, speaker)
+            hits = first_n(hits, ["file"], ["line_no"], max_matches_per_file)
+            if not context_lines:
+                # the scan has the lines already
+                none = F.array().cast("array<string>")
+                parts.append(newest_first(hits.withColumn("domain", F.lit(name)), max_results).select("domain", "file", "date", F.col("line_no").cast("int").alias("line_no"), "line", none.alias("before"), none.alias("after")))
+                continue
+        tops[name] = newest_first(hits.withColumn("domain", F.lit(name)), max_results).select("domain", "file", "date", F.col("line_no").cast("int").alias("line_no"))
+    if tops and max_results <= NAMED_FILES:
+        # where the hits of all domains are, in one job; then only their lines are read
+        rows = [tuple(r) for r in newest_first(functools.reduce(DataFrame.unionByName, tops.values()), max_results).collect()]
+        parts += [shown(own, chosen[name], context_lines) for name in tops if (own := [r for r in rows if r[0] == name]) or not parts]
+    else:
+        parts += [shown(top, chosen[name], context_lines) for name, top in tops.items()]
     return newest_first(functools.reduce(DataFrame.unionByName, parts), max_results)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.operators.graph import Graph
-from tesserine.operators.postings import PostingsIndex
+from tesserine.operators.postings import LAYOUT, PostingsIndex
 from tesserine.operators.search import Lines
 from tesserine.scratch import scratch_dir
 from tesserine.sources.readers import lines_of, read_table
@@ -67,7 +67,7 @@ def _fingerprint(spark: SparkSession, path: str) -> str:
     while found.hasNext():
         s = found.next()
         files.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
-    return hashlib.sha256(repr(sorted(files)).encode()).hexdigest()[:16]
+    return hashlib.sha256(repr([LAYOUT, *sorted(files)]).encode()).hexdigest()[:16]
 
 
 def index(spark: SparkSession, root: str, domain: str) -> PostingsIndex:
