@@ -8,13 +8,16 @@ from pyspark.sql import SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Where none is set, a folder of our
-    own: in local mode a temporary one, elsewhere one in the warehouse, which all machines share."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where none is set, local mode takes a
+    temporary folder of its own; elsewhere it is one in the warehouse, if that isn't on a machine's own disk."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.sparkContext.master
         alone = master.startswith("local") and "cluster" not in master
-        root = tempfile.mkdtemp(prefix="tesserine-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tesserine-scratch"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not alone and warehouse.startswith(("file:", "/")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        root = tempfile.mkdtemp(prefix="tesserine-") if alone else f"{warehouse}/tesserine-scratch"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
