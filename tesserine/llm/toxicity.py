@@ -33,7 +33,7 @@ from tesserine.llm.common import id_text, map_texts, materialize, slices
 
 #: Labelled rows that the lexicon is fitted on at most, picked evenly by a hash of doc_id.
 MAX_TRAINING_ROWS = 12_000
-#: Learned entries at most.
+#: Learned entries at most, a bound on the model as MAX_TRAINING_ROWS is on the rows: the most surprising are taken.
 MAX_LEXICON = 4_000
 #: Lengths of stems, in letters.
 STEMS = range(3, 9)
@@ -76,12 +76,17 @@ def in_fold(id_col: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """(text, toxic) of at most about `most` labelled rows outside the held-out fold."""
-    usable = labels.where("doc_id is not null and toxic is not null").where(~in_fold()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    """(text, toxic) of at most about `most` labelled rows outside the held-out fold.
+
+    A document whose labels differ teaches nothing; labels that repeat count once. The
+    chosen ids, a bounded list, go to the texts, which stay where they are.
+    """
+    known = labels.where("doc_id is not null and toxic is not null").where(~in_fold()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    usable = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
     n = usable.count()
     if n > most:
         usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    return docs.join(usable, "doc_id").select("text", "toxic")
+    return docs.join(F.broadcast(usable), "doc_id").select("text", "toxic")
 
 
 def feature_counts(rows: DataFrame) -> DataFrame:

@@ -253,3 +253,17 @@ def test_hot_expressions_are_not_shuffled(spark, monkeypatch):
     pages = spark.range(5000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://one.net/"), F.col("id").cast("string")).alias("url"))
     rules = spark.createDataFrame([("net", "/", "block"), ("one.net", "/77", "allow")], RULES)
     assert {(r["verdict"], r["count"]) for r in url_filter.judge(pages, rules).groupBy("verdict").count().collect()} == {("block", 5000 - 11), ("allow", 11)}
+
+
+# --- labels that differ
+
+
+def test_documents_with_differing_labels_teach_nothing(spark):
+    from tesserine.llm import toxicity
+
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(1, 9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, t) for k in range(1, 9) for t in ((0, 1) if k % 2 else (1, 1))] + [(2, None), (None, 1)], "doc_id long, toxic int")
+    kept = {r["text"]: r["toxic"] for r in toxicity.training_rows(docs, labels).collect()}
+    held_out = {r["doc_id"] for r in docs.where(toxicity.in_fold()).collect()}
+    assert kept == {f"text {k}": 1 for k in range(2, 9, 2) if k not in held_out}
+    assert "SortMergeJoin" not in toxicity.training_rows(docs, labels)._jdf.queryExecution().executedPlan().toString()
