@@ -19,12 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names. Where none is set, a folder of our own: in
-    local mode a temporary one, elsewhere one in the warehouse, which all machines share."""
+    """The shared folder that the cluster names. Where none is set, local mode takes a temporary
+    folder of its own; elsewhere it is one in the warehouse, if that isn't on a machine's own disk."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
-        root = tempfile.mkdtemp(prefix="tesserine-checkpoints-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tesserine-checkpoints"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not local and warehouse.startswith(("file:", "/")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        root = tempfile.mkdtemp(prefix="tesserine-checkpoints-") if local else f"{warehouse}/tesserine-checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
