@@ -34,18 +34,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows are told apart by id and text: of rows that repeat both one stays, where one id
     stands on several texts only those that are copies go, and a row without an id goes if
-    it repeats another's text.
+    it repeats another's text. Where two different rows meet in one 64-bit key, which a second
+    hash shows, both stay.
     """
     # a null id takes the smallest number, so that its rows link like others
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64("text"), F.crc32("text"))
-    keyed = docs.withColumn("__key", key)
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    keyed = docs.withColumn("__key", F.xxhash64(number, F.xxhash64("text"), F.crc32("text"))).withColumn("__also", F.xxhash64(F.lit("also"), number, "text"))
     groups = ngram_join.near_duplicates(keyed.select("__key", "text"), id_col="__key").select(F.col("doc_id").alias("__key"), "component_id").distinct()
-    held = keyed.groupBy("__key").agg(F.count("*").alias("n"), F.min("doc_id").alias("id"))
+    held = keyed.groupBy("__key").agg(F.count("*").alias("n"), F.min("doc_id").alias("id"), (F.min("__also") == F.max("__also")).alias("alike"))
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("__key"))
-    placed = materialize(held.join(groups, "__key").select("__key", "n", "component_id", order.alias("o")), "groups")
+    placed = materialize(held.join(groups, "__key").select("__key", "n", "alike", "component_id", order.alias("o")), "groups")
     first = placed.groupBy("component_id").agg(F.min("o").alias("o")).select(F.col("o.__key").alias("__key"))
-    gone = materialize(placed.join(first, "__key", "left_anti").select("__key"), "later-copies")
-    again = materialize(placed.where("n > 1").select("__key"), "repeated-rows")
+    gone = materialize(placed.where("alike").join(first, "__key", "left_anti").select("__key"), "later-copies")
+    again = materialize(placed.where("n > 1 and alike").select("__key"), "repeated-rows")
     kept = keyed.join(gone, "__key", "left_anti")
     once = kept.join(again, "__key", "left_anti").unionByName(kept.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
     return once.select(*docs.columns)
