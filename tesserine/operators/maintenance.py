@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import replace
 from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.functions.text import graph_tokens, normalised_name
@@ -49,23 +51,24 @@ def entity_tokens(g: Graph, most: int = 3) -> DataFrame:
     return kept.select("name", F.explode(graph_tokens(F.col("content"))).alias("token")).distinct()
 
 
-def shared_tokens(tokens: DataFrame, key: str = "name", least: int = MIN_SHARED) -> DataFrame:
-    """a, b, shared, signals of pairs a < b that share at least so many tokens.
+def shared_tokens(tokens: DataFrame, key: str = "name", least: int = MIN_SHARED, within: list[str] | None = None) -> DataFrame:
+    """a, b, shared, signals of pairs a < b that share at least so many tokens; with within, of pairs that are alike in these columns.
 
     Of the tokens that a pair shares, the rarest is none of the least - 1 most frequent ones
     of either, so pairs meet by an equi join on each owner's other tokens only; then their
     whole lists are compared. A token that most owners have makes no pairs by itself.
     """
-    held = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    w = within or []
+    held = tokens.groupBy(*w, "token").agg(F.count("*").alias("n"))
     order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "token")))
-    lists = tokens.select(key, "token").distinct().join(held, "token").groupBy(key).agg(order.alias("t")).where(F.size("t") >= least)
-    rare = lists.select(key, F.explode(F.slice("t", least, 1_000_000_000)).alias("e")).select(key, "e.token")
-    left, right = rare.select(F.col(key).alias("a"), "token"), rare.select(F.col(key).alias("b"), "token")
-    met = left.join(right, "token").where("a < b").select("a", "b").distinct()
-    sides = [lists.select(F.col(key).alias(k), F.col("t.token").alias(f"t_{k}")) for k in ("a", "b")]
-    both = met.join(sides[0], "a").join(sides[1], "b").withColumn("t", F.array_intersect("t_a", "t_b")).where(F.size("t") >= least)
+    lists = tokens.select(*w, key, "token").distinct().join(held, [*w, "token"]).groupBy(*w, key).agg(order.alias("t")).where(F.size("t") >= least)
+    rare = lists.select(*w, key, F.explode(F.slice("t", least, 1_000_000_000)).alias("e")).select(*w, key, "e.token")
+    left, right = rare.select(*w, F.col(key).alias("a"), "token"), rare.select(*w, F.col(key).alias("b"), "token")
+    met = left.join(right, [*w, "token"]).where("a < b").select(*w, "a", "b").distinct()
+    sides = [lists.select(*w, F.col(key).alias(k), F.col("t.token").alias(f"t_{k}")) for k in ("a", "b")]
+    both = met.join(sides[0], [*w, "a"]).join(sides[1], [*w, "b"]).withColumn("t", F.array_intersect("t_a", "t_b")).where(F.size("t") >= least)
     longest = F.array_sort(F.transform("t", lambda x: F.struct((-F.length(x)).alias("l"), x.alias("token"))))
-    return both.select("a", "b", F.size("t").cast("long").alias("shared"), F.transform(F.slice(longest, 1, 4), lambda x: x["token"]).alias("signals"))
+    return both.select(*w, "a", "b", F.size("t").cast("long").alias("shared"), F.transform(F.slice(longest, 1, 4), lambda x: x["token"]).alias("signals"))
 
 
 def duplicate_names(entities: DataFrame) -> DataFrame:
@@ -110,11 +113,21 @@ def chunk_edges(g: Graph, size: int = 150) -> DataFrame:
     return ends.join(placed.select(F.col("name").alias("dst"), "chunk"), ["dst", "chunk"]).select(*TRIPLE, "chunk")
 
 
-def chunk_candidates(g: Graph, size: int = 150, least: int = MIN_SHARED) -> DataFrame:
-    """chunk, a, b, shared, signals of pairs within one chunk: what a model is asked about, chunk by chunk."""
+#: Pairs that a model is asked about in one chunk.
+CHUNK_CANDIDATES = 25
+
+
+def chunk_candidates(g: Graph, size: int = 150, least: int = MIN_SHARED, most: int = CHUNK_CANDIDATES) -> DataFrame:
+    """chunk, a, b, shared, signals of pairs within one chunk, the best of each: what a model is asked about, chunk by chunk.
+
+    Tokens are those of the name and of the first three observations. Only owners of one
+    chunk meet, so a token makes at most size * size / 2 pairs in it.
+    """
     placed = chunks(g.entities, size)
-    pairs = unrelated(shared_tokens(entity_tokens(g), least=least), g.relations)
-    return pairs.join(placed.select(F.col("name").alias("a"), "chunk"), "a").join(placed.select(F.col("name").alias("b"), "chunk"), ["b", "chunk"]).select("chunk", "a", "b", "shared", "signals")
+    named = g.entities.select("name", F.explode(graph_tokens(F.col("name"))).alias("token"))
+    tokens = entity_tokens(g).unionByName(named).distinct().join(placed, "name")
+    pairs = unrelated(shared_tokens(tokens, least=least, within=["chunk"]), g.relations)
+    return first_n(pairs, ["chunk"], [F.desc("shared"), "a", "b"], most).select("chunk", "a", "b", "shared", "signals")
 
 
 def shortlist(found: dict[str, DataFrame], most: int = MAX_CANDIDATES, least: int = MIN_SHARED) -> dict[str, DataFrame]:
@@ -141,28 +154,104 @@ def mentions(g: Graph, pairs: DataFrame) -> DataFrame:
     return pairs.join(found, ["a", "b"], "left")
 
 
-def validate(g: Graph, ranked: DataFrame, rules: DataFrame | None = None, validator: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """src, dst, relation_type, confidence of the candidates that a rule, a mention or the validator names.
+Judge = Callable[[pd.DataFrame], pd.DataFrame]
+Single = Callable[[str, str], str | None]
 
-    Weak candidates without a mention go. Rules by type, the default ones unless others are
-    given, come first, then mentions, which make references; the validator gets what is left
-    and may name allowed types only. confidence is the rounded similarity.
+
+def judge_pairs(pairs: DataFrame, judge: Judge, single: Single | None = None, size: int = 20) -> DataFrame:
+    """a, b, similarity, relation_type, by, opens, answered of pairs (a, b, shared, similarity, score) that a judge names.
+
+    Pairs go in batches of a size, best scores first, each a call of judge(frame), which
+    returns a, b and relation_type of those it can name; a call that raises names none. Of a
+    pair's names the first counts, one without a type is `references`, and a type outside
+    the allowed ones is no name. Each pair that its batch left out is asked about once more
+    by single(a, b), whose reply is searched for an allowed type. by is batch, single or
+    none; opens marks one row a batch, and answered says whether its call came back.
+    """
+    numbered_pairs = numbered(pairs.select("a", "b", "shared", "similarity", "score"), [F.desc("score"), "a", "b"]).withColumn("batch", F.floor(F.col("n") / size))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("n", ignore_index=True)
+        named: dict[tuple, str] = {}
+        try:
+            said = judge(frame[["a", "b", "shared", "similarity", "score"]].copy())
+            came = said is not None
+        except Exception:  # noqa: BLE001  a judge may be any service
+            said, came = None, False
+        known = set(zip(frame["a"], frame["b"], strict=True))
+        if came:
+            for a, b, kind in zip(said["a"], said["b"], said["relation_type"], strict=True):
+                kind = "references" if pd.isna(kind) else kind
+                if (a, b) in known and kind in ALLOWED:
+                    named.setdefault((a, b), kind)
+        kinds, by = [], []
+        for pair in zip(frame["a"], frame["b"], strict=True):
+            kind, how = named.get(pair), "batch"
+            if kind is None:
+                kind = allowed_type(single(*pair)) if single else None
+                how = "single" if kind else "none"
+            kinds.append(kind), by.append(how)
+        return pd.DataFrame({"a": frame["a"], "b": frame["b"], "similarity": frame["similarity"], "relation_type": kinds, "by": by, "opens": frame.index == 0, "answered": came})
+
+    kinds = dict(pairs.dtypes)
+    return numbered_pairs.groupBy("batch").applyInPandas(run, f"a {kinds['a']}, b {kinds['b']}, similarity double, relation_type string, by string, opens boolean, answered boolean")
+
+
+def allowed_type(reply: str | None) -> str | None:
+    """The longest allowed relation type that stands in a reply as a word; of equally long ones the first by name."""
+    found = {t for t in ALLOWED if re.search(rf"\b{t}\b", (reply or "").lower())}
+    return min(found, key=lambda t: (-len(t), t), default=None)
+
+
+def health_counters() -> list[Column]:
+    """What validate counts while it runs, over all candidates: a Column a counter."""
+    by = F.col("by")
+    counted = {
+        "candidates_in": F.count(F.lit(1)), "weak": F.count_if(by == "weak"), "named_by_rules": F.count_if(by.isin("rule", "mention")), "batch_calls_attempted": F.count_if("opens"),
+        "batch_calls_succeeded": F.count_if(F.col("opens") & F.col("answered")), "named_by_batch": F.count_if(by == "batch"), "single_pair_fallbacks": F.count_if(by.isin("single", "none")), "single_pair_returns_none": F.count_if(by == "none"),
+    }
+    return [v.alias(k) for k, v in counted.items()]
+
+
+def validate(
+    g: Graph, ranked: DataFrame, rules: DataFrame | None = None, validator: Callable[[DataFrame], DataFrame] | None = None, judge: Judge | None = None, single: Single | None = None, size: int = 20, health: Observation | None = None,
+) -> DataFrame:
+    """src, dst, relation_type, confidence of the candidates that a rule, a mention, the validator or the judge names.
+
+    Weak candidates without a mention go. Rules by type, whatever its case, come first, the
+    default ones unless others are given, then mentions, which make references. What is left
+    goes to the validator as a frame, which may name allowed types only, or to judge_pairs.
+    confidence is the rounded similarity. health, if given, has health_counters() of the
+    run once an action has used the result, counted on the way and not by jobs of their own.
     """
     rules = default_rules(g.entities.sparkSession) if rules is None else rules
-    types = g.entities.select("name", "entity_type")
-    typed = mentions(g, ranked).join(types.select(F.col("name").alias("a"), F.col("entity_type").alias("a_type")), "a", "left").join(types.select(F.col("name").alias("b"), F.col("entity_type").alias("b_type")), "b", "left")
-    strong = typed.where((F.col("similarity") >= WEAK) | F.col("name_in_obs"))
-    ruled = strong.join(rules.select(F.col("from_type").alias("a_type"), F.col("to_type").alias("b_type"), "relation_type"), ["a_type", "b_type"], "left")
-    named = ruled.withColumn("relation_type", F.coalesce("relation_type", F.when(F.col("name_in_obs"), "references"))).withColumn("confidence", F.when(F.col("relation_type").isNotNull(), F.round("similarity", 3)))
-    out = named.where("relation_type is not null").select(F.col("a").alias("src"), F.col("b").alias("dst"), "relation_type", "confidence")
-    if validator is not None:
-        said = validator(named.where("relation_type is null").select("a", "b", "shared", "similarity", "score"))
-        out = out.unionByName(said.where(F.col("relation_type").isin(ALLOWED)).select(F.col("a").alias("src"), F.col("b").alias("dst"), "relation_type", "confidence"))
-    return out
+    ruled_types = rules.select(F.lower("from_type").alias("a_type"), F.lower("to_type").alias("b_type"), "relation_type")
+    types = g.entities.select("name", F.lower(F.coalesce(F.nullif("entity_type", F.lit("")), F.lit("unknown"))).alias("type"))
+    typed = mentions(g, ranked).join(types.select(F.col("name").alias("a"), F.col("type").alias("a_type")), "a", "left").join(types.select(F.col("name").alias("b"), F.col("type").alias("b_type")), "b", "left")
+    by = F.when((F.col("similarity") < WEAK) & ~F.col("name_in_obs"), "weak").when(F.col("relation_type").isNotNull(), "rule").when(F.col("name_in_obs"), "mention")
+    marked = typed.join(ruled_types, ["a_type", "b_type"], "left").withColumn("by", by)
+    kind = F.when(F.col("by") == "rule", F.col("relation_type")).when(F.col("by") == "mention", "references")
+    no = F.lit(False)
+    if judge is not None or validator is not None:
+        ensure_checkpoints(g.entities.sparkSession)
+        marked = marked.checkpoint()
+    shape = ["a", "b", "similarity", "relation_type", "by", "opens", "answered"]
+    decided = marked.where("by is not null") if judge is not None or validator is not None else marked.withColumn("by", F.coalesce("by", F.lit("none")))
+    out = decided.select("a", "b", "similarity", kind.alias("relation_type"), "by", no.alias("opens"), no.alias("answered"))
+    asked = marked.where("by is null").select("a", "b", "shared", "similarity", "score")
+    if judge is not None:
+        out = out.unionByName(judge_pairs(asked, judge, single, size).select(shape))
+    elif validator is not None:
+        said = validator(asked).where(F.col("relation_type").isin(ALLOWED))
+        out = out.unionByName(said.select("a", "b", F.col("confidence").alias("similarity"), "relation_type", F.lit("batch").alias("by"), no.alias("opens"), no.alias("answered")))
+    if health is not None:
+        out = out.observe(health, *health_counters())
+    confidence = F.when(F.col("by") == "batch", F.col("similarity")).otherwise(F.round("similarity", 3)) if judge is None else F.round("similarity", 3)
+    return out.where("relation_type is not null").select(F.col("a").alias("src"), F.col("b").alias("dst"), "relation_type", confidence.alias("confidence"))
 
 
 def validator_health(candidates: DataFrame, named: DataFrame, asked: DataFrame, answered: DataFrame, again: DataFrame) -> DataFrame:
-    """One row of counters: candidates that came in, were named without the validator, were asked of it in batches, answered, and asked again one by one without an answer."""
+    """One row of counters over frames of a run that is past: candidates that came in, were named without the validator, were asked of it in batches, answered, and asked again one by one without an answer."""
     parts = [("candidates_in", candidates), ("named_by_rules", named), ("batch_asked", asked), ("batch_answered", answered), ("single_asked", asked.join(answered.select("a", "b"), ["a", "b"], "left_anti"))]
     counted = [df.agg(F.count("*").alias(name)) for name, df in parts]
     counted.append(parts[-1][1].join(again.select("a", "b"), ["a", "b"], "left_anti").agg(F.count("*").alias("single_none")))
@@ -170,9 +259,10 @@ def validator_health(candidates: DataFrame, named: DataFrame, asked: DataFrame,
 
 
 def parse_relation_type(reply: Column) -> Column:
-    """The longest allowed type that stands in a reply as a word."""
+    """The longest allowed type that stands in a reply as a word, wherever it stands; of equally long ones the first by name."""
     names = "|".join(sorted(ALLOWED, key=lambda t: (-len(t), t)))
-    return F.nullif(F.regexp_extract(F.lower(reply), rf"\b({names})\b", 1), F.lit(""))
+    found = F.regexp_extract_all(F.lower(reply), F.lit(rf"\b({names})\b"), F.lit(1))
+    return F.array_min(F.transform(found, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))["t"]
 
 
 # --- apply
@@ -311,7 +401,10 @@ def growth(before: DataFrame, after: DataFrame) -> DataFrame:
 STAGES = ["discover", "rank", "validate", "apply"]
 
 
-def run_stages(spark: SparkSession, g: Graph, run_dir: str, mapping: DataFrame | None = None, rules: DataFrame | None = None, similarities: DataFrame | None = None, from_stage: str = "discover", now: Column | None = None) -> Graph:
+def run_stages(
+    spark: SparkSession, g: Graph, run_dir: str, mapping: DataFrame | None = None, rules: DataFrame | None = None, similarities: DataFrame | None = None, from_stage: str = "discover", now: Column | None = None,
+    judge: Judge | None = None, single: Single | None = None, health: Observation | None = None,
+) -> Graph:
     """The stages, each written below run_dir; those before from_stage are read back. The graph with the whole plan applied is returned.
 
     discover writes candidates, and beside them renames and merges. apply writes the relations
@@ -332,7 +425,7 @@ def run_stages(spark: SparkSession, g: Graph, run_dir: str, mapping: DataFrame |
     renames = stage("discover", lambda: discover(g, mapping)["renames"], "_renames")
     merges = stage("discover", lambda: discover(g, mapping)["merges"], "_merges")
     ranked = stage("rank", lambda: rank(found, similarities))
-    named = stage("validate", lambda: validate(g, ranked, rules))
+    named = stage("validate", lambda: validate(g, ranked, rules, judge=judge, single=single, health=health))
     when = F.current_timestamp() if now is None else now
     certain = apply_plan(g, {"renames": renames, "merges": merges.select(F.lit(0).alias("pos"), F.col("a").alias("keep"), F.col("b").alias("remove"))}, when)
     fit = stage("apply", lambda: new_relations(certain, named, when))

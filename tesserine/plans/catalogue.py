@@ -981,6 +981,6 @@ def running_orders(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, root, "orders").select("o_orderkey", "o_custkey", F.count("*").over(before).alias("earlier"))
 
 
-from tesserine.plans import index_queries, stream_queries  # noqa: E402, F401  these register theirs
+from tesserine.plans import index_queries, run_queries, stream_queries  # noqa: E402, F401  these register theirs
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
