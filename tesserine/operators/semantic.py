@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.functions.vectors import cosine
+from tesserine.functions.vectors import cosine, unit
+from tesserine.scratch import ensure_checkpoints
 
 
 def embedding_text(name: Column, observations: Column) -> Column:
@@ -33,43 +35,135 @@ def search_text(vectors: DataFrame, query: str, embed: Callable[[list[str]], lis
 
 #: Vectors of a block; two of them and their product, 32 MB, lie in a task at once.
 BLOCK_VECTORS = 2_048
+#: Pivots at most, and the vectors that they are chosen from.
+PIVOTS, PIVOT_SAMPLE = 256, 4_096
+#: Angles are taken to be off by no more than this.
+SLACK = 1e-5
+
+
+def usable_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """id, v (of length one), d: the vectors that can be like others. Null, empty and zero ones and those that hold a null can't."""
+    v = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    v = v.where((F.size("v") > 0) & ~F.exists("v", F.isnull))
+    return v.select("id", unit(F.col("v")).alias("v"), F.size("v").alias("d")).where(F.exists("v", lambda x: x != 0))
+
+
+def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
+    """n vectors of a sample, each the farthest from those before it."""
+    chosen = [0]
+    nearest = sample @ sample[0]
+    while len(chosen) < min(n, len(sample)):
+        far = int(nearest.argmin())
+        if nearest[far] > 1 - 1e-9:
+            break
+        chosen.append(far)
+        nearest = np.maximum(nearest, sample @ sample[far])
+    return sample[chosen]
+
+
+def reached(angles: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector's own pivot, the nearest, and which cells it goes to: its own, and later ones that may hold a vector within reach."""
+    own = angles.argmin(1)
+    near = (angles - angles[np.arange(len(angles)), own][:, None]) / 2 <= reach
+    return own, near & (np.arange(angles.shape[1]) >= own[:, None])
+
+
+def fitting_pivots(sample: np.ndarray, most: int, reach: float) -> np.ndarray:
+    """As few pivots as compare hardly more of a sample's pairs than any number of them up to `most`: one where vectors have no structure to prune by."""
+    chosen = choose_pivots(sample, most)
+    angles = np.arccos(np.clip(sample @ chosen.T, -1, 1))
+    compared = {}
+    for n in sorted({*(1 << k for k in range(len(chosen).bit_length())), len(chosen)}):
+        own, goes = reached(angles[:, :n], reach)
+        homes = np.bincount(own, minlength=n)
+        compared[n] = int((homes * (homes - 1) // 2 + homes * (goes.sum(0) - homes)).sum())
+    return chosen[: min(n for n, c in compared.items() if c <= 1.05 * min(compared.values()))]
+
+
+def _pivots(v: DataFrame, count: int, reach: float) -> dict[int, np.ndarray]:
+    """Pivots for each length of vectors, from a bounded sample by a hash of the ids."""
+    few = v.select("d", "v", F.xxhash64("id").alias("h")).orderBy("h").limit(PIVOT_SAMPLE).collect()
+    most = max(1, min(PIVOTS, math.isqrt(count)))
+    return {d: fitting_pivots(np.array([r["v"] for r in few if r["d"] == d]), most, reach) for d in {r["d"] for r in few}}
+
+
+def _cells(v: DataFrame, pivots: dict[int, np.ndarray], reach: float) -> DataFrame:
+    """id, v, d, cell, home: each vector in the cell of its nearest pivot, home, and in every later cell that may hold a vector as near as the threshold.
+
+    Let a vector's angle to its own pivot be r and to another pivot s. One of that pivot's
+    cell is no nearer to the first pivot than to its own, so its angle to the vector is
+    (s - r) / 2 at least. Where that exceeds the threshold's angle, the cell has nothing.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch.column(2).to_numpy()
+            for d in np.unique(lengths):
+                part = batch.filter(pa.array(lengths == d))
+                x = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
+                base = pivots.get(int(d), x[:1] * 0 + np.eye(1, x.shape[1]))
+                own, goes = reached(np.arccos(np.clip(x @ base.T, -1, 1)), reach)
+                rows, cells = np.nonzero(goes)
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), part.column(2).take(at), pa.array(cells.astype(np.int32)), pa.array(own[rows] == cells)], names=["id", "v", "d", "cell", "home"])
+
+    kind = dict(v.dtypes)["id"]
+    return v.mapInArrow(run, f"id {kind}, v array<double>, d int, cell int, home boolean")
 
 
 def similar_pairs(vectors: DataFrame, threshold: float = 0.55, limit: int | None = 80, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Pairs a < b with a cosine at or above the threshold.
 
-    Vectors are dealt to blocks of a fixed size, and each pair of blocks is one matrix
-    product, so every pair of vectors meets once. All pairs are compared, which is what an
-    exact join without a bound on the angle costs. A null, empty or zero vector and one that
-    holds a null is like nothing; vectors of different lengths aren't alike.
+    Vectors lie in the cells of pivots. Within a cell all meet; another cell's vector is
+    brought in only where the triangle inequality on angles leaves room for a match, so cells
+    that can't reach each other are never multiplied, and no pair is missed. Cells are cut
+    into blocks of a fixed size, and vectors brought in meet each of a cell's blocks; every
+    two blocks are one matrix product. A null, empty or zero vector and one that holds a null
+    is like nothing; vectors of different lengths aren't alike.
     """
+    ensure_checkpoints(vectors.sparkSession)
     kind = dict(vectors.dtypes)[id_col]
-    v = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    v = v.where((F.size("v") > 0) & ~F.exists("v", F.isnull)).withColumn("d", F.size("v"))
-    blocks = max(1, -(-v.count() // BLOCK_VECTORS))
-    dealt = v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    pairs = dealt.withColumn("other", other).select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "d", "block", "id", "v")
+    placed, sizes = _placed(vectors, threshold, id_col, vector_col)
+    # a group is a pair of a cell's blocks, or one of its blocks with a block of vectors brought in, whose number follows theirs
+    dealt = placed.join(F.broadcast(sizes), ["d", "cell"])
+    dealt = dealt.withColumn("block", F.when(F.col("home"), F.pmod(F.xxhash64("id"), F.col("blocks"))).otherwise(F.col("blocks") + F.pmod(F.xxhash64("id"), F.greatest("guest_blocks", F.lit(1)))).cast("int"))
+    others = F.when(F.col("home"), F.sequence(F.lit(0), F.col("blocks") + F.col("guest_blocks") - 1)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    met = dealt.withColumn("other", F.explode(others)).select("d", "cell", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "v")
 
     def product(group: pa.Table) -> pa.Table:
-        lo, block = group["lo"][0].as_py(), group["block"].to_numpy()
-        order = np.argsort(block != lo, kind="stable")
-        ids = group["id"].take(pa.array(order))
-        x = group["v"].combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)[order]
-        n = np.sqrt((x * x).sum(1))
-        x = x / np.where(n > 0, n, 1)[:, None]
-        first = int((block == lo).sum())
-        rows, columns = (x, x) if first == len(x) else (x[:first], x[first:])
-        s = rows @ columns.T
-        i, j = np.nonzero(np.triu(s >= threshold, 1) if first == len(x) else s >= threshold)
-        left, right = ids.take(pa.array(i)), ids.take(pa.array(j + (0 if first == len(x) else first)))
+        lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
+        block = group["block"].to_numpy()
+        x = group["v"].combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
+        first, second = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        s = x[first] @ x[second].T
+        i, j = np.nonzero(np.triu(s >= threshold, 1) if lo == hi else s >= threshold)
+        left, right = group["id"].take(pa.array(first[i])), group["id"].take(pa.array(second[j]))
         swap = pc.greater(left, right)
         return pa.table({"a": pc.if_else(swap, right, left), "b": pc.if_else(swap, left, right), "s": pa.array(s[i, j])})
 
-    found = pairs.groupBy("lo", "hi", "d").applyInArrow(product, f"a {kind}, b {kind}, s double").where("a < b")
+    met = met.groupBy("d", "cell", "lo", "hi").applyInArrow(product, f"a {kind}, b {kind}, s double").where("a < b")
     if limit is not None:
-        found = found.orderBy(F.desc("s"), "a", "b").limit(limit)
-    return found.select("a", "b", F.round("s", 3).alias("similarity"))
+        met = met.orderBy(F.desc("s"), "a", "b").limit(limit)
+    return met.select("a", "b", F.round("s", 3).alias("similarity"))
+
+
+def _placed(vectors: DataFrame, threshold: float, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors in their cells, and d, cell, blocks, guest_blocks of each cell: a row a cell, PIVOTS for each length of vectors at most."""
+    v = usable_vectors(vectors, id_col, vector_col)
+    reach = math.acos(max(-1.0, min(1.0, threshold))) + SLACK
+    placed = _cells(v, _pivots(v, v.count(), reach), reach).checkpoint()
+    held = placed.groupBy("d", "cell").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("guests")).where("homes > 0")
+    return placed, held.select("d", "cell", F.ceil(F.col("homes") / BLOCK_VECTORS).cast("int").alias("blocks"), F.ceil(F.col("guests") / BLOCK_VECTORS).cast("int").alias("guest_blocks"))
+
+
+def pruning(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """vectors, cells, compared, possible: the pairs that similar_pairs multiplies, and all that there are."""
+    ensure_checkpoints(vectors.sparkSession)
+    placed, _ = _placed(vectors, threshold, id_col, vector_col)
+    cells = placed.groupBy("d", "cell").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("g"))
+    some = cells.groupBy("d").agg(F.sum("h").alias("n"), F.count("*").alias("cells"), F.sum(F.col("h") * (F.col("h") - 1) / 2 + F.col("h") * F.col("g")).cast("long").alias("compared"))
+    total = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
+    return some.agg(F.sum("n").alias("vectors"), F.sum("cells").alias("cells"), F.sum("compared").alias("compared"), F.sum(total).alias("possible"))
 
 
 def unrelated(pairs: DataFrame, relations: DataFrame) -> DataFrame:

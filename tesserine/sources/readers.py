@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tesserine.functions.text import date_in_name, pattern
 from tesserine.operators.ranking import numbered
+from tesserine.sources.formats import extractor_names
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -131,7 +132,6 @@ def read_docx(spark: SparkSession, root: str) -> DataFrame:
 
 # --- domains
 
-EXTRACTORS = {"jsonl", "notification", "text"}
 FILTERS = {"role", "speaker"}
 
 
@@ -153,7 +153,7 @@ class Domain:
             raise ValueError("a domain needs a name and a folder")
         if self.kind not in ("files", "dirs"):
             raise ValueError(f"domain {self.name}: kind {self.kind!r} is neither files nor dirs")
-        if self.extractor not in EXTRACTORS:
+        if self.extractor not in extractor_names():
             raise ValueError(f"domain {self.name}: unknown extractor {self.extractor!r}")
         if unknown := set(self.filters) - FILTERS:
             raise ValueError(f"domain {self.name}: unknown filters {sorted(unknown)}")
