@@ -44,6 +44,8 @@ CELLS = 64
 TAIL, MOST = 16, 24
 #: Bytes of text in a range of documents, about.
 RANGE_BYTES = 32_000_000
+#: Ranges at most: larger tables have larger ones, through which their tasks stream.
+MAX_RANGES = 20_000
 
 _BASE = 0x9E3779B97F4A7C15
 BYTE_HASHES = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -304,9 +306,9 @@ def with_following(docs: DataFrame) -> DataFrame:
     """(bucket, look, doc_id, text): documents in ranges of doc_id, each range with its successor.
 
     Quantiles of doc_id cut the table into ranges of about RANGE_BYTES, as many at least as
-    there are shuffle partitions, a task each; the first document of each range also goes,
+    there are shuffle partitions and MAX_RANGES at most, a task each; the first document of each range also goes,
     marked look = 1, to the range before it, and the very first one to the last range. Only
-    the ranges' first ids reach the driver. So texts are shuffled once and no order over
+    the ranges' first ids reach the driver, a bounded number. So texts are shuffled once and no order over
     all rows is needed. Rows that repeat one id lie in one range.
     """
     spark = docs.sparkSession
@@ -314,7 +316,7 @@ def with_following(docs: DataFrame) -> DataFrame:
     key = F.coalesce(F.col("doc_id"), F.lit(least))
     ids = docs.select(key.alias("key"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    n = min(MAX_RANGES, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)))
     cuts = sorted(set(ids.approxQuantile("key", [k / n for k in range(1, n)], 0.25 / n))) if n > 1 else []
     # a range is led by its cut; the first range by the smallest id there is
     bounds = np.array([int(c) for c in cuts], np.int64)
