@@ -20,9 +20,9 @@ SUMMARY = "goal string, outcome string, status string, tags array<string>, key_d
 MESSAGE = "role string, content string, tool_calls array<struct<function:struct<name:string,arguments:string>>>"
 
 
-def digest_newest(log: DataFrame, limit: int = 50, kept: int = DIGEST_ROWS, ts: str = "ts") -> DataFrame:
-    """The newest rows of a bounded log: of the last `kept` ones, `limit` at most."""
-    return log.orderBy(F.desc(ts)).limit(min(limit, kept))
+def digest_newest(log: DataFrame, limit: int = 50, kept: int = DIGEST_ROWS, ts: str = "ts", ties: tuple[str, ...] = ()) -> DataFrame:
+    """The newest rows of a bounded log: of the last `kept` ones, `limit` at most; those of one time by the ties' columns."""
+    return log.orderBy(F.desc(ts), *ties).limit(min(limit, kept))
 
 
 def append_digest(log: DataFrame, path: str) -> None:

@@ -895,9 +895,9 @@ def type_detail(spark: SparkSession, root: str) -> DataFrame:
     return records.capped_histogram(read_table(spark, root, "events"), "user_id", 20)
 
 
-@query("SELECT event_id, event_type FROM events ORDER BY ts DESC LIMIT 50")
+@query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id LIMIT 50")
 def digest_newest(spark: SparkSession, root: str) -> DataFrame:
-    return records.digest_newest(read_table(spark, root, "events"), 50).select("event_id", "event_type")
+    return records.digest_newest(read_table(spark, root, "events"), 50, ties=("event_id",)).select("event_id", "event_type")
 
 
 @query(

@@ -186,11 +186,11 @@ def list_files(spark: SparkSession, domain: Domain) -> DataFrame:
     return files.orderBy(F.desc("modified"), "name")
 
 
-def resolve_id(files: DataFrame, wanted: str, id_col: str = "name") -> DataFrame:
-    """The file an id names: itself, else the first that begins or ends with it. Paths out of the folder are refused."""
+def resolve_id(files: DataFrame, wanted: str, id_col: str = "name", by_end: bool = True) -> DataFrame:
+    """The file an id names: itself, else the first that begins with it or, if asked, ends with it. Paths out of the folder are refused."""
     if not wanted or ".." in wanted or wanted.startswith("/") or "\\" in wanted:
         raise ValueError("not a file id")
-    rank = F.when(F.col(id_col) == wanted, 0).when(F.col(id_col).startswith(wanted), 1).when(F.col(id_col).endswith(wanted), 2)
+    rank = F.when(F.col(id_col) == wanted, 0).when(F.col(id_col).startswith(wanted), 1).when(F.col(id_col).endswith(wanted) & F.lit(by_end), 2)
     return files.withColumn("rank", rank).where("rank is not null").orderBy("rank", id_col).limit(1).drop("rank")
 
 
@@ -223,7 +223,8 @@ def read_entries(spark: SparkSession, domain: Domain, wanted: str, most: int = 5
     """
     files = read_files(spark, domain.dir, domain.pattern if domain.kind == "files" else "*").drop("content")
     name = F.col("name") if domain.kind == "files" else F.element_at(F.split("file", "/"), -2)
-    target = resolve_id(files.withColumn("id", name), wanted, "id").select("file")
+    # folders are also known by how their names end, files are not
+    target = resolve_id(files.withColumn("id", name), wanted, "id", by_end=domain.kind == "dirs").select("file")
     lines = read_lines(spark, domain.dir, domain.pattern if domain.kind == "files" else "*").join(target, "file", "left_semi")
     if domain.extractor == "text":
         return read_turns(transcript_turns(lines, "file"), speaker, most)
