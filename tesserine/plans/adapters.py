@@ -79,7 +79,12 @@ def index(spark: SparkSession, root: str, domain: str) -> PostingsIndex:
         number = F.col("file").cast("long")
         entries = lines.where(F.trim("line") != "").select(number.alias("file_idx"), (F.col("line_no") - 1).alias("entry_idx"), "line_no", F.col("line").alias("text"))
         files = lines.groupBy("file").agg(F.count("*").alias("size")).select("file", number.alias("file_idx"), F.lit(0).alias("modified"), "size", F.lit(False).alias("tombstoned"))
-        held.create(entries, files)
+        try:
+            held.create(entries, files)
+        except RuntimeError:
+            # another application was quicker with the same index
+            if not held.store.version():
+                raise
     return held
 
 
