@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from re import _constants as rc
 from re import _parser as rp
 
@@ -67,9 +68,11 @@ def required_grams(query: str, regex: bool = True) -> set[str]:
     """
     if not regex:
         return set().union(*(grams_of(run) for run in _plain_runs(query)))
+    if "\\0" in query:  # octal numbers, which Java and Python read differently
+        return set()
     try:
         parsed = rp.parse(query)
-    except (rp.error if hasattr(rp, "error") else Exception):  # a pattern that only Java knows
+    except (re.error, OverflowError, RecursionError):  # a pattern that only Java knows
         return set()
     runs: list[str] = []
 
@@ -102,7 +105,7 @@ def _plain_runs(text: str) -> list[str]:
     """The parts of a text whose characters have one lower and one upper form of one character."""
     out, run = [], []
     for c in text:
-        if c.isascii() and c not in "kKsSiI" or not c.isalpha():
+        if c.isascii() and c not in "kKsSiI" or not c.isascii() and c == c.lower() == c.upper():
             run.append(c)
         else:
             out.append("".join(run))

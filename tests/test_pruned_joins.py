@@ -67,7 +67,7 @@ def test_similar_names_equal_a_comparison_with_all(spark):
     ("pattern", "wanted"),
     [
         ("hello", {"ell", "llo", "hel"}), ("a|hello", set()), ("(?:hello)?world", {"wor", "orl", "rld"}), ("ab+cd", set()), ("abcd*xyz", {"abc", "xyz"}), ("(abc)+", {"abc"}), ("(abc){2}def", {"abc", "def"}), ("[abc]lmn", {"lmn"}),
-        ("^lmn$", {"lmn"}), ("(?=abc)", set()), ("(?<name>abc)d", {"abc", "bcd"}), ("abc.def", {"abc", "def"}), ("ab.cd", set()), (r"\Qabc\E", set()), ("mask", set()), ("(?i:abc)", {"abc"}), ("", set()), ("100% more", {"100", "00%", "0% ", "% m", " mo", "mor", "ore"}),
+        ("^lmn$", {"lmn"}), ("(?=abc)", set()), ("(?<name>abc)d", {"abc", "bcd"}), ("abc.def", {"abc", "def"}), ("ab.cd", set()), (r"\Qabc\E", set()), (r"abc\0101def", set()), ("ab\u0345c", set()), ("a€b", {"a€b"}), ("mask", set()), ("(?i:abc)", {"abc"}), ("", set()), ("100% more", {"100", "00%", "0% ", "% m", " mo", "mor", "ore"}),
     ],
 )
 def test_trigrams_that_a_pattern_needs(pattern, wanted):
