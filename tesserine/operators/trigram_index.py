@@ -122,7 +122,9 @@ class TrigramIndex:
 
     def create(self, lines: DataFrame) -> int:
         """Indexes lines(file, line)."""
-        grams = lines.select("file", F.explode(F.array_distinct(trigrams(F.lower("line")))).alias("gram")).distinct()
+        # a look-ahead at every place: one pass over a line, however long it is
+        every = F.regexp_extract_all(F.lower("line"), F.lit("(?s)(?=(.{3}))"), F.lit(1))
+        grams = lines.select("file", F.explode(F.array_distinct(every)).alias("gram")).distinct()
         files = lines.select("file").distinct()
         return self.store.commit({"grams": grams.repartitionByRange("gram", "file").sortWithinPartitions("gram", "file"), "files": files})
 
