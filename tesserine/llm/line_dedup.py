@@ -1,6 +1,17 @@
-"""Line dedup: passages of over 50 words that repeat are deleted, all but their first occurrence.
+"""Line dedup: runs of equal lines, and passages of over 50 words, are deleted, all but their first occurrence.
 
-A repeated passage may begin and end anywhere in its lines, and copies may be wrapped
+**Lines.** A run is a stretch of whole lines, blank ones apart; two are equal if their lines
+have the same words. Runs of `line_words` words and more are found by winnowing over line hashes:
+
+1. From each line on, the fewest lines that have so many words are a window. It selects the
+   line with the smallest hash, the leftmost of equals, as its fingerprint. Equal windows
+   select equal lines, so runs with an equal window are sure to share a fingerprint.
+2. Selected positions are joined by fingerprint; those found at one place only are dropped.
+   A position carries the windows that selected it: the extension of a match both ways.
+3. Of equal windows the first by (doc_id, text, word) stays; later ones are deleted unless
+   they overlap their own first in the same text.
+
+**Passages.** A repeated passage may begin and end anywhere in its lines, and copies may be wrapped
 otherwise. So a text counts as all the lines of LINE words that it can be wrapped to, one
 from each of its words on, and white space between words doesn't matter.
 
@@ -28,7 +39,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.llm.common import materialize, skew_join, slices
@@ -37,6 +48,8 @@ from tesserine.llm.fingerprints import BYTE_HASHES, mix, powers
 LINE, SPAN = 20, 32
 #: Words of a window: the shortest passage that is found.
 WINDOW = LINE + SPAN - 1
+#: Words of the shortest run of whole lines that is found.
+LINE_WORDS = 6
 #: A list of documents is broadcast up to so many rows and positions (8 bytes each); longer ones are joined by a shuffle.
 BROADCAST_ROWS, BROADCAST_POSITIONS = 200_000, 1_000_000
 SLICE = 400_000
@@ -47,8 +60,8 @@ _SPACE[[32, *range(9, 14)]] = True
 _LOW, _HIGH = np.uint64(0xFFFFFF), np.uint64(24)
 
 
-def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the texts' words: the text of each, its number within it, and running sums of their hashes."""
+def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts' words: the text of each, its number within it, running sums of their hashes, and which begin a line."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
     inside = np.concatenate([[False], ~_SPACE[data], [False]])
@@ -59,7 +72,8 @@ def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     doc = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), start, side="right")
     first = np.searchsorted(doc, np.arange(len(raw)))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)])
-    return doc, np.arange(len(doc)) - first[doc], sums
+    line = np.searchsorted(np.flatnonzero(data == 10), start)
+    return doc, np.arange(len(doc)) - first[doc], sums, np.flatnonzero(np.diff(line, prepend=-1))
 
 
 def _content(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -68,7 +82,7 @@ def _content(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarra
 
 def winnow(texts: list[str]) -> dict[str, np.ndarray]:
     """The selected positions: doc (index), fp, reach (a hash of its words), lo (first word of the reach) and n (windows)."""
-    doc, number, sums = _hashed(texts)
+    doc, number, sums, _ = _hashed(texts)
     at = np.flatnonzero(doc[: max(0, len(doc) - WINDOW + 1)] == doc[WINDOW - 1 :]) if len(doc) >= WINDOW else np.zeros(0, np.int64)
     if not len(at):
         return {k: np.zeros(0, np.int64) for k in ("doc", "fp", "reach", "lo", "n")}
@@ -92,10 +106,59 @@ def _selected(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["fp", "reach", "doc_id", "text_key", "lo", "n"])
 
 
+def winnow_lines(texts: list[str], line_words: int) -> dict[str, np.ndarray]:
+    """The selected lines: doc (index), fp, n (windows that selected it); and of those windows, in order: run (hash), lo and hi (words)."""
+    doc, number, sums, start = _hashed(texts)
+    stop = np.append(start[1:], len(doc))[: len(start)]
+    lines = _content(sums, start, stop)
+    line_sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines * powers(len(lines) + 1)[0][: len(lines)], dtype=np.uint64)])
+    last = np.searchsorted(stop, start + line_words)
+    at = np.flatnonzero(last < len(start))
+    at = at[doc[start[at]] == doc[start[last[at]]]]
+    last = last[at]
+    pos, least = at.copy(), lines[at]
+    for k in range(1, int((last - at).max(initial=0)) + 1):  # a window has line_words lines at most
+        there = np.minimum(at + k, last)
+        less = lines[there] < least
+        pos[less], least[less] = there[less], lines[there[less]]
+    edge = np.flatnonzero(np.diff(pos, prepend=-1))
+    run = _content(line_sums, at, last + 1).view(np.int64)
+    lo = number[start[at]]
+    hi = lo + stop[last] - start[at]
+    return {"doc": doc[start[pos[edge]]], "fp": lines[pos[edge]].view(np.int64), "n": np.diff(np.append(edge, len(at))), "run": run, "lo": lo, "hi": hi}
+
+
+_LINES = "fp long, doc_id long, text_key long, runs array<long>, los array<int>, his array<int>"
+
+
+def _selected_lines(line_words: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, SLICE):
+            found = winnow_lines(part.column(1).to_pylist(), line_words)
+            at, ends = pa.array(found["doc"]), pa.array(np.concatenate([[0], np.cumsum(found["n"])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(found[k].astype(kind))) for k, kind in (("run", np.int64), ("lo", np.int32), ("hi", np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(found["fp"]), part.column(0).take(at), part.column(2).take(at), *lists], names=["fp", "doc_id", "text_key", "runs", "los", "his"])
+
+    return run
+
+
+def repeated_lines(docs: DataFrame, line_words: int = LINE_WORDS) -> DataFrame:
+    """doc_id, text_key, lo, hi: stretches of words that are runs of whole lines and stand earlier too."""
+    place = F.struct("doc_id", "text_key", "lo")
+    found = materialize(docs.select("doc_id", "text", "text_key").mapInArrow(_selected_lines(line_words), _LINES), "line-positions")
+    shared = materialize(found.groupBy("fp").agg(F.count("*").alias("held")).where("held > 1"), "shared-lines")
+    kept = skew_join(found, shared, ["fp"], found.count())
+    windows = kept.select("doc_id", "text_key", F.explode(F.arrays_zip("runs", "los", "his")).alias("w"))
+    windows = materialize(windows.select("doc_id", "text_key", F.col("w.runs").alias("run"), F.col("w.los").alias("lo"), F.col("w.his").alias("hi")), "line-windows")
+    firsts = materialize(windows.groupBy("run").agg(F.count("*").alias("held"), F.min(place).alias("first")).where("held > 1"), "first-lines")
+    later = skew_join(windows, firsts, ["run"], windows.count()).where((place != F.col("first")) & ~_overlaps(width=F.col("hi") - F.col("lo")))
+    return later.select("doc_id", "text_key", "lo", "hi")
+
+
 def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """run, doc_id, text_key, lo of every window in the reaches (los, ns) of each text."""
     for part in slices(batches, SLICE):
-        doc, _, sums = _hashed(part.column(1).to_pylist())
+        doc, _, sums, _ = _hashed(part.column(1).to_pylist())
         first = np.searchsorted(doc, np.arange(part.num_rows))
         los, ns = part.column(3), part.column(4)
         owner = np.repeat(np.arange(part.num_rows), [len(x) for x in los])
@@ -108,13 +171,13 @@ def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(_content(sums, start, start + WINDOW).view(np.int64)), part.column(0).take(at), part.column(2).take(at), pa.array(lo.astype(np.int32))], names=["run", "doc_id", "text_key", "lo"])
 
 
-def _overlaps(first: str = "first"):
+def _overlaps(first: str = "first", width: Column | int = WINDOW) -> Column:
     """Whether a place lies in the same text as its first one and less than a window behind it."""
-    return F.col(f"{first}.doc_id").eqNullSafe(F.col("doc_id")) & F.col(f"{first}.text_key").eqNullSafe(F.col("text_key")) & (F.col("lo") - F.col(f"{first}.lo") < WINDOW)
+    return F.col(f"{first}.doc_id").eqNullSafe(F.col("doc_id")) & F.col(f"{first}.text_key").eqNullSafe(F.col("text_key")) & (F.col("lo") - F.col(f"{first}.lo") < width)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, word_start, word_stop: sorted stretches of words, of (doc_id, text, text_key), that stand earlier too."""
+    """doc_id, text_key, lo, hi: stretches of WINDOW words and more, of (doc_id, text, text_key), that stand earlier too."""
     place = F.struct("doc_id", "text_key", "lo")
     found = materialize(docs.mapInArrow(_selected, "fp long, reach long, doc_id long, text_key long, lo int, n int"), "line-fingerprints")
     shared = found.groupBy("fp").agg(F.count("*").alias("held"), F.min("reach").alias("c"), F.max("reach").alias("d")).where("held > 1").select("fp", "held", F.expr("c != d").alias("several"))
@@ -133,19 +196,20 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     runs = materialize(texts.mapInArrow(_windows, "run long, doc_id long, text_key long, lo int"), "windows")
     firsts = materialize(runs.groupBy("run").agg(F.count("*").alias("held"), F.min(place).alias("first")).where("held > 1"), "first-windows")
     single = skew_join(runs, firsts, ["run"], runs.count()).where((place != F.col("first")) & ~_overlaps()).select("doc_id", "text_key", "lo", (F.col("lo") + WINDOW).alias("hi"))
-    ranges = whole.unionByName(single).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("r"))
-    return ranges.select("doc_id", "text_key", F.col("r.lo").alias("word_start"), F.col("r.hi").alias("word_stop"))
+    return whole.unionByName(single)
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with text_col rid of repeated passages, and n_lines, n_removed, n_words_cut beside its columns.
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_words: int | None = None) -> DataFrame:
+    """df with text_col rid of repeated runs, and n_lines, n_removed, n_words_cut beside its columns.
 
-    n_removed counts lines that went whole, n_words_cut words that went from lines that
+    Passages of WINDOW words and more go wherever they begin and end, whole lines where a run
+    of them has line_words words or more (None: only passages go; what is left of near copies
+    is then still alike, which a search for near duplicates after this needs). n_removed counts lines that went whole, n_words_cut words that went from lines that
     stay. A null text stays null and has no lines. A text that is wholly a later repeat
-    becomes empty; the row stays. Texts of fewer than WINDOW words are never touched, nor
-    are equal lines of fewer words, however often they occur. Rows that repeat both id and
-    text count once and are treated alike; rows that repeat an id with another text are
-    documents of their own, ordered by a hash of the text; rows without an id come first
+    becomes empty; the row stays. Equal lines that stand in no run of line_words words are
+    never touched, however often they occur. Rows that repeat both id and text
+    count once and are treated alike; rows that repeat an id with another text are documents
+    of their own, ordered by a hash of the text; rows without an id come first
     and those of one text count as one. All columns of df are kept, and their names may
     clash with none but the three added ones.
     """
@@ -153,7 +217,11 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     docs = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("__key").alias("text_key"))
     null_id = F.lit(-(1 << 63))  # a null id joins with nothing, so it takes the smallest number
     docs = docs.withColumn("doc_id", F.coalesce("doc_id", null_id))
-    gone = repeated_passages(docs).withColumnsRenamed({"doc_id": "__id", "text_key": "__text_key"})
+    found = repeated_passages(docs)
+    if line_words is not None:
+        found = found.unionByName(repeated_lines(docs, line_words))
+    ranges = found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("r"))
+    gone = ranges.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key"), F.col("r.lo").alias("word_start"), F.col("r.hi").alias("word_stop"))
     joined = keyed.join(gone, (F.coalesce(F.col(id_col).cast("long"), null_id) == F.col("__id")) & (F.col("__key") == F.col("__text_key")), "left")
     at = df.columns.index(text_col)
     parts = joined.select(*(keyed[c] for c in df.columns), *(gone[c] for c in ("word_start", "word_stop")))

@@ -44,7 +44,7 @@ def op7_hashing_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs)
+    return line_dedup.dedup_lines(docs, line_words=line_dedup.LINE_WORDS)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

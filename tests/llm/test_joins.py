@@ -128,6 +128,15 @@ def dedup_by_hand(texts, t=51):
     return out
 
 
+def dedup_gone(texts, t=51):
+    """The word numbers that dedup_by_hand leaves out, by text."""
+    numbers, held = {}, [(x or "").split() for x in texts]
+    for i, w in enumerate(held):
+        for k in range(len(w) - t + 1):
+            numbers.setdefault(tuple(w[k : k + t]), (i, k))
+    return {i: {n for k in range(len(w) - t + 1) for j, at in [numbers[tuple(w[k : k + t])]] if j != i or k - at >= t for n in range(k, k + t)} for i, w in enumerate(held)}
+
+
 def line_corpus(rnd):
     line = lambda n: " ".join(f"w{rnd.randrange(500)}" for _ in range(n))
     pool = [line(rnd.choice([1, 5, 20, 30, 60])) for _ in range(12)]
@@ -155,6 +164,66 @@ def test_line_dedup_equals_brute_force(spark, seed):
         assert r["n_words_cut"] <= len(before.split()) - len(want[r["doc_id"]])
 
 
+def lines_by_hand(texts, t):
+    """Words that go, by text: of equal windows, the fewest whole lines from a line on with t words, all but the first go, overlaps with the first apart."""
+    first, held = {}, []
+    for i, x in enumerate(texts):
+        lines = [tuple(re.findall(r"[^\x20\x09-\x0D]+", line)) for line in (x or "").split("\n")]
+        lines = [line for line in lines if line]
+        starts = [sum(map(len, lines[:k])) for k in range(len(lines))]
+        windows = []
+        for k in range(len(lines)):
+            j = k + 1
+            while j <= len(lines) and sum(map(len, lines[k:j])) < t:
+                j += 1
+            if j <= len(lines):
+                windows.append((tuple(lines[k:j]), starts[k], starts[k] + sum(map(len, lines[k:j]))))
+                first.setdefault(windows[-1][0], (i, starts[k]))
+        held.append(windows)
+    out = {}
+    for i, windows in enumerate(held):
+        out[i] = set()
+        for w, lo, hi in windows:
+            j, at = first[w]
+            if (i, lo) != (j, at) and (j != i or lo - at >= hi - lo):
+                out[i].update(range(lo, hi))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "t"), [(1, 6), (2, 1), (3, 25), (4, 70)])
+def test_repeated_lines_equal_brute_force(spark, seed, t):
+    texts = [*line_corpus(random.Random(seed)), "a b\n\nc d\n e\tf ", "x\na b\r\nc d\ne f\ny", "the\n" * 40, "a b c\nd e f", "a b c d\ne f"]
+    found = line_dedup.repeated_lines(docs(spark, [x or "" for x in texts]).withColumn("text_key", F.xxhash64("text")).repartition(5), t)
+    got = {k: set() for k in range(len(texts))}
+    for r in found.collect():
+        got[r["doc_id"]].update(range(r["lo"], r["hi"]))
+    assert got == lines_by_hand(texts, t)
+
+
+@pytest.mark.parametrize("t", [6, 12])
+def test_lines_and_passages_go_together(spark, t):
+    texts = line_corpus(random.Random(8))
+    lines, left = lines_by_hand(texts, t), {}
+    passages = dedup_gone(texts)
+    for r in line_dedup.dedup_lines(docs(spark, texts).repartition(4), line_words=t).collect():
+        left[r["doc_id"]] = (r["text"] or "").split()
+    for i, x in enumerate(texts):
+        want = [w for k, w in enumerate((x or "").split()) if k not in lines[i] and k not in passages[i]]
+        assert left[i] == want
+
+
+def test_boilerplate_lines_go_but_for_their_first_place(spark):
+    boiler, short = "read more of our news here", "see also below"
+    texts = [f"own {k} line of text {k} here\n{boiler}\n\n{short}\nown end {k}" for k in range(30)]
+    got = line_dedup.dedup_lines(docs(spark, texts).withColumn("fp", F.lit(1)).withColumn("hi", F.lit(2)), line_words=6).orderBy("doc_id").collect()
+    assert got[0]["text"] == texts[0] and all(boiler not in r["text"] and short in r["text"] and r["n_removed"] == 1 and r["hi"] == 2 for r in got[1:])
+    untouched = line_dedup.dedup_lines(docs(spark, texts)).collect()
+    assert all(r["text"] == texts[r["doc_id"]] for r in untouched)
+    assert line_dedup.dedup_lines(docs(spark, []), line_words=6).count() == 0
+    nothing = line_dedup.dedup_lines(docs(spark, [None, "", "\n \n"]), line_words=1).orderBy("doc_id").collect()
+    assert [r["text"] for r in nothing] == [None, "", "\n \n"]
+
+
 def test_a_run_that_repeats_itself_keeps_its_first(spark):
     line = " ".join(f"w{k}" for k in range(10))
     texts = ["\n".join([line] * 20), "and " * 300, "\n".join([line] * 7)]
