@@ -11,6 +11,9 @@ have the same words. Runs of `line_words` words and more are found by winnowing
 3. Of equal windows the first by (doc_id, text, word) stays; later ones are deleted unless
    they overlap their own first in the same text.
 
+Passages are looked for first; lines that lost words to one don't count, so the lines of
+copies are not gone through again.
+
 **Passages.** A repeated passage may begin and end anywhere in its lines, and copies may be wrapped
 otherwise. So a text counts as all the lines of LINE words that it can be wrapped to, one
 from each of its words on, and white space between words doesn't matter.
@@ -107,7 +110,7 @@ def _selected(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def winnow_lines(texts: list[str], line_words: int) -> dict[str, np.ndarray]:
-    """The selected lines: doc (index), fp, n (windows that selected it); and of those windows, in order: run (hash), lo and hi (words)."""
+    """Of each window: doc (index), run (its hash), lo and hi (words), the line pos that it selects and that line's hash fp."""
     doc, number, sums, start = _hashed(texts)
     stop = np.append(start[1:], len(doc))[: len(start)]
     lines = _content(sums, start, stop)
@@ -121,35 +124,75 @@ def winnow_lines(texts: list[str], line_words: int) -> dict[str, np.ndarray]:
         there = np.minimum(at + k, last)
         less = lines[there] < least
         pos[less], least[less] = there[less], lines[there[less]]
-    edge = np.flatnonzero(np.diff(pos, prepend=-1))
-    run = _content(line_sums, at, last + 1).view(np.int64)
     lo = number[start[at]]
-    hi = lo + stop[last] - start[at]
-    return {"doc": doc[start[pos[edge]]], "fp": lines[pos[edge]].view(np.int64), "n": np.diff(np.append(edge, len(at))), "run": run, "lo": lo, "hi": hi}
+    return {"doc": doc[start[at]], "fp": least.view(np.int64), "pos": pos, "run": _content(line_sums, at, last + 1).view(np.int64), "lo": lo, "hi": lo + stop[last] - start[at]}
+
+
+_LISTS = {"fp": np.int64, "pos": np.int32, "run": np.int64, "lo": np.int32, "hi": np.int32}
+_LINES = "doc_id long, text_key long, fp array<long>, pos array<int>, run array<long>, lo array<int>, hi array<int>"
+_POSITIONS = "fp long, doc_id long, text_key long, run array<long>, lo array<int>, hi array<int>"
 
 
-_LINES = "fp long, doc_id long, text_key long, runs array<long>, los array<int>, his array<int>"
+def _listed(offsets: np.ndarray, found: dict[str, np.ndarray], names: Iterable[str]) -> list[pa.Array]:
+    ends = pa.array(offsets.astype(np.int32))
+    return [pa.ListArray.from_arrays(ends, pa.array(found[k].astype(_LISTS[k]))) for k in names]
 
 
 def _selected_lines(line_words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, SLICE):
             found = winnow_lines(part.column(1).to_pylist(), line_words)
-            at, ends = pa.array(found["doc"]), pa.array(np.concatenate([[0], np.cumsum(found["n"])]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(found[k].astype(kind))) for k, kind in (("run", np.int64), ("lo", np.int32), ("hi", np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(found["fp"]), part.column(0).take(at), part.column(2).take(at), *lists], names=["fp", "doc_id", "text_key", "runs", "los", "his"])
+            held = np.bincount(found["doc"], minlength=part.num_rows)
+            lists = _listed(np.concatenate([[0], np.cumsum(held)]), found, _LISTS)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *lists], names=["doc_id", "text_key", *_LISTS]).filter(pa.array(held > 0))
 
     return run
 
 
-def repeated_lines(docs: DataFrame, line_words: int = LINE_WORDS) -> DataFrame:
-    """doc_id, text_key, lo, hi: stretches of words that are runs of whole lines and stand earlier too."""
+def _positions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The selected positions, each with the windows that selected it; windows that a deleted stretch (r_lo, r_hi) touches are left out."""
+    for part in batches:
+        if not part.num_rows:
+            continue
+
+        def column(name: str) -> tuple[np.ndarray, np.ndarray]:
+            lists = part.column(name)  # noqa: B023
+            held = np.diff(lists.offsets.to_numpy()) if lists.null_count == 0 else lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            return np.repeat(np.arange(part.num_rows), held), lists.flatten().to_numpy(zero_copy_only=False)  # noqa: B023
+
+        row = column("fp")[0]
+        found = {k: column(k)[1] for k in _LISTS}
+        of, lo = column("r_lo")
+        # one number for row and word; stretches of a row are sorted, so joined ones are known by where they end
+        begin, end = (of << 32) + lo, np.maximum.accumulate((of << 32) + column("r_hi")[1])
+        if len(begin):
+            k = np.searchsorted(begin, (row << 32) + found["hi"]) - 1
+            whole = (k < 0) | (end[k] <= (row << 32) + found["lo"])
+            row, found = row[whole], {name: x[whole] for name, x in found.items()}
+        edge = np.flatnonzero((np.diff(found["pos"], prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
+        at = pa.array(row[edge])
+        lists = _listed(np.append(edge, len(row)), found, ("run", "lo", "hi"))
+        yield pa.RecordBatch.from_arrays([pa.array(found["fp"][edge]), part.column(0).take(at), part.column(1).take(at), *lists], names=["fp", "doc_id", "text_key", "run", "lo", "hi"])
+
+
+def repeated_lines(docs: DataFrame, line_words: int = LINE_WORDS, deleted: DataFrame | None = None) -> DataFrame:
+    """doc_id, text_key, lo, hi: stretches of words that are runs of whole lines and stand earlier too.
+
+    Lines that stretches of `deleted` (doc_id, text_key, r: sorted lo and hi) touch don't count, neither as first nor as later ones.
+    """
     place = F.struct("doc_id", "text_key", "lo")
-    found = materialize(docs.select("doc_id", "text", "text_key").mapInArrow(_selected_lines(line_words), _LINES), "line-positions")
+    lines = docs.select("doc_id", "text", "text_key").mapInArrow(_selected_lines(line_words), _LINES)
+    nothing = F.array().cast("array<int>")
+    if deleted is None:
+        lines = lines.withColumns({"r_lo": nothing, "r_hi": nothing})
+    else:
+        gone = deleted.select("doc_id", "text_key", F.col("r.lo").alias("r_lo"), F.col("r.hi").alias("r_hi"))
+        lines = lines.join(gone, ["doc_id", "text_key"], "left")
+    found = materialize(lines.mapInArrow(_positions, _POSITIONS), "line-positions")
     shared = materialize(found.groupBy("fp").agg(F.count("*").alias("held")).where("held > 1"), "shared-lines")
     kept = skew_join(found, shared, ["fp"], found.count())
-    windows = kept.select("doc_id", "text_key", F.explode(F.arrays_zip("runs", "los", "his")).alias("w"))
-    windows = materialize(windows.select("doc_id", "text_key", F.col("w.runs").alias("run"), F.col("w.los").alias("lo"), F.col("w.his").alias("hi")), "line-windows")
+    windows = kept.select("doc_id", "text_key", F.explode(F.arrays_zip("run", "lo", "hi")).alias("w"))
+    windows = materialize(windows.select("doc_id", "text_key", "w.run", "w.lo", "w.hi"), "line-windows")
     firsts = materialize(windows.groupBy("run").agg(F.count("*").alias("held"), F.min(place).alias("first")).where("held > 1"), "first-lines")
     later = skew_join(windows, firsts, ["run"], windows.count()).where((place != F.col("first")) & ~_overlaps(width=F.col("hi") - F.col("lo")))
     return later.select("doc_id", "text_key", "lo", "hi")
@@ -199,6 +242,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     return whole.unionByName(single)
 
 
+def _ranges(found: DataFrame) -> DataFrame:
+    """doc_id, text_key, r: the stretches of each text, sorted."""
+    return found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("r"))
+
+
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_words: int | None = None) -> DataFrame:
     """df with text_col rid of repeated runs, and n_lines, n_removed, n_words_cut beside its columns.
 
@@ -217,10 +265,11 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     docs = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("__key").alias("text_key"))
     null_id = F.lit(-(1 << 63))  # a null id joins with nothing, so it takes the smallest number
     docs = docs.withColumn("doc_id", F.coalesce("doc_id", null_id))
-    found = repeated_passages(docs)
+    ranges = _ranges(repeated_passages(docs))
     if line_words is not None:
-        found = found.unionByName(repeated_lines(docs, line_words))
-    ranges = found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("r"))
+        ranges = materialize(ranges, "passages")
+        lines = repeated_lines(docs, line_words, ranges)
+        ranges = _ranges(ranges.select("doc_id", "text_key", F.inline("r")).unionByName(lines))
     gone = ranges.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key"), F.col("r.lo").alias("word_start"), F.col("r.hi").alias("word_stop"))
     joined = keyed.join(gone, (F.coalesce(F.col(id_col).cast("long"), null_id) == F.col("__id")) & (F.col("__key") == F.col("__text_key")), "left")
     at = df.columns.index(text_col)

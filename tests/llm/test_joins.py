@@ -164,8 +164,8 @@ def test_line_dedup_equals_brute_force(spark, seed):
         assert r["n_words_cut"] <= len(before.split()) - len(want[r["doc_id"]])
 
 
-def lines_by_hand(texts, t):
-    """Words that go, by text: of equal windows, the fewest whole lines from a line on with t words, all but the first go, overlaps with the first apart."""
+def lines_by_hand(texts, t, deleted=None):
+    """Words that go, by text: of equal windows, the fewest whole lines from a line on with t words and none deleted, all but the first go, overlaps with the first apart."""
     first, held = {}, []
     for i, x in enumerate(texts):
         lines = [tuple(re.findall(r"[^\x20\x09-\x0D]+", line)) for line in (x or "").split("\n")]
@@ -177,7 +177,10 @@ def lines_by_hand(texts, t):
             while j <= len(lines) and sum(map(len, lines[k:j])) < t:
                 j += 1
             if j <= len(lines):
-                windows.append((tuple(lines[k:j]), starts[k], starts[k] + sum(map(len, lines[k:j]))))
+                stop = starts[k] + sum(map(len, lines[k:j]))
+                if deleted and deleted[i] & set(range(starts[k], stop)):
+                    continue
+                windows.append((tuple(lines[k:j]), starts[k], stop))
                 first.setdefault(windows[-1][0], (i, starts[k]))
         held.append(windows)
     out = {}
@@ -203,8 +206,8 @@ def test_repeated_lines_equal_brute_force(spark, seed, t):
 @pytest.mark.parametrize("t", [6, 12])
 def test_lines_and_passages_go_together(spark, t):
     texts = line_corpus(random.Random(8))
-    lines, left = lines_by_hand(texts, t), {}
-    passages = dedup_gone(texts)
+    passages, left = dedup_gone(texts), {}
+    lines = lines_by_hand(texts, t, passages)
     for r in line_dedup.dedup_lines(docs(spark, texts).repartition(4), line_words=t).collect():
         left[r["doc_id"]] = (r["text"] or "").split()
     for i, x in enumerate(texts):
