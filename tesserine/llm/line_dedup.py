@@ -110,7 +110,7 @@ def _selected(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def winnow_lines(texts: list[str], line_words: int) -> dict[str, np.ndarray]:
-    """Of each window: doc (index), run (its hash), lo and hi (words), the line pos that it selects and that line's hash fp."""
+    """Of each window: doc (index), content (its hash), lo and hi (words), the line pos that it selects and that line's hash fp."""
     doc, number, sums, start = _hashed(texts)
     stop = np.append(start[1:], len(doc))[: len(start)]
     lines = _content(sums, start, stop)
@@ -125,12 +125,12 @@ def winnow_lines(texts: list[str], line_words: int) -> dict[str, np.ndarray]:
         less = lines[there] < least
         pos[less], least[less] = there[less], lines[there[less]]
     lo = number[start[at]]
-    return {"doc": doc[start[at]], "fp": least.view(np.int64), "pos": pos, "run": _content(line_sums, at, last + 1).view(np.int64), "lo": lo, "hi": lo + stop[last] - start[at]}
+    return {"doc": doc[start[at]], "fp": least.view(np.int64), "pos": pos, "content": _content(line_sums, at, last + 1).view(np.int64), "lo": lo, "hi": lo + stop[last] - start[at]}
 
 
-_LISTS = {"fp": np.int64, "pos": np.int32, "run": np.int64, "lo": np.int32, "hi": np.int32}
-_LINES = "doc_id long, text_key long, fp array<long>, pos array<int>, run array<long>, lo array<int>, hi array<int>"
-_POSITIONS = "fp long, doc_id long, text_key long, run array<long>, lo array<int>, hi array<int>"
+_LISTS = {"fp": np.int64, "pos": np.int32, "content": np.int64, "lo": np.int32, "hi": np.int32}
+_LINES = "doc_id long, text_key long, fp array<long>, pos array<int>, content array<long>, lo array<int>, hi array<int>"
+_POSITIONS = "fp long, doc_id long, text_key long, content array<long>, lo array<int>, hi array<int>"
 
 
 def _listed(offsets: np.ndarray, found: dict[str, np.ndarray], names: Iterable[str]) -> list[pa.Array]:
@@ -171,8 +171,8 @@ def _positions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, found = row[whole], {name: x[whole] for name, x in found.items()}
         edge = np.flatnonzero((np.diff(found["pos"], prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
         at = pa.array(row[edge])
-        lists = _listed(np.append(edge, len(row)), found, ("run", "lo", "hi"))
-        yield pa.RecordBatch.from_arrays([pa.array(found["fp"][edge]), part.column(0).take(at), part.column(1).take(at), *lists], names=["fp", "doc_id", "text_key", "run", "lo", "hi"])
+        lists = _listed(np.append(edge, len(row)), found, ("content", "lo", "hi"))
+        yield pa.RecordBatch.from_arrays([pa.array(found["fp"][edge]), part.column(0).take(at), part.column(1).take(at), *lists], names=["fp", "doc_id", "text_key", "content", "lo", "hi"])
 
 
 def repeated_lines(docs: DataFrame, line_words: int = LINE_WORDS, deleted: DataFrame | None = None) -> DataFrame:
@@ -191,10 +191,10 @@ def repeated_lines(docs: DataFrame, line_words: int = LINE_WORDS, deleted: DataF
     found = materialize(lines.mapInArrow(_positions, _POSITIONS), "line-positions")
     shared = materialize(found.groupBy("fp").agg(F.count("*").alias("held")).where("held > 1"), "shared-lines")
     kept = skew_join(found, shared, ["fp"], found.count())
-    windows = kept.select("doc_id", "text_key", F.explode(F.arrays_zip("run", "lo", "hi")).alias("w"))
-    windows = materialize(windows.select("doc_id", "text_key", "w.run", "w.lo", "w.hi"), "line-windows")
-    firsts = materialize(windows.groupBy("run").agg(F.count("*").alias("held"), F.min(place).alias("first")).where("held > 1"), "first-lines")
-    later = skew_join(windows, firsts, ["run"], windows.count()).where((place != F.col("first")) & ~_overlaps(width=F.col("hi") - F.col("lo")))
+    windows = kept.select("doc_id", "text_key", F.explode(F.arrays_zip("content", "lo", "hi")).alias("w"))
+    windows = materialize(windows.select("doc_id", "text_key", "w.content", "w.lo", "w.hi"), "line-windows")
+    firsts = materialize(windows.groupBy("content").agg(F.count("*").alias("held"), F.min(place).alias("first")).where("held > 1"), "first-lines")
+    later = skew_join(windows, firsts, ["content"], windows.count()).where((place != F.col("first")) & ~_overlaps(width=F.col("hi") - F.col("lo")))
     return later.select("doc_id", "text_key", "lo", "hi")
 
 

@@ -296,6 +296,27 @@ def test_search_recall_and_ties(spark):
     assert [v for _, v, _ in got[500]] == list(range(501, 511))
 
 
+@pytest.mark.parametrize("n", [500, 2000, 32768])
+@pytest.mark.parametrize("noise", [0.3, 0.6])
+def test_probes_of_structured_vectors_retrieve_few_rows(n, noise):
+    rng = np.random.Generator(np.random.PCG64(11))
+    centers = rng.standard_normal((max(5, n // 64), 64))
+    x = centers[rng.integers(0, len(centers), n)] + noise * rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = hashing_search.Codes(x[rng.permutation(n)[:10_000]], hashing_search.substring_bits(n))
+    radius = hashing_search.learned_radius(x[rng.permutation(n)[:10_000]], model, 10)
+    index, asked = hashing_search.MultiIndex(model.of(x), model.bits), np.arange(0, n, max(20, n // 50))
+    found = hashing_search.search_block(index, np.arange(n), x, x[asked], model.of(x[asked]), radius, 11)
+    hits, retrieved = 0, 0
+    for q, (ids, _) in zip(asked, found, strict=True):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(set(np.argpartition(d, 10)[:10].tolist()) & set(ids.tolist()))
+        retrieved += len(index.retrieve(model.of(x[[q]])[0], radius))
+    assert hits >= 0.9 * 10 * len(asked)
+    assert retrieved / (n * len(asked)) < (0.2 if n == 500 else 0.1)  # at 500 rows a cluster is an eighth of them
+
+
 def test_search_edges(spark):
     schema = "vec_id long, embedding array<float>"
     assert hashing_search.nearest(spark.createDataFrame([], schema)).count() == 0
