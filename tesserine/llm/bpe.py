@@ -9,7 +9,9 @@ a word, until no mergeable pair remains. NumPy carries the step for all rows at
 and the last few rows, or a single very long word, go through the same steps one by one.
 
 Texts are cut at white space first; a piece's ids don't depend on its neighbours, so a
-bounded cache by piece holds for all of a worker's tasks.
+bounded cache by piece holds for all of a worker's tasks. Where only ids are asked for,
+plain texts of a batch are cut to words together, by the kinds of their bytes, each
+distinct word is looked up once, and an index array puts the ids in the texts' order.
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ from __future__ import annotations
 import functools
 import gc
 import hashlib
+import itertools
 import json
 import re
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -40,6 +44,11 @@ _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SPLIT_ODD = re.compile("[\x1c-\x1f]")
 #: Fixed value: the vocabulary file's own cutting rule.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Of each Latin-1 letter by that rule: blank, letter, number or another sign.
+_BLANK, _LETTER, _NUMBER, _SIGN = range(4)
+_KINDS = np.array([_BLANK if not _PIECES.findall(c) else _LETTER if regex.match(r"\p{L}", c) else _NUMBER if regex.match(r"\p{N}", c) else _SIGN for c in map(chr, range(256))], np.uint8)
+#: Words that a batch is cut to hold so many bytes at most, for bounded memory; a longer text is a batch of its own.
+CUT_BYTES = 2_000_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -73,6 +82,30 @@ def is_plain(text: str) -> bool:
     return True
 
 
+def cut_words(plain: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a lower-cased Latin-1 text, and where its words start and stop by _PIECES."""
+    data = np.frombuffer(plain, np.uint8)
+    kind = _KINDS[data]
+    before = np.concatenate([np.zeros(1, np.uint8), kind[:-1]])
+    edge = kind != before
+    # an ending such as 's is a word where its sign begins a match, and what follows it begins another
+    quote = np.flatnonzero((data == 39) & edge)
+    ahead = np.concatenate([data, np.zeros(2, np.uint8)])
+    one, two = ahead[quote + 1], ahead[quote + 2]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = (np.isin(one, np.frombuffer(b"rv", np.uint8)) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+    begin = edge | (kind == _NUMBER)
+    begin[quote[short | long] + 1] = False
+    after = np.concatenate([quote[short] + 2, quote[long] + 3])
+    begin[after[after < len(data)]] = True
+    begin &= kind != _BLANK
+    start = np.flatnonzero(begin)
+    # a word stops where the next one or white space begins
+    edges = np.flatnonzero(begin | (edge & (kind == _BLANK)))
+    stop = np.append(edges, len(data))[np.searchsorted(edges, start) + 1]
+    return data, start, stop
+
+
 class PairRanks:
     """Rank and merged id of symbol pairs, looked up for arrays of pairs."""
 
@@ -122,9 +155,10 @@ class SegmentTrees:
         self.tree[rows, self.w + at] = np.where(rank >= 0, rank * self.w + at, NONE)
 
     def _lift(self, rows: np.ndarray, at: np.ndarray) -> None:
-        node = (self.w + at) >> 1
+        cells, base, node = self.tree.reshape(-1), rows * (2 * self.w), (self.w + at) >> 1
         while node.size and node[0] >= 1:
-            self.tree[rows, node] = np.minimum(self.tree[rows, 2 * node], self.tree[rows, 2 * node + 1])
+            below = base + 2 * node
+            cells[base + node] = np.minimum(cells.take(below), cells.take(below + 1))
             node = node >> 1
 
     def merge_all(self) -> None:
@@ -213,6 +247,8 @@ class Bpe:
         #: Packed ids by lower-cased plain piece or word, and by raw piece.
         self.pieces: dict[str, bytes] = {}
         self.raw: dict[str, bytes] = {}
+        #: Packed ids by lower-cased plain word, in Latin-1.
+        self.words: dict[bytes, bytes] = {}
 
     # --- words
     def merge_words(self, words: list[bytes]) -> list[bytes]:
@@ -306,8 +342,58 @@ class Bpe:
             if collecting:
                 gc.enable()
 
+    def _known_words(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of distinct plain words, out of the cache; unseen ones are put there."""
+        got = list(map(self.words.get, words))
+        fresh = [k for k, ids in enumerate(got) if ids is None]
+        if fresh:
+            unseen = [words[k] for k in fresh]
+            merged = self.merge_words([w if w.isascii() else w.decode("latin-1").encode() for w in unseen])
+            if len(self.words) + len(fresh) > CACHE_ENTRIES:
+                self.words.clear()
+            self.words.update(zip(unseen, merged, strict=True))
+            for k, ids in zip(fresh, merged, strict=True):
+                got[k] = ids
+        return got
+
+    def _encode_plain(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each of some plain texts."""
+        data, start, stop = cut_words("\n".join([*texts, ""]).lower().encode("latin-1"))
+        held = stop - start
+        ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(held, dtype=np.int32)])
+        flat = data[_KINDS[data] != _BLANK]
+        coded = pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(ends), pa.py_buffer(flat)]).dictionary_encode()
+        offsets, letters = (np.frombuffer(x, t) if x else np.zeros(0, t) for x, t in zip(coded.dictionary.buffers()[1:], (np.int32, np.uint8), strict=True))
+        letters, bounds = letters.tobytes(), offsets[: len(coded.dictionary) + 1].tolist()
+        known = self._known_words([letters[a:b] for a, b in itertools.pairwise(bounds)])
+        pool = np.frombuffer(b"".join(known), self.dtype)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
+        word = coded.indices.to_numpy()
+        n = sizes[word]
+        last = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+        at = np.arange(last[-1])
+        at += np.repeat((np.cumsum(sizes) - sizes)[word] - last[:-1], n)
+        first = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        return np.split(pool[at], last[first[1:-1]])
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(b"".join(p), self.dtype) for p in self.packed(texts)]
+        """For each text its ids."""
+        out: list[np.ndarray] = [np.zeros(0, self.dtype)] * len(texts)
+        plain = np.array([is_plain(t) for t in texts], bool)
+        chosen, held = np.flatnonzero(plain).tolist(), 0
+        block: list[int] = []
+        for k in [*chosen, None]:
+            if block and (k is None or held + len(texts[k]) > CUT_BYTES):
+                for i, ids in zip(block, self._encode_plain([texts[i] for i in block]), strict=True):
+                    out[i] = ids
+                block, held = [], 0
+            if k is not None:
+                block.append(k)
+                held += len(texts[k]) + 1
+        others = np.flatnonzero(~plain).tolist()
+        for i, pieces in zip(others, self.packed([texts[i] for i in others]), strict=True):
+            out[i] = np.frombuffer(b"".join(pieces), self.dtype)
+        return out
 
     def decode(self, ids) -> str:
         """As the library decodes with a file that names no decoder: token strings joined by blanks."""

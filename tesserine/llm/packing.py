@@ -37,7 +37,7 @@ def token_table(df: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_
         part, before = TaskContext.get().partitionId(), 0
         end = int(end_id).to_bytes(bpe.dtype.itemsize, "little")
         for ids, texts in sliced(batches):
-            packed = [b"".join(p) + end for p in bpe.packed(texts)]
+            packed = [x.tobytes() + end for x in bpe.encode_batch(texts)]
             counts = np.array([len(p) // bpe.dtype.itemsize for p in packed], np.int64)
             ahead = before + np.cumsum(counts) - counts
             before += int(counts.sum())

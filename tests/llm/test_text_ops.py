@@ -69,6 +69,50 @@ def test_cache_starts_anew_when_full(monkeypatch):
     assert [x.tolist() for x in fresh.encode_batch(texts[:1])] + [x.tolist() for x in fresh.encode_batch(texts[1:])] == [x.tolist() for x in bpe.load().encode_batch(texts)]
 
 
+PLAIN = st.text(alphabet="'sStTdDmMrRvVeElL \n\x00\x1c\x85\xa00a1½!-é<|>ÀßµªÞ", max_size=30)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(PLAIN, max_size=12), st.integers(1, 60))
+def test_plain_texts_of_a_batch_equal_the_library(texts, cut):
+    lib = test_plain_texts_of_a_batch_equal_the_library.__dict__.setdefault("lib", Tokenizer.from_file(public_tokenizers.path(bpe.DEFAULT_VOCABULARY)))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bpe, "CUT_BYTES", cut)
+        got = bpe.load().encode_batch(texts)
+    assert [g.tolist() for g in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def held_by_caches(encoder):
+    return sum(len(x) for x in (encoder.pieces, encoder.raw, getattr(encoder, "words", {})))
+
+
+def test_words_are_kept_once_whatever_signs_stand_beside_them():
+    fresh = bpe.Bpe(bpe.vocabulary_path(bpe.DEFAULT_VOCABULARY))
+    texts = [" ".join(f"{a}{w}{b}" for w in ("tesserine", "écru", "word") for a in "([*#" for b in ".,;:!?")] * 3
+    want = [fresh._library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in fresh.encode_batch(texts)] == want
+    assert held_by_caches(fresh) <= 3 + 4 + 6
+
+
+def test_ids_of_a_batch_take_less_time_than_its_pieces():
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefghijklmnop", k=r.randrange(2, 12))) for _ in range(20000)]
+    texts = [" ".join(r.choice(words) + r.choice(["", "", "", ".", ","]) for _ in range(500)) for _ in range(200)]
+    fresh = bpe.Bpe(bpe.vocabulary_path(bpe.DEFAULT_VOCABULARY))
+
+    def seconds(f):
+        best = float("inf")
+        for _ in range(5):
+            fresh.pieces.clear()
+            getattr(fresh, "words", {}).clear()
+            at = time.process_time()
+            f(texts)
+            best = min(best, time.process_time() - at)
+        return best
+
+    assert seconds(fresh.encode_batch) < 0.8 * seconds(fresh.packed)
+
+
 # --- counts
 
 
