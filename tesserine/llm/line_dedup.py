@@ -37,11 +37,11 @@ a broadcast of bounded size (see skew_join).
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +57,6 @@ LINE_WORDS = 6
 BROADCAST_ROWS, BROADCAST_POSITIONS = 200_000, 1_000_000
 SLICE = 400_000
 
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOW, _HIGH = np.uint64(0xFFFFFF), np.uint64(24)
@@ -72,11 +71,12 @@ def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     up, down = powers(len(data) + 1)
     running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_HASHES[data] * up[: len(data)], dtype=np.uint64)])
     words = mix((running[stop] - running[start]) * down[start] + (stop - start).astype(np.uint64))
-    doc = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), start, side="right")
-    first = np.searchsorted(doc, np.arange(len(raw)))
+    first = np.concatenate([[0], np.searchsorted(start, np.cumsum([len(r) + 1 for r in raw]))]).astype(np.int64)
+    held = np.diff(first)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)])
-    line = np.searchsorted(np.flatnonzero(data == 10), start)
-    return doc, np.arange(len(doc)) - first[doc], sums, np.flatnonzero(np.diff(line, prepend=-1))
+    begin = np.concatenate([[0], np.searchsorted(start, np.flatnonzero(data == 10))])
+    begin = begin[(np.diff(begin, prepend=-1) != 0) & (begin < len(start))]
+    return np.repeat(np.arange(len(raw)), held), np.arange(len(start)) - np.repeat(first[:-1], held), sums, begin
 
 
 def _content(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -279,39 +279,72 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col=at):
-            rows = zip(part.column(at).to_pylist(), *(part.column(width + k).to_pylist() for k in range(2)), strict=True)
-            done = [_clean(*row) for row in rows]
-            columns = [part.column(k) if k != at else pa.array([d[0] for d in done], part.schema.field(at).type) for k in range(width)]
-            columns += [pa.array([d[k] for d in done], pa.int64()) for k in (1, 2, 3)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            done = _cleaned(part.column(at), part.column(width), part.column(width + 1))
+            yield pa.RecordBatch.from_arrays([*(part.column(k) if k != at else done[0] for k in range(width)), *done[1:]], names=names)
 
     schema = df.select(*df.columns, F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_words_cut")).schema
     return parts.mapInArrow(run, schema)
 
 
-def _clean(text: str | None, word_start: list | None, word_stop: list | None) -> tuple[str | None, int, int, int]:
-    """The text without its repeats, its lines, how many of them went whole and how many words went from the others."""
-    if text is None:
-        return None, 0, 0, 0
-    lines = text.split("\n")
-    if word_start is None:
-        return text, len(lines), 0, 0
-    spans = [[m.span() for m in _WORDS.finditer(line)] for line in lines]
-    cut = np.zeros(sum(map(len, spans)) + 1, bool)
-    for a, b in zip(word_start, word_stop, strict=True):
-        cut[a:b] = True
-    kept, removed, n_cut, w = [], 0, 0, 0
-    for line, found in zip(lines, spans, strict=True):
-        dead = cut[w : w + len(found)]
-        # a blank line goes with the repeat that it lies in
-        gone = dead.all() if len(found) else bool(w and cut[w - 1] and cut[w])
-        w += len(found)
-        if gone:
-            removed += 1
-        elif not dead.any():
-            kept.append(line)
-        else:
-            n_cut += int(dead.sum())
-            pieces = [line[: found[0][0]]] + [line[a : found[k + 1][0] if k + 1 < len(found) else len(line)] for k, (a, _) in enumerate(found) if not dead[k]]
-            kept.append("".join(pieces).rstrip() if dead[-1] else "".join(pieces))
-    return "\n".join(kept), len(lines), removed, n_cut
+def _cleaned(texts: pa.Array, word_start: pa.Array, word_stop: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+    """The texts without their repeats, their lines, how many of them went whole and how many words went from the others."""
+    n_lines = pc.if_else(texts.is_valid(), pc.add(pc.count_substring(texts, "\n"), 1), 0).cast(pa.int64())
+    removed, n_cut = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    changed = pc.and_(texts.is_valid(), word_start.is_valid())
+    at = np.flatnonzero(changed.to_numpy(zero_copy_only=False))
+    if len(at):
+        raw = texts.take(pa.array(at)).cast(pa.binary()).to_pylist()
+        starts, stops = (x.take(pa.array(at)) for x in (word_start, word_stop))
+        owner = np.repeat(np.arange(len(at)), starts.value_lengths().to_numpy(zero_copy_only=False))
+        shorter, removed[at], n_cut[at] = _without(raw, owner, starts.flatten().to_numpy(), stops.flatten().to_numpy())
+        texts = pc.replace_with_mask(texts, changed, shorter.cast(texts.type))
+    return texts, n_lines, pa.array(removed), pa.array(n_cut)
+
+
+def _without(raw: list[bytes], owner: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The texts without the words lo to hi of the text owner; by text the lines that went whole and the words that went from others.
+
+    A blank line goes with the repeat that it lies in. White space goes with the word before
+    it; a line whose last words went loses the white space at its end.
+    """
+    data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+    text_end = np.cumsum([len(r) + 1 for r in raw])
+    inside = np.concatenate([[False], ~_SPACE[data], [False]])
+    start, stop = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+    first = np.concatenate([[0], np.searchsorted(start, text_end)])
+    steps = np.bincount(first[owner] + lo, minlength=len(start) + 1) - np.bincount(first[owner] + hi, minlength=len(start) + 1)
+    dead = np.cumsum(steps[:-1]) > 0
+    line_end = np.flatnonzero(data == 10)
+    line_start = np.concatenate([[0], line_end[:-1] + 1])
+    text = np.searchsorted(text_end, line_start, side="right")
+    word = np.concatenate([[0], np.searchsorted(start, line_end)])
+    gone_words = np.concatenate([[0], np.cumsum(dead)])
+    n, n_dead = np.diff(word), np.diff(gone_words[word])
+    here, around = word[:-1], np.concatenate([[False], dead, [False]])
+    between = (here > first[text]) & (here < first[text + 1]) & around[here] & around[here + 1]
+    gone = np.where(n > 0, n_dead == n, between)
+    cut = ~gone & (n_dead > 0)
+    # stretches of bytes that go, counted up where they begin and down where they end
+    depth = np.zeros(len(data) + 1, np.int8)
+    depth[line_start[gone]] += 1
+    depth[line_end[gone] + 1] -= 1
+    line = np.repeat(np.arange(len(n)), n)
+    piece_end = np.minimum(np.append(start[1:], len(data))[: len(start)], line_end[line])
+    pieces = dead & cut[line]
+    depth[start[pieces]] += 1
+    depth[piece_end[pieces]] -= 1
+    alive = np.flatnonzero(~dead)
+    ending = np.flatnonzero(cut)
+    ending = ending[dead[word[ending + 1] - 1]]
+    depth[stop[alive[np.searchsorted(alive, word[ending + 1]) - 1]]] += 1
+    depth[line_end[ending]] -= 1
+    # the last line that stays has no line end behind it
+    stays = np.flatnonzero(~gone)
+    last = stays[np.append(text[stays][1:] != text[stays][:-1], True)] if len(stays) else stays
+    depth[line_end[last]] += 1
+    depth[line_end[last] + 1] -= 1
+    kept = np.cumsum(depth[:-1], dtype=np.int8) == 0
+    ends = np.concatenate([[0], np.cumsum(kept)[text_end - 1]]).astype(np.int32)
+    shorter = pa.Array.from_buffers(pa.string(), len(raw), [None, pa.py_buffer(ends), pa.py_buffer(data[kept])])
+    count = lambda of, weights=None: np.bincount(of, weights, len(raw)).astype(np.int64)
+    return shorter, count(text[gone]), count(text[cut], n_dead[cut])

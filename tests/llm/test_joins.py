@@ -3,8 +3,10 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,6 +264,70 @@ def test_passages_inside_lines(spark):
     assert len(got[4].split()) <= 4 and got[4].endswith("z")
 
 
+def without_by_hand(text, stretches):
+    """The text without the words of the stretches, lines that went whole, words that went from others."""
+    numbers = {k for a, b in stretches for k in range(a, b)}
+    kept, removed, n_cut, w = [], 0, 0, 0
+    for line in text.split("\n"):
+        spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", line)]
+        live = [k for k in range(len(spans)) if w + k not in numbers]
+        if spans and not live or not spans and w - 1 in numbers and w in numbers:
+            removed += 1
+        elif len(live) == len(spans):
+            kept.append(line)
+        else:
+            pieces = [line[: spans[0][0]], *(line[spans[k][0] : spans[k + 1][0] if k + 1 < len(spans) else len(line)] for k in live)]
+            kept.append("".join(pieces).rstrip(" \t\n\v\f\r") if live[-1] < len(spans) - 1 else "".join(pieces))
+            n_cut += len(spans) - len(live)
+        w += len(spans)
+    return "\n".join(kept), text.count("\n") + 1, removed, n_cut
+
+
+def stretches_of(rnd, texts, width):
+    """Some stretches of words for some of the texts, as two columns of lists."""
+    held = []
+    for x in texts:
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", x or ""))
+        starts = sorted({rnd.randrange(n) for _ in range(rnd.randrange(1, 4))}) if n and rnd.random() < 0.8 else []
+        held.append([(a, min(n, a + rnd.randrange(1, width))) for a in starts] or None)
+    lists = pa.list_(pa.int32())
+    return held, pa.array([h and [a for a, _ in h] for h in held], lists), pa.array([h and [b for _, b in h] for h in held], lists)
+
+
+def test_words_go_from_texts_as_by_hand():
+    rnd = random.Random(9)
+    for _ in range(1500):
+        texts = [None if rnd.random() < 0.1 else "".join(rnd.choice("ab é\xa0 \n\n \t\r日") for _ in range(rnd.randrange(25))) for _ in range(rnd.randrange(6))]
+        held, starts, stops = stretches_of(rnd, texts, 5)
+        got = list(zip(*(c.to_pylist() for c in line_dedup._cleaned(pa.array(texts, pa.string()), starts, stops)), strict=True))
+        assert got == [(None, 0, 0, 0) if x is None else without_by_hand(x, h or []) for x, h in zip(texts, held, strict=True)]
+
+
+def test_words_that_stay_keep_their_letters(spark):
+    long = " ".join(f"x{k}" for k in range(80))
+    got = line_dedup.dedup_lines(docs(spark, [long, f"new\u3000 {long}\nend\u00a0"])).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == [long, "new\u3000\nend\u00a0"]
+
+
+def test_texts_lose_words_in_less_time_than_their_words_are_listed():
+    rnd = random.Random(2)
+    texts = ["\n".join(" ".join(f"w{rnd.randrange(999)}" for _ in range(10)) for _ in range(60)) for _ in range(200)]
+    _, starts, stops = stretches_of(rnd, texts, 60)
+    column = pa.array(texts, pa.string())
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+
+    def seconds(f):
+        taken = []
+        for _ in range(5):
+            at = time.process_time()
+            f()
+            taken.append(time.process_time() - at)
+        return min(taken)
+
+    listed = seconds(lambda: [[m.span() for m in word.finditer(line)] for x in column.to_pylist() for line in x.split("\n")])
+    assert seconds(lambda: line_dedup._cleaned(column, starts, stops)) < listed
+
+
 def test_hot_keys_are_broadcast(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT_KEYS", 4)
     big = spark.createDataFrame([(k % 7 if k % 2 else 0, k) for k in range(200)], "key long, v long")
