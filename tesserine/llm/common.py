@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -38,13 +39,29 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(scratch_dir(spark))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, n_bytes: int | None) -> Iterator[None]:
+    """What is run inside hands Python batches of about n_bytes, a row at least. Where the session names a size, or n_bytes is None, that stands."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if n_bytes is None or spark.conf.get(name, None) is not None:
+        yield
+        return
+    spark.conf.set(name, f"{n_bytes}b")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
+def materialize(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
     """Writes df once into the shared folder and reads it back: the lineage is cut
-    and what follows may read it many times. The files go when the application ends."""
+    and what follows may read it many times. The files go when the application ends.
+    batch_bytes bounds the batches that Python gets on the way."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    with batches_of(spark, batch_bytes):
+        df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)

@@ -45,6 +45,9 @@ STAR_ROUNDS = 2
 SPREAD = 128
 #: A list of ids is broadcast up to so many (8 bytes each); longer lists join by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bytes of the batches in which texts and sets go to Python, and of the texts that are shingled together; a text at least.
+BATCH_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -62,7 +65,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
-    return np.multiply.accumulate(out)
+    return np.multiply.accumulate(out, out=out)
 
 
 def normal_words(text: str) -> list[bytes]:
@@ -79,8 +82,6 @@ class Shingles:
         self.digests = [zlib.crc32(j) for j in joined]
         data = np.frombuffer(b" ".join(joined) + b" ", np.uint8)
         size = len(data)
-        forward = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _powers(_BASE, size), dtype=np.uint64)])
-        back = _powers(_INVERSE, size + 1)
         space = np.flatnonzero(data == 32)
         counts = np.fromiter(map(len, words), np.int64, len(words))
         # a text without words still has the blank after it
@@ -88,9 +89,20 @@ class Shingles:
         first = np.concatenate([[0], np.cumsum(blanks)[:-1]]) if len(blanks) else np.zeros(0, np.int64)
         word_end = space
         word_start = np.concatenate([[0], space[:-1] + 1])
+        # sums up to each byte are needed at the words' edges only; of the arrays over all bytes two exist at a time
+        terms = _powers(_BASE, size)
+        terms *= _BYTE[data]
+        np.cumsum(terms, out=terms)
+        to_end = terms[word_end - 1]
+        to_start = np.where(word_start > 0, terms[word_start - 1], np.uint64(0))
+        # a word without letters ends where it starts, and before the first byte nothing is summed
+        to_end[word_end == 0] = 0
+        del terms
+        back = _powers(_INVERSE, size)[word_start]
 
         def span(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            return _mix((forward[b] - forward[a]) * back[a] + (b - a).astype(np.uint64))
+            """Hashes from the start of the words a to the end of the words b."""
+            return _mix((to_end[b] - to_start[a]) * back[a] + (word_end[b] - word_start[a]).astype(np.uint64))
 
         self.sets: list[np.ndarray] = []
         self.whole = np.zeros(len(texts), np.uint64)
@@ -98,9 +110,9 @@ class Shingles:
         doc = np.repeat(np.arange(len(texts)), number)
         starts = np.repeat(first, number) + np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
         ends = np.where(counts[doc] >= n, starts + n - 1, first[doc] + counts[doc] - 1)
-        hashes = span(word_start[starts], word_end[ends]) if len(doc) else np.zeros(0, np.uint64)
+        hashes = span(starts, ends) if len(doc) else np.zeros(0, np.uint64)
         if len(texts):
-            self.whole = span(word_start[first], word_end[first + blanks - 1])
+            self.whole = span(first, first + blanks - 1)
         at = 0
         for k in number.tolist():
             self.sets.append(np.unique(hashes[at : at + k]))
@@ -122,7 +134,7 @@ def survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(_SURVEY)
         cells = np.zeros(WIDTH, np.int32)
-        for ids, texts in sliced(batches):
+        for ids, texts in sliced(batches, SLICE_BYTES):
             made = Shingles(texts)
             if made.sets:
                 hit, times = np.unique((np.concatenate(made.sets) & np.uint64(WIDTH - 1)).astype(np.int32), return_counts=True)
@@ -134,7 +146,7 @@ def survey(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         packed = [zlib.compress(cells[b * _BLOCK : (b + 1) * _BLOCK].astype("<i8").tobytes(), 1) for b in full]
         yield record_batch({"doc_id": [None] * len(full), "n_shingles": [None] * len(full), "class_key": [None] * len(full), "spread": [None] * len(full), "block": full, "cells": packed}, schema)
 
-    written = materialize(docs.mapInArrow(run, _SURVEY), "shingle-survey")
+    written = materialize(docs.mapInArrow(run, _SURVEY), "shingle-survey", BATCH_BYTES)
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema("block int, cells binary")
@@ -177,7 +189,7 @@ def prefixes(texts: DataFrame, levels: np.ndarray, threshold: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for ids, part in sliced(batches):
+        for ids, part in sliced(batches, SLICE_BYTES):
             sets = Shingles(part).sets
             taken = [in_order(s, table)[: prefix_length(len(s), threshold)] for s in sets]
             lengths = np.fromiter(map(len, taken), np.int64, len(taken))
@@ -323,16 +335,16 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "do
     texts = _by_ids(docs.where("doc_id is not null"), copies, "left_anti")
     buckets = Window.partitionBy("h")
     shared = prefixes(texts, levels, threshold).withColumn("held", F.count("*").over(buckets)).where("held > 1").drop("held")
-    shared = materialize(shared.dropDuplicates(["h", "doc_id"]), "shared-prefixes")
+    shared = materialize(shared.dropDuplicates(["h", "doc_id"]), "shared-prefixes", BATCH_BYTES)
     known = materialize(listed.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "spread"), "spreads")
 
     components = texts.sparkSession.createDataFrame([], "node long, component long")
     held = shared.withColumn("component", F.col("doc_id"))
     for k in range(STAR_ROUNDS + 1):
         proposed = _star_pairs(held, threshold) if k < STAR_ROUNDS else _all_pairs(held, threshold)
-        pairs = materialize(plausible(proposed, known, threshold), "pairs")
+        pairs = materialize(plausible(proposed, known, threshold), "pairs", BATCH_BYTES)
         ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        found = materialize(verify(pairs, _sets(_by_ids(texts, ends, "left_semi")), threshold), "links")
+        found = materialize(verify(pairs, _sets(_by_ids(texts, ends, "left_semi")), threshold), "links", BATCH_BYTES)
         if found.isEmpty():
             continue
         # what was linked before stands as its component's star, so each round adds few edges
@@ -348,7 +360,7 @@ def _sets(texts: DataFrame) -> DataFrame:
     """(doc_id, hashes): whole sets as packed sorted 64-bit hashes, a row a text; an id may repeat."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, part in sliced(batches):
+        for ids, part in sliced(batches, SLICE_BYTES):
             yield record_batch({"doc_id": ids, "hashes": [s.tobytes() for s in Shingles(part).sets]}, arrow_schema("doc_id long, hashes binary"))
 
     return texts.mapInArrow(run, "doc_id long, hashes binary")

@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +93,35 @@ def test_a_chain_of_small_steps_is_one_component(spark):
     assert got == {k: v[1] for k, v in near_groups(texts).items()} and got[9] == 0
 
 
+def test_near_duplicates_take_texts_to_python_in_small_batches(spark, tmp_path):
+    rnd = random.Random(8)
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(14_000)) for _ in range(60)]
+    seen = str(tmp_path / "batches")
+
+    def noted(batches):
+        for batch in batches:
+            with open(seen, "a") as file:
+                file.write(f"{batch.nbytes}\n")
+            yield batch
+
+    df = docs(spark, [*texts, texts[0] + " more"]).select("doc_id", "text").coalesce(1).mapInArrow(noted, "doc_id long, text string")
+    groups = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(df).collect()}
+    assert groups == {k: k % 60 for k in range(61)}
+    sizes = [int(x) for x in open(seen)]
+    assert sum(sizes) > 3 * sum(map(len, texts)) and max(sizes) < ngram_join.BATCH_BYTES + 2 * max(map(len, texts))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
+
+
+def test_shingling_takes_a_bounded_multiple_of_the_texts_bytes():
+    text = " ".join(f"word{k}" for k in range(100_000))
+    tracemalloc.start()
+    try:
+        ngram_join.Shingles([text])
+        assert tracemalloc.get_traced_memory()[1] < 28 * len(text)
+    finally:
+        tracemalloc.stop()
+
+
 def test_near_duplicates_edges(spark):
     assert ngram_join.near_duplicates(docs(spark, [])).count() == 0
     assert [r["component_id"] for r in ngram_join.near_duplicates(docs(spark, ["", None])).orderBy("doc_id").collect()] == [0, 1]
