@@ -22,6 +22,7 @@ import hashlib
 import itertools
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -399,6 +400,16 @@ class Bpe:
         """As the library decodes with a file that names no decoder: token strings joined by blanks."""
         return " ".join([self.names[i] for i in map(int, ids) if i in self.names])
 
+    @functools.cached_property
+    def decimals(self) -> pa.Array:
+        """By id its decimal digits and a blank."""
+        return pa.array([b"%d " % i for i in range(max(self.names) + 1)], pa.large_binary())
+
+    @functools.cached_property
+    def tokens(self) -> pa.Array:
+        """By id what decode() has for it and a blank; nothing for an id without a name."""
+        return pa.array([f"{self.names[i]} ".encode() if i in self.names else b"" for i in range(max(self.names) + 1)], pa.large_binary())
+
     def restore(self, ids) -> str:
         """The normalised words that the ids stand for, white space as single blanks at word ends."""
         text = "".join(self.names[int(i)] for i in ids)
@@ -427,25 +438,28 @@ def encode(df: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col: str = "d
     return map_texts(id_text(df, id_col, text_col), rows, "doc_id long, ids array<int>, decoded string")
 
 
+def joined(ids: list[np.ndarray], names: pa.Array) -> Iterator[memoryview]:
+    """For each list of ids their names, one behind the other, without the last blank; about CUT_BYTES ids at a time."""
+    at = 0
+    ends = np.cumsum([0, *map(len, ids)])
+    while at < len(ids):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + CUT_BYTES, side="right")) - 1)
+        taken = names.take(pa.array(np.concatenate(ids[at:stop])))
+        offsets, letters = (np.frombuffer(x, t) if x else np.zeros(1, t) for x, t in zip(taken.buffers()[1:], (np.int64, np.uint8), strict=True))
+        bounds = offsets[ends[at : stop + 1] - ends[at]].tolist()
+        for a, b in itertools.pairwise(bounds):
+            yield letters[a : max(a, b - 1)].data
+        at = stop
+
+
 def encode_digests(df: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode()'s outputs as digests, made
     where the ids are, so that they needn't leave the worker."""
-    decimals: dict[bytes, tuple[bytes, bytes]] = {}
 
     def rows(ids: list, texts: list[str]) -> dict[str, list]:
         bpe = load(vocabulary)
-        size = bpe.dtype.itemsize
-        if len(decimals) > CACHE_ENTRIES:
-            decimals.clear()
-        counts, of_ids, of_text = [], [], []
-        for pieces in bpe.packed(texts):
-            for p in {p for p in pieces if p not in decimals}:
-                got = np.frombuffer(p, bpe.dtype).tolist()
-                decimals[p] = " ".join(map(str, got)).encode(), bpe.decode(got).encode()
-            counts.append(sum(map(len, pieces)) // size)
-            pairs = [decimals[p] for p in pieces if p]
-            of_ids.append(hashlib.sha256(b" ".join([a for a, _ in pairs])).hexdigest())
-            of_text.append(hashlib.sha256(b" ".join([b for _, b in pairs])).hexdigest())
-        return {"doc_id": ids, "n_tokens": counts, "ids_sha256": of_ids, "decoded_sha256": of_text}
+        got = bpe.encode_batch(texts)
+        of_ids, of_text = ([hashlib.sha256(x).hexdigest() for x in joined(got, names)] for names in (bpe.decimals, bpe.tokens))
+        return {"doc_id": ids, "n_tokens": list(map(len, got)), "ids_sha256": of_ids, "decoded_sha256": of_text}
 
     return map_texts(id_text(df, id_col, text_col), rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -72,6 +72,26 @@ def test_cache_starts_anew_when_full(monkeypatch):
 PLAIN = st.text(alphabet="'sStTdDmMrRvVeElL \n\x00\x1c\x85\xa00a1½!-é<|>ÀßµªÞ", max_size=30)
 
 
+def test_digests_look_up_words_and_not_every_piece(monkeypatch):
+    lib = Tokenizer.from_file(public_tokenizers.path(bpe.DEFAULT_VOCABULARY))
+    fresh = bpe.Bpe(bpe.vocabulary_path(bpe.DEFAULT_VOCABULARY))
+    monkeypatch.setattr(bpe, "load", lambda name: fresh)
+    monkeypatch.setattr(bpe, "map_texts", lambda df, rows, schema: rows)
+    monkeypatch.setattr(bpe, "id_text", lambda *_: None)
+    monkeypatch.setattr(bpe, "CUT_BYTES", 2_000)
+    words = [a + b + "ing" for a in "bcdfgklmpr" for b in "aeiouy"]
+    texts = [" ".join(f"{a}.{b}" for b in words) for a in words] + ["", " ", "日本 <|endoftext|> x", "it's 12", ""]
+    got = bpe.encode_digests(None)(list(range(len(texts))), texts)
+    for k, text in enumerate(texts):
+        ids = lib.encode(text, add_special_tokens=False).ids
+        assert got["n_tokens"][k] == len(ids)
+        assert got["ids_sha256"][k] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got["decoded_sha256"][k] == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    # 3,600 pieces, but few words
+    assert len(fresh.words) + len(fresh.pieces) + len(fresh.raw) < 2 * len(words)
+    assert bpe.encode_digests(None)([], []) == {"doc_id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(PLAIN, max_size=12), st.integers(1, 60))
 def test_plain_texts_of_a_batch_equal_the_library(texts, cut):
