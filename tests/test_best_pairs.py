@@ -4,8 +4,10 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tesserine.operators import maintenance
+from tesserine.operators.graph import Graph
 
 
 def frame(spark, held):
@@ -46,3 +48,13 @@ def test_best_pairs_without_related_ones(spark):
     assert got == [p for p in want if p not in gone][:10]
     everything = spark.createDataFrame([(a, b) for a, b, _ in want], "src string, dst string")
     assert maintenance.best_shared(frame(spark, held), 10, relations=everything).count() == 0
+
+
+def test_candidates_of_many_alike_entities(spark):
+    """4,000 entities that share their words: 8 million pairs, of which 80 are wanted. Their own words, which nobody shares, make no lists of their own."""
+    rows = spark.range(4_000).select(F.format_string("e%04d", "id").alias("name"), F.concat(F.lit("common words here "), F.col("id").cast("string")).alias("content"), F.col("id").alias("obs_id"))
+    none = spark.createDataFrame([], "src string, dst string, relation_type string, created_at timestamp")
+    g = Graph(rows.select("name", F.lit("plan").alias("entity_type")), rows, none.unionByName(spark.createDataFrame([("e0001", "e0000", "uses", None)], none.schema)))
+    found = maintenance.discover(g)["candidates"].collect()
+    assert [(r["a"], r["b"], r["shared"]) for r in found] == [("e0000", f"e{k:04d}", 3) for k in range(2, 82)]
+    assert found[0]["signals"] == ["common", "words", "here"]
