@@ -58,3 +58,15 @@ def test_candidates_of_many_alike_entities(spark):
     found = maintenance.discover(g)["candidates"].collect()
     assert [(r["a"], r["b"], r["shared"]) for r in found] == [("e0000", f"e{k:04d}", 3) for k in range(2, 82)]
     assert found[0]["signals"] == ["common", "words", "here"]
+
+
+def test_shared_tokens_over_chunks_of_a_class(spark, monkeypatch):
+    monkeypatch.setattr(maintenance, "CHUNK_MEMBERS", 7)
+    monkeypatch.setattr(maintenance, "TASK_PAIRS", 500)
+    held = owners(6, 3, 30)
+    made = maintenance.shared_tokens(frame(spark, held), least=3, joined="+")
+    got = made.collect()
+    assert sorted((r["a"], r["b"], r["shared"]) for r in got) == sorted(ranked(held, 3))
+    for r in got:
+        assert r["signals"] == "+".join(sorted(held[r["a"]] & held[r["b"]], key=lambda t: (-len(t), t))[:4])
+    assert made.rdd.getNumPartitions() > 4
