@@ -22,5 +22,6 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector at length one; a vector without length stays."""
-    n = norm(a)
-    return F.transform(a.cast("array<double>"), lambda x: F.when(n > 0, x / n).otherwise(x))
+    # the length is a variable of the outer function, so it is computed once and not for each element
+    both = F.array(F.struct(a.cast("array<double>").alias("v"), norm(a).alias("n")))
+    return F.transform(both, lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(x)))[0]

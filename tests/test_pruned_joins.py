@@ -112,3 +112,13 @@ def test_no_match_lacks_a_required_trigram():
         text = "".join(rnd.choices(["abc", "d", "ef", "gh", "i", "j", "k", "ln", "mn", "q", "op", "rst", "uv", "w", "xyz", "a", "ABC"], k=8))
         if re.search(pattern, text, re.IGNORECASE):
             assert all(g in text.lower() for g in trigram_index.required_grams(pattern)), (pattern, text)
+
+
+def test_no_vector_is_copied_for_each_block_that_it_meets(spark, monkeypatch):
+    """Blocks are read by the tasks that multiply them: whatever a join is planned as, no exchange stands behind the blocks."""
+    monkeypatch.setattr(semantic, "BLOCK_VECTORS", 40)
+    x = np.random.default_rng(3).standard_normal((500, 8))
+    df = vectors_of(spark, x)
+    made = semantic.similar_pairs(df, 0.6, None)
+    assert {(r["a"], r["b"]) for r in made.collect()} == all_pairs(x, 0.6)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
