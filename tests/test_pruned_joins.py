@@ -122,3 +122,12 @@ def test_no_vector_is_copied_for_each_block_that_it_meets(spark, monkeypatch):
     made = semantic.similar_pairs(df, 0.6, None)
     assert {(r["a"], r["b"]) for r in made.collect()} == all_pairs(x, 0.6)
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pivots_copy_few_vectors():
+    x = np.random.default_rng(4).standard_normal((400, 3))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for reach in (0.05, 0.5, 1.2):
+        chosen = semantic.fitting_pivots(x, 64, reach)
+        _, goes = semantic.reached(np.arccos(np.clip(x @ chosen.T, -1, 1)), reach)
+        assert goes.sum() <= semantic.MOST_COPIES * len(x)
