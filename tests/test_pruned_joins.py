@@ -131,3 +131,12 @@ def test_pivots_copy_few_vectors():
         chosen = semantic.fitting_pivots(x, 64, reach)
         _, goes = semantic.reached(np.arccos(np.clip(x @ chosen.T, -1, 1)), reach)
         assert goes.sum() <= semantic.MOST_COPIES * len(x)
+
+
+def test_candidates_bring_their_similarities_along(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.8, 0.6]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None), (6, [1.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    pairs = spark.createDataFrame([(2, 1, 5), (2, 3, 20), (1, 3, 1), (3, 4, 0), (4, 5, 2), (1, 6, 1), (1, 9, 10), (2, 2, 3)], "a long, b long, shared long")
+    looked_up = semantic.rerank(pairs, semantic.similar_pairs(vectors, 0.5, None))
+    own = semantic.rerank(semantic.pair_similarities(pairs, vectors, 0.5))
+    assert {tuple(r) for r in own.select(looked_up.columns).collect()} == {tuple(r) for r in looked_up.collect()}
+    assert own.where("a = 2 and b = 1").first()["similarity"] == 0.8 and own.count() == 8
