@@ -69,16 +69,37 @@ def diff_files(listed: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def diff_postings(old: DataFrame, new: DataFrame, seq: int) -> DataFrame:
-    """Delta rows that lead from old postings to new ones: DEL for what went, ADD for what came."""
-    gone = old.join(new, KEY, "left_anti").withColumn("op", F.lit("DEL"))
-    come = new.join(old, KEY, "left_anti").withColumn("op", F.lit("ADD"))
-    return gone.unionByName(come).withColumn("seq", F.lit(seq).cast("long"))
+    """Delta rows that lead from old postings to new ones: DEL for what went, ADD for what came.
+
+    Both go through one aggregation, which needs no shuffle where both lie dealt out by file.
+    """
+    both = old.select(*KEY, F.lit(0).alias("side")).unionByName(new.select(*KEY, F.lit(1).alias("side")))
+    one = both.groupBy(*KEY).agg(F.min("side").alias("first"), F.max("side").alias("last")).where("first = last")
+    return one.select(*KEY, F.when(F.col("last") == 1, "ADD").otherwise("DEL").alias("op"), F.lit(seq).cast("long").alias("seq"))
+
+
+#: What a posting of the base counts as beside the operations on it, 2 * seq and 1 for ADD: an ADD before all others.
+_HELD = 1 - (1 << 62)
+
+
+def _operations(base: DataFrame, delta: DataFrame) -> DataFrame:
+    """Rows of KEY with `at`, an odd number for ADD: the largest of a posting is the last operation on it."""
+    made = delta.select(*KEY, (F.col("seq") * 2 + (F.col("op") == "ADD").cast("long")).alias("at"))
+    return base.select(*KEY, F.lit(_HELD).alias("at")).unionByName(made)
+
+
+def _last_holds(operations: DataFrame) -> DataFrame:
+    return operations.groupBy(*KEY).agg(F.max("at").alias("at")).where(F.col("at").bitwiseAND(1) == 1).select(*KEY)
 
 
 def layered(base: DataFrame, delta: DataFrame) -> DataFrame:
     """What base and delta say together; of several operations on a posting the last one holds."""
-    last = delta.groupBy(*KEY).agg(F.max_by("op", "seq").alias("op"))
-    return base.join(last, KEY, "left_anti").select(*KEY).unionByName(last.where("op = 'ADD'").select(*KEY))
+    return _last_holds(_operations(base, delta))
+
+
+def counts_by_file(postings: DataFrame) -> DataFrame:
+    """file_idx, n, n_tokens: postings and distinct tokens of each file; no shuffle where postings lie dealt out by file."""
+    return postings.groupBy("file_idx").agg(F.count("*").alias("n"), F.count_distinct("token").alias("n_tokens"))
 
 
 def directory(entries: DataFrame, seq: int) -> DataFrame:
