@@ -146,9 +146,13 @@ class PostingsIndex:
     def _delta_schema(base: DataFrame) -> StructType:
         return base.selectExpr(*KEY, "cast(null as string) op", "cast(null as bigint) seq").schema
 
-    def postings(self) -> DataFrame:
+    def postings(self, by_file: bool = False) -> DataFrame:
+        """All postings. With by_file they lie dealt out by file_idx, so that joins and groups by file, its tokens or entries shuffle no more."""
         base = self.store.read("base")
-        return base if self.store.is_empty("delta") else layered(base, self.store.read("delta"))
+        if self.store.is_empty("delta"):
+            return base.repartition("file_idx") if by_file else base
+        # one shuffle for both, by the file: a filter on tokens still reaches the scans
+        return _last_holds(_operations(base, self.store.read("delta")).repartition("file_idx"))
 
     def live_files(self) -> DataFrame:
         return self.store.read("files").where(~F.col("tombstoned"))
@@ -187,7 +191,7 @@ class PostingsIndex:
             fresh = files.join(status.where("status = 'new'").select("file"), "file", "left_semi")
             named = numbered(fresh.drop("file_idx"), ["file"], "file_idx").withColumn("file_idx", F.col("file_idx") + next_idx)
             moved = status.where("status != 'unchanged'").select("file", "file_idx", "status")
-            numbers = moved.where("status = 'changed'").select("file", "file_idx").unionByName(named.select("file", "file_idx"))
+            numbers = moved.where("status = 'changed'").select("file", "file_idx", F.lit(False).alias("fresh")).unionByName(named.select("file", "file_idx", F.lit(True).alias("fresh")))
             numbers = numbers.withColumn("file_idx", F.col("file_idx").cast("long"))
 
             def manifest(old: DataFrame | None, changed: DataFrame) -> DataFrame:
@@ -200,9 +204,11 @@ class PostingsIndex:
                 return kept.unionByName(named.withColumn("tombstoned", F.lit(False)).withColumn("lines_seq", F.lit(seq).cast("long")), allowMissingColumns=True).select(old.columns)
 
             buckets = self.store.touched("files", moved, list(FILES), FILE_BUCKETS)
-            old = self.postings().join(moved.where("status != 'new'").select("file_idx"), "file_idx", "left_semi").select(*KEY)
+            old = self.postings(by_file=True).join(moved.where("status != 'new'").select("file_idx"), "file_idx", "left_semi").select(*KEY)
             mine = entries.drop("file_idx").join(numbers, "file")
-            delta = diff_postings(old, build(mine), seq)
+            # a new file has no older postings; texts of others are dealt out by file before they are cut to tokens, which are far more rows
+            come = build(mine.where("fresh")).select(*KEY, F.lit("ADD").alias("op"), F.lit(seq).cast("long").alias("seq"))
+            delta = diff_postings(old, build(mine.where("not fresh").repartition("file_idx")), seq).unionByName(come)
             self.store.commit({"files": self.store.merged("files", moved, list(FILES), manifest, buckets, FILE_BUCKETS), "delta": Append(delta), "lines": Append(directory(mine, seq)), "base": None}, marks=marks)
         elif marks:
             self.store.commit({}, marks=marks)
@@ -216,12 +222,13 @@ class PostingsIndex:
         return not self.store.is_empty("delta") and self.store.read("delta").count() > COMPACT_SHARE * self.store.read("base").count()
 
     def compact(self) -> int:
-        """Folds the delta into the base; nothing changes if there is none."""
+        """Folds the delta into the base in the one shuffle that puts it in order; nothing changes if there is none."""
         if self.store.is_empty("delta") or self.store.read("delta").isEmpty():
             return self.store.version()
         live = self.live_files().select("file_idx", F.col("lines_seq").alias("seq"))
         lines = self.store.read("lines")
-        return self.store.commit({"base": in_order(self.postings()), "files": None, "lines": lines.join(live, ["file_idx", "seq"], "left_semi").select(lines.columns), "delta": Empty(self.store.read("delta").schema)})
+        base = _last_holds(_operations(self.store.read("base"), self.store.read("delta")).repartitionByRange(*KEY)).sortWithinPartitions(*KEY)
+        return self.store.commit({"base": base, "files": None, "lines": lines.join(live, ["file_idx", "seq"], "left_semi").select(lines.columns), "delta": Empty(self.store.read("delta").schema)})
 
 
 def build_domains(spark: SparkSession, root: str, domains: dict[str, tuple[DataFrame, DataFrame]]) -> dict[str, PostingsIndex]:

@@ -38,3 +38,24 @@ def test_postings_dealt_out_by_file_are_not_shuffled(spark):
     plan = held._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     moved = [line for line in plan.splitlines() if " Exchange " in line]
     assert moved and all("hashpartitioning(file_idx" in line and "REPARTITION_BY_COL" in line for line in moved)
+
+
+def test_new_changed_and_removed_files_folded(spark, tmp_path):
+    def tables(texts, modified):
+        files = spark.createDataFrame([(f, 0, modified.get(f, 0), len(t)) for f, t in texts.items()], "file string, file_idx long, modified int, size long")
+        lines = spark.createDataFrame([(f, 0, e, x) for f, t in texts.items() for e, x in enumerate(t.split("\n"))], "file string, file_idx long, entry_idx int, text string")
+        return lines, files
+
+    first = {"a": "one two\nthree", "b": "two two four", "c": "gone words"}
+    index = postings.PostingsIndex(spark, str(tmp_path / "index"))
+    lines, files = tables(first, {})
+    number = F.when(F.col("file") == "a", 0).when(F.col("file") == "b", 1).otherwise(2).cast("long")
+    index.create(lines.withColumn("file_idx", number), files.withColumn("file_idx", number).withColumn("tombstoned", F.lit(False)))
+    second = {"a": "one two\nthree", "b": "two five\nsix", "d": "new words\nnew lines"}
+    done = index.update(*tables(second, {"b": 1}), defer_compact=True)
+    assert (done["unchanged"], done["updated"], done["added"], done["removed"]) == (1, 1, 1, 1)
+    want = sorted((t, f, e) for f, text in ((0, second["a"]), (1, second["b"]), (3, second["d"])) for e, x in enumerate(text.split("\n")) for t in set(x.split()))
+    assert keys(index.postings()) == want == keys(index.postings(by_file=True))
+    index.compact()
+    assert index.store.is_empty("delta") and keys(index.store.read("base")) == want == keys(index.postings(by_file=True))
+    assert {tuple(r) for r in postings.counts_by_file(index.postings(by_file=True)).collect()} == {(0, 3, 3), (1, 3, 3), (3, 4, 3)}
